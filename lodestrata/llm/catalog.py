@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import leak, neardup
+from lodestrata.llm import encoding, leak, neardup
 from lodestrata.llm.common import contents, cut, table
 
 
@@ -19,5 +19,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p8_found": p8_found}
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    texts = encoding.garbled(contents(spark, d), "sha256", "content").select(F.lit("content").alias("field"), "sha256", "restored")
+    names = encoding.garbled(table(spark, d, "files"), "sha256", "original_filename").select(F.lit("original_filename").alias("field"), "sha256", "restored")
+    return texts.unionByName(names)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("field", "sha256")
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
 SQL: dict[str, str] = {}
