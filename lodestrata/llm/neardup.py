@@ -8,7 +8,8 @@ Similarity of two texts is the Jaccard coefficient of their sets of ``k`` consec
 3. Texts with the same prefix and number of shingles collapse into one group, so that
    copies are joined once.  Group pairs come from an equi-join on prefix shingles with
    bounds on size and position.  A 128-bit agreement sketch (one-bit minima of 128 bins)
-   stops pairs that agree in fewer bits than a pair at ``t`` does with 4 standard deviations.
+   stops pairs that agree in fewer bits than a pair at ``t`` does less 4 standard deviations;
+   a 256-bit one follows for the members.  A shingle of very many texts is split into blocks.
 4. Group pairs expand to members; members of one group are pairs, too.  Every pair is
    verified by the sizes of the intersection and union of its sets.
 
@@ -19,6 +20,7 @@ pairs of similarity 1; repeated rows of one id count once; an empty table gives
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,10 @@ from lodestrata.llm.words import blocks, mix, words_of
 #: Buckets of the count sketch: 1 MB of counts, whatever the corpus holds.
 BUCKETS = 1 << 18
 CHUNK = 1 << 12
+#: Texts that a block of a shingle's texts holds at most, about.
+HOT = 20_000
+#: Sizes and positions fit 20 bits.
+MOST = (1 << 20) - 1
 _U = np.uint64
 
 
@@ -79,10 +85,10 @@ def shingle_counts(df: DataFrame, text: str, k: int) -> np.ndarray:
     return out
 
 
-def _agreement(d: np.ndarray, h: np.ndarray, n_texts: int) -> np.ndarray:
-    """One bit of the least hash in each of 32 bins, for 4 hash functions: (texts, 2) words of 64 bits."""
-    bits = np.zeros((n_texts, 128), np.uint8)
-    for i in range(4):
+def _agreement(d: np.ndarray, h: np.ndarray, n_texts: int, functions: int) -> np.ndarray:
+    """One bit of the least hash in each of 32 bins, for some hash functions: (texts, functions / 2) words of 64 bits."""
+    bits = np.zeros((n_texts, 32 * functions), np.uint8)
+    for i in range(functions):
         g = mix(h + _U(0x632BE59BD9B4E019 * (i + 1) % 2**64))
         least = np.full(n_texts * 32, np.iinfo(np.uint64).max, _U)
         np.minimum.at(least, d * 32 + (g >> _U(59)).astype(np.int64), g << _U(5))
@@ -91,75 +97,188 @@ def _agreement(d: np.ndarray, h: np.ndarray, n_texts: int) -> np.ndarray:
 
 
 def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_words: int) -> DataFrame:
-    """One row per text: key, set (hashes), n, the group's identity (s1, s2, g) and prefix tokens."""
-    spark = df.sparkSession
-    counts = spark.sparkContext.broadcast(shingle_counts(df, text, k))
+    """One row per text: id, items (shingles, rarest first), hot (their counts, of the prefix), s1, s2 and g.
+
+    s1, s2 and g (23 bits of the prefix's hash, 20 of the size) are the identity of the text's group; s3 is a
+    larger agreement sketch.
+    """
+    counts = df.sparkSession.sparkContext.broadcast(shingle_counts(df, text, k).astype(np.int32))
 
     def make():
         rank = counts.value
 
         def f(b):
-            out: dict[str, list] = {c: [] for c in ("id", "items", "n", "s1", "s2", "g", "prefix")}
+            out: dict[str, list] = {c: [] for c in ("id", "items", "hot", "s1", "s2", "s3", "g")}
             for x, y in blocks(b[text]):
                 d, h, words = shingle_sets(b[text][x:y], k)
                 order = np.lexsort((h, rank[(h % _U(BUCKETS)).astype(np.int64)], d))
                 d, h = d[order], h[order]
                 n = np.bincount(d, minlength=y - x)
                 first = np.concatenate(([0], np.cumsum(n)))
-                s = _agreement(d, h, y - x)
+                s = _agreement(d, h, y - x, 12)
                 short = (h >> _U(32)).astype(np.uint32).view(np.int32)
+                count = rank[(h % _U(BUCKETS)).astype(np.int64)]
                 for i in range(y - x):
                     if b[key][x + i] is None or words[i] < min_words or not n[i]:
                         continue
-                    own = short[first[i] : first[i + 1]]
-                    p = own[: n[i] - math.ceil(t * n[i] - 1e-9) + 1]
+                    own = slice(first[i], first[i + 1])
+                    p = prefix_size(int(n[i]), t)
                     out["id"].append(b[key][x + i])
-                    out["items"].append(own)
-                    out["n"].append(int(n[i]))
+                    out["items"].append(short[own])
+                    out["hot"].append((count[own][:p] // HOT).astype(np.int32).tolist() if count[own][p - 1] >= HOT else None)
                     out["s1"].append(int(s[i, 0]))
                     out["s2"].append(int(s[i, 1]))
-                    out["g"].append(int(mix(np.array([hash(p.tobytes()) & (2**63 - 1)], _U))[0] >> _U(40)) << 20 | min(int(n[i]), (1 << 20) - 1))
-                    out["prefix"].append(p)
+                    out["s3"].append(s[i, 2:].tobytes())
+                    out["g"].append((zlib.crc32(short[own][:p].tobytes()) & 0x7FFFFF) << 20 | min(int(n[i]), MOST))
             return out
 
         return f
 
     kind = dict(df.dtypes)[key]
-    return arrow_map(df.select(key, text), make, f"id {kind}, items array<int>, n int, s1 long, s2 long, g long, prefix array<int>")
+    return arrow_map(df.select(key, text), make, f"id {kind}, items array<int>, hot array<int>, s1 long, s2 long, s3 binary, g long")
+
+
+def prefix_size(n: int, t: float) -> int:
+    return n - math.ceil(t * n - 1e-9) + 1
+
+
+def _postings(rows: DataFrame, t: float) -> DataFrame:
+    """(token, salt, s1, s2, gp): the prefix of each group; a task names a group once.  gp is g and the position.
+
+    A token in more than HOT texts is dealt to blocks of about HOT rows, and the rows of each pair of blocks meet.
+    """
+
+    def make():
+        seen: set = set()
+
+        def f(b):
+            token, salt, s1, s2, gp = [], [], [], [], []
+            for items, hot, x, y, g in zip(b["items"], b["hot"], b["s1"], b["s2"], b["g"]):
+                if (x, y, g) in seen:
+                    continue
+                if len(seen) < 1_000_000:  # bounded memory; a group named twice is collapsed at the join
+                    seen.add((x, y, g))
+                p = np.arange(prefix_size(len(items), t))
+                tok, at = np.array(items, np.int32)[: len(p)], np.zeros(len(p), np.int32)
+                if hot is not None:
+                    many = np.array(hot) + 1
+                    own = (x ^ g) % many
+                    p = np.repeat(p, many)
+                    other = np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)
+                    mine = np.repeat(own, many)
+                    tok, at = np.repeat(tok, many), (np.minimum(mine, other) << 12 | np.maximum(mine, other)).astype(np.int32)
+                token.append(tok)
+                salt.append(at)
+                s1.append(np.full(len(p), x))
+                s2.append(np.full(len(p), y))
+                gp.append(g << 20 | np.minimum(p, MOST))
+            if token:
+                return {"token": pa.array(np.concatenate(token)), "salt": pa.array(np.concatenate(salt)), "s1": pa.array(np.concatenate(s1)), "s2": pa.array(np.concatenate(s2)), "gp": pa.array(np.concatenate(gp))}
+            return None
+
+        return f
+
+    return arrow_map(rows.select("items", "hot", "s1", "s2", "g"), make, "token int, salt int, s1 long, s2 long, gp long")
+
+
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which 64-bit words differ."""
+    return np.bitwise_count((a ^ b).view(_U))
+
+
+def _group_pairs(post: DataFrame, t: float) -> DataFrame:
+    """Pairs of groups that pass the bounds on size and position and the agreement sketch."""
+    least = floor_of(128, t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:  # sorted by token and salt: all rows of one meet in one task
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1 << 19:
+                table = pa.Table.from_batches(held)
+                key = table.column("token").to_numpy().astype(np.int64) << 32 | table.column("salt").to_numpy()
+                start = int(np.searchsorted(key, key[-1]))
+                if start:
+                    yield from pairs(table.slice(0, start))
+                    held = table.slice(start).to_batches()
+                    size -= start
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, salt, s1, s2, gp = (table.column(c).to_numpy() for c in ("token", "salt", "s1", "s2", "gp"))
+        key = token.astype(np.int64) << 32 | salt
+        n, pos = (gp >> 20) & MOST, gp & MOST
+        order = np.lexsort((s2, s1, gp, n, key))
+        key, s1, s2, gp, n, pos = key[order], s1[order], s2[order], gp[order], n[order], pos[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (gp[1:] != gp[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+        key, s1, s2, gp, n, pos = (x[new] for x in (key, s1, s2, gp, n, pos))
+        last = np.searchsorted(key, key, side="right")
+        # Within a key sizes ascend: partners of row i are those after it whose size is at most n / t.
+        far = np.minimum(last, np.searchsorted(_compound(key, n), _compound(key, np.floor(n / t + 1e-9).astype(np.int64)), side="right"))
+        many = far - np.arange(len(key)) - 1
+        many[n - pos < np.ceil(2 * t / (1 + t) * n - 1e-9)] = 0  # the smaller side needs no more than its index prefix
+        rows = np.flatnonzero(many)
+        ends = np.cumsum(many[rows])
+        at = 0
+        while at < len(rows):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + (1 << 21), side="right")))
+            m = many[rows[at:to]]
+            a = np.repeat(rows[at:to], m)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+            need = np.ceil(t / (1 + t) * (n[a] + n[b]) - 1e-9)
+            ok = (n[a] - pos[a] >= need) & (n[b] - pos[b] >= need)
+            a, b = a[ok], b[ok]
+            ok = _bits(s1[a], s1[b]) + _bits(s2[a], s2[b]) <= 128 - least
+            a, b = a[ok], b[ok]
+            yield pa.RecordBatch.from_pydict({"a_s1": s1[a], "a_s2": s2[a], "a_g": gp[a] >> 20, "b_s1": s1[b], "b_s2": s2[b], "b_g": gp[b] >> 20})
+            at = to
+
+    return (
+        post.repartition("token", "salt").sortWithinPartitions("token", "salt")
+        .mapInArrow(run, "a_s1 long, a_s2 long, a_g long, b_s1 long, b_s2 long, b_g long").distinct()
+    )
+
+
+def _compound(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Ascending codes of (key, n), keys sorted."""
+    return np.cumsum(np.concatenate(([0], np.diff(key) != 0))).astype(np.int64) << 24 | n
+
+
+def floor_of(bits: int, t: float) -> int:
+    """Bits that a pair at ``t`` agrees in, less 4 standard deviations."""
+    p = (1 + t) / 2
+    return math.floor(bits * p - 4 * math.sqrt(bits * p * (1 - p)))
 
 
 def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of ids whose texts are at least ``t`` similar."""
-    rows = cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words).dropDuplicates(["id"]))
+    rows = cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words))
     group = ["s1", "s2", "g"]
-    groups = rows.groupBy(*group).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    post = groups.select(*group, "n", F.posexplode("prefix").alias("pos", "token"))
-    a = post.select("token", *(F.col(c).alias(f"a_{c}") for c in [*group, "n", "pos"]))
-    b = post.select("token", *(F.col(c).alias(f"b_{c}") for c in [*group, "n", "pos"]))
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
-    p = (1 + t) / 2
-    least = math.floor(128 * p - 4 * math.sqrt(128 * p * (1 - p)))
-    agree = F.lit(128) - F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) - F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2")))
-    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.struct("a_s1", "a_s2", "a_g") < F.struct("b_s1", "b_s2", "b_g")))
-    found = (
-        a.hint("shuffle_hash").join(b, "token")
-        .where((F.col("b_n") * t <= F.col("a_n") + 1e-9) & (F.col("a_n") - F.col("a_pos") >= need) & (F.col("b_n") - F.col("b_pos") >= need) & (agree >= least) & smaller)
-        .select(*(f"a_{c}" for c in group), *(f"b_{c}" for c in group)).distinct()
-    )
-    ids = rows.select("id", *group)
-    across = (
-        found.join(ids.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in group)), [f"a_{c}" for c in group])
-        .join(ids.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in group)), [f"b_{c}" for c in group])
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    )
+    found = _group_pairs(_postings(rows, t), t)
+    ids = rows.select("id", *group, "s3").dropDuplicates(["id"])
+    a = ids.select(F.col("id").alias("a"), F.col("s3").alias("a_s3"), *(F.col(c).alias(f"a_{c}") for c in group))
+    b = ids.select(F.col("id").alias("b"), F.col("s3").alias("b_s3"), *(F.col(c).alias(f"b_{c}") for c in group))
+    across = found.join(a, [f"a_{c}" for c in group]).join(b, [f"b_{c}" for c in group]).where(_differ("a_s3", "b_s3") <= 256 - floor_of(256, t))
     within = ids.alias("x").join(ids.alias("y"), group).where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     sets = rows.select("id", "items")
     both = F.size(F.array_intersect("a_items", "b_items"))
     return (
-        across.unionByName(within)
+        across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within)
         .join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("items").alias("b_items")), "b")
         .withColumn("similarity", both / (F.size("a_items") + F.size("b_items") - both))
         .where(F.col("similarity") >= t - 1e-9)
-        .select("a", "b", "similarity")
+        .select("a", "b", "similarity").dropDuplicates(["a", "b"])
     )
+
+
+def _differ(a: str, b: str):
+    """Bits in which two sketches of 32 bytes differ."""
+    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+    parts = [F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(4)]
+    return parts[0] + parts[1] + parts[2] + parts[3]
