@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import encoding, leak, neardup
+from lodestrata.llm import encoding, leak, mail, neardup
 from lodestrata.llm.common import contents, cut, table
 
 
@@ -33,5 +33,14 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = mail.new_lines(mail.mails(contents(spark, d, "filename")), "sha256", "content")
+    return found.select("sha256", F.explode("lines").alias("line_no"))
+
+
+def p6_new_text(spark: SparkSession, d: str) -> DataFrame:
+    return mail.new_lines(mail.mails(contents(spark, d, "filename")), "sha256", "content").select("sha256", "new_text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found}
 SQL: dict[str, str] = {}
