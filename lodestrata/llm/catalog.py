@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import encoding, leak, mail, neardup
+from lodestrata.llm import encoding, leak, mail, neardup, pii
 from lodestrata.llm.common import contents, cut, table
 
 
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    names = [r[0] for r in table(spark, d, "given_names").select("given_name").limit(GIVEN_NAMES).collect()]
+    return pii.mentions(contents(spark, d), "sha256", "content", names)
+
+
+#: Given names that are sent to the tasks; the table has fewer than a hundred.
+GIVEN_NAMES = 100_000
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _mentions(spark, d).select("sha256", "found").dropDuplicates(["sha256"])
+    return found.select("sha256", F.explode("found").alias("m")).select("sha256", "m.start_at", "m.kind")
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    return _mentions(spark, d).select("sha256", "masked").dropDuplicates(["sha256"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(contents(spark, d), "sha256", "content", k=3, t=0.6, min_words=20).select(F.col("a").alias("sha256_a"), F.col("b").alias("sha256_b"))
 
@@ -42,5 +60,5 @@ def p6_new_text(spark: SparkSession, d: str) -> DataFrame:
     return mail.new_lines(mail.mails(contents(spark, d, "filename")), "sha256", "content").select("sha256", "new_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found}
 SQL: dict[str, str] = {}
