@@ -9,7 +9,7 @@ Similarity of two texts is the Jaccard coefficient of their sets of ``k`` consec
    copies are joined once.  Group pairs come from an equi-join on prefix shingles with
    bounds on size and position.  A 128-bit agreement sketch (one-bit minima of 128 bins)
    stops pairs that agree in fewer bits than a pair at ``t`` does less 4 standard deviations;
-   a 256-bit one follows for the members.  A shingle of very many texts is split into blocks.
+   one of 256 bits follows for the members.  A shingle of very many texts is split into blocks.
 4. Group pairs expand to members; members of one group are pairs, too.  Every pair is
    verified by the sizes of the intersection and union of its sets.
 
@@ -115,7 +115,7 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
                 d, h = d[order], h[order]
                 n = np.bincount(d, minlength=y - x)
                 first = np.concatenate(([0], np.cumsum(n)))
-                s = _agreement(d, h, y - x, 12)
+                s = _agreement(d, h, y - x, 8)
                 short = (h >> _U(32)).astype(np.uint32).view(np.int32)
                 count = rank[(h % _U(BUCKETS)).astype(np.int64)]
                 for i in range(y - x):
@@ -260,16 +260,18 @@ def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8
     rows = cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words))
     group = ["s1", "s2", "g"]
     found = _group_pairs(_postings(rows, t), t)
-    ids = rows.select("id", *group, "s3").dropDuplicates(["id"])
+    ids = rows.select("id", *group, "s3")
     a = ids.select(F.col("id").alias("a"), F.col("s3").alias("a_s3"), *(F.col(c).alias(f"a_{c}") for c in group))
     b = ids.select(F.col("id").alias("b"), F.col("s3").alias("b_s3"), *(F.col(c).alias(f"b_{c}") for c in group))
-    across = found.join(a, [f"a_{c}" for c in group]).join(b, [f"b_{c}" for c in group]).where(_differ("a_s3", "b_s3") <= 256 - floor_of(256, t))
-    within = ids.alias("x").join(ids.alias("y"), group).where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    sets = rows.select("id", "items")
+    copies = rows.groupBy(*group).count().where("count > 1")  # members of one group are pairs, too
+    found = found.unionByName(copies.select(*(F.col(c).alias(f"a_{c}") for c in group), *(F.col(c).alias(f"b_{c}") for c in group)))
+    differ = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2"))) + _differ("a_s3", "b_s3")
+    across = found.join(a, [f"a_{c}" for c in group]).join(b, [f"b_{c}" for c in group]).where((differ <= 256 - floor_of(256, t)) & (F.col("a") != F.col("b")))
+    pairs = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sets = _named(rows.select("id", "items"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = F.size(F.array_intersect("a_items", "b_items"))
     return (
-        across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within)
-        .join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("items").alias("b_items")), "b")
         .withColumn("similarity", both / (F.size("a_items") + F.size("b_items") - both))
         .where(F.col("similarity") >= t - 1e-9)
@@ -277,8 +279,30 @@ def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8
     )
 
 
+#: Bits of the filter on ids: 8 MB, whatever the number of ids; a full filter only stops less.
+FILTER = 1 << 26
+
+
+def _named(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is likely among ``ids``, by a fixed-size filter, before they are shuffled."""
+    slot = F.xxhash64("id").bitwiseAND(F.lit(FILTER - 1))
+    parts = ids.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    filled = np.zeros(FILTER // 8, np.uint8)
+    for row in parts.collect():  # FILTER / 32768 rows at most
+        at = (row.part - 1) * 4096
+        filled[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(filled)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            ok = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(ok.astype(bool)))
+
+    return df.withColumn("slot", slot).mapInArrow(keep, df.withColumn("slot", slot).schema).drop("slot")
+
+
 def _differ(a: str, b: str):
-    """Bits in which two sketches of 32 bytes differ."""
+    """Bits in which two sketches of 16 bytes differ."""
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    parts = [F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(4)]
-    return parts[0] + parts[1] + parts[2] + parts[3]
+    return F.bit_count(word(a, 0).bitwiseXOR(word(b, 0))) + F.bit_count(word(a, 1).bitwiseXOR(word(b, 1)))
