@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import encoding, leak, mail, neardup, pii
+from lodestrata.llm import encoding, language, leak, mail, neardup, pii
 from lodestrata.llm.common import contents, cut, table
 
 
@@ -43,6 +43,20 @@ def _garbled(spark: SparkSession, d: str) -> DataFrame:
     return texts.unionByName(names)
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    labelled = contents(spark, d, F.col("attachment.language").alias("label"))
+    model = language.fitted(labelled, "sha256", "content", "label")
+    return language.languages(labelled, "sha256", "content", "label", model)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).where(~F.col("label_right")).select("sha256", F.explode("segments").alias("s")).select("sha256", "s.seg_no", "s.lang")
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d).select("field", "sha256")
 
@@ -60,5 +74,5 @@ def p6_new_text(spark: SparkSession, d: str) -> DataFrame:
     return mail.new_lines(mail.mails(contents(spark, d, "filename")), "sha256", "content").select("sha256", "new_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found}
 SQL: dict[str, str] = {}
