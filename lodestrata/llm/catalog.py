@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import encoding, language, leak, mail, neardup, pii
+from lodestrata.llm import encoding, language, leak, mail, neardup, pii, truncation
 from lodestrata.llm.common import contents, cut, table
 
 
@@ -43,6 +43,17 @@ def _garbled(spark: SparkSession, d: str) -> DataFrame:
     return texts.unionByName(names)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = truncation.truncated(contents(spark, d), "sha256", "content").select("sha256", F.lit("content").alias("field"))
+    messages = table(spark, d, "leakdata_index").where(F.col("sha256").isNotNull())
+    return texts.unionByName(truncation.truncated_messages(messages, "sha256", "message").select("sha256", F.lit("message").alias("field")))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    rows = contents(spark, d, F.regexp_extract("filename", r"extracted/files/([^/]+)/", 1).alias("source"))
+    return truncation.share_by_source(rows, truncation.truncated(rows.select("sha256", "content"), "sha256", "content"), "sha256", "source")
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     labelled = contents(spark, d, F.col("attachment.language").alias("label"))
     model = language.fitted(labelled, "sha256", "content", "label")
@@ -74,5 +85,5 @@ def p6_new_text(spark: SparkSession, d: str) -> DataFrame:
     return mail.new_lines(mail.mails(contents(spark, d, "filename")), "sha256", "content").select("sha256", "new_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -36,7 +36,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Word ``i`` of the batch: ``hash[i]``, code points ``start[i]:end[i]`` of its lower-cased text.
 
-    The words of text ``d`` are ``first[d]:first[d + 1]``; ``doc`` has each word's text.
+    The words of text ``d`` are ``first[d]:first[d + 1]``; ``doc`` has each word's text, ``closes`` whether a line ends after it.
     """
 
     hash: np.ndarray
@@ -44,6 +44,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    closes: np.ndarray
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of ``k`` words within one text, and the run's first word."""
@@ -68,7 +69,7 @@ def words_of(texts: list[str | None]) -> Words:
     doc = np.searchsorted(ends, start, side="right")
     first = np.searchsorted(start, np.concatenate((ends - [len(t) + 1 for t in lower], ends[-1:]))) if lower else np.zeros(1, np.int64)
     if not len(start):
-        return Words(np.zeros(0, _U), doc, start, end, first)
+        return Words(np.zeros(0, _U), doc, start, end, first, np.zeros(0, bool))
     length = end - start
     chars = np.flatnonzero(is_word)
     base = np.concatenate(([0], np.cumsum(length)[:-1]))
@@ -79,7 +80,7 @@ def words_of(texts: list[str | None]) -> Words:
     terms = (points[chars].astype(_U) + _U(0x9E3779B9)) * _U(0x2545F4914F6CDD1D) * power[within]
     hashed = mix(np.add.reduceat(terms, base) + length.astype(_U))
     begin = (ends - [len(t) + 1 for t in lower])[doc]
-    return Words(hashed, doc, start - begin, end - begin, first)
+    return Words(hashed, doc, start - begin, end - begin, first, points[end] == 10)
 
 
 def blocks(texts: list, most: int = 1_000_000):
