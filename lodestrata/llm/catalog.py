@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import encoding, language, leak, mail, neardup, pii, truncation
+from lodestrata.llm import abuse, encoding, language, leak, mail, neardup, pii, truncation
 from lodestrata.llm.common import contents, cut, table
 
 
@@ -85,5 +85,23 @@ def p6_new_text(spark: SparkSession, d: str) -> DataFrame:
     return mail.new_lines(mail.mails(contents(spark, d, "filename")), "sha256", "content").select("sha256", "new_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found}
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    net = abuse.trained(docs, "doc_id", "text", "lang", table(spark, d, "review_labels"), "label")
+    return abuse.scores(docs, "doc_id", "text", "lang", net)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where("flagged").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents"), "doc_id", "source", _scores(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
