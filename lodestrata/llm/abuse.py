@@ -45,6 +45,8 @@ ODD = 1.2
 WINDOW, STEP = 60, 50
 #: Passages of fewer words are scored with their neighbour.
 SHORT = 4
+#: Passages scored at once; their filter maps should fit a cache.
+BATCH = 300
 
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:[>|][ \t]*)+")
 _BREAK = re.compile(r"(?<=[.!?…])[\"”»’')\]]*\s+|\n[ \t]*\n|\n(?=\s*(?:[-*•]|\[\d\d:|\d+[.,;]))|;\s")
@@ -291,7 +293,7 @@ def _thresholds(score: np.ndarray, label: np.ndarray, lang: list[str | None]) ->
     def best(at: np.ndarray, toward: float | None) -> float:
         s, y = score[at], label[at] == 1
         f1 = np.array([2 * (y & (s >= g)).sum() / max(1, y.sum() + (s >= g).sum()) for g in grid])
-        good = grid[f1 >= f1.max() - 1e-9]
+        good = grid[f1 >= f1.max() - 0.01]  # labels are noisy: near the best, the middle is safer
         own = float(good[np.abs(good - (0.5 if toward is None else toward)).argmin()])
         n = int(y.sum())
         return own if toward is None else (n * own + 30 * toward) / (n + 30)
@@ -332,8 +334,8 @@ def scores(docs: DataFrame, doc_id: str, text: str, lang: str, net: Net) -> Data
                     chunks.append(slots(p))
                     owner.append(d)
             best = np.zeros(len(b[text]))
-            for at in range(0, len(chunks), 4000):
-                np.maximum.at(best, owner[at : at + 4000], model.score(chunks[at : at + 4000]))
+            for at in range(0, len(chunks), BATCH):
+                np.maximum.at(best, owner[at : at + BATCH], model.score(chunks[at : at + BATCH]))
             cuts = [model.thresholds.get(label_language(g), model.thresholds.get(None, 1.0)) for g in b[lang]]
             return {doc_id: b[doc_id], "score": best, "flagged": (best >= np.array(cuts)) & (best > 0)}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import abuse, encoding, language, leak, mail, neardup, pii, truncation
+from lodestrata.llm import abuse, encoding, language, leak, mail, neardup, packing, pii, truncation
 from lodestrata.llm.common import contents, cut, table
 
 
@@ -33,6 +33,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(contents(spark, d), "sha256", "content", k=3, t=0.6, min_words=20).select(F.col("a").alias("sha256_a"), F.col("b").alias("sha256_b"))
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -103,5 +111,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(table(spark, d, "documents"), "doc_id", "source", _scores(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
