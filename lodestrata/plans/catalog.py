@@ -1,10 +1,404 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, each beside its SQL.
+
+A query reads its whole tables.  Times come out as epoch seconds and ratios rounded, so that
+both sides print alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import markup, paths
+from lodestrata.operators import dedupe, outcome, summary
+from lodestrata.plans import search
+from lodestrata.sources.lines import json_field, json_text, table
+from lodestrata.streaming import tail
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+TERM, TERMS, PHRASE, LEAD = "contract", "contract delivery", "of the", "deliver"
+VALID = "regexp_full_match(sha256, '[a-f0-9]{64}')"
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+INDEXED = "attachment.content <> ''"
+#: Day that expiry is measured from.
+TODAY = "2024-03-20 00:00:00"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Hashes, keys and known rows
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
+def content_hash(s, d):
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+@query(f"SELECT sha256, path, coalesce({VALID}, false) AS valid, length(sha256) AS n FROM hash_links")
+def hash_validate(s, d):
+    return table(s, d, "hash_links").select("sha256", "path", paths.valid_hash(F.col("sha256")).alias("valid"), F.length("sha256").alias("n"))
+
+
+@query(f"SELECT sha256, min(path) AS path FROM hash_links WHERE {VALID} AND path IS NOT NULL GROUP BY 1")
+def dedup_first(s, d):
+    links = table(s, d, "hash_links").where(paths.valid_hash(F.col("sha256")) & F.col("path").isNotNull())
+    return dedupe.first_wins(links, "sha256", "path")
+
+
+@query("SELECT sha256(text) AS key, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def dup_groups(s, d):
+    return dedupe.groups(table(s, d, "documents").where("text IS NOT NULL"), F.sha2("text", 256), "doc_id")
+
+
+@query("SELECT DISTINCT sha256 FROM leakdata_index l WHERE sha256 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM files f WHERE f.sha256 = l.sha256)")
+def anti_seen(s, d):
+    return dedupe.unseen(table(s, d, "leakdata_index").where("sha256 IS NOT NULL").select("sha256"), table(s, d, "files"), "sha256").distinct()
+
+
+@query(f"SELECT id, original_filename, sha256 FROM files WHERE sha256 IN (SELECT sha256 FROM leakdata_index WHERE list_contains(regexp_extract_all(lower(attachment.content), '[\\p{{L}}\\p{{N}}]+'), '{TERM}'))")
+def semi_hits(s, d):
+    index = table(s, d, "leakdata_index").select("sha256", F.col("attachment.content").alias("content"))
+    return dedupe.seen(table(s, d, "files"), search.match(index, "sha256", "content", TERM), "sha256")
+
+
+@query("SELECT l.sha256, min(coalesce(f.original_filename, l.filename)) AS name FROM leakdata_index l LEFT JOIN files f ON f.sha256 = l.sha256 WHERE l.sha256 IS NOT NULL GROUP BY 1")
+def provenance_lookup(s, d):
+    index = table(s, d, "leakdata_index").where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("filename").alias("filename"))
+    return index.join(table(s, d, "files").select("sha256", "original_filename"), "sha256", "left").select("sha256", F.coalesce("original_filename", "filename").alias("name"))
+
+
+@query("SELECT DISTINCT sha256, path FROM hash_links WHERE sha256 = (SELECT min(sha256) FROM files)")
+def lookup_by_hash(s, d):
+    key = table(s, d, "files").agg(F.min("sha256").alias("sha256"))
+    return table(s, d, "hash_links").join(F.broadcast(key), "sha256", "left_semi").select("sha256", "path").distinct()  # one row
+
+
+@query(
+    "SELECT sha256, seq_no, filename, message FROM leakdata_index l WHERE sha256 IS NOT NULL "
+    "AND seq_no = (SELECT max(seq_no) FROM leakdata_index m WHERE m.sha256 = l.sha256)"
+)
+def upsert_last(s, d):
+    puts = table(s, d, "leakdata_index").where("sha256 IS NOT NULL").select("sha256", "seq_no", "filename", "message")
+    return dedupe.last_wins(puts, "sha256", "seq_no")
+
+
+@query("SELECT sha256, count(*) AS n, count(DISTINCT path) AS n_paths FROM hash_links GROUP BY 1 HAVING count(*) > 1")
+def repeated_links(s, d):
+    links = table(s, d, "hash_links")
+    pairs = links.groupBy("sha256", "path").agg(F.count("*").alias("c"))  # pre-aggregated, for the hot hash
+    return pairs.groupBy("sha256").agg(F.sum("c").alias("n"), F.count("path").alias("n_paths")).where("n > 1")
+
+
+# Building documents
+
+
+@query(f"SELECT seq_no, sha256, CASE WHEN attachment.content_length > 1500 THEN 'too large' ELSE 'ok' END AS outcome FROM leakdata_index WHERE attachment.content_length IS NOT NULL AND {INDEXED}")
+def size_gate(s, d):
+    index = table(s, d, "leakdata_index").where(INDEXED).select("seq_no", "sha256", F.col("attachment.content_length").alias("length"))
+    return outcome.size_gate(index, "length", 1500).select("seq_no", "sha256", "outcome")
+
+
+@query("SELECT doc_id, substring(text, 1, 2000) AS text FROM documents")
+def text_truncate(s, d):
+    return table(s, d, "documents").select("doc_id", F.substring("text", 1, 2000).alias("text"))
+
+
+@query(
+    "SELECT seq_no, filename, sha256, mtime, message, length(attachment.content) AS n_chars, octet_length(encode(attachment.content)) AS n_bytes FROM leakdata_index"
+)
+def document_build(s, d):
+    text = F.col("attachment.content")
+    return table(s, d, "leakdata_index").select("seq_no", "filename", "sha256", "mtime", "message", F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"))
+
+
+@query(
+    """SELECT outcome, count(*) AS n FROM (SELECT CASE
+    WHEN m IN ('to large', 'too large') THEN 'too_large' WHEN regexp_matches(m, '^empty') THEN 'empty' WHEN regexp_matches(m, '^http 4|rejected|unsupported') THEN 'rejected'
+    WHEN regexp_matches(m, 'timed out|reset by peer') THEN 'transport' WHEN m = 'ok' THEN CASE WHEN coalesce(length(c), 0) > 0 THEN 'indexed' ELSE 'no_text' END
+    WHEN m = '' THEN 'unknown' ELSE 'error' END AS outcome
+    FROM (SELECT lower(coalesce(message, '')) AS m, attachment.content AS c FROM leakdata_index)) GROUP BY 1"""
+)
+def ingest_outcome(s, d):
+    out = outcome.outcome(F.col("message"), F.col("attachment.content"))
+    return table(s, d, "leakdata_index").groupBy(out.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT seq_no, mtime, CAST(epoch(to_timestamp(mtime)) AS BIGINT) AS seconds, coalesce(CAST(epoch(timestamp) AS BIGINT) = mtime, false) AS same FROM leakdata_index WHERE mtime BETWEEN 0 AND 4102444800")
+def epoch_timestamp(s, d):
+    index = table(s, d, "leakdata_index").where("mtime BETWEEN 0 AND 4102444800")
+    return index.select("seq_no", "mtime", F.unix_timestamp(F.timestamp_seconds("mtime")).alias("seconds"), F.coalesce(F.unix_timestamp("timestamp") == F.col("mtime"), F.lit(False)).alias("same"))
+
+
+@query("SELECT sha256, to_json({'sha256': sha256, 'message': message, 'mtime': mtime}) AS body FROM leakdata_index WHERE message = 'to large' OR message LIKE 'empty%'")
+def json_build(s, d):
+    rows = table(s, d, "leakdata_index").where("message = 'to large' OR message LIKE 'empty%'")
+    return rows.select("sha256", json_text(sha256=F.col("sha256"), message=F.col("message"), mtime=F.col("mtime")).cast("string").alias("body"))
+
+
+# Histograms, names and places
+
+
+@query(
+    r"""SELECT regexp_replace(name, '^.*\.', '') AS value, count(*) AS n FROM (SELECT regexp_extract(filename, '([^/]*)$', 1) AS name FROM leakdata_index)
+    WHERE regexp_matches(name, '^[^.]+\.') GROUP BY 1 ORDER BY 2 DESC, 1 DESC"""
+)
+def ext_histogram(s, d):
+    return summary.extensions(table(s, d, "leakdata_index"), "filename")
+
+
+@query("SELECT coalesce(lower(trim(split_part(attachment.content_type, ';', 1))), 'application/octet-stream') AS value, count(*) AS n FROM leakdata_index GROUP BY 1 ORDER BY 2 DESC, 1 DESC")
+def mime_histogram(s, d):
+    return summary.types(table(s, d, "leakdata_index").select(F.col("attachment.content_type").alias("content_type")), "content_type")
+
+
+@query(
+    rf"""SELECT kind AS value, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '^\s*(<!doctype html|<html|<head|<body)') THEN 'text/html' WHEN regexp_matches(t, '^\s*<\?xml') THEN 'text/xml'
+    WHEN regexp_matches(t, '^(from|return-path|received|message-id|von|de|od) ?:') THEN 'message/rfc822' WHEN regexp_matches(t, '^\s*[\[{{]\s*["\[{{]') THEN 'application/json'
+    WHEN contains(t, chr(0)) THEN 'application/octet-stream' ELSE 'text/plain' END AS kind
+    FROM (SELECT lower(substring(attachment.content, 1, 256)) AS t FROM leakdata_index WHERE {INDEXED})) GROUP BY 1 ORDER BY 2 DESC, 1 DESC"""
+)
+def mime_sniff(s, d):
+    texts = table(s, d, "leakdata_index").where(INDEXED).select(F.lower(F.substring("attachment.content", 1, 256)).alias("t"))
+    return summary.histogram(texts, markup.sniff_text(F.col("t")).otherwise("text/plain"))
+
+
+_KIND = "coalesce(lower(trim(split_part(attachment.content_type, ';', 1))), 'application/octet-stream')"
+
+
+@query(
+    f"SELECT seq_no, sha256, CASE WHEN {_KIND} IN ({', '.join(map(repr, markup.SHOWN_AS_IS))}) THEN 'as_is' WHEN {_KIND} = 'text/html' THEN 'html_to_pdf' "
+    f"WHEN {_KIND} IN ({', '.join(map(repr, markup.CONVERTED_FROM_OFFICE))}) THEN 'office_to_pdf' ELSE 'unsupported' END AS route FROM leakdata_index"
+)
+def mime_route(s, d):
+    return table(s, d, "leakdata_index").select("seq_no", "sha256", markup.route(markup.base_type(F.col("attachment.content_type"))).alias("route"))
+
+
+@query("SELECT DISTINCT path FROM hash_links WHERE path IS NOT NULL AND path NOT IN ('done', 'path.txt')")
+def path_inventory(s, d):
+    return summary.inventory(table(s, d, "hash_links"), "path", "done", "path.txt")
+
+
+_SUFFIX = r"regexp_extract(regexp_extract(original_filename, '([^/]*)$', 1), '[^/](\.[^./]+)$', 1)"
+
+
+@query(
+    f"SELECT id, concat_ws('/', sha256[1:1], sha256[2:2], sha256 || {_SUFFIX}) AS address, sha256 || lower({_SUFFIX}) AS served FROM files"
+)
+def content_address(s, d):
+    sha, name = F.col("sha256"), F.col("original_filename")
+    return table(s, d, "files").select("id", paths.content_address(sha, name).alias("address"), paths.served_name(sha, name).alias("served"))
+
+
+@query(r"SELECT min(p) AS path FROM (SELECT regexp_replace(path, '^\./', '') AS p FROM hash_links WHERE path IS NOT NULL) WHERE NOT regexp_matches(p, '^(\.gitignore|unpack|done|running|added_urls)$')")
+def first_volume(s, d):
+    return summary.first_volume(table(s, d, "hash_links"), "path")
+
+
+@query(r"SELECT id, original_filename FROM files WHERE regexp_matches(lower(original_filename), '\.(zip|gz|7z|gzip|pst|msg)$')")
+def filter_archives(s, d):
+    return summary.archives(table(s, d, "files"), "original_filename", "zip", "gz", "7z", "gzip", "pst", "msg").select("id", "original_filename")
+
+
+@query("""SELECT value, split_part(value, '"', 4) AS field FROM log_lines WHERE contains(value, '"status"') AND regexp_matches(value, '"level": "(warn|error)"')""")
+def extract_fields(s, d):
+    rows = table(s, d, "log_lines").where(F.col("value").contains('"status"') & F.col("value").rlike('"level": "(warn|error)"'))
+    return rows.select("value", paths.delimited_field(F.col("value"), '"', 4).alias("field"))
+
+
+@query("SELECT id, translate(regexp_replace(replace(original_filename, chr(92), '/'), '.*(Export|srv)/', ''), '/', '') AS list_name FROM files")
+def url_list_name(s, d):
+    slashed = F.replace(F.col("original_filename"), F.lit("\\"), F.lit("/"))
+    return table(s, d, "files").select("id", paths.list_name(slashed, ".*(Export|srv)/").alias("list_name"))
+
+
+@query("SELECT path FROM hash_links WHERE path IS NOT NULL UNION SELECT filename FROM leakdata_index WHERE filename IS NOT NULL ORDER BY 1")
+def urls_distinct(s, d):
+    a = table(s, d, "hash_links").where("path IS NOT NULL").select("path")
+    b = table(s, d, "leakdata_index").where("filename IS NOT NULL").select(F.col("filename").alias("path"))
+    return a.union(b).distinct().orderBy("path")
+
+
+@query("""SELECT replace(filename, 'extracted/files/', '') AS filename, sha256, '<a href="/file/' || sha256 || '">' || sha256 || '</a>' AS link FROM leakdata_index WHERE sha256 IS NOT NULL""")
+def result_projection(s, d):
+    return search.results(table(s, d, "leakdata_index").where("sha256 IS NOT NULL"))
+
+
+@query("SELECT name, CASE WHEN length(name) < 25 THEN rpad(name, 25, ' ') ELSE name END AS padded FROM index_catalog")
+def name_padded(s, d):
+    return table(s, d, "index_catalog").select("name", paths.padded(F.col("name"), 25).alias("padded"))
+
+
+# Logs, time and stages
+
+_JSON = "CASE WHEN json_valid(value) THEN json_extract_string(value, '$.{}') END"
+
+
+@query(f"SELECT value, {_JSON.format('level')} AS level, {_JSON.format('component')} AS component, {_JSON.format('status')} AS status FROM log_lines")
+def event_json_field(s, d):
+    v = F.col("value")
+    return table(s, d, "log_lines").select("value", *(json_field(v, f"$.{c}").alias(c) for c in ("level", "component", "status")))
+
+
+@query(
+    f"""SELECT component, level, count(*) AS n, count(TRY_CAST({_JSON.format('ms')} AS BIGINT)) AS n_ms, sum(TRY_CAST({_JSON.format('ms')} AS BIGINT)) AS ms
+    FROM (SELECT *, {_JSON.format('component')} AS component, {_JSON.format('level')} AS level FROM log_lines) WHERE json_valid(value) GROUP BY 1, 2"""
+)
+def log_summary(s, d):
+    v = F.col("value")
+    ms = json_field(v, "$.ms").try_cast("bigint")
+    rows = table(s, d, "log_lines").where(F.try_parse_json("value").isNotNull())
+    return rows.groupBy(json_field(v, "$.component").alias("component"), json_field(v, "$.level").alias("level")).agg(F.count("*").alias("n"), F.count(ms).alias("n_ms"), F.sum(ms).alias("ms"))
+
+
+@query("SELECT value, count(*) AS n FROM log_lines GROUP BY 1 HAVING count(*) > 1")
+def log_repeats(s, d):
+    return table(s, d, "log_lines").groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+
+
+_AT = f"coalesce(TRY_CAST({_JSON.format('ts')} AS TIMESTAMP), make_timestamp(CAST(CASE WHEN TRY_CAST({_JSON.format('ts')} AS DOUBLE) > 1e11 THEN TRY_CAST({_JSON.format('ts')} AS DOUBLE) ELSE TRY_CAST({_JSON.format('ts')} AS DOUBLE) * 1000 END AS BIGINT) * 1000))"
+
+
+@query(
+    f"""SELECT CAST(epoch(date_trunc('day', moment)) AS BIGINT) AS day, count(*) AS n, count_if(level <> 'error') AS n_ok FROM (SELECT {_AT} AS moment, {_JSON.format('level')} AS level FROM log_lines WHERE json_valid(value))
+    WHERE moment IS NOT NULL GROUP BY 1"""
+)
+def uptime_daily(s, d):
+    v = F.col("value")
+    rows = table(s, d, "log_lines").where(F.try_parse_json("value").isNotNull()).select(tail.event_time(json_field(v, "$.ts")).alias("at"), json_field(v, "$.level").alias("level"))
+    return rows.where("at IS NOT NULL").groupBy(F.unix_timestamp(F.date_trunc("day", "at")).alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("level") != "error").alias("n_ok"))
+
+
+@query(
+    f"""SELECT stage, count(*) AS n FROM (SELECT CASE WHEN 'ingest' = c AND st = '201' THEN 'finished' WHEN c = 'ingest' THEN 'ingesting' WHEN c = 'unpack' THEN 'extracting' WHEN c IS NOT NULL THEN 'downloaded' ELSE 'waiting' END AS stage
+    FROM (SELECT {_JSON.format('component')} AS c, {_JSON.format('status')} AS st FROM log_lines)) GROUP BY 1"""
+)
+def stage_status(s, d):
+    v = F.col("value")
+    rows = table(s, d, "log_lines").select(json_field(v, "$.component").alias("c"), json_field(v, "$.status").alias("st"))
+    flags = {"ingest_done": (F.col("c") == "ingest") & (F.col("st") == "201"), "extracted_done": F.col("c") == "ingest", "unpack": F.col("c") == "unpack", "downloaded": F.col("c").isNotNull()}
+    return rows.groupBy(outcome.stage(flags).alias("stage")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT seq_no, sha256 FROM leakdata_index WHERE put_at >= TIMESTAMPTZ '2024-03-02 00:00:00+00' AND put_at < TIMESTAMPTZ '2024-03-05 00:00:00+00'")
+def time_range(s, d):
+    return table(s, d, "leakdata_index").where("put_at >= timestamp '2024-03-02 00:00:00' AND put_at < timestamp '2024-03-05 00:00:00'").select("seq_no", "sha256")
+
+
+@query("SELECT CAST(floor(epoch(put_at) / 86400) * 86400 AS BIGINT) AS day, count(*) AS n FROM leakdata_index WHERE put_at IS NOT NULL GROUP BY 1")
+def date_histogram(s, d):
+    return table(s, d, "leakdata_index").where("put_at IS NOT NULL").groupBy(F.unix_timestamp(F.date_trunc("day", "put_at")).alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS hour, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def event_tumbling(s, d):
+    out = tail.tumbling(table(s, d, "events").where("ts IS NOT NULL").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "1 hour", "event_type")
+    return out.select(F.unix_timestamp("start").alias("hour"), "event_type", "n")
+
+
+@query(f"SELECT name FROM index_catalog WHERE name LIKE 'logstash-%' AND creation_date < TIMESTAMPTZ '{TODAY}+00' - INTERVAL 2 DAY")
+def retention_expired(s, d):
+    return outcome.expired(table(s, d, "index_catalog"), "name", "creation_date", "logstash-", TODAY, 2).select("name")
+
+
+@query(r"SELECT regexp_replace(name, '-[0-9.]+$', '') AS kind, count(*) AS n, count(creation_date) AS n_dated FROM index_catalog WHERE name LIKE 'filebeat-%' OR name LIKE 'logstash-%' GROUP BY 1")
+def index_pattern(s, d):
+    rows = table(s, d, "index_catalog").where(F.col("name").like("filebeat-%") | F.col("name").like("logstash-%"))
+    return rows.groupBy(F.regexp_replace("name", r"-[0-9.]+$", "").alias("kind")).agg(F.count("*").alias("n"), F.count("creation_date").alias("n_dated"))
+
+
+# Search
+
+
+@query(f"SELECT doc_id, len({WORDS}) AS n FROM documents WHERE text IS NOT NULL")
+def tokenize_count(s, d):
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(search.tokens(F.col("text"))).alias("n"))
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def postings_stats(s, d):
+    return search.term_stats(search.postings(table(s, d, "documents"), "doc_id", "text"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_any({WORDS}, ['contract', 'delivery'])")
+def search_match_any(s, d):
+    return search.match(table(s, d, "documents"), "doc_id", "text", TERMS)
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_all({WORDS}, ['contract', 'delivery'])")
+def search_match_all(s, d):
+    return search.match(table(s, d, "documents"), "doc_id", "text", TERMS, every=True)
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(lower(text), '{PHRASE}')")
+def search_phrase(s, d):
+    return search.phrase(table(s, d, "documents"), "doc_id", "text", PHRASE)
+
+
+@query(rf"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}]){LEAD}')")
+def search_prefix(s, d):
+    return search.prefix(table(s, d, "documents"), "doc_id", "text", LEAD)
+
+
+@query(
+    f"""WITH one AS (SELECT min(doc_id) AS doc, text FROM documents WHERE text IS NOT NULL GROUP BY text), sized AS (SELECT doc, {WORDS} AS ts FROM one),
+    total AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM sized),
+    tf AS (SELECT doc, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc, ts, unnest(ts) AS term FROM sized) WHERE term IN ('contract', 'delivery') GROUP BY 1, 2, 3),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+    SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 4) AS score
+    FROM tf JOIN df USING (term) CROSS JOIN total GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100"""
+)
+def search_bm25_topk(s, d):
+    docs = table(s, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc"), F.first("text").alias("text"))
+    return search.top(search.bm25(docs, "doc", "text", TERMS), 100)
+
+
+@query(f"SELECT count(*) AS n FROM documents WHERE list_has_any({WORDS}, ['contract', 'delivery'])")
+def hits_total(s, d):
+    return search.match(table(s, d, "documents"), "doc_id", "text", TERMS).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, substring(text, greatest(1, pos - 40), pos - greatest(1, pos - 40) + {len(PHRASE)} + 40) AS snippet FROM (SELECT doc_id, text, instr(lower(text), '{PHRASE}') AS pos FROM documents) WHERE pos > 0")
+def highlight_snippet(s, d):
+    return table(s, d, "documents").select("doc_id", search.snippet(F.col("text"), PHRASE).alias("snippet")).where("snippet IS NOT NULL")
+
+
+@query(
+    f"""SELECT seq_no, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(attachment.content, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM leakdata_index WHERE attachment.content_type LIKE 'text/html%' AND {INDEXED}"""
+)
+def html_text(s, d):
+    pages = table(s, d, "leakdata_index").where(f"attachment.content_type LIKE 'text/html%' AND {INDEXED}")
+    return pages.select("seq_no", markup.html_text(F.col("attachment.content")).alias("text"))
+
+
+@query(f"SELECT seq_no, coalesce(attachment.title, trim(regexp_extract(attachment.content, '(?is)<title[^>]*>(.*?)</title>', 1))) AS title FROM leakdata_index WHERE attachment.content_type LIKE 'text/html%' AND {INDEXED}")
+def html_title(s, d):
+    pages = table(s, d, "leakdata_index").where(f"attachment.content_type LIKE 'text/html%' AND {INDEXED}")
+    return pages.select("seq_no", F.coalesce("attachment.title", markup.html_title(F.col("attachment.content"))).alias("title"))
+
+
+@query("SELECT lang, mime, count(*) AS n, max(length(text)) AS longest, round(avg(length(text)), 4) AS mean FROM documents GROUP BY 1, 2")
+def overview(s, d):
+    docs = table(s, d, "documents")
+    return docs.groupBy("lang", "mime").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.round(F.avg(F.length("text")), 4).alias("mean"))
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT sha256) AS n_contents, count_if(coalesce(attachment.content, '') = '') AS n_empty FROM (SELECT *, regexp_extract(filename, 'extracted/files/([^/]+)/', 1) AS source FROM leakdata_index) GROUP BY 1")
+def source_overview(s, d):
+    rows = table(s, d, "leakdata_index").select(F.regexp_extract("filename", "extracted/files/([^/]+)/", 1).alias("source"), "sha256", (F.coalesce("attachment.content", F.lit("")) == "").alias("empty"))
+    # Two steps, so that a hot source is counted by many tasks.
+    one = rows.groupBy("source", "sha256").agg(F.count("*").alias("n"), F.count_if("empty").alias("e"))
+    return one.groupBy("source").agg(F.sum("n").alias("n"), F.count("sha256").alias("n_contents"), F.sum("e").alias("n_empty"))
