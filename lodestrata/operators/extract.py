@@ -38,7 +38,7 @@ def from_text(data: bytes) -> tuple[str, str | None]:
 def from_html(data: bytes) -> tuple[str, str | None]:
     page = decode(data)
     title = re.search(r"(?is)<title[^>]*>(.*?)</title>", page)
-    body = re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", " ", page)
+    body = re.sub(r"(?is)<(script|style|title)[^>]*>.*?</\1>", " ", page)
     return re.sub(r"\s+", " ", html.unescape(re.sub(r"(?s)<[^>]*>", " ", body))).strip(), html.unescape(title.group(1)).strip() if title else None
 
 
