@@ -341,12 +341,13 @@ def scores(docs: DataFrame, doc_id: str, text: str, lang: str, net: Net) -> Data
 
         return f
 
-    return arrow_map(docs.select(doc_id, text, lang), make, f"{doc_id} {dict(docs.dtypes)[doc_id]}, score double, flagged boolean")
+    each = arrow_map(docs.select(doc_id, text, lang), make, f"{doc_id} {dict(docs.dtypes)[doc_id]}, score double, flagged boolean")
+    return each.groupBy(doc_id).agg(F.max("score").alias("score"), F.max("flagged").alias("flagged"))
 
 
 def rates(docs: DataFrame, doc_id: str, source: str, scored: DataFrame) -> DataFrame:
     """(source, n, n_flagged, rate); counts are pre-aggregated, so a hot source is no burden."""
     return (
-        docs.select(doc_id, source).join(scored, doc_id).groupBy(source)
+        docs.select(doc_id, source).distinct().join(scored, doc_id).groupBy(source)
         .agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"))
     )

@@ -112,4 +112,17 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+#: SQL where it can express the operator; the others are tested against brute force, round trips and held-out cases.
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH one AS (SELECT sha256, min(attachment.content) AS t FROM leakdata_index WHERE attachment.content <> '' AND sha256 IS NOT NULL GROUP BY 1),
+    w AS (SELECT sha256, {_WORDS.format('t')} AS ws FROM one), long AS (SELECT * FROM w WHERE len(ws) >= 20),
+    s AS (SELECT DISTINCT sha256, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM long),
+    n AS (SELECT sha256, count(*) AS n FROM s GROUP BY 1),
+    both_ AS (SELECT a.sha256 AS sha256_a, b.sha256 AS sha256_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.sha256 < b.sha256 GROUP BY 1, 2)
+    SELECT sha256_a, sha256_b FROM both_ JOIN n x ON x.sha256 = sha256_a JOIN n y ON y.sha256 = sha256_b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents), e AS (SELECT item_id, {_WORDS.format('text')} AS ws FROM eval_items),
+    dw AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g FROM d WHERE len(ws) >= 13),
+    ew AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g FROM e WHERE len(ws) >= 13)
+    SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)""",
+}

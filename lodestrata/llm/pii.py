@@ -309,7 +309,7 @@ class Finder:
         for pattern in (_LABELLED, _CHAT, _SEPARATED, _CLOSING_NAME):
             for m in pattern.finditer(text):
                 words = m.group(1).split()
-                if words[-1].lower() in NOT_NAMES and not words[0].endswith(",") or len(words) == 1 and pattern in (_LABELLED, _CHAT) and not self._is_given(words[0]):
+                if words[-1].lower() in NOT_NAMES - self.given or len(words) == 1 and pattern in (_LABELLED, _CHAT) and not self._is_given(words[0]):
                     continue
                 out.append((m.start(1), m.end(1), "name"))
                 if len(words) > 1 and not words[0].endswith(","):
