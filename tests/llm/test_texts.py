@@ -237,7 +237,7 @@ def test_aligned_copies():
 def test_truncated_table(spark):
     body = "The carrier counted the damaged crates near the loading dock before noon. "
     rows = [(f"w{i}", body * 3 + f"Best regards,\nAnna Low {i}\nClerk of the harbour\nmany old words") for i in range(30)]
-    rows += [("cut", body * 3 + "After the audit, the project boa"), ("mark", body + "and so on […]"), ("sig", body * 2 + "\n\nBest regards,\nAnna Low"), ("list", body + "\n- one of the crates\n- the crates"), ("n", None), ("e", ""), (None, "x y z"), ("cut", body * 3 + "After the audit, the project boa")]
+    rows += [("cut", body * 3 + "After the audit, the project boa"), ("mark", body + "and so on […]"), ("sig", "Quite another letter, which nobody else has sent so far, tells of summer days.\n\nBest regards,\nAnna Low"), ("list", body + "\n- one of the crates\n- the crates"), ("n", None), ("e", ""), (None, "x y z"), ("cut", body * 3 + "After the audit, the project boa")]
     df = spark.createDataFrame(rows, "key string, text string").selectExpr("*", "1 AS verdict", "2 AS bands", "3 AS id")
     got = sorted(r.key for r in truncation.truncated(df, "key", "text").collect() if not r.key.startswith("w"))
     assert got == ["cut", "mark"]
