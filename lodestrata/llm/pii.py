@@ -44,7 +44,7 @@ ID_CUES = """
 national id|id number|identity number|identity card|social security number|ssn|tax number|tax id|passport|passport number|national insurance number|the form shows the number|form shows number
 ausweisnummer|personalausweis|steuernummer|steuer-id|steueridentifikationsnummer|sozialversicherungsnummer|reisepass|passnummer|formular steht die nummer|rentenversicherungsnummer
 numéro national|numéro de sécurité sociale|numéro fiscal|numéro d’identité|numéro de passeport|formulaire indique le numéro|carte d’identité|passeport
-número nacional|número de identidad|número de identificación|número de la seguridad social|número fiscal|dni|nif|nie|pasaporte|formulario figura el número|documento de identidad|número de afiliación
+número nacional|número de identidad|número de identificación|número de la seguridad social|número fiscal|dni|nif|nie|pasaporte|formulario figura el número|documento de identidad|número de afiliación|documento|n.º de documento|número de documento
 numer ewidencyjny|pesel|numer pesel|numer dowodu|dowód osobisty|paszport|numer paszportu|nip|formularzu widnieje numer|numer identyfikacyjny|numer podatkowy|numer ubezpieczenia
 """.strip().replace("\n", "|").split("|")
 #: Words that greet.
@@ -75,14 +75,17 @@ _PAIR = re.compile(rf"(?<![\w@.\-’'/\\+])({_CAP})(?:{_S}([{_U}]\.))?{_S}((?:[{
 _INITIAL = re.compile(rf"(?<![\w@.\-])([{_U}]\.(?:-?[{_U}]\.)?){_S}({_CAP})")
 _TITLED = re.compile(rf"{_S}(?:(?:Dr|Prof|Doktor)\.?{_S})?({_CAP}(?:{_S}{_CAP})?)")
 _COMMA = re.compile(rf"(?<![\w@.\-])({_CAP}),[ \t\xa0]+({_CAP})")
-_LINE_LEAD = r"(?:^|(?<=\n))[ \t>|]*"
-_GREETING = re.compile(rf"{_LINE_LEAD}(?:(?i:{GREETINGS}),?{_S})?({_CAP})[ ]?[,:!]?[ ]?(?=\r?\n|$)")
-_LABELLED = re.compile(rf"{_LINE_LEAD}(?:From|To|Cc|Von|An|De|À|Para|Od|Do|Name|Nom|Nombre|Imię i nazwisko|Nombre y apellidos|Nom et prénom)[ ]?:[ \t]*({_CAP}(?:[ ,]+{_CAP}){{0,3}})(?=[ ]*(?:<|\[|\r?\n|$))")
-_CHAT = re.compile(rf"(?:^|(?<=\n))[ \t>|]*\[\d\d:\d\d\] ({_CAP}(?: {_CAP})*)(?=:)")
+_LINE = re.compile(r"(?:\n[ \t>|]*)+")
+_LEAD = re.compile(r"[ \t>|]*")
+_FORM = re.compile(r"[^\W\d_][\w ]{0,24}[ ]?:[ \t]*")
+_NOBODY = re.compile(r"^(all|team|everyone|colleagues|kolleg|tag|morgen|days|compañ|coll|state|sir|madam|ladies|together|zusammen|damen|tous|toutes|todos)", re.I)
+_GREETING = re.compile(rf"(?:(?i:{GREETINGS}),?{_S})?({_CAP})[ ]?[,:!]?[ ]?(?=\r?\n|$)")
+_LABELLED = re.compile(rf"(?:From|To|Cc|Von|An|De|À|Para|Od|Do|Name|Nom|Nombre|Imię i nazwisko|Nombre y apellidos|Nom et prénom)[ ]?:[ \t]*({_CAP}(?:[ ,]+{_CAP}){{0,3}})(?=[ ]*(?:<|\[|\r?\n|$))")
+_CHAT = re.compile(rf"\[\d\d:\d\d\] ({_CAP}(?: {_CAP})*)(?=:)")
 _CLOSING_NAME = re.compile(
-    rf"{_LINE_LEAD}(?i:{'|'.join(re.sub(r'\s+', r'\\s+', x) for x in CLOSINGS.strip().replace(chr(10), '|').split('|'))})[ ]?[,.!]?[ ]*\r?\n[ \t>|]*({_CAP}(?: {_CAP})?)[ ]*(?=\r?\n|$)"
+    rf"(?i:{'|'.join(re.sub(r'\s+', r'\\s+', x) for x in sorted(CLOSINGS.strip().replace(chr(10), '|').split('|'), key=len, reverse=True))})[ ]?[,.!]?[ ]*\r?\n[ \t>|]*({_CAP}(?: {_CAP})?)[ ]*(?=\r?\n|$)"
 )
-_SEPARATED = re.compile(rf"{_LINE_LEAD}(?:--|__|~~~|\* \* \*)[ ]?\r?\n[ \t>|]*({_CAP} {_CAP}(?: {_CAP})?)[ ]*(?=\r?\n|$)")
+_SEPARATED = re.compile(rf"(?:--|__|~~~|\* \* \*)[ ]?\r?\n[ \t>|]*({_CAP} {_CAP}(?: {_CAP})?)[ ]*(?=\r?\n|$)")
 
 _LOCAL = re.compile(r"[\w.+%-]+$")
 _DOMAIN = re.compile(r"(?:[\w-]+\.)+[^\W\d_]{2,}")
@@ -106,8 +109,10 @@ _ID = re.compile(
     rf"(?<![\w/.,-])(?:\d{{3}}[- ]\d\d[- ]\d{{4}}|[12](?:{_S}?\d\d){{3}}(?:{_S}?\d{{3}}){{2}}{_S}?\d\d|\d\d{_S}\d{{3}}{_S}\d{{3}}{_S}\d{{3}}|\d\d?\.?\d{{3}}\.?\d{{3}}{_S}?-?{_S}?[A-Z]|[XYZ]-?\d{{7}}-?[A-Z]"
     rf"|[A-Z]{{1,3}} ?\d{{6,9}}|[A-Z]{{2}} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d{{2}}/\d{{8}}/\d{{2}}|\d{{9}}|\d{{11}}|\d{{15}})(?!\w)(?![-./]\d)"
 )
+_CUE = re.compile(r"(?<![^\W\d_])(?:" + "|".join("".join(re.escape(c) if c.isascii() else r"\S{1,6}" for c in w) for w in ID_CUES) + r")(?![^\W\d_])", re.I)
+_BLANKS = re.compile(r"[\s>|]+")
 #: Numbers of this form need no cue.
-_ID_ALONE = re.compile(rf"(?<![\w/.,-])(?:\d{{3}}-\d\d-\d{{4}}|[12] \d\d \d\d \d\d \d{{3}} \d{{3}} \d\d)(?!\w)(?![-./]\d)")
+_ID_ALONE = re.compile(r"\d{3}-\d\d-\d{4}|[12] \d\d \d\d \d\d \d{3} \d{3} \d\d")
 
 _NO = r"\d{1,4}(?:[ ]?(?:bis|ter|quater|[a-zA-Z])\b)?"
 _FLAT = rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room){_S}\w+,{_S})?"
@@ -136,7 +141,7 @@ class Finder:
                 anchors[w] = anchors.get(w, "") + " " + kind
         for w in ("stra?e", "stra�e", "straã\x9f", "straãÿe", "all?e", "all�e"):
             anchors[w] = " de" if w.startswith("s") else " fr"
-        anchors |= {w: "id" for w in ID_CUES} | {w.replace("’", "'"): "id" for w in ID_CUES} | {"@": "at", "(at)": "spelt", "[at]": "spelt", "{at}": "spelt", " at ": "spelt", "(a)": "spelt", "[a]": "spelt"}
+        anchors |= {"@": "at", "(at)": "spelt", "[at]": "spelt", "{at}": "spelt", " at ": "spelt", "(a)": "spelt", "[a]": "spelt"}
         for w, kind in anchors.items():
             self.at.add_word(w, (kind, len(w)))
         for w in self.given:
@@ -150,16 +155,12 @@ class Finder:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         got: list[tuple[int, int, str]] = []
-        cues: list[int] = []
         for end, (kind, n) in self.at.iter(low):
             start, end = end - n + 1, end + 1
             if kind == "at":
                 got += self._email(text, start, end)
             elif kind == "spelt":
                 got += self._spelt(text, start, end)
-            elif kind == "id":
-                if not (start and text[start - 1].isalnum()) and not text[end : end + 1].isalnum():
-                    cues.append(end)
             elif kind == "given":
                 if text[start].islower() and not (start and (text[start - 1].isalnum() or text[start - 1] in "@.-_+")):
                     got += self._small(text, start, end)
@@ -169,7 +170,7 @@ class Finder:
             else:
                 got += self._street(text, start, end, kind)
         got += [(m.start(), m.end(), "address") for m in _DE_AT.finditer(text)]
-        got += self._ids(text, cues)
+        got += self._ids(text)
         taken = [x for x in got if x[2] == "id_number"]
         got += self._phones(text, taken)
         got += self._names(text)
@@ -267,11 +268,18 @@ class Finder:
                         out.append((a, m.end(), "address"))
         return out
 
-    def _ids(self, text: str, cues: list[int]) -> list:
-        out = [(m.start(), m.end(), "id_number") for m in _ID_ALONE.finditer(text)]
-        for at in cues:
-            m = _ID.search(text, at, at + 70)
-            if m and sum(c.isdigit() for c in m.group()) >= 6 and not _DATE.match(m.group()) and not re.search(r"[.;!?]\s|\n\s*\n", text[at : m.start()]) and (m.start() - at < 45):
+    def _ids(self, text: str) -> list:
+        out = []
+        for m in _ID.finditer(text):
+            if _ID_ALONE.fullmatch(m.group()):
+                out.append((m.start(), m.end(), "id_number"))
+                continue
+            lead = text[max(0, m.start() - 90) : m.start()]
+            lead = re.split(r"[.;!?][\s>|]+(?=[A-ZÀ-Ž])|\n\s*\n", lead)[-1] if not lead.endswith(":") else lead
+            cue = None
+            for cue in _CUE.finditer(_BLANKS.sub(" ", lead)):
+                pass
+            if cue and len(_BLANKS.sub(" ", lead)) - cue.end() < 30 and not any(c.isdigit() for c in _BLANKS.sub(" ", lead)[cue.end() :]) and not _DATE.match(m.group()):
                 out.append((m.start(), m.end(), "id_number"))
         return out
 
@@ -306,8 +314,22 @@ class Finder:
     def _names(self, text: str) -> list:
         out = []
         own: set[str] = set()
-        for pattern in (_LABELLED, _CHAT, _SEPARATED, _CLOSING_NAME):
-            for m in pattern.finditer(text):
+        starts = [_LEAD.match(text).end(), *(m.end() for m in _LINE.finditer(text))]
+        for p in starts:
+            c = text[p : p + 1]
+            if c == "[":
+                tries: tuple = (_CHAT,)
+            elif c and c in "-_~*":
+                tries = (_SEPARATED,)
+            elif c.isupper() or c and c in "?�├√┼":
+                tries = (_LABELLED, _CLOSING_NAME)
+                self._line_names(text, p, out)
+            else:
+                continue
+            for pattern in tries:
+                m = pattern.match(text, p)
+                if not m:
+                    continue
                 words = m.group(1).split()
                 if words[-1].lower() in NOT_NAMES - self.given or len(words) == 1 and pattern in (_LABELLED, _CHAT) and not self._is_given(words[0]):
                     continue
@@ -334,16 +356,22 @@ class Finder:
         for m in _INITIAL.finditer(text):
             if m.group(2).lower().strip(".") not in NOT_NAMES and len(m.group(2)) > 3 and not (m.group(1) == "M." and _french(text)):
                 out.append((m.start(), m.end(), "name"))
-        for m in _COMMA.finditer(text):
-            if self._is_given(m.group(2)) and not self._is_given(m.group(1)) and not _PAIR.match(text, m.start(2)) and re.search(r"(?:^|\n|:)[ \t>|]*$", text[max(0, m.start() - 20) : m.start()]):
+        return out
+
+    def _line_names(self, text: str, p: int, out: list) -> None:
+        """Names that a line begins with, or that follow its label: family name first, or greeted alone."""
+        label = _FORM.match(text, p)
+        for at in (p, label.end()) if label else (p,):
+            m = _COMMA.match(text, at)
+            if m and self._is_given(m.group(2)) and not self._is_given(m.group(1)) and not _PAIR.match(text, m.start(2)):
                 out.append((m.start(), m.end(), "name"))
-        for m in _GREETING.finditer(text):
+        m = _GREETING.match(text, p)
+        if m:
             w = m.group(1)
-            greeted = m.end(1) - m.start() > len(w) + 2 and re.match(rf"[ \t>|]*(?i:{GREETINGS})\b", text[m.start() : m.start(1)])
-            alone = text[m.start() : m.start(1)].strip(" \t>|") == "" and text[m.end(1) : m.end()].strip() in (",", ":", "!")
-            if self._is_given(w) and (greeted or alone) or greeted and not re.search(r"(?i)^(all|team|everyone|colleagues|kolleg|tag|morgen|days|compañ|coll|state|sir|madam|ladies|together|zusammen|damen|tous|toutes|todos)", w) and len(w) > 2:
+            greeted = m.start(1) > p
+            alone = not greeted and text[m.end(1) : m.end()].strip() in (",", ":", "!")
+            if self._is_given(w) and (greeted or alone) or greeted and len(w) > 2 and not _NOBODY.search(w):
                 out.append((m.start(1), m.end(1), "name"))
-        return out
 
 
 @lru_cache(1 << 15)
