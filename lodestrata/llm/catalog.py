@@ -47,7 +47,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
     texts = encoding.garbled(contents(spark, d), "sha256", "content").select(F.lit("content").alias("field"), "sha256", "restored")
-    names = encoding.garbled(table(spark, d, "files"), "sha256", "original_filename").select(F.lit("original_filename").alias("field"), "sha256", "restored")
+    names = encoding.garbled(table(spark, d, "files"), "sha256", "original_filename", names=True).select(F.lit("original_filename").alias("field"), "sha256", "restored")
     return texts.unionByName(names)
 
 

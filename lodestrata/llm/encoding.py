@@ -110,6 +110,7 @@ _ODD = re.compile(
     rf"|(?<=[{_L}])(?:[{_SYMBOL}])(?=[{_L}])"  # a symbol within a word
     rf"|(?<=[{_L}])[─-◿≤≥≈√⌐ⁿ]|[─-◿≤≥≈√⌐ⁿ](?=[{_L}])"
     r"|(?<=[a-zß-öø-ÿąćęłńśźż])[À-ÖØ-ÞŒŠŽŸ](?![A-ZÀ-ÖØ-Þ])"  # a capital after a small letter
+    r"|(?<![^\s/\\_])[ûúÛÆ](?= |$)|(?<![^\W_])[OdlDLcCjJsSnNmMtTqQ]Æ(?=[^\W\d_])|(?<=[a-z])·(?=[-_ .\s])"  # a dash, a pound sign, an apostrophe
     r"|(?<![\w.])[¸‰¿³¹](?=[a-z])(?<!¿)|(?<=[a-z])µ(?=[a-z])|(?<=[a-z]{2})[³¹¸¿](?=[\s,.;:!?)]|$)"
 )
 _NOT_ODD = re.compile(r"(?<=l)·(?=l)|(?<=\b[dlcjmnstDLCJMNST])´(?=[aeiouhyéèêâàôû])", re.I)
@@ -143,8 +144,11 @@ def _swap(text: str) -> str:
     return best
 
 
-def restore(text: str | None) -> tuple[bool, str | None]:
-    """Whether any part of the text was changed by a wrong encoding, and the text restored as far as possible."""
+def restore(text: str | None, name: bool = False) -> tuple[bool, str | None]:
+    """Whether any part of the text was changed by a wrong encoding, and the text restored as far as possible.
+
+    A ``name`` of a file has no question marks of its own, but an address may end with a query.
+    """
     if not text:
         return False, text
     hurt, whole = False, text
@@ -160,7 +164,9 @@ def restore(text: str | None) -> tuple[bool, str | None]:
         if any(not _NOT_ODD.match(marked, m.start()) for m in _ODD.finditer(marked)):
             hurt, text = True, _swap(text)
         hurt = hurt or bool(_GONE.search(marked))
-    if not hurt and "?" in whole:
+    if not hurt and name and "?" in whole:
+        hurt = "?" in re.sub(r"\?\w+=[^/\\]*$", "", whole)
+    elif not hurt and "?" in whole:
         hurt = any(not _in_url(whole, m.start()) for m in _LOST.finditer(whole))
     return hurt, text
 
@@ -176,15 +182,15 @@ def _in_url(text: str, at: int) -> bool:
     return bool(_URL.search(m.group()))
 
 
-def garbled(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, restored) of the values that a wrong encoding changed; one row per key."""
+def garbled(df: DataFrame, key: str, text: str, names: bool = False) -> DataFrame:
+    """(key, restored) of the values that a wrong encoding changed; one row per key. ``names``: they are names of files."""
 
     def make():
         def f(b):
             out: dict[str, list] = {key: [], "restored": []}
             for k, t in zip(b[key], b[text]):
                 if k is not None and t:
-                    hurt, new = restore(t)
+                    hurt, new = restore(t, names)
                     if hurt:
                         out[key].append(k)
                         out["restored"].append(new)
