@@ -42,6 +42,11 @@ def expired(df: DataFrame, name: str, created: str, prefix: str, at: str, days:
     return df.where(F.col(name).startswith(prefix) & (F.col(created) < F.expr(f"timestamp '{at}' - interval {days} days")))
 
 
+def lookup_status(valid: Column, found: Column) -> Column:
+    """What a request for a hash is answered with."""
+    return F.when(~valid, 400).when(~found, 404).otherwise(200)
+
+
 def retry_outcome(statuses: Column, ok: tuple[int, ...] = (200, 201), most: int = 5) -> Column:
     """First good status of the first tries, 400 where it was refused, else null."""
     tried = F.slice(statuses, 1, most)

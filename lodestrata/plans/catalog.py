@@ -102,6 +102,17 @@ def repeated_links(s, d):
     return pairs.groupBy("sha256").agg(F.sum("c").alias("n"), F.count("path").alias("n_paths")).where("n > 1")
 
 
+@query(
+    f"""SELECT status, count(*) AS n FROM (SELECT h.sha256, CASE WHEN NOT coalesce({VALID.replace('sha256', 'h.sha256')}, false) THEN 400 WHEN f.sha256 IS NULL THEN 404 ELSE 200 END AS status
+    FROM (SELECT DISTINCT sha256 FROM hash_links) h LEFT JOIN files f ON f.sha256 = h.sha256) GROUP BY 1"""
+)
+def lookup_status(s, d):
+    asked = table(s, d, "hash_links").select("sha256").distinct()
+    known = table(s, d, "files").select("sha256", F.lit(True).alias("found"))
+    status = outcome.lookup_status(paths.valid_hash(F.col("sha256")), F.coalesce("found", F.lit(False)))
+    return asked.join(known, "sha256", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 # Building documents
 
 
@@ -352,7 +363,7 @@ def search_prefix(s, d):
     return search.prefix(table(s, d, "documents"), "doc_id", "text", LEAD)
 
 
-@query(
+_BM25 = (
     f"""WITH one AS (SELECT min(doc_id) AS doc, text FROM documents WHERE text IS NOT NULL GROUP BY text), sized AS (SELECT doc, {WORDS} AS ts FROM one),
     total AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM sized),
     tf AS (SELECT doc, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc, ts, unnest(ts) AS term FROM sized) WHERE term IN ('contract', 'delivery') GROUP BY 1, 2, 3),
@@ -360,11 +371,21 @@ def search_prefix(s, d):
     SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 4) AS score
     FROM tf JOIN df USING (term) CROSS JOIN total GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100"""
 )
+
+
+@query(_BM25)
 def search_bm25_topk(s, d):
     docs = table(s, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc"), F.first("text").alias("text"))
     return search.top(search.bm25(docs, "doc", "text", TERMS), 100)
 
 
+@query(
+    f"SELECT row_number() OVER w AS position, doc, lag(doc) OVER w AS previous, lead(doc) OVER w AS next FROM ({_BM25}) WINDOW w AS (ORDER BY score DESC, doc)"
+)
+def search_cursor(s, d):
+    return search.cursor(search_bm25_topk(s, d))
+
+
 @query(f"SELECT count(*) AS n FROM documents WHERE list_has_any({WORDS}, ['contract', 'delivery'])")
 def hits_total(s, d):
     return search.match(table(s, d, "documents"), "doc_id", "text", TERMS).agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TOKEN = r"([\p{L}\p{N}]+)"
 K1, B = 1.2, 0.75
@@ -75,6 +76,12 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.asc("doc")).limit(k)
 
 
+def cursor(scored: DataFrame) -> DataFrame:
+    """(position, doc, previous, next) of ranked hits, which a limit has bounded."""
+    ranked = Window.orderBy(F.desc("score"), F.asc("doc"))
+    return scored.select(F.row_number().over(ranked).alias("position"), "doc", F.lag("doc").over(ranked).alias("previous"), F.lead("doc").over(ranked).alias("next"))
+
+
 def snippet(text: Column, words: str, around: int = 40) -> Column:
     """The text around the first match."""
     at = F.instr(F.lower(text), words.lower())
