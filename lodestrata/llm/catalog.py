@@ -11,22 +11,24 @@ from lodestrata.llm import abuse, encoding, language, leak, mail, neardup, packi
 from lodestrata.llm.common import contents, cut, table
 
 
-def _mentions(spark: SparkSession, d: str) -> DataFrame:
-    names = [r[0] for r in table(spark, d, "given_names").select("given_name").limit(GIVEN_NAMES).collect()]
-    return pii.mentions(contents(spark, d), "sha256", "content", names)
+def _mentions(spark: SparkSession, d: str, masked: bool) -> DataFrame:
+    names = [r[0] for r in table(spark, d, "given_names").select("given_name").limit(GIVEN_NAMES + 1).collect()]
+    if len(names) > GIVEN_NAMES:
+        raise ValueError(f"more than {GIVEN_NAMES} given names can't be sent to the tasks")
+    return pii.mentions(contents(spark, d), "sha256", "content", names, masked)
 
 
-#: Given names that are sent to the tasks; the table has fewer than a hundred.
+#: Given names that may be sent to the tasks; the table has fewer than a hundred.
 GIVEN_NAMES = 100_000
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = _mentions(spark, d).select("sha256", "found").dropDuplicates(["sha256"])
+    found = _mentions(spark, d, False).select("sha256", "found").dropDuplicates(["sha256"])
     return found.select("sha256", F.explode("found").alias("m")).select("sha256", "m.start_at", "m.kind")
 
 
 def p1_masked(spark: SparkSession, d: str) -> DataFrame:
-    return _mentions(spark, d).select("sha256", "masked").dropDuplicates(["sha256"])
+    return _mentions(spark, d, True).select("sha256", "masked").dropDuplicates(["sha256"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +53,10 @@ def _garbled(spark: SparkSession, d: str) -> DataFrame:
     return texts.unionByName(names)
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(contents(spark, d), "sha256", "content", k=3, t=0.6, min_words=20)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     texts = truncation.truncated(contents(spark, d), "sha256", "content").select("sha256", F.lit("content").alias("field"))
     messages = table(spark, d, "leakdata_index").where(F.col("sha256").isNotNull())
@@ -111,7 +117,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(table(spark, d, "documents"), "doc_id", "source", _scores(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 #: SQL where it can express the operator; the others are tested against brute force, round trips and held-out cases.
 SQL: dict[str, str] = {

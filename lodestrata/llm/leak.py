@@ -22,17 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import arrow_map
-from lodestrata.llm.neardup import BUCKETS, shingle_counts
+from lodestrata.llm.neardup import bucket, shingle_counts
 from lodestrata.llm.words import blocks, words_of
 
-_U = np.uint64
 
 
 def necessary(words: np.ndarray, shingles: np.ndarray, counts: np.ndarray, run: int, k: int) -> list[int]:
     """Offsets of the rarest shingle of each window of ``run`` words, without repeats."""
     if len(words) < run:
         return []
-    order = np.lexsort((shingles, counts[(shingles % _U(BUCKETS)).astype(np.int64)]))
+    order = np.lexsort((shingles, counts[bucket(shingles, counts)]))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     windows = np.lib.stride_tricks.sliding_window_view(rank, run - k + 1)

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import arrow_map, cut
 from lodestrata.llm.words import blocks, mix, words_of
 
-#: Buckets of the count sketch: 1 MB of counts, whatever the corpus holds.
-BUCKETS = 1 << 18
+#: Buckets of the count sketch, by the size of the input: 1 MB of counts at least and 64 MB at most.
+BUCKETS = (1 << 18, 1 << 24)
 CHUNK = 1 << 12
 #: Texts that a block of a shingle's texts holds at most, about.
 HOT = 20_000
@@ -53,20 +53,37 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
     return d[keep], h[keep], np.diff(w.first)
 
 
+def buckets_for(df: DataFrame) -> int:
+    """So many buckets that all the shingles of a bucket together stay far below HOT, within bounds.
+
+    The size is the planner's estimate from the files, which costs no scan; without one it is the middle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return 1 << 20
+    return min(BUCKETS[1], max(BUCKETS[0], 1 << (size // 4000).bit_length()))
+
+
+def bucket(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return (h % _U(len(counts))).astype(np.int64)
+
+
 def shingle_counts(df: DataFrame, text: str, k: int) -> np.ndarray:
     """Number of texts with a shingle of each hash bucket, over all rows."""
+    df = df.select(text)
+    width = buckets_for(df)
 
     def make():
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(width, np.int32)
 
         def f(b):
             for x, y in blocks(b[text]):
-                np.add(counts, np.bincount((shingle_sets(b[text][x:y], k)[1] % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS), out=counts)
+                np.add.at(counts, bucket(shingle_sets(b[text][x:y], k)[1], counts), 1)
 
         def end():
             parts = counts.reshape(-1, CHUNK)
             some = np.flatnonzero(parts.any(axis=1))
-            return {"chunk": some.tolist(), "counts": [parts[i].astype(np.int32).tobytes() for i in some]}
+            return {"chunk": some.tolist(), "counts": [parts[i].tobytes() for i in some]}
 
         f.end = end
         return f
@@ -75,13 +92,13 @@ def shingle_counts(df: DataFrame, text: str, k: int) -> np.ndarray:
         total = np.zeros(CHUNK, np.int64)
         for batch in batches:
             for x in batch.column("counts").to_pylist():
-                total += np.frombuffer(x, np.int64 if len(x) == 8 * CHUNK else np.int32)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
+                total += np.frombuffer(x, np.int32)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    summed = arrow_map(df.select(text), make, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    out = np.zeros(BUCKETS, np.int64)
-    for row in summed.collect():  # BUCKETS / CHUNK rows at most
-        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.int64)
+    summed = arrow_map(df, make, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
+    out = np.zeros(width, np.int32)
+    for row in summed.collect():  # width / CHUNK rows at most
+        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.int32)
     return out
 
 
@@ -102,7 +119,7 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
     s1, s2 and g (23 bits of the prefix's hash, 20 of the size) are the identity of the text's group; s3 is a
     larger agreement sketch.
     """
-    counts = df.sparkSession.sparkContext.broadcast(shingle_counts(df, text, k).astype(np.int32))
+    counts = df.sparkSession.sparkContext.broadcast(shingle_counts(df, text, k))
 
     def make():
         rank = counts.value
@@ -111,13 +128,13 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
             out: dict[str, list] = {c: [] for c in ("id", "items", "hot", "s1", "s2", "s3", "g")}
             for x, y in blocks(b[text]):
                 d, h, words = shingle_sets(b[text][x:y], k)
-                order = np.lexsort((h, rank[(h % _U(BUCKETS)).astype(np.int64)], d))
+                order = np.lexsort((h, rank[bucket(h, rank)], d))
                 d, h = d[order], h[order]
                 n = np.bincount(d, minlength=y - x)
                 first = np.concatenate(([0], np.cumsum(n)))
                 s = _agreement(d, h, y - x, 8)
                 short = (h >> _U(32)).astype(np.uint32).view(np.int32)
-                count = rank[(h % _U(BUCKETS)).astype(np.int64)]
+                count = rank[bucket(h, rank)]
                 for i in range(y - x):
                     if b[key][x + i] is None or words[i] < min_words or not n[i]:
                         continue
@@ -256,8 +273,57 @@ def floor_of(bits: int, t: float) -> int:
 
 
 def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of ids whose texts are at least ``t`` similar."""
+    """Pairs (a, b, similarity), a < b, of ids whose texts are at least ``t`` similar; copies are pairs as well."""
+    return _pairs(cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words)), t)
+
+
+def near_groups(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0) -> DataFrame:
+    """(id, group_id, n_links, n_copies) of every id with a copy or a similar text.
+
+    Texts of equal sets are one class, whose least id stands for it; only these are joined, so that
+    a class of a third of all rows costs its size. n_links counts classes that are similar to the id's own,
+    n_copies the other members of its class; group_id is the least id that links lead to.
+    """
     rows = cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words))
+    same = [F.xxhash64("items").alias("h1"), F.hash("items").alias("h2"), F.size("items").alias("n")]
+    members = rows.select("id", *same).distinct()
+    classes = members.groupBy("h1", "h2", "n").agg(F.min("id").alias("chief"), F.count("*").alias("size"))
+    chiefs = rows.join(classes.select(F.col("chief").alias("id")), "id", "left_semi")
+    pairs = cut(_pairs(chiefs, t).select("a", "b"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = both.groupBy(F.col("a").alias("chief")).agg(F.count("*").alias("n_links"))
+    found = components(pairs).withColumnRenamed("id", "chief")
+    return (
+        members.join(classes, ["h1", "h2", "n"]).join(found, "chief", "left").join(links, "chief", "left")
+        .where((F.col("size") > 1) | F.col("n_links").isNotNull())
+        .select("id", F.coalesce("group_id", "chief").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("size") - 1).alias("n_copies"))
+    )
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, group_id) of the ids in pairs (a, b): the least id of each connected component.
+
+    Large and small stars in turn: each id's neighbours are pointed to the least of them, by a
+    minimum and a join and never a list of neighbours, until nothing changes.
+    """
+    edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = cut(small.where("u != v").distinct())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group_id"))).distinct()
+
+
+def _pairs(rows: DataFrame, t: float) -> DataFrame:
     group = ["s1", "s2", "g"]
     found = _group_pairs(_postings(rows, t), t)
     ids = rows.select("id", *group, "s3")

@@ -408,8 +408,8 @@ def mask(text: str, found: Sequence[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def mentions(df: DataFrame, key: str, text: str, names: Iterable[str | None]) -> DataFrame:
-    """(key, found array<struct<start_at, end_at, kind>>, masked) of each text; one row per key."""
+def mentions(df: DataFrame, key: str, text: str, names: Iterable[str | None], masked: bool = True) -> DataFrame:
+    """(key, found array<struct<start_at, end_at, kind>>, masked) of each text; without ``masked`` that is null."""
     names = list(names)
 
     def make():
@@ -423,7 +423,7 @@ def mentions(df: DataFrame, key: str, text: str, names: Iterable[str | None]) ->
                 spans = finder.find(t) if t else []
                 out[key].append(k)
                 out["found"].append([{"start_at": a + 1, "end_at": z, "kind": kind} for a, z, kind in spans])
-                out["masked"].append(mask(t, spans) if t else t)
+                out["masked"].append((mask(t, spans) if t else t) if masked else None)
             return out
 
         return f

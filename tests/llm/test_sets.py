@@ -111,3 +111,36 @@ def test_agreement_bits():
     d, h, _ = neardup.shingle_sets(["a b c d e f g h i j k l m n o p"] * 2 + ["q r s t u v w x y z"], 3)
     s = neardup._agreement(d, h, 3, 8)
     assert (s[0] == s[1]).all() and np.bitwise_count((s[0] ^ s[2]).view(np.uint64)).sum() > 20
+
+
+def test_groups(spark):
+    r = random.Random(11)
+    rows = [("z", None)]
+    for i in range(25):
+        base = [f"w{r.randrange(60)}" for _ in range(r.randrange(20, 90))]
+        rows += [(f"{i:03}-{j}", " ".join(edited(r, base))) for j in range(5)]
+    rows += [(f"copy{i}", "the very same text of some length " * 5) for i in range(30)] + rows[:9]
+    pairs = similar(rows, 3, 0.6, 0)
+    boss = {i: i for p in pairs for i in p}
+
+    def top(i):
+        while boss[i] != i:
+            i = boss[i]
+        return i
+
+    for a, b in sorted(pairs):
+        x, y = sorted((top(a), top(b)))
+        boss[y] = x
+    got = neardup.near_groups(spark.createDataFrame(rows, "key string, text string"), "key", "text", k=3, t=0.6).collect()
+    assert len(got) == len({x.id for x in got}) and {x.id: x.group_id for x in got} == {i: top(i) for i in boss}
+    assert {x.n_copies for x in got if x.id.startswith("copy")} == {29}
+    for x in got:
+        if not x.id.startswith("copy") and not x.n_copies:
+            assert x.n_links <= sum(x.id in p for p in pairs)
+
+
+def test_components_of_a_chain(spark):
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(60)] + [("x", "y"), ("y", "x"), ("q", "q")], "a string, b string")
+    got = {r.id: r.group_id for r in neardup.components(chain).collect()}
+    assert got == {f"{i:03}": "000" for i in range(61)} | {"x": "x", "y": "x"}
+    assert neardup.components(chain.limit(0)).count() == 0
