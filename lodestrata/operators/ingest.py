@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import paths
 from lodestrata.operators import dedupe, extract
-from lodestrata.sources import files
+from lodestrata.sources import files, store
 
 MOST = 314_572_800
 
@@ -71,9 +71,10 @@ def documents(spark: SparkSession, root: str, known: DataFrame | None = None, pr
 def append(df: DataFrame, where: str) -> int:
     """Documents of new hashes appended to a Parquet table; how many there were."""
     spark = df.sparkSession
-    if os.path.isdir(where) and os.listdir(where):
-        df = dedupe.unseen(df, spark.read.parquet(where), "sha256")
-    before = spark.read.parquet(where).count() if os.path.isdir(where) and os.listdir(where) else 0
+    before = 0
+    if store.names(spark, where):
+        known = spark.read.parquet(where)
+        df, before = dedupe.unseen(df, known, "sha256"), known.count()
     df.write.mode("append").parquet(where)
     return spark.read.parquet(where).count() - before
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import summary
+from lodestrata.sources import store
 
 
 def summaries(df: DataFrame, path: str, content_type: str, folder: str) -> None:
@@ -24,9 +23,9 @@ def lists(df: DataFrame, name: str, line: str, folder: str) -> None:
     df.select(F.col(name).alias("list"), F.col(line).alias("value")).write.mode("append").partitionBy("list").text(folder)
 
 
-def finished(folder: str) -> bool:
+def finished(spark: SparkSession, folder: str) -> bool:
     """Whether a write ended well; a step whose result is finished isn't repeated."""
-    return os.path.exists(os.path.join(folder, "_SUCCESS"))
+    return store.exists(spark, f"{folder}/_SUCCESS")
 
 
 def after_expansion(archive: bool, remove: bool) -> str:
@@ -34,11 +33,11 @@ def after_expansion(archive: bool, remove: bool) -> str:
     return "archive" if archive else "remove" if remove else "keep"
 
 
-def drop_expired(folder: str, column: str, today: date, days: int) -> list[str]:
+def drop_expired(spark: SparkSession, folder: str, column: str, today: date, days: int) -> list[str]:
     """Day partitions of a table that are older than some days, removed; their names."""
     limit, gone = today - timedelta(days=days), []
-    for name in sorted(os.listdir(folder)):
+    for name in store.names(spark, folder):
         if name.startswith(f"{column}=") and date.fromisoformat(name.split("=", 1)[1]) < limit:
-            shutil.rmtree(os.path.join(folder, name))
+            store.remove(spark, f"{folder}/{name}")
             gone.append(name)
     return gone

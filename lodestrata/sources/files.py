@@ -1,7 +1,7 @@
 """File trees as tables.
 
-The names are listed on the driver, dot-files included, which Spark's own file sources skip;
-everything that reads bytes runs in the tasks.  A path must be reachable from all executors.
+Names are listed with dot-files, which Spark's own file sources skip; all but the folders of the
+first levels are listed, and all bytes are read, in the tasks.  A path must be reachable from all executors.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,17 +19,40 @@ CONTROL_FILES = ("done", "path.txt")
 BLOCK = 1 << 20
 
 
-def file_tree(spark: SparkSession, root: str, but: tuple[str, ...] = CONTROL_FILES, per_task: int = 256) -> DataFrame:
-    """(path, mtime, length) of all regular files below a root, control files at the root left out."""
-    rows = []
-    for at, _, names in os.walk(root):
-        for n in names:
-            p = os.path.join(at, n)
-            if os.path.isfile(p) and not os.path.islink(p) and os.path.relpath(p, root) not in but:
-                st = os.stat(p)
-                rows.append((p, int(st.st_mtime), st.st_size))
-    df = spark.createDataFrame(sorted(rows), "path string, mtime long, length long")
-    return df.repartition(max(1, len(rows) // per_task))
+def file_tree(spark: SparkSession, root: str, but: tuple[str, ...] = CONTROL_FILES, levels: int = 2) -> DataFrame:
+    """(path, mtime, length) of all regular files below a root, control files at the root left out.
+
+    The driver lists the folders of the first levels only; the tasks walk what lies below them.
+    """
+    todo, rows = [(root, 0)], []
+    while todo:
+        at, depth = todo.pop()
+        rows.append((at, depth >= levels))
+        if depth < levels:
+            todo += [(e.path, depth + 1) for e in os.scandir(at) if e.is_dir(follow_symlinks=False)]
+    unwanted = {os.path.join(root, n) for n in but}
+
+    def walk(at: str, deep: bool) -> Iterator[tuple[str, int, int]]:
+        for folder, _, names in os.walk(at):
+            for n in names:
+                p = os.path.join(folder, n)
+                if p not in unwanted and os.path.isfile(p) and not os.path.islink(p):
+                    st = os.stat(p)
+                    yield p, int(st.st_mtime), st.st_size
+            if not deep:
+                return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("mtime", pa.int64()), ("length", pa.int64())])
+        for b in batches:
+            for at, deep in zip(b.column("folder").to_pylist(), b.column("deep").to_pylist()):
+                found = walk(at, deep)
+                while part := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part), schema)], schema=schema)
+
+    folders = spark.createDataFrame(rows, "folder string, deep boolean").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism))
+    # Files of a large folder are spread again before their bytes are read.
+    return folders.mapInArrow(run, "path string, mtime long, length long").repartition("path")
 
 
 def hashed(files: DataFrame) -> DataFrame:

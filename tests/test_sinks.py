@@ -5,9 +5,9 @@ from lodestrata.operators import sinks
 
 def test_summaries_and_marks(spark, tmp_path):
     df = spark.createDataFrame([("a/x.TXT", "text/plain; a=b"), ("b/y.txt", None), ("c/.hidden", "text/plain"), ("d/noext", "TEXT/PLAIN"), ("a/x.TXT", "text/plain")], "path string, kind string")
-    assert not sinks.finished(str(tmp_path / "out" / "types"))
+    assert not sinks.finished(spark, str(tmp_path / "out" / "types"))
     sinks.summaries(df, "path", "kind", str(tmp_path / "out"))
-    assert sinks.finished(str(tmp_path / "out" / "types"))
+    assert sinks.finished(spark, str(tmp_path / "out" / "types"))
     read = lambda n: [tuple(r) for r in spark.read.csv(str(tmp_path / "out" / n), header=True).collect()]
     assert read("types") == [("text/plain", "4"), ("application/octet-stream", "1")]
     assert read("extensions") == [("TXT", "2"), ("txt", "1")]
@@ -21,7 +21,7 @@ def test_lists_and_retention(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "lists")).where("list = 'one'").count() == 4
     days = spark.createDataFrame([("2024-03-01", 1), ("2024-03-05", 2)], "day string, n int")
     days.write.partitionBy("day").parquet(str(tmp_path / "days"))
-    assert sinks.drop_expired(str(tmp_path / "days"), "day", date(2024, 3, 6), 2) == ["day=2024-03-01"]
+    assert sinks.drop_expired(spark, str(tmp_path / "days"), "day", date(2024, 3, 6), 2) == ["day=2024-03-01"]
     assert spark.read.parquet(str(tmp_path / "days")).count() == 1
 
 
