@@ -375,8 +375,8 @@ _BM25 = (
 
 @query(_BM25)
 def search_bm25_topk(s, d):
-    docs = table(s, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc"), F.first("text").alias("text"))
-    return search.top(search.bm25(docs, "doc", "text", TERMS), 100)
+    docs = table(s, d, "documents").where("text IS NOT NULL")
+    return search.top(search.bm25(docs, "doc_id", "text", TERMS, once=True), 100)
 
 
 @query(

@@ -59,12 +59,18 @@ def prefix(docs: DataFrame, doc: str, text: str, lead: str) -> DataFrame:
     return docs.where(F.lower(F.col(text)).rlike(rf"(^|[^\p{{L}}\p{{N}}]){re.escape(lead.lower())}")).select(doc)
 
 
-def bm25(docs: DataFrame, doc: str, text: str, query: str) -> DataFrame:
-    """(doc, score) of the documents with a term of the query."""
+def bm25(docs: DataFrame, doc: str, text: str, query: str, once: bool = False) -> DataFrame:
+    """(doc, score) of the documents with a term of the query; ``once`` ranks equal texts once, under the least doc.
+
+    What is shuffled of a text is its length and its hits, not the text.
+    """
     ts = terms_of(query)
-    sized = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ts"))
-    total = sized.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean"))
-    tf = sized.select("doc", F.size("ts").alias("dl"), F.explode(F.filter("ts", lambda t: t.isin(ts))).alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    sized = docs.select(F.col(doc).alias("doc"), F.sha2(text, 256).alias("h"), tokens(F.col(text)).alias("ts"))
+    sized = sized.select("doc", "h", F.size("ts").alias("dl"), F.filter("ts", lambda t: t.isin(ts)).alias("ts"))
+    if once:
+        sized = sized.groupBy("h").agg(F.min("doc").alias("doc"), F.first("dl").alias("dl"), F.first("ts").alias("ts"))
+    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    tf = sized.select("doc", "dl", F.explode("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
