@@ -277,7 +277,7 @@ def fit(rows: list[tuple[str | None, str | None, float | None]]) -> Net:
                 chosen[d] = i
                 extra += [docs[d][j] for j in np.flatnonzero(s > 0.9) if j != i]
             elif sure[d] != 1:
-                high = np.flatnonzero(s > (0.5 if sure[d] == -1 else 0.8))
+                high = np.flatnonzero(s > (0.5 if sure[d] == -1 else 0.97))
                 skip |= {(d, int(j)) for j in high}
                 if sure[d] == -1:
                     extra += [docs[d][j] for j in np.flatnonzero(s > 0.95)]
