@@ -124,7 +124,7 @@ _URL = re.compile(r"(?:https?://|www\.)\S+|\?\w+=\S*")
 
 def _swap(text: str) -> str:
     """The text with its non-ASCII words read in the code page that makes them plausible; itself if none does."""
-    words = set(re.findall(r"\S*[^\x00-\x7f]\S*", text))
+    words = {w for w in text.split() if not w.isascii()}
     best, most = text, 0
     for wrong, right in SWAPS:
         table, good, bad = {}, 0, 0
@@ -140,7 +140,7 @@ def _swap(text: str) -> str:
             elif _ODD.search(w):
                 bad += 1
         if good - bad > most:
-            best, most = re.sub(r"\S*[^\x00-\x7f]\S*", lambda m, t=table: t.get(m.group(), m.group()), text), good - bad
+            best, most = "".join([table.get(w, w) for w in re.split(r"(\s+)", text)]), good - bad
     return best
 
 

@@ -49,7 +49,7 @@ SPELLINGS = {
     "pl": "pl pol polish polnisch polonais polaco polski",
 }
 _BY_SPELLING = {w: lang for lang, ws in SPELLINGS.items() for w in ws.split()}
-_TOKENS = re.compile(r"\S*[@\d]\S*|[^\W\d_]+(?:[’'][^\W\d_]+)*|[\n.!?;:]")
+_TOKENS = re.compile(r"\S{0,80}[@\d]\S*|[^\W\d_]+(?:[’'][^\W\d_]+)*|[\n.!?;:]")
 _HEADER = re.compile(r"^[ \t>|]*[^\W\d_]{1,16}[ ]?:(?=\s)", re.M)
 
 

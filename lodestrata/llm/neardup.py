@@ -36,8 +36,9 @@ BUCKETS = (1 << 18, 1 << 24)
 CHUNK = 1 << 12
 #: Texts that a block of a shingle's texts holds at most, about.
 HOT = 20_000
-#: Sizes and positions fit 20 bits.
-MOST = (1 << 20) - 1
+#: Sizes and positions fit 24 bits: a text has 16 million shingles at most.
+WIDTH = 24
+MOST = (1 << WIDTH) - 1
 _U = np.uint64
 
 
@@ -116,7 +117,7 @@ def _agreement(d: np.ndarray, h: np.ndarray, n_texts: int, functions: int) -> np
 def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_words: int) -> DataFrame:
     """One row per text: id, items (shingles, rarest first), hot (their counts, of the prefix), s1, s2 and g.
 
-    s1, s2 and g (23 bits of the prefix's hash, 20 of the size) are the identity of the text's group; s3 is a
+    s1, s2 and g (15 bits of the prefix's hash, 24 of the size) are the identity of the text's group; s3 is a
     larger agreement sketch.
     """
     counts = df.sparkSession.sparkContext.broadcast(shingle_counts(df, text, k))
@@ -146,7 +147,7 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
                     out["s1"].append(int(s[i, 0]))
                     out["s2"].append(int(s[i, 1]))
                     out["s3"].append(s[i, 2:].tobytes())
-                    out["g"].append((zlib.crc32(short[own][:p].tobytes()) & 0x7FFFFF) << 20 | min(int(n[i]), MOST))
+                    out["g"].append((zlib.crc32(short[own][:p].tobytes()) & 0x7FFF) << WIDTH | min(int(n[i]), MOST))
             return out
 
         return f
@@ -188,7 +189,7 @@ def _postings(rows: DataFrame, t: float) -> DataFrame:
                 salt.append(at)
                 s1.append(np.full(len(p), x))
                 s2.append(np.full(len(p), y))
-                gp.append(g << 20 | np.minimum(p, MOST))
+                gp.append(g << WIDTH | np.minimum(p, MOST))
             if token:
                 return {"token": pa.array(np.concatenate(token)), "salt": pa.array(np.concatenate(salt)), "s1": pa.array(np.concatenate(s1)), "s2": pa.array(np.concatenate(s2)), "gp": pa.array(np.concatenate(gp))}
             return None
@@ -227,7 +228,7 @@ def _group_pairs(post: DataFrame, t: float) -> DataFrame:
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         token, salt, s1, s2, gp = (table.column(c).to_numpy() for c in ("token", "salt", "s1", "s2", "gp"))
         key = token.astype(np.int64) << 32 | salt
-        n, pos = (gp >> 20) & MOST, gp & MOST
+        n, pos = (gp >> WIDTH) & MOST, gp & MOST
         order = np.lexsort((s2, s1, gp, n, key))
         key, s1, s2, gp, n, pos = key[order], s1[order], s2[order], gp[order], n[order], pos[order]
         new = np.ones(len(key), bool)
@@ -252,7 +253,7 @@ def _group_pairs(post: DataFrame, t: float) -> DataFrame:
             a, b = a[ok], b[ok]
             ok = _bits(s1[a], s1[b]) + _bits(s2[a], s2[b]) <= 128 - least
             a, b = a[ok], b[ok]
-            yield pa.RecordBatch.from_pydict({"a_s1": s1[a], "a_s2": s2[a], "a_g": gp[a] >> 20, "b_s1": s1[b], "b_s2": s2[b], "b_g": gp[b] >> 20})
+            yield pa.RecordBatch.from_pydict({"a_s1": s1[a], "a_s2": s2[a], "a_g": gp[a] >> WIDTH, "b_s1": s1[b], "b_s2": s2[b], "b_g": gp[b] >> WIDTH})
             at = to
 
     return (
@@ -263,7 +264,7 @@ def _group_pairs(post: DataFrame, t: float) -> DataFrame:
 
 def _compound(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Ascending codes of (key, n), keys sorted."""
-    return np.cumsum(np.concatenate(([0], np.diff(key) != 0))).astype(np.int64) << 24 | n
+    return np.cumsum(np.concatenate(([0], np.diff(key) != 0))).astype(np.int64) << 26 | n
 
 
 def floor_of(bits: int, t: float) -> int:

@@ -29,7 +29,7 @@ KINDS = ("email", "id_number", "address", "phone", "name")
 
 _S = r"(?:[ \t\xa0]+|[ \t]*\r?\n[ \t>|]*)"  # a blank, or a line end with quote marks
 _U = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĘĚĜĞĢĤĪĮİĶĹĻĽĿŁŃŅŇŌŐŒŔŘŚŜŞŠŢŤŪŮŰŲŴŶŹŻŽ"
-_CAP = rf"(?:[{_U}]|[?�](?=[a-z])|[├√┼Ãø][^\sa-z]{{0,3}}(?=[a-z]))[^\s,;:<>()\[\]\"“”„!.@/\\|&=+*#{{}}0-9]*"
+_CAP = rf"(?:[{_U}]|[?�](?=[a-z])|[├√┼Ãø][^\sa-z]{{0,3}}(?=[a-z]))[^\s,;:<>()\[\]\"“”„!.@/\\|&=+*#{{}}0-9]{{0,60}}"
 
 #: Words before a family name.
 TITLES = "mr mrs ms miss mr. mrs. ms. dr dr. prof prof. sir herr herrn frau fräulein monsieur madame mademoiselle mme mlle m. señor señora dra dra. sr. sra. srta. don doña pan pani pana panu panem panią".split()
@@ -96,9 +96,9 @@ _SPELT_DOMAIN = re.compile(rf"{_S}?[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[^\W\d_]{{2,}}(?
 _GAP = rf"(?:{_S}?[./-]?{_S}?)"
 _PHONE = re.compile(
     rf"(?<![\w+/,-])(?<!\d\.)(?:"
-    rf"(?:\(\+\d{{1,3}}\)|\+\d{{1,3}}|00[1-9]\d{{0,2}})(?:{_S}?/?{_S}?\(0\))?(?:(?:{_S}|[./-]|{_S}/{_S})?\(?\d+\)?)+"
+    rf"(?:\(\+\d{{1,3}}\)|\+\d{{1,3}}|00[1-9]\d{{0,2}})(?:{_S}?/?{_S}?\(0\))?(?:(?:{_S}|[./-]|{_S}/{_S})?\(?\d++\)?)+"
     rf"|\(\d{{3}}\){_S}?\d{{3}}[-.\s]\d{{4}}|\d{{3}}([-.])\d{{3}}\1\d{{4}}|\d{{3}} \d{{3}} \d{{4}}"
-    rf"|\(?0\d{{1,4}}\)?(?:(?:{_S}|[./-]|{_S}/{_S})\d+)+|0\d{{9,10}}"
+    rf"|\(?0\d{{1,4}}\)?(?:(?:{_S}|[./-]|{_S}/{_S})\d++)+|0\d{{9,10}}"
     rf"|[5-9]\d\d(?:{_S}|[.-])\d{{3}}(?:{_S}|[.-])\d{{3}}|[5-9]\d\d(?:(?:{_S}|[.-])\d\d){{3}}|[5-9]\d{{8}}"
     rf")(?![\w])(?![./-]\d)(?!,\d)"
 )
@@ -354,7 +354,7 @@ class Finder:
                 out.append((m.start(), m.end(), "name"))
                 at = m.end()
         for m in _INITIAL.finditer(text):
-            if m.group(2).lower().strip(".") not in NOT_NAMES and len(m.group(2)) > 3 and not (m.group(1) == "M." and _french(text)):
+            if m.group(1) != "P.S." and m.group(2).lower().strip(".") not in NOT_NAMES and len(m.group(2)) > 3 and not (m.group(1) == "M." and _french(text)):
                 out.append((m.start(), m.end(), "name"))
         return out
 

@@ -249,3 +249,20 @@ def test_share_by_source(spark):
     rows = spark.createDataFrame([("a", "s"), ("b", "s"), ("b", "s"), ("c", None)], "key string, source string")
     got = {r.source: (r.n, r.n_cut) for r in truncation.share_by_source(rows, rows.where("key = 'a'").select("key"), "key", "source").collect()}
     assert got == {"s": (2, 1), None: (1, 0)}
+
+
+@pytest.mark.parametrize("text", ["1" * 50_000, "00" + "1" * 20_000 + "x", "a" * 100_000, "ab.c" * 30_000, "é" * 50_000, "x@" * 20_000, "\n" * 50_000, " " * 100_000, "> | " * 20_000, "A " * 50_000, "( " * 20_000, "a?b" * 20_000, "Ã©" * 20_000, "рйс" * 20_000])
+def test_long_texts_take_no_time(finder, model, text):
+    import time
+
+    from lodestrata.llm import abuse
+
+    begin = time.time()
+    finder.find(text)
+    encoding.restore(text)
+    mail.authored(text)
+    language.Tagger(model).segments(text)
+    abuse.passages(text)
+    truncation.Judge(__import__("numpy").zeros((2, truncation.BUCKETS), int), set()).judge(text)
+    truncation.ends_early(text, text + text)
+    assert time.time() - begin < 15
