@@ -4,8 +4,8 @@ Exact-complement hashing over the histogram of sizes, which has at most ``capaci
 however many items there are.  From the largest size down, an item's gap is filled exactly by
 one available size, else by a pair, else by a triple that sums to it; a combination is
 consumed as often as the counts allow at once, so every step uses up one of its sizes.
-What no combination fills exactly goes in by best fit: the largest available size that
-fits the gap, again and again.
+What no such combination fills exactly goes in by best fit: the available sizes, however many,
+that together leave the least room.
 
 Items get their container by rank within their size.  Ranks are counted in buckets whose
 offsets are prefix sums, so a size that a third of all items have is spread like any other.
@@ -86,6 +86,29 @@ def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
     return None
 
 
+def _best(left: np.ndarray, gap: int) -> dict[int, int]:
+    """The available sizes, however many, that together leave the least of the gap.
+
+    Bit ``i`` of ``sums`` says that some of the sizes so far sum to ``i``; how many there are of a size is added in powers of two.
+    """
+    sums, steps, mask = 1, [], (1 << (gap + 1)) - 1
+    for s in np.flatnonzero(left[: gap + 1])[::-1].tolist():
+        n, k = min(int(left[s]), gap // s), 1
+        while n:
+            k = min(k, n)
+            steps.append((s, k, sums))
+            sums |= (sums << (k * s)) & mask
+            n, k = n - k, 2 * k
+        if sums >> gap & 1:
+            break
+    total, out = sums.bit_length() - 1, {}
+    for s, k, before in reversed(steps):
+        if not before >> total & 1:
+            out[s] = out.get(s, 0) + k
+            total -= s * k
+    return out
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """Containers for ``counts[s]`` items of each size ``s`` from 1 to ``capacity``."""
     left = np.zeros(capacity + 1, np.int64)
@@ -121,19 +144,10 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     left = kept
     for size in residual:
         while left[size]:
-            sizes, gap = {size: 1}, capacity - size
             left[size] -= 1
-            while gap:
-                fit = np.flatnonzero(left[: gap + 1])
-                if not len(fit):
-                    break
-                s = int(fit[-1])
-                n = min(int(left[s]), gap // s)
-                sizes[s] = sizes.get(s, 0) + n
-                left[s] -= n
-                gap -= n * s
-            for s, n in sizes.items():
-                left[s] += n
+            sizes = _best(left, capacity - size)
+            left[size] += 1
+            sizes[size] = sizes.get(size, 0) + 1
             use(sizes)
     return out
 
