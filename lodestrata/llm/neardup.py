@@ -328,13 +328,13 @@ def _pairs(rows: DataFrame, t: float) -> DataFrame:
     group = ["s1", "s2", "g"]
     found = _group_pairs(_postings(rows, t), t)
     ids = rows.select("id", *group, "s3")
-    a = ids.select(F.col("id").alias("a"), F.col("s3").alias("a_s3"), *(F.col(c).alias(f"a_{c}") for c in group))
-    b = ids.select(F.col("id").alias("b"), F.col("s3").alias("b_s3"), *(F.col(c).alias(f"b_{c}") for c in group))
     copies = rows.groupBy(*group).count().where("count > 1")  # members of one group are pairs, too
     found = found.unionByName(copies.select(*(F.col(c).alias(f"a_{c}") for c in group), *(F.col(c).alias(f"b_{c}") for c in group)))
-    differ = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2"))) + _differ("a_s3", "b_s3")
-    across = found.join(a, [f"a_{c}" for c in group]).join(b, [f"b_{c}" for c in group]).where((differ <= 256 - floor_of(256, t)) & (F.col("a") != F.col("b")))
-    pairs = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # Both sides are the same rows by the same keys, so that they are exchanged once.
+    on = lambda side, name: [F.col(f"{side}_{c}") == F.col(f"{name}.{c}") for c in group]
+    differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2"))) + _differ("x.s3", "y.s3")
+    across = found.join(ids.alias("x"), on("a", "x")).join(ids.alias("y"), on("b", "y")).where((differ <= 256 - floor_of(256, t)) & (F.col("x.id") != F.col("y.id")))
+    pairs = cut(across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     sets = _named(rows.select("id", "items"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = F.size(F.array_intersect("a_items", "b_items"))
     return (
