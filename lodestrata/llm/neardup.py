@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,7 @@ def _agreement(d: np.ndarray, h: np.ndarray, n_texts: int, functions: int) -> np
 
 
 def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_words: int) -> DataFrame:
-    """One row per text: id, items (shingles, rarest first), hot (their counts, of the prefix), s1, s2 and g.
+    """One row per text: id, prefix (its rarest shingles), hot (their counts), h1 and h2 (of all shingles), s1, s2, s3 and g.
 
     s1, s2 and g (15 bits of the prefix's hash, 24 of the size) are the identity of the text's group; s3 is a
     larger agreement sketch.
@@ -126,7 +127,7 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
         rank = counts.value
 
         def f(b):
-            out: dict[str, list] = {c: [] for c in ("id", "items", "hot", "s1", "s2", "s3", "g")}
+            out: dict[str, list] = {c: [] for c in ("id", "prefix", "hot", "h1", "h2", "s1", "s2", "s3", "g")}
             for x, y in blocks(b[text]):
                 d, h, words = shingle_sets(b[text][x:y], k)
                 order = np.lexsort((h, rank[bucket(h, rank)], d))
@@ -142,7 +143,10 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
                     own = slice(first[i], first[i + 1])
                     p = prefix_size(int(n[i]), t)
                     out["id"].append(b[key][x + i])
-                    out["items"].append(short[own])
+                    h1, h2 = np.frombuffer(blake2b(short[own].tobytes(), digest_size=16).digest(), np.int64)
+                    out["prefix"].append(short[own][:p])
+                    out["h1"].append(int(h1))
+                    out["h2"].append(int(h2))
                     out["hot"].append((count[own][:p] // HOT).astype(np.int32).tolist() if count[own][p - 1] >= HOT else None)
                     out["s1"].append(int(s[i, 0]))
                     out["s2"].append(int(s[i, 1]))
@@ -153,14 +157,14 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
         return f
 
     kind = dict(df.dtypes)[key]
-    return arrow_map(df.select(key, text), make, f"id {kind}, items array<int>, hot array<int>, s1 long, s2 long, s3 binary, g long")
+    return arrow_map(df.select(key, text), make, f"id {kind}, prefix array<int>, hot array<int>, h1 long, h2 long, s1 long, s2 long, s3 binary, g long")
 
 
 def prefix_size(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1
 
 
-def _postings(rows: DataFrame, t: float) -> DataFrame:
+def _postings(rows: DataFrame) -> DataFrame:
     """(token, salt, s1, s2, gp): the prefix of each group; a task names a group once.  gp is g and the position.
 
     A token in more than HOT texts is dealt to blocks of about HOT rows, and the rows of each pair of blocks meet.
@@ -171,13 +175,13 @@ def _postings(rows: DataFrame, t: float) -> DataFrame:
 
         def f(b):
             token, salt, s1, s2, gp = [], [], [], [], []
-            for items, hot, x, y, g in zip(b["items"], b["hot"], b["s1"], b["s2"], b["g"]):
+            for prefix, hot, x, y, g in zip(b["prefix"], b["hot"], b["s1"], b["s2"], b["g"]):
                 if (x, y, g) in seen:
                     continue
                 if len(seen) < 1_000_000:  # bounded memory; a group named twice is collapsed at the join
                     seen.add((x, y, g))
-                p = np.arange(prefix_size(len(items), t))
-                tok, at = np.array(items, np.int32)[: len(p)], np.zeros(len(p), np.int32)
+                p = np.arange(len(prefix))
+                tok, at = np.array(prefix, np.int32), np.zeros(len(p), np.int32)
                 if hot is not None:
                     many = np.array(hot) + 1
                     own = (x ^ g) % many
@@ -196,7 +200,7 @@ def _postings(rows: DataFrame, t: float) -> DataFrame:
 
         return f
 
-    return arrow_map(rows.select("items", "hot", "s1", "s2", "g"), make, "token int, salt int, s1 long, s2 long, gp long")
+    return arrow_map(rows.select("prefix", "hot", "s1", "s2", "g"), make, "token int, salt int, s1 long, s2 long, gp long")
 
 
 def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -275,7 +279,7 @@ def floor_of(bits: int, t: float) -> int:
 
 def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of ids whose texts are at least ``t`` similar; copies are pairs as well."""
-    return _pairs(cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words)), t)
+    return _pairs(cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words)), df.select(key, text), k, t)
 
 
 def near_groups(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0) -> DataFrame:
@@ -286,16 +290,15 @@ def near_groups(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.
     n_copies the other members of its class; group_id is the least id that links lead to.
     """
     rows = cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words))
-    same = [F.xxhash64("items").alias("h1"), F.hash("items").alias("h2"), F.size("items").alias("n")]
-    members = rows.select("id", *same).distinct()
-    classes = members.groupBy("h1", "h2", "n").agg(F.min("id").alias("chief"), F.count("*").alias("size"))
+    members = rows.select("id", "h1", "h2").distinct()
+    classes = members.groupBy("h1", "h2").agg(F.min("id").alias("chief"), F.count("*").alias("size"))
     chiefs = rows.join(classes.select(F.col("chief").alias("id")), "id", "left_semi")
-    pairs = cut(_pairs(chiefs, t).select("a", "b"))
+    pairs = cut(_pairs(chiefs, df.select(key, text), k, t).select("a", "b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.groupBy(F.col("a").alias("chief")).agg(F.count("*").alias("n_links"))
     found = components(pairs).withColumnRenamed("id", "chief")
     return (
-        members.join(classes, ["h1", "h2", "n"]).join(found, "chief", "left").join(links, "chief", "left")
+        members.join(classes, ["h1", "h2"]).join(found, "chief", "left").join(links, "chief", "left")
         .where((F.col("size") > 1) | F.col("n_links").isNotNull())
         .select("id", F.coalesce("group_id", "chief").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("size") - 1).alias("n_copies"))
     )
@@ -324,9 +327,9 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group_id"))).distinct()
 
 
-def _pairs(rows: DataFrame, t: float) -> DataFrame:
+def _pairs(rows: DataFrame, texts: DataFrame, k: int, t: float) -> DataFrame:
     group = ["s1", "s2", "g"]
-    found = _group_pairs(_postings(rows, t), t)
+    found = _group_pairs(_postings(rows), t)
     ids = rows.select("id", *group, "s3")
     copies = rows.groupBy(*group).count().where("count > 1")  # members of one group are pairs, too
     found = found.unionByName(copies.select(*(F.col(c).alias(f"a_{c}") for c in group), *(F.col(c).alias(f"b_{c}") for c in group)))
@@ -335,7 +338,7 @@ def _pairs(rows: DataFrame, t: float) -> DataFrame:
     differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2"))) + _differ("x.s3", "y.s3")
     across = found.join(ids.alias("x"), on("a", "x")).join(ids.alias("y"), on("b", "y")).where((differ <= 256 - floor_of(256, t)) & (F.col("x.id") != F.col("y.id")))
     pairs = cut(across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    sets = _named(rows.select("id", "items"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    sets = _sets(_named(texts.toDF("id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("id"))), k)
     both = F.size(F.array_intersect("a_items", "b_items"))
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a")
@@ -346,6 +349,25 @@ def _pairs(rows: DataFrame, t: float) -> DataFrame:
     )
 
 
+def _sets(df: DataFrame, k: int) -> DataFrame:
+    """(id, items) of (id, text) rows: the shingles of each text. It costs less to read a few texts again than to keep all sets."""
+
+    def make():
+        def f(b):
+            out: dict[str, list] = {"id": [], "items": []}
+            for x, y in blocks(b["text"]):
+                d, h, _ = shingle_sets(b["text"][x:y], k)
+                first = np.searchsorted(d, np.arange(y - x + 1))
+                short = (h >> _U(32)).astype(np.uint32).view(np.int32)
+                out["id"] += b["id"][x:y]
+                out["items"] += [short[first[i] : first[i + 1]] for i in range(y - x)]
+            return out
+
+        return f
+
+    return arrow_map(df, make, f"id {dict(df.dtypes)['id']}, items array<int>")
+
+
 #: Bits of the filter on ids: 8 MB, whatever the number of ids; a full filter only stops less.
 FILTER = 1 << 26
 
