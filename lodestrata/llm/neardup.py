@@ -372,15 +372,21 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
 FILTER = 1 << 26
 
 
+def filled(slots: DataFrame) -> np.ndarray:
+    """The filter's bits, eight to a byte, with those of the column ``slot`` set."""
+    slot = F.col("slot") + 1
+    parts = slots.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros(FILTER // 8, np.uint8)
+    for row in parts.collect():  # FILTER / 32768 rows at most
+        at = (row.part - 1) * 4096
+        out[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
 def _named(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id is likely among ``ids``, by a fixed-size filter, before they are shuffled."""
     slot = F.xxhash64("id").bitwiseAND(F.lit(FILTER - 1))
-    parts = ids.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    filled = np.zeros(FILTER // 8, np.uint8)
-    for row in parts.collect():  # FILTER / 32768 rows at most
-        at = (row.part - 1) * 4096
-        filled[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(filled)
+    shared = df.sparkSession.sparkContext.broadcast(filled(ids.select(slot.alias("slot"))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,13 +1,15 @@
 """Texts cut off by a limit or a broken transfer.
 
-1. Near-copies: bands of one-permutation minima over word shingles; the longest text of each
-   band's bucket stands for the bucket, so a hot bucket costs no more than its size.  A record
-   and its bucket's longest text are aligned at the record's last words; where the other text
-   goes on within the word or sentence, the record ends early.
-2. Unmatched records are scored by how terminal their closing words are: a cut mark, an open
+1. Near-copies: the words that a record closes with are looked up in all texts by an exact join on
+   the hash of the last whole words, so every text that has them is a candidate, however long and
+   however unlike elsewhere.  Where the candidate goes on within the word or sentence, and has at least half of
+   the shingles of the stretch before it, the record ends early, whatever its own end looks like.
+   Fixed-size filters on the hashes keep all else out of the joins, and endings are compared with
+   continuations once for all their texts, before any record is paired.
+2. All other records are scored by how terminal their closing words are: a cut mark, an open
    bracket, the punctuation, the kind of the last line (prose, list line, table row, signature),
    lengths at which the corpus piles up, and how often the closing word closes a line anywhere,
-   from a fixed-size sketch over all texts.
+   from a fixed-size sketch over all texts.  Records that this finds cut need no near-copy.
 
 Defined results: null and empty texts are not cut; texts that end with a signature, a list, a
 table row or a short status phrase are complete unless a near-copy or their closing word
@@ -17,7 +19,8 @@ shows otherwise; repeated rows of one id count once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +29,19 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import arrow_map, cut
 from lodestrata.llm.mail import CLOSINGS, NOTICES, fold
-from lodestrata.llm.neardup import _named
-from lodestrata.llm.words import blocks, mix, words_of
+from lodestrata.llm.neardup import FILTER, filled
+from lodestrata.llm.words import Words, blocks, mix, words_of
 
 _U = np.uint64
 #: Buckets of the closing-word sketch: words within lines, and words that close lines.
 BUCKETS = 1 << 19
 CHUNK = 1 << 13
-BANDS, ROWS, K = 20, 5, 5
+#: Whole words before the last that are looked up; words of a shingle; words of the stretch before the end that a
+#: near-copy has at least half of, and words by which the near-copy's may be longer; characters after the last word that
+#: show how it goes on.
+K, SHINGLE, STRETCH, SLACK, AFTER = 5, 3, 64, 16, 24
+#: Characters that a text must have to be aligned.
+LONG = 80
 
 _MARK = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|\[?(?:truncated|cut|gekürzt|abgeschnitten|tronqué|truncado|obcięto|ucięto)\]?|>>+|\[\+\d+ [^\]]{1,12}\])\s*$", re.I)
 _END = re.compile(r"[.!?。][\"”“»’')\]]*$|[”»\"]$")
@@ -102,7 +110,7 @@ def pile_ups(df: DataFrame, text: str) -> set[tuple[str, int]]:
 
 
 class Judge:
-    """Judges the end of a text: 'cut', 'whole', or 'open' where only a near-copy can tell."""
+    """Judges the end of a text: 'cut', 'whole', or 'open' where the end itself doesn't tell."""
 
     def __init__(self, counts: np.ndarray, limits: set[tuple[str, int]]):
         self.counts, self.limits = counts, limits
@@ -178,49 +186,87 @@ class Judge:
         return wrapped or len(last.split()) >= 5
 
 
-def _bands(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, band hash) of the texts with a shingle."""
+def _window(w: Words, first: int, to: int) -> np.ndarray:
+    """Hashes of the shingles of the words from ``first`` up to ``to``, without repeats."""
+    h = w.hash[first:to]
+    if len(h) < SHINGLE:
+        return np.zeros(0, np.int32)
+    g = np.zeros(len(h) - SHINGLE + 1, _U)
+    for i in range(SHINGLE):
+        g = g * _U(0x9E3779B97F4A7C15) + h[i : i + len(g)]
+    return np.unique((mix(g) >> _U(32)).astype(np.uint32).view(np.int32))
+
+
+def endings(texts: list[str]) -> list[tuple[int, str] | None]:
+    """(hash of the last K words before the very last, the last word and what follows it) of each text that is
+    long enough to be aligned."""
+    ends = [_MARK.sub("", x.rstrip()).rstrip() for x in texts]
+    out = _endings([x[-400:] for x in ends], K + 2)  # the first word of a piece may be a part of one
+    again = [i for i, x in enumerate(out) if x is None or len(ends[i]) <= 400]
+    for i, x in zip(again, _endings([ends[i] for i in again], K + 1)):
+        out[i] = x
+    return [x if len(end) >= LONG else None for x, end in zip(out, ends)]
+
+
+def _endings(ends: list[str], least: int) -> list[tuple[int, str] | None]:
+    w = words_of(ends)
+    h, at = w.shingles(K)
+    last = w.first[1:] - 1
+    run = np.searchsorted(at, last - K)
+    out: list[tuple[int, str] | None] = []
+    for i, end in enumerate(ends):
+        if w.first[i + 1] - w.first[i] < least:
+            out.append(None)
+        else:
+            out.append((int(h[run[i]].view(np.int64)), (end if len(end.lower()) == len(end) else end.lower())[w.start[last[i]] :]))
+    return out
+
+
+def followers(texts: list[str | None], wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[Words, list[tuple[int, int, int, str]]]:
+    """The words of the texts, and (text, hash of K words, word after them, how the text goes on from that
+    word) of every run of K words whose hash is ``wanted`` and that a word follows."""
     w = words_of(texts)
     h, at = w.shingles(K)
-    d = w.doc[at]
-    bins = BANDS * ROWS
-    least = np.full(len(texts) * bins, np.iinfo(np.uint64).max, _U)
-    np.minimum.at(least, d * bins + (h % _U(bins)).astype(np.int64), mix(h))
-    least = least.reshape(len(texts), bins)
-    empty = least == np.iinfo(np.uint64).max
-    for step in range(1, bins):  # an empty bin takes the next one's value
-        if not empty.any():
-            break
-        least = np.where(empty, np.roll(least, -1, axis=1), least)
-        empty = least == np.iinfo(np.uint64).max
-        if step > 12:
-            break
-    rows = least.reshape(len(texts), BANDS, ROWS)
-    band = np.zeros((len(texts), BANDS), _U)
-    for i in range(ROWS):
-        band = mix(band + rows[:, :, i] + _U(i + 1))
-    band += np.arange(BANDS, dtype=_U)
-    some = np.flatnonzero(np.bincount(d, minlength=len(texts)))
-    return np.repeat(some, BANDS), band[some].ravel()
+    ok = np.flatnonzero(wanted(h)) if len(h) else np.zeros(0, np.int64)
+    ok = ok[at[ok] + K < w.first[w.doc[at[ok]] + 1]]
+    after = at[ok] + K
+    plain: dict[int, str] = {}
+    out = []
+    for d, run, i, x, y in zip(w.doc[after].tolist(), h[ok].view(np.int64).tolist(), after.tolist(), w.start[after].tolist(), w.end[after].tolist()):
+        if d not in plain:
+            t = texts[d] or ""
+            plain[d] = (t if len(t.lower()) == len(t) else t.lower()).rstrip()
+        out.append((d, run, i, plain[d][x : y + AFTER]))
+    return w, out
+
+
+def _stretch(w: Words, d: int, to: int, most: int) -> bytes:
+    return _window(w, max(int(w.first[d]), to - most), to).tobytes()
+
+
+def goes_on(tail: str, follow: str) -> bool:
+    """A text that ends with ``tail`` goes on within the word or sentence where another has ``follow``."""
+    if follow[: len(tail)].lower() != tail.lower():
+        return False
+    rest = follow[len(tail) :]
+    return bool(rest) and (rest[0].isalnum() or bool(re.match(r"[ ]?\S|\n[>| ]*[a-zà-ÿ]", rest)) and not _END.search(tail[-3:]) and not rest.startswith("\n\n"))
+
+
+def contained(window: bytes, other: bytes) -> bool:
+    """At least half of the shingles are the other's, too."""
+    own = np.frombuffer(window, np.int32)
+    return len(own) > 0 and 2 * np.isin(own, np.frombuffer(other, np.int32), assume_unique=True).sum() >= len(own)
 
 
 def ends_early(text: str, other: str) -> bool:
-    """The text's last words stand in the other, which goes on within the word or sentence."""
-    end = _MARK.sub("", text.rstrip()).rstrip()
-    tail = end[-60:]
-    if len(end) < 80 or len(other) <= len(end) * 0.9:
+    """The text's last words stand somewhere in the other, which goes on within the word or sentence."""
+    end = endings([text])[0]
+    if end is None:
         return False
-    at = other.find(tail)
-    if at < 0:
-        words = re.split(r"[\s>|]+", end[-90:])[1:]
-        pattern = r"[\s>|]+".join(map(re.escape, words))
-        m = re.search(pattern, other) if len(words) >= 5 else None
-        if not m:
-            return False
-        rest = other[m.end() :]
-    else:
-        rest = other[at + len(tail) :]
-    return bool(rest) and (rest[0].isalnum() or bool(re.match(r"[ ]?\S|\n[>| ]*[a-zà-ÿ]", rest)) and not _END.search(end[-3:]) and not rest.startswith("\n\n"))
+    w, own = followers([text], lambda h: h.view(np.int64) == end[0])
+    stretch = _stretch(w, 0, own[-1][2], STRETCH)
+    w, found = followers([other], lambda h: h.view(np.int64) == end[0])
+    return any(goes_on(end[1], follow) and contained(stretch, _stretch(w, 0, i, STRETCH + SLACK)) for _, _, i, follow in found)
 
 
 def share_by_source(rows: DataFrame, cut_ids: DataFrame, key: str, source: str) -> DataFrame:
@@ -240,39 +286,93 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
         judge = Judge(*shared.value)
 
         def f(b):
-            out: dict[str, list] = {c: [] for c in (key, "verdict", "n", "bands")}
-            for x, y in blocks(b[text]):
-                d, h = _bands(b[text][x:y])
-                first = np.searchsorted(d, np.arange(y - x + 1))
-                for i in range(y - x):
-                    k, t = b[key][x + i], b[text][x + i]
-                    if k is not None and t:
-                        out[key].append(k)
-                        out["verdict"].append(judge.judge(t))
-                        out["n"].append(len(t))
-                        out["bands"].append(h[first[i] : first[i + 1]].view(np.int64))
+            own = [(k, t, judge.judge(t)) for k, t in zip(b[key], b[text]) if k is not None and t]
+            out: dict[str, list] = {key: [k for k, _, _ in own], "verdict": [v for _, _, v in own], "run": [], "tail": []}
+            ends = iter(endings([t for _, t, v in own if v != "cut"]))
+            for _, _, verdict in own:
+                run, tail = (verdict != "cut" and next(ends)) or (None, None)
+                out["run"].append(run)
+                out["tail"].append(tail)
+            return out
+
+        return f
+
+    seen = cut(arrow_map(df.select(key, text), judged, f"{key} {kind}, verdict string, run bigint, tail string"))
+    ends = seen.where("run IS NOT NULL").select("run", "tail").distinct()
+    early = _early(df.select(F.col(key).alias("id"), F.col(text).alias("text")), ends).withColumnRenamed("id", key)
+    return seen.where("verdict = 'cut'").select(key).unionByName(early).distinct()
+
+
+def _slots(runs: list[int], texts: list[str]) -> np.ndarray:
+    """Bits of a filter on runs of words with what comes after them."""
+    h = np.array(runs, np.int64).view(_U) + np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in texts], _U)
+    return (mix(h) & _U(FILTER - 1)).astype(np.int64)
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _early(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id) of the texts with one of the ``ends``, whose closing words another text has and goes on after."""
+    kind, spark = dict(texts.dtypes)["id"], texts.sparkSession
+    runs = spark.sparkContext.broadcast(filled(ends.select(F.col("run").bitwiseAND(F.lit(FILTER - 1)).alias("slot"))))
+
+    def wanted(h: np.ndarray) -> np.ndarray:
+        return _set(runs.value, (h & _U(FILTER - 1)).astype(np.int64))
+
+    def following():
+        seen: set = set()
+
+        def f(b):
+            new = {(run, follow) for x, y in blocks(b["text"]) for _, run, _, follow in followers(b["text"][x:y], wanted)[1]} - seen
+            if len(seen) < 200_000:  # bounded memory; what is named twice is collapsed at the shuffle
+                seen.update(new)
+            return {"run": [x for x, _ in new], "follow": [x for _, x in new]}
+
+        return f
+
+    def going():
+        def f(b):
+            ok = [goes_on(t, w) for t, w in zip(b["tail"], b["follow"])]
+            out = {c: [v for v, o in zip(b[c], ok) if o] for c in ("run", "tail", "follow")}
+            return out | {"at_tail": _slots(out["run"], out["tail"]), "at_follow": _slots(out["run"], out["follow"])}
+
+        return f
+
+    # Which endings go on elsewhere at all: one row for each pair of ending and continuation, whatever texts have them.
+    follows = arrow_map(texts.select("text"), following, "run bigint, follow string").distinct()
+    going_on = cut(arrow_map(ends.join(follows, "run"), going, "run bigint, tail string, follow string, at_tail bigint, at_follow bigint"))
+    pairs = spark.sparkContext.broadcast(filled(going_on.select(F.explode(F.array("at_tail", "at_follow")).alias("slot"))))
+
+    def around():
+        def f(b):
+            out: dict[str, list] = {c: [] for c in ("id", "run", "follow", "stretch", "around")}
+            for x, y in blocks(b["text"]):
+                w, found = followers(b["text"][x:y], wanted)
+                ok = _set(pairs.value, _slots([r for _, r, _, _ in found], [t for _, _, _, t in found])) if found else []
+                for (d, run, i, follow), o in zip(found, ok):
+                    if o and b["id"][x + d] is not None:
+                        own = _stretch(w, d, i, STRETCH) if i == w.first[d + 1] - 1 and len(b["text"][x + d].rstrip()) >= LONG else None
+                        for c, v in zip(out, (b["id"][x + d], run, follow, own, _stretch(w, d, i, STRETCH + SLACK))):
+                            out[c].append(v)
             return out
 
         return f
 
-    seen = cut(arrow_map(df.select(key, text), judged, f"{key} {kind}, verdict string, n int, bands array<bigint>"))
-    long = seen.select(F.col(key).alias("id"), "verdict", "n", F.explode("bands").alias("band"))
-    chief = long.groupBy("band").agg(F.max(F.struct("n", "id")).alias("chief"))
-    pairs = cut(
-        long.where("verdict = 'open'").join(chief, "band").select("id", F.col("chief.id").alias("other"), "n", F.col("chief.n").alias("m"))
-        .where("id != other and m > n").select("id", "other").distinct()
-    )
-    texts = _named(df.select(F.col(key).alias("id"), F.col(text).alias("text")), pairs.select(F.explode(F.array("id", "other")).alias("id")))
-    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
-
-    def align():
+    def near():
         def f(b):
-            return {key: [k for k, a, o in zip(b["id"], b["text"], b["other_text"]) if a and o and ends_early(a, o)]}
+            return {"id": [k for k, s, o in zip(b["id"], b["stretch"], b["around"]) if contained(s, o)]}
 
         return f
 
-    early = arrow_map(both.select("id", "text", "other_text"), align, f"{key} {kind}")
-    return seen.where("verdict = 'cut'").select(key).unionByName(early).distinct()
+    found = cut(arrow_map(texts, around, f"id {kind}, run bigint, follow string, stretch binary, around binary"))
+    on = going_on.select("run", "tail", "follow").distinct()
+    own = found.where("stretch IS NOT NULL").select("id", "run", F.col("follow").alias("tail"), "stretch").distinct()
+    # Equal stretches that go on alike are one; of two ids one is another text's.
+    others = found.groupBy("run", "follow", "around").agg(F.min("id").alias("one"), F.max("id").alias("two"))
+    both = own.join(on, ["run", "tail"]).join(others, ["run", "follow"]).where("one != id OR two != id")
+    return arrow_map(both.select("id", "stretch", "around"), near, f"id {kind}").distinct()
 
 
 _MASK = re.compile(r"\b(?=\w*\d)\w+\b")
