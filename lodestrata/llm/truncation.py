@@ -9,7 +9,7 @@
 2. All other records are scored by how terminal their closing words are: a cut mark, an open
    bracket, the punctuation, the kind of the last line (prose, list line, table row, signature),
    lengths at which the corpus piles up, and how often the closing word closes a line anywhere,
-   from a fixed-size sketch over all texts.  Records that this finds cut need no near-copy.
+   compared with other words, from a sketch over all texts.  Records that this finds cut need no near-copy.
 
 Defined results: null and empty texts are not cut; texts that end with a signature, a list, a
 table row or a short status phrase are complete unless a near-copy or their closing word
@@ -18,6 +18,7 @@ shows otherwise; repeated rows of one id count once.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,12 +30,16 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import arrow_map, cut
 from lodestrata.llm.mail import CLOSINGS, NOTICES, fold
-from lodestrata.llm.neardup import FILTER, filled
+from lodestrata.llm.neardup import FILTER, buckets_for, filled
 from lodestrata.llm.words import Words, blocks, mix, words_of
 
 _U = np.uint64
-#: Buckets of the closing-word sketch: words within lines, and words that close lines.
+#: Least buckets of the closing-word sketch, which grows with the input: words within lines, and words that close lines.
 BUCKETS = 1 << 19
+#: A count is no chance if a Poisson count of its mean is so far off, or farther, with a probability under exp(-x): of a
+#: word's line ends, and of a length, of which there are many. It must also differ from the mean by a factor.
+SURE_WORD, SURE_LENGTH = 8, 21
+FEW, MANY = 1 / 20, 5
 CHUNK = 1 << 13
 #: Whole words before the last that are looked up; words of a shingle; words of the stretch before the end that a
 #: near-copy has at least half of, and words by which the near-copy's may be longer; characters after the last word that
@@ -59,10 +64,12 @@ _WORD = re.compile(r"[^\W\d_]+(?=\W*$)")
 
 
 def closing_counts(df: DataFrame, text: str) -> np.ndarray:
-    """(2, BUCKETS): how often words of each hash bucket stand within a line, and how often they close one."""
+    """(2, buckets): how often words of each hash bucket stand within a line, and how often they close one."""
+    df = df.select(text)
+    width = max(BUCKETS, buckets_for(df))
 
     def make():
-        total = np.zeros(2 * BUCKETS, np.int64)
+        total = np.zeros(2 * width, np.int32)
 
         def f(b):
             for x, y in blocks(b[text]):
@@ -70,13 +77,13 @@ def closing_counts(df: DataFrame, text: str) -> np.ndarray:
                 inner = np.ones(len(w.hash), bool)
                 last = w.first[1:][np.diff(w.first) > 0] - 1  # the last word may be cut
                 inner[last] = False
-                slot = (w.hash % _U(BUCKETS)).astype(np.int64) + np.where(w.closes, BUCKETS, 0)
-                np.add(total, np.bincount(slot[inner], minlength=2 * BUCKETS), out=total)
+                slot = (w.hash % _U(width)).astype(np.int64) + np.where(w.closes, width, 0)
+                np.add.at(total, slot[inner], 1)
 
         def end():
-            parts = np.minimum(total, 2**31 - 1).reshape(-1, CHUNK)
+            parts = total.reshape(-1, CHUNK)
             some = np.flatnonzero(parts.any(axis=1))
-            return {"chunk": some.tolist(), "counts": [parts[i].astype(np.int32).tobytes() for i in some]}
+            return {"chunk": some.tolist(), "counts": [parts[i].tobytes() for i in some]}
 
         f.end = end
         return f
@@ -88,39 +95,47 @@ def closing_counts(df: DataFrame, text: str) -> np.ndarray:
                 total += np.frombuffer(x, np.int32)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    out = np.zeros(2 * BUCKETS, np.int32)
-    summed = arrow_map(df.select(text), make, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    for row in summed.collect():  # 2 * BUCKETS / CHUNK rows at most
+    out = np.zeros(2 * width, np.int32)
+    summed = arrow_map(df, make, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
+    for row in summed.collect():  # 2 * width / CHUNK rows at most
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.int32)
-    return out.reshape(2, BUCKETS)
+    return out.reshape(2, width)
 
 
 def pile_ups(df: DataFrame, text: str) -> set[tuple[str, int]]:
-    """Lengths, in characters or bytes, of far more texts than the lengths around them; by that, at most
-    a seventh of all lengths, and in fact a few.
+    """Lengths, in characters or bytes, of far more texts than the lengths around them let expect, so many that it
+    is no chance; by that, at most a seventh of all lengths, and in fact a few.
 
     Only texts without an end mark count, and those of one beginning, which may be copies, count once.
     """
     sized = df.where(~F.col(text).rlike(r"[.!?…”»\")\]}]\s*$")).select(F.xxhash64(F.substring(text, 1, 80)).alias("h"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("n")))).alias("x")).select("h", "x.*").distinct()
     counts = sized.groupBy("unit", "n").count()
     near = counts.select("unit", F.explode(F.sequence(F.col("n") - 10, F.col("n") + 10)).alias("n"), F.col("count").alias("c"), F.col("n").alias("own"))
-    around = near.where("n != own").groupBy("unit", "n").agg((F.sum("c") / 20).alias("usual"))
-    out = counts.where("count >= 8").join(around, ["unit", "n"], "left").where(F.col("count") >= 5 * F.greatest(F.coalesce("usual", F.lit(0.0)), F.lit(1.0)))
+    around = near.where("n != own").groupBy("unit", "n").agg(F.sum("c").alias("c"))
+    usual = (F.coalesce("c", F.lit(0)) + 1) / 20
+    c = F.col("count")
+    out = counts.where("count > 1").join(around, ["unit", "n"], "left").where((c >= MANY * usual) & (c * F.log(c / usual) - c + usual >= SURE_LENGTH))
     return {(r.unit, r.n) for r in out.select("unit", "n").collect()}
 
 
+def surprise(count: int, mean: float) -> float:
+    """A Poisson count of this mean is as far off, on its side, with a probability of at most exp(-surprise)."""
+    return mean - count + (count * math.log(count / mean) if count else 0.0)
+
+
 class Judge:
     """Judges the end of a text: 'cut', 'whole', or 'open' where the end itself doesn't tell."""
 
     def __init__(self, counts: np.ndarray, limits: set[tuple[str, int]]):
         self.counts, self.limits = counts, limits
+        self.usual = float(counts[1].sum(dtype=np.int64)) / max(1, int(counts.sum(dtype=np.int64)))  # share of words that close a line
 
     def terminality(self, word: str) -> tuple[int, float]:
         """How often the word occurs, and the share of these that closes a line."""
         h = words_of([word]).hash
         if len(h) != 1:
             return 0, 0.0
-        i = int(h[0] % _U(BUCKETS))
+        i = int(h[0] % _U(self.counts.shape[1]))
         inner, closing = int(self.counts[0, i]), int(self.counts[1, i])
         return inner + closing, closing / max(1, inner + closing)
 
@@ -160,7 +175,7 @@ class Judge:
         if not m:
             return True
         n, share = self.terminality(m.group())
-        return n > 0 and (n < 200 or share >= 0.002)
+        return n > 0 and (share >= FEW * self.usual or surprise(round(n * share), n * self.usual) < SURE_WORD)
 
     def _prose(self, lines: list[str]) -> bool:
         last = lines[-1]

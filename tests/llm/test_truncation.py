@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from lodestrata.llm import truncation
 
 COLUMNS = "key string, text string"
@@ -39,3 +41,28 @@ def test_copies_cut_short_and_sentence_ends(spark):
     ]
     got = cut_keys(spark, rows)
     assert {"short", "whole by its end"} <= got and not got & {"alone", "twice"}
+
+
+def test_closing_words_are_compared_with_the_corpus():
+    counts = np.zeros((2, truncation.BUCKETS), int)
+    slot = lambda word: int(truncation.words_of([word]).hash[0] % np.uint64(truncation.BUCKETS))
+    counts[0, slot("other")], counts[1, slot("other")], counts[0, slot("boa")] = 700_000, 300_000, 100
+    assert not truncation.Judge(counts, set())._closes("the boa")  # thirty line ends are expected
+    counts[:, slot("other")], counts[0, slot("boa")] = (999_900, 100), 400
+    judge = truncation.Judge(counts, set())
+    assert judge._closes("the boa") and not judge._closes("the never seen")  # none is expected
+
+
+def test_rare_limits_pile_up(spark):
+    r = random.Random(3)
+    rows = [(words(100 + i, 80)[: 6 * i + 40],) for i in range(60)] + [(words(500 + i, 80)[:500],) for i in range(7)]
+    assert truncation.pile_ups(spark.createDataFrame(rows, "text string"), "text") == {("chars", 500), ("bytes", 500)}
+    rows = [(words(900 + i, 60)[: r.randrange(100, 130)],) for i in range(300)]
+    assert truncation.pile_ups(spark.createDataFrame(rows, "text string"), "text") == set()
+
+
+def test_sketch_grows_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "buckets_for", lambda df: 1 << 21)
+    df = spark.createDataFrame([("one of the crates\nmore words",)], "text string")
+    counts = truncation.closing_counts(df, "text")
+    assert counts.shape == (2, 1 << 21) and truncation.Judge(counts, set()).terminality("crates") == (1, 1.0)
