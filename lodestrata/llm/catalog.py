@@ -57,15 +57,19 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(contents(spark, d), "sha256", "content", k=3, t=0.6, min_words=20)
 
 
+def _sourced(spark: SparkSession, d: str) -> DataFrame:
+    return contents(spark, d, F.regexp_extract("filename", r"extracted/files/([^/]+)/", 1).alias("source"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = truncation.truncated(contents(spark, d), "sha256", "content").select("sha256", F.lit("content").alias("field"))
+    texts = truncation.truncated(_sourced(spark, d), "sha256", "content", "source").select("sha256", F.lit("content").alias("field"))
     messages = table(spark, d, "leakdata_index").where(F.col("sha256").isNotNull())
     return texts.unionByName(truncation.truncated_messages(messages, "sha256", "message").select("sha256", F.lit("message").alias("field")))
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
-    rows = contents(spark, d, F.regexp_extract("filename", r"extracted/files/([^/]+)/", 1).alias("source"))
-    return truncation.share_by_source(rows, truncation.truncated(rows.select("sha256", "content"), "sha256", "content"), "sha256", "source")
+    rows = _sourced(spark, d)
+    return truncation.share_by_source(rows, truncation.truncated(rows, "sha256", "content", "source"), "sha256", "source")
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:

@@ -22,6 +22,7 @@ import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -102,20 +103,26 @@ def closing_counts(df: DataFrame, text: str) -> np.ndarray:
     return out.reshape(2, width)
 
 
-def pile_ups(df: DataFrame, text: str) -> set[tuple[str, int]]:
+def pile_ups(df: DataFrame, text: str, source: str | None = None) -> set[tuple]:
     """Lengths, in characters or bytes, of far more texts than the lengths around them let expect, so many that it
-    is no chance; by that, at most a seventh of all lengths, and in fact a few.
+    is no chance; by that, at most a seventh of all lengths, and in fact a few. (unit, length), or (unit, length, source)
+    where only the texts of one source pile up.
 
-    Only texts without an end mark count, and those of one beginning, which may be copies, count once.
+    Only texts without an end mark count. Whole texts are compared: those that are equal but for their
+    digits, which have one length without any limit, count once.
     """
-    sized = df.where(~F.col(text).rlike(r"[.!?…”»\")\]}]\s*$")).select(F.xxhash64(F.substring(text, 1, 80)).alias("h"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("n")))).alias("x")).select("h", "x.*").distinct()
-    counts = sized.groupBy("unit", "n").count()
-    near = counts.select("unit", F.explode(F.sequence(F.col("n") - 10, F.col("n") + 10)).alias("n"), F.col("count").alias("c"), F.col("n").alias("own"))
-    around = near.where("n != own").groupBy("unit", "n").agg(F.sum("c").alias("c"))
-    usual = (F.coalesce("c", F.lit(0)) + 1) / 20
+    who = F.array_distinct(F.array(F.lit(None).cast("string"), F.col(source))) if source else F.array(F.lit(None).cast("string"))
+    sized = df.where(~F.col(text).rlike(r"[.!?…”»\")\]}]\s*$")).select(F.xxhash64(F.translate(text, "123456789", "0" * 9)).alias("h"), who.alias("who"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")).distinct()
+    sized = sized.select("h", F.explode("who").alias("who"), "chars", "bytes").distinct()
+    one = sized.select("who", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("x")).select("who", "x.*")
+    counts = cut(one.groupBy("who", "unit", "n").count())
+    near = counts.select("who", "unit", F.explode(F.sequence(F.col("n") - 10, F.col("n") + 10)).alias("n"), F.col("count").alias("c"), F.col("n").alias("own"))
+    around = near.where("n != own").groupBy("who", "unit", "n").agg(F.sum("c").alias("c")).alias("a")
+    usual = (F.coalesce("a.c", F.lit(0)) + 1) / 20
     c = F.col("count")
-    out = counts.where("count > 1").join(around, ["unit", "n"], "left").where((c >= MANY * usual) & (c * F.log(c / usual) - c + usual >= SURE_LENGTH))
-    return {(r.unit, r.n) for r in out.select("unit", "n").collect()}
+    many = counts.where("count > 1").alias("m")
+    out = many.join(around, F.col("m.who").eqNullSafe(F.col("a.who")) & (F.col("m.unit") == F.col("a.unit")) & (F.col("m.n") == F.col("a.n")), "left").where((c >= MANY * usual) & (c * F.log(c / usual) - c + usual >= SURE_LENGTH))
+    return {(r.unit, r.n) if r.who is None else (r.unit, r.n, r.who) for r in out.select("m.unit", "m.n", "m.who").collect()}
 
 
 def surprise(count: int, mean: float) -> float:
@@ -126,8 +133,9 @@ def surprise(count: int, mean: float) -> float:
 class Judge:
     """Judges the end of a text: 'cut', 'whole', or 'open' where the end itself doesn't tell."""
 
-    def __init__(self, counts: np.ndarray, limits: set[tuple[str, int]]):
+    def __init__(self, counts: np.ndarray, limits: set[tuple]):
         self.counts, self.limits = counts, limits
+        self.known: dict[str, tuple[int, float]] = {}
         self.usual = float(counts[1].sum(dtype=np.int64)) / max(1, int(counts.sum(dtype=np.int64)))  # share of words that close a line
 
     def terminality(self, word: str) -> tuple[int, float]:
@@ -139,7 +147,7 @@ class Judge:
         inner, closing = int(self.counts[0, i]), int(self.counts[1, i])
         return inner + closing, closing / max(1, inner + closing)
 
-    def judge(self, text: str) -> str:
+    def judge(self, text: str, source: str | None = None) -> str:
         end = text.rstrip()
         if not end:
             return "whole"
@@ -163,8 +171,9 @@ class Judge:
         folded = fold(last)
         if _NOTICE.match(folded) and len(last) < 80:
             return "whole" if self._closes(last) else "cut"
-        if ("chars", len(text)) in self.limits or ("bytes", len(text.encode())) in self.limits:
-            return "cut"
+        for size in (("chars", len(text)), ("bytes", len(text.encode()))):
+            if size in self.limits or (*size, source) in self.limits:
+                return "cut"
         prose = self._prose(lines)
         if prose:
             return "cut"
@@ -174,7 +183,11 @@ class Judge:
         m = _WORD.search(last[-120:])
         if not m:
             return True
-        n, share = self.terminality(m.group())
+        if m.group() not in self.known:
+            if len(self.known) >= 100_000:  # bounded memory
+                self.known.clear()
+            self.known[m.group()] = self.terminality(m.group())
+        n, share = self.known[m.group()]
         return n > 0 and (share >= FEW * self.usual or surprise(round(n * share), n * self.usual) < SURE_WORD)
 
     def _prose(self, lines: list[str]) -> bool:
@@ -290,10 +303,10 @@ def share_by_source(rows: DataFrame, cut_ids: DataFrame, key: str, source: str)
     return flagged.groupBy(source).agg(F.count("*").alias("n"), F.count("cut").alias("n_cut"), (F.count("cut") / F.count("*")).alias("share"))
 
 
-def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key) of the texts that are cut; one row per key."""
+def truncated(df: DataFrame, key: str, text: str, source: str | None = None) -> DataFrame:
+    """(key) of the texts that are cut; one row per key. Limits are sought in each ``source``, too."""
     spark = df.sparkSession
-    counts, limits = closing_counts(df, text), pile_ups(df, text)
+    counts, limits = closing_counts(df, text), pile_ups(df, text, source)
     shared = spark.sparkContext.broadcast((counts, limits))
     kind = dict(df.dtypes)[key]
 
@@ -301,7 +314,7 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
         judge = Judge(*shared.value)
 
         def f(b):
-            own = [(k, t, judge.judge(t)) for k, t in zip(b[key], b[text]) if k is not None and t]
+            own = [(k, t, judge.judge(t, s)) for k, t, s in zip(b[key], b[text], b[source] if source else repeat(None)) if k is not None and t]
             out: dict[str, list] = {key: [k for k, _, _ in own], "verdict": [v for _, _, v in own], "run": [], "tail": []}
             ends = iter(endings([t for _, t, v in own if v != "cut"]))
             for _, _, verdict in own:
@@ -312,7 +325,7 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
 
         return f
 
-    seen = cut(arrow_map(df.select(key, text), judged, f"{key} {kind}, verdict string, run bigint, tail string"))
+    seen = cut(arrow_map(df.select(key, text, *([source] if source else [])), judged, f"{key} {kind}, verdict string, run bigint, tail string"))
     ends = seen.where("run IS NOT NULL").select("run", "tail").distinct()
     early = _early(df.select(F.col(key).alias("id"), F.col(text).alias("text")), ends).withColumnRenamed("id", key)
     return seen.where("verdict = 'cut'").select(key).unionByName(early).distinct()
@@ -331,10 +344,12 @@ def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _early(texts: DataFrame, ends: DataFrame) -> DataFrame:
     """(id) of the texts with one of the ``ends``, whose closing words another text has and goes on after."""
     kind, spark = dict(texts.dtypes)["id"], texts.sparkSession
-    runs = spark.sparkContext.broadcast(filled(ends.select(F.col("run").bitwiseAND(F.lit(FILTER - 1)).alias("slot"))))
 
-    def wanted(h: np.ndarray) -> np.ndarray:
-        return _set(runs.value, (h & _U(FILTER - 1)).astype(np.int64))
+    def among(df: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+        runs = spark.sparkContext.broadcast(filled(df.select(F.col("run").bitwiseAND(F.lit(FILTER - 1)).alias("slot"))))
+        return lambda h: _set(runs.value, (h & _U(FILTER - 1)).astype(np.int64))
+
+    wanted = among(ends)
 
     def following():
         seen: set = set()
@@ -358,13 +373,14 @@ def _early(texts: DataFrame, ends: DataFrame) -> DataFrame:
     # Which endings go on elsewhere at all: one row for each pair of ending and continuation, whatever texts have them.
     follows = arrow_map(texts.select("text"), following, "run bigint, follow string").distinct()
     going_on = cut(arrow_map(ends.join(follows, "run"), going, "run bigint, tail string, follow string, at_tail bigint, at_follow bigint"))
+    left = among(going_on)
     pairs = spark.sparkContext.broadcast(filled(going_on.select(F.explode(F.array("at_tail", "at_follow")).alias("slot"))))
 
     def around():
         def f(b):
             out: dict[str, list] = {c: [] for c in ("id", "run", "follow", "stretch", "around")}
             for x, y in blocks(b["text"]):
-                w, found = followers(b["text"][x:y], wanted)
+                w, found = followers(b["text"][x:y], left)
                 ok = _set(pairs.value, _slots([r for _, r, _, _ in found], [t for _, _, _, t in found])) if found else []
                 for (d, run, i, follow), o in zip(found, ok):
                     if o and b["id"][x + d] is not None:

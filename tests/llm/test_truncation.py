@@ -66,3 +66,19 @@ def test_sketch_grows_with_the_input(spark, monkeypatch):
     df = spark.createDataFrame([("one of the crates\nmore words",)], "text string")
     counts = truncation.closing_counts(df, "text")
     assert counts.shape == (2, 1 << 21) and truncation.Judge(counts, set()).terminality("crates") == (1, 1.0)
+
+
+def test_limits_of_texts_with_one_beginning(spark):
+    head = "Report of the harbour office on the crates that were counted and weighed near the loading dock"
+    rows = [(head + words(i, 90)[: 5 * i + 100], "a") for i in range(60)] + [(head + words(300 + i, 90)[:300], "a") for i in range(30)]
+    rows += [(f"{head} {i:04}", "a") for i in range(300)]  # equal but for a number
+    assert truncation.pile_ups(spark.createDataFrame(rows, "text string, source string"), "text") == {("chars", len(head) + 300), ("bytes", len(head) + 300)}
+
+
+def test_limit_of_one_source(spark):
+    rows = [(words(i, 40)[: 140 + i % 21], "most") for i in range(630)] + [(words(2000 + i, 40)[:150], "few") for i in range(9)]
+    got = truncation.pile_ups(spark.createDataFrame(rows, "text string, source string"), "text", "source")
+    assert got == {("chars", 150, "few"), ("bytes", 150, "few")}
+    judge = truncation.Judge(np.zeros((2, truncation.BUCKETS), int), got)
+    text = "- list\n- " + "1" * 141
+    assert (judge.judge(text, "few"), judge.judge(text, "most"), judge.judge(text)) == ("cut", "open", "open")
