@@ -198,7 +198,7 @@ class Finder:
         return [(start - len(before) + a.start(), b.end(), "email")]
 
     def _titled(self, text: str, start: int, end: int) -> list:
-        if text[start:end] == "M." and not _french(text):
+        if text[start:end] == "M." and not _french(text, start):
             return []
         m = _TITLED.match(text, end)
         if not m:
@@ -354,7 +354,7 @@ class Finder:
                 out.append((m.start(), m.end(), "name"))
                 at = m.end()
         for m in _INITIAL.finditer(text):
-            if m.group(1) != "P.S." and m.group(2).lower().strip(".") not in NOT_NAMES and len(m.group(2)) > 3 and not (m.group(1) == "M." and _french(text)):
+            if m.group(1) != "P.S." and m.group(2).lower().strip(".") not in NOT_NAMES and len(m.group(2)) > 3 and not (m.group(1) == "M." and _french(text, m.start())):
                 out.append((m.start(), m.end(), "name"))
         return out
 
@@ -384,8 +384,15 @@ def _common(word: str) -> bool:
     return word.lower() in {"the", "our", "die", "der", "das", "unser", "le", "la", "les", "notre", "el", "los", "las", "nuestro", "nuestra", "for", "in", "on", "am", "im"}
 
 
-def _french(text: str) -> bool:
-    return len(re.findall(r"\b(?:le|la|les|du|des|et|une?)\b", text[:4000])) > len(re.findall(r"\b(?:the|and|of|der|die|und|el|los|del|w|na|z)\b", text[:4000]))
+def _french(text: str, at: int) -> bool:
+    """Whether the text around a place is French: its stretch of 2 000 characters and the two beside it."""
+    i = at // 2000
+    return _french_stretch(text[max(0, i - 1) * 2000 : (i + 2) * 2000])
+
+
+@lru_cache(64)
+def _french_stretch(text: str) -> bool:
+    return len(re.findall(r"\b(?:le|la|les|du|des|et|une?)\b", text)) > len(re.findall(r"\b(?:the|and|of|der|die|und|el|los|del|w|na|z)\b", text))
 
 
 def _settle(got: Sequence[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
