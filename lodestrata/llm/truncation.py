@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import arrow_map, cut
 from lodestrata.llm.mail import CLOSINGS, NOTICES, fold
-from lodestrata.llm.neardup import FILTER, buckets_for, filled
+from lodestrata.llm.neardup import FILTER, _named, buckets_for, filled
 from lodestrata.llm.words import Words, blocks, mix, words_of
 
 _U = np.uint64
@@ -410,7 +410,7 @@ _MASK = re.compile(r"\b(?=\w*\d)\w+\b")
 
 
 def truncated_messages(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key) of short generated messages that are cut: compared with the messages of one beginning.
+    """(key) of short generated messages that are cut: compared with all messages of one beginning.
 
     Each distinct message is judged once, however many rows have it.
     """
@@ -423,11 +423,10 @@ def truncated_messages(df: DataFrame, key: str, text: str) -> DataFrame:
 
         return f
 
-    # Status words such as "ok", which most rows may have, can't be cut and aren't shuffled.
-    df = df.select(key, F.trim(text).alias("m")).where("m LIKE '% % %'" + r" OR m RLIKE '^[\\{\\[]' OR m RLIKE '(…|\\.\\.\\.|[\\])>]|truncated|cut)$'")
-    distinct = df.select("m").distinct()
-    forms = arrow_map(distinct, masked, "m string, form string, lead string")
-    longest = forms.groupBy("lead").agg(F.max_by("form", F.struct(F.length("form"), "form")).alias("whole"))
+    df = df.select(key, F.trim(text).alias("m")).where("m <> ''")
+    distinct = df.select("m").distinct()  # a status word such as "ok", which most rows may have, is one row of each task
+    forms = cut(arrow_map(distinct, masked, "m string, form string, lead string"))
+    wholes = forms.select("lead", F.col("form").alias("whole")).distinct()
 
     def judged():
         def f(b):
@@ -435,8 +434,9 @@ def truncated_messages(df: DataFrame, key: str, text: str) -> DataFrame:
 
         return f
 
-    bad = arrow_map(forms.join(longest, "lead").select("m", "form", "whole"), judged, "m string")
-    return df.join(bad, "m", "left_semi").select(F.col(key).cast(kind)).distinct()
+    bad = cut(arrow_map(forms.join(wholes, "lead").select("m", "form", "whole"), judged, "m string").distinct())
+    rows = _named(df.select(F.col("m").alias("id"), key), bad.select(F.col("m").alias("id")))  # hot messages that are whole aren't shuffled
+    return rows.join(bad.withColumnRenamed("m", "id"), "id", "left_semi").select(F.col(key).cast(kind)).distinct()
 
 
 def message_cut(m: str, form: str, whole: str) -> bool:

@@ -82,3 +82,15 @@ def test_limit_of_one_source(spark):
     judge = truncation.Judge(np.zeros((2, truncation.BUCKETS), int), got)
     text = "- list\n- " + "1" * 141
     assert (judge.judge(text, "few"), judge.judge(text, "most"), judge.judge(text)) == ("cut", "open", "open")
+
+
+def test_every_message_is_judged(spark):
+    rows = [("tabs", "Skipped\tthe\tworker"), ("form", "Skipped the worker entry since its size is wrong."), ("longer", "Skipped the image of the other list since nobody had asked for it at all."), ("ok", "ok"), ("mark", "tronqué"), ("Mark", "Truncated"), ("n", None), ("e", " ")]
+    got = {r.key for r in truncation.truncated_messages(spark.createDataFrame(rows, COLUMNS), "key", "text").collect()}
+    assert got == {"tabs", "mark", "Mark"}
+
+
+def test_messages_are_compared_with_every_form(spark):
+    rows = [("cut", "Skipped the worker entry si"), ("form", "Skipped the worker entry since its size is wrong."), ("longest", "Skipped the big red image list that nobody had ever asked for at all.")]
+    got = {r.key for r in truncation.truncated_messages(spark.createDataFrame(rows, COLUMNS), "key", "text").collect()}
+    assert got == {"cut"}
