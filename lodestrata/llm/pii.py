@@ -1,8 +1,9 @@
 """Personal information in free text: find it, name its kind, put typed placeholders in its place.
 
 Anchor expansion: one Aho-Corasick pass finds at-signs and their spelt-out forms, street words,
-titles, given names and identifier cues; around each anchor a local parser finds the bounds and
-validates them.  Numbers and capitalised pairs are found by one scan each and validated alike.
+titles and given names in small letters; around each anchor a local parser finds the bounds and
+validates them.  Numbers and capitalised names are found by scans by form; then the cues before a
+number, and the list of given names, validate them.
 Where mentions overlap the earlier kind of ``KINDS`` holds.  A mention may be broken by line
 ends and quote marks.
 
