@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import abuse, encoding, language, leak, mail, neardup, packing, pii, truncation
-from lodestrata.llm.common import contents, cut, table
+from lodestrata.llm.common import contents, spread, table
 
 
 def _mentions(spark: SparkSession, d: str, masked: bool) -> DataFrame:
@@ -35,8 +35,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(contents(spark, d), "sha256", "content", k=3, t=0.6, min_words=20).select(F.col("a").alias("sha256_a"), F.col("b").alias("sha256_b"))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed(table(spark, d, "documents"), "doc_id", "text")
+    return packing.packed(_documents(spark, d), "doc_id", "text")
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -44,12 +48,12 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return leak.leaks(_documents(spark, d), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
     texts = encoding.garbled(contents(spark, d), "sha256", "content").select(F.lit("content").alias("field"), "sha256", "restored")
-    names = encoding.garbled(table(spark, d, "files"), "sha256", "original_filename", names=True).select(F.lit("original_filename").alias("field"), "sha256", "restored")
+    names = encoding.garbled(spread(table(spark, d, "files").select("sha256", "original_filename")), "sha256", "original_filename", names=True).select(F.lit("original_filename").alias("field"), "sha256", "restored")
     return texts.unionByName(names)
 
 
@@ -104,7 +108,7 @@ def p6_new_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     net = abuse.trained(docs, "doc_id", "text", "lang", table(spark, d, "review_labels"), "label")
     return abuse.scores(docs, "doc_id", "text", "lang", net)
 

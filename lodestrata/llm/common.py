@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores where a file or two hold them in fewer parts than that, such as one row group; a
+    table of many files or row groups stays as it is, so what is exchanged is small."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    parts = df.select(F.spark_partition_id().alias("part")).distinct().limit(cores).count()
+    return df if 2 * parts > cores else df.repartition(cores)
+
+
 def contents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """(sha256, content, more...) of the index, one row per PUT with a non-empty content.
 
@@ -22,10 +33,8 @@ def contents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     results, which are smaller than the texts.
     """
     index = table(spark, sf_dir, "leakdata_index")
-    return (
-        index.where(F.col("sha256").isNotNull() & (F.col("attachment.content") != ""))
-        .select("sha256", F.col("attachment.content").alias("content"), *more)
-    )
+    rows = index.where(F.col("sha256").isNotNull() & (F.col("attachment.content") != ""))
+    return spread(rows.select("sha256", F.col("attachment.content").alias("content"), *more))
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable] | None]], schema: str | T.StructType) -> DataFrame:
@@ -55,10 +64,12 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names; one of our own only where none is set and all runs in one process (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = os.path.join(os.environ.get("TMPDIR", "/tmp"), "lodestrata-checkpoints")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = os.path.join(tempfile.gettempdir(), "lodestrata-checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where

@@ -90,7 +90,7 @@ def _p(pattern: str, flags: int = 0) -> re.Pattern:
 _QUOTE = re.compile(r"\s*[>|]")
 _FIELD = re.compile(r"[*\s]*(?:" + "|".join(map(re.escape, sorted(FIELDS, key=len, reverse=True))) + r"|env[?�]+|wys[?�]ano|envoy[?�]+|[?�]+)[*]?\s?:(?:\s|$)")
 _FIRST_FIELD = re.compile(r"[*\s]*(?:from|von|de|od)[*]?\s?:\s")
-_CLOSING = _p("(?:" + "|".join(re.sub(r"\s+", r"\\s+", x) for x in sorted(CLOSINGS.strip().replace("\n", "|").split("|"), key=len, reverse=True)) + r")\s*[,.!;]*(?:\s*[-]?\s*((?:\w[\w.'-]*\s*){1,3}))?$")
+CLOSING = _p("(?:" + "|".join(re.sub(r"\s+", r"\\s+", x) for x in sorted(CLOSINGS.strip().replace("\n", "|").split("|"), key=len, reverse=True)) + r")\s*[,.!;]*(?:\s*[-]?\s*((?:\w[\w.'-]*\s*){1,3}))?$")
 _SEPARATOR = re.compile(r"\s*(?:--|__|~~+|==+|\*\*+|\* \* \*|---|___)\s*$")
 _NOTICE = _p(r"\W*(?:" + "|".join(NOTICES) + ")")
 _DISCLAIMER = _p("|".join(DISCLAIMERS), re.S)
@@ -125,7 +125,7 @@ def _attribution(lines: list[str], i: int) -> int:
 
 def _closing(line: str, raw: str) -> bool:
     """A closing formula, alone or with the name of the sender."""
-    m = _CLOSING.match(line)
+    m = CLOSING.match(line)
     return bool(m) and (not m.group(1) or all(w[:1].isupper() for w in raw.split()[-len(m.group(1).split()) :]))
 
 

@@ -368,25 +368,31 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
     return arrow_map(df, make, f"id {dict(df.dtypes)['id']}, items array<int>")
 
 
-#: Bits of the filter on ids: 8 MB, whatever the number of ids; a full filter only stops less.
-FILTER = 1 << 26
+#: Bits of a filter: 1 MB at least and 128 MB at most; a fuller filter only stops less.
+FILTER = (1 << 23, 1 << 30)
 
 
-def filled(slots: DataFrame) -> np.ndarray:
+def filter_bits(rows: DataFrame) -> int:
+    """So many bits that a filter on these rows is set to a thirtieth, within bounds."""
+    return min(FILTER[1], max(FILTER[0], 1 << (32 * rows.count()).bit_length()))
+
+
+def filled(slots: DataFrame, size: int) -> np.ndarray:
     """The filter's bits, eight to a byte, with those of the column ``slot`` set."""
     slot = F.col("slot") + 1
     parts = slots.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros(FILTER // 8, np.uint8)
-    for row in parts.collect():  # FILTER / 32768 rows at most
+    out = np.zeros(size // 8, np.uint8)
+    for row in parts.collect():  # size / 32768 rows at most
         at = (row.part - 1) * 4096
         out[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
 def _named(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is likely among ``ids``, by a fixed-size filter, before they are shuffled."""
-    slot = F.xxhash64("id").bitwiseAND(F.lit(FILTER - 1))
-    shared = df.sparkSession.sparkContext.broadcast(filled(ids.select(slot.alias("slot"))))
+    """Rows whose id is likely among ``ids``, by a filter of bounded size, before they are shuffled."""
+    size = filter_bits(ids)
+    slot = F.xxhash64("id").bitwiseAND(F.lit(size - 1))
+    shared = df.sparkSession.sparkContext.broadcast(filled(ids.select(slot.alias("slot")), size))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

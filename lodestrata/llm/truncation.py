@@ -1,19 +1,19 @@
 """Texts cut off by a limit or a broken transfer.
 
-1. Near-copies: the words that a record closes with are looked up in all texts by an exact join on
-   the hash of the last whole words, so every text that has them is a candidate, however long and
-   however unlike elsewhere.  Where the candidate goes on within the word or sentence, and has at least half of
-   the shingles of the stretch before it, the record ends early, whatever its own end looks like.
-   Fixed-size filters on the hashes keep all else out of the joins, and endings are compared with
-   continuations once for all their texts, before any record is paired.
-2. All other records are scored by how terminal their closing words are: a cut mark, an open
-   bracket, the punctuation, the kind of the last line (prose, list line, table row, signature),
-   lengths at which the corpus piles up, and how often the closing word closes a line anywhere,
-   compared with other words, from a sketch over all texts.  Records that this finds cut need no near-copy.
+1. Near-copies come from min-hash banding.  A cut copy has the beginning of the whole one, so the signatures are
+   those of a text's beginnings of 1, 2, 4, ... words: ``BANDS`` bands of two minima each.  A record asks with the
+   bands of the longest such beginning it has, each joined with the hash of its last whole words, so that a
+   bucket holds only texts that can be aligned at the record's end, however many are alike.  A pair is verified
+   by the shingles of the stretch before that end, of which the copy must have at least half, and aligned by its last word; where
+   the copy goes on within the word or sentence, the record ends early, whatever its own end looks like.
+2. Records without such a copy are scored by terminality.  The shape of an ending is its punctuation, the kind of its
+   last line and how its closing word stands to line ends in a sketch over all texts.  The shares of shapes among all
+   ends, and among one place in each text where it might have been cut, give the probability that an
+   ending of a shape was cut (the share of cut texts is the least ratio of the two).  Lengths at which texts pile up count as well.
 
 Defined results: null and empty texts are not cut; texts that end with a signature, a list, a
-table row or a short status phrase are complete unless a near-copy or their closing word
-shows otherwise; repeated rows of one id count once.
+table row or a short status phrase are complete unless a near-copy or the corpus shows otherwise; a text with a mark of
+omission at its end is cut; repeated rows of one id count once.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -29,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm import encoding
 from lodestrata.llm.common import arrow_map, cut
-from lodestrata.llm.mail import CLOSINGS, NOTICES, fold
-from lodestrata.llm.neardup import FILTER, _named, buckets_for, filled
+from lodestrata.llm.mail import CLOSING, NOTICES, fold
+from lodestrata.llm.neardup import _named, buckets_for, filled, filter_bits
 from lodestrata.llm.words import Words, blocks, mix, words_of
 
 _U = np.uint64
@@ -42,12 +45,16 @@ BUCKETS = 1 << 19
 SURE_WORD, SURE_LENGTH = 8, 21
 FEW, MANY = 1 / 20, 5
 CHUNK = 1 << 13
-#: Whole words before the last that are looked up; words of a shingle; words of the stretch before the end that a
-#: near-copy has at least half of, and words by which the near-copy's may be longer; characters after the last word that
-#: show how it goes on.
-K, SHINGLE, STRETCH, SLACK, AFTER = 5, 3, 64, 16, 24
-#: Characters that a text must have to be aligned.
-LONG = 80
+#: Bands of a signature, of two minima each; words of its shortest beginning.
+BANDS, FIRST = 8, 1
+#: Words of a shingle; words of the stretch before the end that a near-copy has at least half of, and words by which the
+#: near-copy's may be longer; characters after the last word that show how it goes on.
+SHINGLE, STRETCH, SLACK, AFTER = 3, 64, 16, 24
+#: Whole words before the last that are looked up, and characters that a text must have to be aligned.
+K, LONG = 5, 80
+#: Texts of a shape that the product of its parts counts for; share of the possible cuts whose shapes tell how many texts are cut;
+#: probability from which a text counts as cut: texts aren't cut evenly at all possible places, so shapes of cut ones differ by a factor.
+PRIOR, SURE, LEAST = 1.0, 0.3, 0.15
 
 _MARK = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|\[?(?:truncated|cut|gekürzt|abgeschnitten|tronqué|truncado|obcięto|ucięto)\]?|>>+|\[\+\d+ [^\]]{1,12}\])\s*$", re.I)
 _END = re.compile(r"[.!?。][\"”“»’')\]]*$|[”»\"]$")
@@ -57,11 +64,12 @@ _QUOTES = re.compile(r"^[ \t>|]+")
 _LABEL = re.compile(r"^[^\W\d_][\w .ęó-]{0,22}\s?:\s*\S")
 _TALK = re.compile(r"^\[\d\d:\d\d\] [^:]{2,40}: ")
 _RULER = re.compile(r"^\s*(?:--|__|~~+|==+|\* \* \*)\s*$")
-_CLOSING = re.compile("(?:" + "|".join(re.escape(fold(x)) for x in CLOSINGS.strip().replace("\n", "|").split("|")) + r")\s*[,.!]?\s*$")
 _NOTICE = re.compile(r"\W*(?:" + "|".join(re.escape(fold(x)) for x in NOTICES) + ")")
 _ADDRESS = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}\W*$")
 _PRICE = re.compile(r"\d+[.,]\d\d$")
 _WORD = re.compile(r"[^\W\d_]+(?=\W*$)")
+_SENTENCE = re.compile(r"[.!?][\"”’)]?\s")
+_MASK = re.compile(r"\b(?=\w*\d)\w+\b")
 
 
 def closing_counts(df: DataFrame, text: str) -> np.ndarray:
@@ -103,18 +111,16 @@ def closing_counts(df: DataFrame, text: str) -> np.ndarray:
     return out.reshape(2, width)
 
 
-def pile_ups(df: DataFrame, text: str, source: str | None = None) -> set[tuple]:
-    """Lengths, in characters or bytes, of far more texts than the lengths around them let expect, so many that it
-    is no chance; by that, at most a seventh of all lengths, and in fact a few. (unit, length), or (unit, length, source)
-    where only the texts of one source pile up.
+def pile_ups(sized: DataFrame) -> DataFrame:
+    """(unit, n, who) of the lengths, in characters or bytes, of far more texts than the lengths around them let
+    expect, so many that it is no chance; ``who`` is null for a length of all texts, else the source whose texts pile up.
 
-    Only texts without an end mark count. Whole texts are compared: those that are equal but for their
-    digits, which have one length without any limit, count once.
+    ``sized`` has (alike, source, chars, bytes) of the texts without an end mark. Texts that are ``alike``, equal
+    but for their digits, have one length without any limit and count once.
     """
-    who = F.array_distinct(F.array(F.lit(None).cast("string"), F.col(source))) if source else F.array(F.lit(None).cast("string"))
-    sized = df.where(~F.col(text).rlike(r"[.!?…”»\")\]}]\s*$")).select(F.xxhash64(F.translate(text, "123456789", "0" * 9)).alias("h"), who.alias("who"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")).distinct()
-    sized = sized.select("h", F.explode("who").alias("who"), "chars", "bytes").distinct()
-    one = sized.select("who", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("x")).select("who", "x.*")
+    who = F.array_distinct(F.array(F.lit(None).cast("string"), F.col("source").cast("string")))
+    one = sized.select("alike", F.explode(who).alias("who"), "chars", "bytes").distinct()
+    one = one.select("who", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("x")).select("who", "x.*")
     counts = cut(one.groupBy("who", "unit", "n").count())
     near = counts.select("who", "unit", F.explode(F.sequence(F.col("n") - 10, F.col("n") + 10)).alias("n"), F.col("count").alias("c"), F.col("n").alias("own"))
     around = near.where("n != own").groupBy("who", "unit", "n").agg(F.sum("c").alias("c")).alias("a")
@@ -122,7 +128,7 @@ def pile_ups(df: DataFrame, text: str, source: str | None = None) -> set[tuple]:
     c = F.col("count")
     many = counts.where("count > 1").alias("m")
     out = many.join(around, F.col("m.who").eqNullSafe(F.col("a.who")) & (F.col("m.unit") == F.col("a.unit")) & (F.col("m.n") == F.col("a.n")), "left").where((c >= MANY * usual) & (c * F.log(c / usual) - c + usual >= SURE_LENGTH))
-    return {(r.unit, r.n) if r.who is None else (r.unit, r.n, r.who) for r in out.select("m.unit", "m.n", "m.who").collect()}
+    return out.select("m.unit", "m.n", "m.who")
 
 
 def surprise(count: int, mean: float) -> float:
@@ -130,88 +136,144 @@ def surprise(count: int, mean: float) -> float:
     return mean - count + (count * math.log(count / mean) if count else 0.0)
 
 
-class Judge:
-    """Judges the end of a text: 'cut', 'whole', or 'open' where the end itself doesn't tell."""
+class Shapes:
+    """Shapes of endings: 'mark', or punctuation, kind of the last line and closing word."""
 
-    def __init__(self, counts: np.ndarray, limits: set[tuple]):
-        self.counts, self.limits = counts, limits
-        self.known: dict[str, tuple[int, float]] = {}
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.known: dict[str, tuple[int, int]] = {}
         self.usual = float(counts[1].sum(dtype=np.int64)) / max(1, int(counts.sum(dtype=np.int64)))  # share of words that close a line
 
-    def terminality(self, word: str) -> tuple[int, float]:
-        """How often the word occurs, and the share of these that closes a line."""
-        h = words_of([word]).hash
-        if len(h) != 1:
-            return 0, 0.0
-        i = int(h[0] % _U(self.counts.shape[1]))
-        inner, closing = int(self.counts[0, i]), int(self.counts[1, i])
-        return inner + closing, closing / max(1, inner + closing)
+    def seen(self, word: str) -> tuple[int, int]:
+        """How often the word stands within a line, and how often it closes one."""
+        got = self.known.get(word)
+        if got is None:
+            h = words_of([word]).hash
+            i = int(h[0] % _U(self.counts.shape[1])) if len(h) == 1 else -1
+            got = (int(self.counts[0, i]), int(self.counts[1, i])) if i >= 0 else (0, 0)
+            if len(self.known) >= 100_000:  # bounded memory
+                self.known.clear()
+            self.known[word] = got
+        return got
 
-    def judge(self, text: str, source: str | None = None) -> str:
+    def closing(self, last: str, less: tuple[int, int] = (0, 0)) -> str:
+        """How the closing word stands to line ends: no word, a new one, one that never closes a line, some or often."""
+        m = _WORD.search(last, max(0, len(last) - 200))
+        if not m:
+            return "none"
+        inner, closing = (max(0, a - b) for a, b in zip(self.seen(m.group()), less))
+        n = inner + closing
+        if not n:
+            return "new"
+        if closing >= self.usual * n:
+            return "often"
+        return "some" if closing >= FEW * self.usual * n or surprise(closing, n * self.usual) < SURE_WORD else "never"
+
+    def shape(self, text: str, less: tuple[int, int] = (0, 0)) -> str:
         end = text.rstrip()
         if not end:
-            return "whole"
-        if _MARK.search(end[-40:]):
-            return "cut"
+            return ""
+        if _MARK.search(end, max(0, len(end) - 40)):
+            return "mark"
         lines = end.rsplit("\n", 12)
         if len(lines) > 12:
             lines = lines[1:]
         lines = [_QUOTES.sub("", x).rstrip() for x in lines]
         last = lines[-1]
-        sentence = re.split(r"[.!?][\"”’)]?\s", last)[-1]
-        tail = last[-60:]
-        short = bool(_ABBREVIATED.search(tail))
-        if _END.search(tail) and not short and sentence.count("(") <= sentence.count(")"):
-            return "whole"
-        if last and last[-1] in ",(/–-;:&@=+" or sentence.count("(") > sentence.count(")") or short:
-            return "whole" if last[-1] in ":;-" and len(last) < 40 and not last[-2:-1].isalnum() else "cut"
+        return f"{self._point(last)} {self._kind(lines)} {self.closing(last, less)}"
+
+    def _point(self, last: str) -> str:
+        """What the ending's punctuation says."""
+        sentence = _SENTENCE.split(last)[-1]
+        short = bool(_ABBREVIATED.search(last, max(0, len(last) - 60)))
+        if last[:1] in "{[" and (last.count("{") > last.count("}") or last.count("[") > last.count("]") or last.count('"') % 2):
+            return "unclosed"
+        opened = sentence.count("(") > sentence.count(")")
+        if _END.search(last, max(0, len(last) - 60)) and not short and not opened:
+            return "end"
+        if opened:
+            return "opened"
+        if short:
+            return "short"
+        if last[-1:] in ",(/–-;:&@=+" and last:
+            return "rule" if last[-1] in ":;-" and len(last) < 40 and not last[-2:-1].isalnum() else "joiner"
         token = last.split()[-1] if last.split() else ""
         if "@" in token[1:] and not _ADDRESS.search(token) and not token.startswith("@"):
-            return "cut"
-        folded = fold(last)
-        if _NOTICE.match(folded) and len(last) < 80:
-            return "whole" if self._closes(last) else "cut"
-        for size in (("chars", len(text)), ("bytes", len(text.encode()))):
-            if size in self.limits or (*size, source) in self.limits:
-                return "cut"
-        prose = self._prose(lines)
-        if prose:
-            return "cut"
-        return "open" if self._closes(last) else "cut"
-
-    def _closes(self, last: str) -> bool:
-        m = _WORD.search(last[-120:])
-        if not m:
-            return True
-        if m.group() not in self.known:
-            if len(self.known) >= 100_000:  # bounded memory
-                self.known.clear()
-            self.known[m.group()] = self.terminality(m.group())
-        n, share = self.known[m.group()]
-        return n > 0 and (share >= FEW * self.usual or surprise(round(n * share), n * self.usual) < SURE_WORD)
+            return "address"
+        return "word"
 
-    def _prose(self, lines: list[str]) -> bool:
+    def _kind(self, lines: list[str]) -> str:
+        """What the last line is."""
         last = lines[-1]
+        if len(last) < 80 and _NOTICE.match(fold(_sound(last))):
+            return "notice"
         if _BULLET.match(last):
-            return False
+            return "item"
         for sep in (";", ",", "\t", "|"):  # a table row
             n = last.count(sep)
             if n >= 2 and len(lines) > 1 and lines[-2].count(sep) >= 2 and not lines[-2].rstrip().endswith((".", "!", "?")) and (len(last.split()) <= 3 * (n + 1)):
                 ends = [x.rsplit(sep, 1)[-1] for x in lines[:-1] if x.count(sep) == n][1:]
                 prices = len(ends) >= 2 and all(_PRICE.match(x) for x in ends)
-                return n < lines[-2].count(sep) or prices and not _PRICE.match(last.rsplit(sep, 1)[-1])
+                return "part of a row" if n < lines[-2].count(sep) or prices and not _PRICE.match(last.rsplit(sep, 1)[-1]) else "row"
         for back, line in enumerate(reversed(lines[:-1])):  # a signature
-            if _RULER.match(line) or _CLOSING.match(fold(line)) and len(line) < 50:
-                return back > 8
+            if _RULER.match(line) or len(line) < 60 and CLOSING.match(fold(_sound(line))):
+                return "after a signature" if back > 8 else "signature"
             if not line or len(line) > 60 or _END.search(line):
                 break
         if _TALK.match(last):
-            return True
+            return "talk"
         if _LABEL.match(last) and len(last.split()) <= 7:
-            return False
+            return "field"
         above = lines[-2] if len(lines) > 1 else ""
-        wrapped = len(above) > 40 and not _END.search(above) and not _BULLET.match(above)
-        return wrapped or len(last.split()) >= 5
+        if len(above) > 40 and not _END.search(above) and not _BULLET.match(above):
+            return "wrapped"
+        n = len(last.split())
+        return "phrase" if len(lines) == 1 and n < 8 else "prose" if n >= 5 else "few words"
+
+    def possible(self, text: str) -> str:
+        """The shape of the text cut at one place of its last seven tenths, always the same one."""
+        u = zlib.crc32(text.encode("utf-8", "surrogatepass")) / 2**32
+        at = int(len(text) * (0.3 + 0.7 * u))
+        part = text[:at].rstrip()
+        if len(part) < 3 or at >= len(text):
+            return ""
+        end = len(part)
+        whole = not text[end : end + 1].isalnum()  # then the word itself was counted
+        return self.shape(part, ((0, 1) if text[end : end + 1] == "\n" else (1, 0)) if whole else (0, 0))
+
+
+def _sound(line: str) -> str:
+    return line if line.isascii() else encoding.restore(line)[1]
+
+
+def cut_shapes(ends: Counter, possible: Counter) -> dict[str, float]:
+    """Probability that a text with an ending of each shape was cut; from the shapes of all ends and of possible cuts.
+
+    A shape's count is drawn to the product of its parts' shares, which hold where a shape is rare.
+    """
+    ends, possible = ({k: v for k, v in c.items() if k and k != "mark"} for c in (ends, possible))
+    shapes = sorted({*ends, *possible})
+    if not shapes or not possible or not ends:
+        return {}
+
+    def shares(c: dict) -> dict:
+        total = sum(c.values())
+        parts = [Counter() for _ in range(3)]
+        split = {s: (s.split(" ", 1)[0], s.split(" ", 1)[1].rsplit(" ", 1)[0], s.rsplit(" ", 1)[1]) for s in shapes}
+        for s, n in c.items():
+            for p, x in zip(parts, split[s]):
+                p[x] += n
+        free = {s: math.prod((p[x] + 0.5) / (total + 0.5 * 6) for p, x in zip(parts, split[s])) for s in shapes}
+        return {s: (c.get(s, 0) + PRIOR * free[s]) / (total + PRIOR) for s in shapes}
+
+    p_end, p_cut = shares(ends), shares(possible)
+    mass, above = 0.0, 0.0
+    for s in sorted(shapes, key=lambda s: p_end[s] / p_cut[s]):
+        mass, above = mass + p_cut[s], above + p_end[s]
+        if mass >= SURE:
+            break
+    part = above / mass  # of the texts that are cut
+    return {s: min(1.0, part * p_cut[s] / p_end[s]) for s in shapes}
 
 
 def _window(w: Words, first: int, to: int) -> np.ndarray:
@@ -225,51 +287,99 @@ def _window(w: Words, first: int, to: int) -> np.ndarray:
     return np.unique((mix(g) >> _U(32)).astype(np.uint32).view(np.int32))
 
 
-def endings(texts: list[str]) -> list[tuple[int, str] | None]:
-    """(hash of the last K words before the very last, the last word and what follows it) of each text that is
-    long enough to be aligned."""
-    ends = [_MARK.sub("", x.rstrip()).rstrip() for x in texts]
-    out = _endings([x[-400:] for x in ends], K + 2)  # the first word of a piece may be a part of one
-    again = [i for i, x in enumerate(out) if x is None or len(ends[i]) <= 400]
-    for i, x in zip(again, _endings([ends[i] for i in again], K + 1)):
-        out[i] = x
-    return [x if len(end) >= LONG else None for x, end in zip(out, ends)]
+def _stretch(w: Words, d: int, to: int, most: int) -> bytes:
+    return _window(w, max(int(w.first[d]), to - most), to).tobytes()
+
 
+def bands(w: Words) -> np.ndarray:
+    """(levels, texts, BANDS): the bands of the beginnings of FIRST, 2 FIRST, ... words of each text.
 
-def _endings(ends: list[str], least: int) -> list[tuple[int, str] | None]:
+    A minimum is that of the shingles whose hash falls in one of 2 BANDS bins; no shingle is a value, too. Shorter beginnings
+    are carried on, so that the work is that of one pass.
+    """
+    n_texts, n = len(w.first) - 1, np.diff(w.first)
+    g, at = w.shingles(min(SHINGLE, 2))
+    d = w.doc[at]
+    reach = at - w.first[d] + 2
+    least = np.full(n_texts * 2 * BANDS, np.iinfo(np.uint64).max, _U)
+    slot = d * 2 * BANDS + (g >> _U(60)).astype(np.int64) % (2 * BANDS)
+    value = mix(g)
+    out, size, done = [], FIRST, 0
+    order = np.argsort(reach, kind="stable")
+    reach = reach[order]
+    top = int(n.max()) if n_texts else 0
+    while size <= max(top, FIRST):
+        to = int(np.searchsorted(reach, size, side="right"))
+        np.minimum.at(least, slot[order[done:to]], value[order[done:to]])
+        done = to
+        pair = least.reshape(n_texts, BANDS, 2)
+        out.append(mix(pair[:, :, 0] * _U(0x9E3779B97F4A7C15) + mix(pair[:, :, 1]) + _U(len(out) * 0x632BE59BD9B4E019 % 2**64) + np.arange(BANDS, dtype=_U)))
+        size *= 2
+    return np.stack(out) if out else np.zeros((0, n_texts, BANDS), _U)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """Number of the longest beginning that n words have; -1 for none."""
+    return np.where(n >= FIRST, np.frexp(np.maximum(n, 1) / FIRST)[1] - 1, -1)
+
+
+def _joined(band: np.ndarray, run: np.ndarray) -> np.ndarray:
+    return mix(band + run[..., None] * _U(0xC2B2AE3D27D4EB4F))
+
+
+def records(texts: list[str], k: int, long: int) -> list[tuple[int, bytes, str, bytes] | None]:
+    """(hash of the last k whole words, its bucket keys, the last word and what follows it, shingles of the stretch before) of
+    each text that is long enough to be aligned. The mark of omission is left out."""
+    ends = [_MARK.sub("", x.rstrip()).rstrip() for x in texts]
     w = words_of(ends)
-    h, at = w.shingles(K)
+    h, at = w.shingles(k)
+    n = np.diff(w.first)
     last = w.first[1:] - 1
-    run = np.searchsorted(at, last - K)
-    out: list[tuple[int, str] | None] = []
+    run = np.searchsorted(at, last - k)
+    own = bands(w)
+    level = _level(n - 1)
+    out: list = []
     for i, end in enumerate(ends):
-        if w.first[i + 1] - w.first[i] < least:
+        if n[i] < max(k + 1, FIRST + 1) or len(end) < long:
             out.append(None)
-        else:
-            out.append((int(h[run[i]].view(np.int64)), (end if len(end.lower()) == len(end) else end.lower())[w.start[last[i]] :]))
+            continue
+        r = h[run[i]]
+        keys = _joined(own[level[i], i], r.reshape(1))[0] if own.ndim == 3 else None
+        tail = (end if len(end.lower()) == len(end) else end.lower())[w.start[last[i]] :]
+        out.append((int(r.view(np.int64)), keys.view(np.int64).tobytes(), tail, _stretch(w, i, int(last[i]), STRETCH)))
     return out
 
 
-def followers(texts: list[str | None], wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[Words, list[tuple[int, int, int, str]]]:
-    """The words of the texts, and (text, hash of K words, word after them, how the text goes on from that
-    word) of every run of K words whose hash is ``wanted`` and that a word follows."""
+def followers(texts: list[str | None], k: int, wanted: Callable[[np.ndarray], np.ndarray], asked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, str, bytes, bool]]:
+    """(text, bucket key, how the text goes on from the word after the run, shingles before, whether that word is its last)
+    of every run of k words whose hash is ``wanted`` and whose key is ``asked`` for."""
     w = words_of(texts)
-    h, at = w.shingles(K)
+    h, at = w.shingles(k)
     ok = np.flatnonzero(wanted(h)) if len(h) else np.zeros(0, np.int64)
-    ok = ok[at[ok] + K < w.first[w.doc[at[ok]] + 1]]
-    after = at[ok] + K
+    ok = ok[at[ok] + k < w.first[w.doc[at[ok]] + 1]]
+    if not len(ok):
+        return
+    own = bands(w)
+    d, after = w.doc[at[ok]], at[ok] + k
+    p = after - w.first[d]
+    end = after == w.first[d + 1] - 1
+    keys: set[tuple[int, int]] = set()
+    for place in (p, p - p // 8, np.minimum(p + p // 8, w.first[d + 1] - w.first[d])):  # edits may have moved the end
+        level = _level(place)
+        fit = np.flatnonzero(level >= 0)
+        each = _joined(own[level[fit], d[fit]], h[ok[fit]])
+        a, b = np.nonzero(asked(each.ravel(), np.repeat(end[fit], BANDS)).reshape(each.shape))
+        keys.update(zip(fit[a].tolist(), each[a, b].view(np.int64).tolist()))
     plain: dict[int, str] = {}
-    out = []
-    for d, run, i, x, y in zip(w.doc[after].tolist(), h[ok].view(np.int64).tolist(), after.tolist(), w.start[after].tolist(), w.end[after].tolist()):
-        if d not in plain:
-            t = texts[d] or ""
-            plain[d] = (t if len(t.lower()) == len(t) else t.lower()).rstrip()
-        out.append((d, run, i, plain[d][x : y + AFTER]))
-    return w, out
-
-
-def _stretch(w: Words, d: int, to: int, most: int) -> bytes:
-    return _window(w, max(int(w.first[d]), to - most), to).tobytes()
+    around: dict[int, bytes] = {}
+    for i, key in sorted(keys):
+        t = int(d[i])
+        if t not in plain:
+            x = texts[t] or ""
+            plain[t] = (x if len(x.lower()) == len(x) else x.lower()).rstrip()
+        if i not in around:
+            around[i] = _stretch(w, t, int(after[i]), STRETCH + SLACK)
+        yield t, key, plain[t][w.start[after[i]] : w.end[after[i]] + AFTER], around[i], bool(end[i])
 
 
 def goes_on(tail: str, follow: str) -> bool:
@@ -283,18 +393,17 @@ def goes_on(tail: str, follow: str) -> bool:
 def contained(window: bytes, other: bytes) -> bool:
     """At least half of the shingles are the other's, too."""
     own = np.frombuffer(window, np.int32)
-    return len(own) > 0 and 2 * np.isin(own, np.frombuffer(other, np.int32), assume_unique=True).sum() >= len(own)
+    return 2 * np.isin(own, np.frombuffer(other, np.int32), assume_unique=True).sum() >= len(own)
 
 
-def ends_early(text: str, other: str) -> bool:
-    """The text's last words stand somewhere in the other, which goes on within the word or sentence."""
-    end = endings([text])[0]
-    if end is None:
+def ends_early(text: str, other: str, k: int = K, long: int = LONG) -> bool:
+    """The two have a band in common, and the other goes on after the text's last words."""
+    own = records([text], k, long)[0]
+    if own is None:
         return False
-    w, own = followers([text], lambda h: h.view(np.int64) == end[0])
-    stretch = _stretch(w, 0, own[-1][2], STRETCH)
-    w, found = followers([other], lambda h: h.view(np.int64) == end[0])
-    return any(goes_on(end[1], follow) and contained(stretch, _stretch(w, 0, i, STRETCH + SLACK)) for _, _, i, follow in found)
+    keys = np.frombuffer(own[1], _U)
+    found = followers([other], k, lambda h: h.view(np.int64) == own[0], lambda x, _: np.isin(x, keys))
+    return any(goes_on(own[2], follow) and contained(own[3], around) for _, _, follow, around, _ in found)
 
 
 def share_by_source(rows: DataFrame, cut_ids: DataFrame, key: str, source: str) -> DataFrame:
@@ -303,154 +412,142 @@ def share_by_source(rows: DataFrame, cut_ids: DataFrame, key: str, source: str)
     return flagged.groupBy(source).agg(F.count("*").alias("n"), F.count("cut").alias("n_cut"), (F.count("cut") / F.count("*")).alias("share"))
 
 
-def truncated(df: DataFrame, key: str, text: str, source: str | None = None) -> DataFrame:
-    """(key) of the texts that are cut; one row per key. Limits are sought in each ``source``, too."""
+def truncated(df: DataFrame, key: str, text: str, source: str | None = None, *, k: int = K, long: int = LONG, numbers: bool = True) -> DataFrame:
+    """(key, how) of the texts that are cut, one row per key; how is 'near-copy', 'mark', 'terminality' or 'limit'.
+
+    Limits are sought in each ``source``, too. Without ``numbers`` words with digits are all the same.
+    """
     spark = df.sparkSession
-    counts, limits = closing_counts(df, text), pile_ups(df, text, source)
-    shared = spark.sparkContext.broadcast((counts, limits))
     kind = dict(df.dtypes)[key]
+    df = df.select(F.col(key).alias("id"), F.col(text).alias("text"), (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("source")).where("id IS NOT NULL AND text <> ''")
+    shared = spark.sparkContext.broadcast(closing_counts(df, "text"))
+    plain = _plain if numbers else partial(_plain, numbers=False)
 
-    def judged():
-        judge = Judge(*shared.value)
+    def shaped():
+        shapes = Shapes(shared.value)
 
         def f(b):
-            own = [(k, t, judge.judge(t, s)) for k, t, s in zip(b[key], b[text], b[source] if source else repeat(None)) if k is not None and t]
-            out: dict[str, list] = {key: [k for k, _, _ in own], "verdict": [v for _, _, v in own], "run": [], "tail": []}
-            ends = iter(endings([t for _, t, v in own if v != "cut"]))
-            for _, _, verdict in own:
-                run, tail = (verdict != "cut" and next(ends)) or (None, None)
-                out["run"].append(run)
-                out["tail"].append(tail)
+            own = plain(b["text"])
+            out: dict[str, list] = {"id": b["id"], "source": b["source"], "h": [], "shape": [shapes.shape(t) for t in own], "possible": [shapes.possible(t) for t in own], "chars": [len(t) for t in b["text"]]}
+            out["bytes"] = [len(t.encode("utf-8", "surrogatepass")) for t in b["text"]]
+            out["h"] = [_hash(t) for t in own]
+            out["alike"] = [_hash(t.translate(_DIGITS)) for t in own]
+            got: list = []
+            for x, y in blocks(own):
+                got += records(own[x:y], k, long)
+            for i, c in enumerate(("run", "keys", "tail", "stretch")):
+                out[c] = [None if g is None else g[i] for g in got]
             return out
 
         return f
 
-    seen = cut(arrow_map(df.select(key, text, *([source] if source else [])), judged, f"{key} {kind}, verdict string, run bigint, tail string"))
-    ends = seen.where("run IS NOT NULL").select("run", "tail").distinct()
-    early = _early(df.select(F.col(key).alias("id"), F.col(text).alias("text")), ends).withColumnRenamed("id", key)
-    return seen.where("verdict = 'cut'").select(key).unionByName(early).distinct()
+    seen = cut(arrow_map(df, shaped, f"id {kind}, source string, h bigint, shape string, possible string, chars bigint, bytes bigint, alike bigint, run bigint, keys binary, tail string, stretch binary"))
+    near = _early(df.select("text"), seen, k, plain)
+    once = seen.join(near.withColumn("near", F.lit(1)), "h", "left").withColumn("shape", F.when(F.col("near").isNull(), F.col("shape")).otherwise(""))
+    once = once.groupBy("h").agg(F.first("shape").alias("shape"), F.first("possible").alias("possible"))  # equal texts count once
+    counts = once.groupBy("shape", "possible").count().collect()  # a row per pair of shapes, some hundred each
+    ends, possible = Counter(), Counter()
+    for r in counts:
+        ends[r["shape"]] += r["count"]
+        possible[r["possible"]] += r["count"]
+    bad = [s for s, p in cut_shapes(ends, possible).items() if p >= LEAST]
+    open_ = seen.where(~F.col("shape").startswith("end ") & (F.col("shape") != "mark"))
+    limits = pile_ups(open_.select("alike", "source", "chars", "bytes")).withColumn("at_limit", F.lit(True))
+    loose = ~F.split("shape", " ")[0].isin("end", "mark", "rule") & ~F.col("shape").contains(" notice ")
+    sized = seen.select("id", "source", "shape", F.col("chars").alias("n"), F.lit("chars").alias("unit")).unionByName(seen.select("id", "source", "shape", F.col("bytes").alias("n"), F.lit("bytes").alias("unit"))).where(loose)
+    at_limit = sized.join(limits, ["unit", "n"]).where("who IS NULL OR who = source").select("id", F.lit("limit").alias("how"))
+    copies = seen.join(near, "h", "left_semi").select("id", F.lit("near-copy").alias("how"))
+    scored = seen.where((F.col("shape") == "mark") | F.col("shape").isin(bad)).select("id", F.when(F.col("shape") == "mark", "mark").otherwise("terminality").alias("how"))
+    order = F.create_map(*[F.lit(x) for i, h in enumerate(("near-copy", "mark", "terminality", "limit")) for x in (h, i)])
+    return copies.unionByName(scored).unionByName(at_limit).groupBy(F.col("id").alias(key)).agg(F.min_by("how", order[F.col("how")]).alias("how"))
 
 
-def _slots(runs: list[int], texts: list[str]) -> np.ndarray:
-    """Bits of a filter on runs of words with what comes after them."""
-    h = np.array(runs, np.int64).view(_U) + np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in texts], _U)
-    return (mix(h) & _U(FILTER - 1)).astype(np.int64)
+_DIGITS = str.maketrans("123456789", "0" * 9)
 
 
-def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+def _plain(texts: list[str], numbers: bool = True) -> list[str]:
+    return texts if numbers else [_MASK.sub("0", t) for t in texts]
+
 
+def _hash(text: str) -> int:
+    import xxhash
 
-def _early(texts: DataFrame, ends: DataFrame) -> DataFrame:
-    """(id) of the texts with one of the ``ends``, whose closing words another text has and goes on after."""
-    kind, spark = dict(texts.dtypes)["id"], texts.sparkSession
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    def among(df: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
-        runs = spark.sparkContext.broadcast(filled(df.select(F.col("run").bitwiseAND(F.lit(FILTER - 1)).alias("slot"))))
-        return lambda h: _set(runs.value, (h & _U(FILTER - 1)).astype(np.int64))
 
-    wanted = among(ends)
+def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & _U(8 * len(bits) - 1)).astype(np.int64)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
 
-    def following():
-        seen: set = set()
+def _early(texts: DataFrame, seen: DataFrame, k: int, plain: Callable[[list[str]], list[str]]) -> DataFrame:
+    """(h) of the texts that a near-copy shows to be cut.
+
+    Filters on the last words and on the buckets keep all else out of the join. A text that ends where a record does is
+    in it only if another text asks with the same key.
+    """
+    spark = texts.sparkSession
+    asks = seen.where("run IS NOT NULL")
 
+    def asked():
         def f(b):
-            new = {(run, follow) for x, y in blocks(b["text"]) for _, run, _, follow in followers(b["text"][x:y], wanted)[1]} - seen
-            if len(seen) < 200_000:  # bounded memory; what is named twice is collapsed at the shuffle
-                seen.update(new)
-            return {"run": [x for x, _ in new], "follow": [x for _, x in new]}
+            keys = [np.frombuffer(x, np.int64) for x in b["keys"]]
+            return {"h": [h for h, x in zip(b["h"], keys) for _ in x], "key": np.concatenate(keys) if keys else [], "tail": [t for t, x in zip(b["tail"], keys) for _ in x]}
 
         return f
 
+    ends = cut(arrow_map(asks.select("h", "keys", "tail"), asked, "h bigint, key bigint, tail string").distinct())
+    size = filter_bits(ends)
+    share = lambda df: spark.sparkContext.broadcast(filled(df, size))
+    slot = lambda c: F.col(c).bitwiseAND(F.lit(size - 1)).alias("slot")
+    runs = share(asks.select(slot("run")))
+    keys = share(ends.select(slot("key")))
+    twice = share(ends.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select(slot("key")))
+
     def going():
         def f(b):
-            ok = [goes_on(t, w) for t, w in zip(b["tail"], b["follow"])]
-            out = {c: [v for v, o in zip(b[c], ok) if o] for c in ("run", "tail", "follow")}
-            return out | {"at_tail": _slots(out["run"], out["tail"]), "at_follow": _slots(out["run"], out["follow"])}
+            out: dict[str, list] = {"key": [], "follow": [], "around": [], "h": []}
+            here: set = set()
+            own = plain(b["text"])
+            for x, y in blocks(own):
+                here.update((key, follow, around, _hash(own[x + d])) for d, key, follow, around, _ in followers(own[x:y], k, lambda h: _set(runs.value, h), lambda g, last: _set(keys.value, g) & (~last | _set(twice.value, g))))
+            for i, c in enumerate(out):
+                out[c] = [v[i] for v in here]
+            return out
 
         return f
 
-    # Which endings go on elsewhere at all: one row for each pair of ending and continuation, whatever texts have them.
-    follows = arrow_map(texts.select("text"), following, "run bigint, follow string").distinct()
-    going_on = cut(arrow_map(ends.join(follows, "run"), going, "run bigint, tail string, follow string, at_tail bigint, at_follow bigint"))
-    left = among(going_on)
-    pairs = spark.sparkContext.broadcast(filled(going_on.select(F.explode(F.array("at_tail", "at_follow")).alias("slot"))))
+    found = arrow_map(texts, going, "key bigint, follow string, around binary, h bigint").groupBy("key", "follow", "around")
+    found = cut(found.agg(F.min("h").alias("one"), F.max("h").alias("two")))  # copies are one; of two texts one is another
 
-    def around():
+    def on():
         def f(b):
-            out: dict[str, list] = {c: [] for c in ("id", "run", "follow", "stretch", "around")}
-            for x, y in blocks(b["text"]):
-                w, found = followers(b["text"][x:y], left)
-                ok = _set(pairs.value, _slots([r for _, r, _, _ in found], [t for _, _, _, t in found])) if found else []
-                for (d, run, i, follow), o in zip(found, ok):
-                    if o and b["id"][x + d] is not None:
-                        own = _stretch(w, d, i, STRETCH) if i == w.first[d + 1] - 1 and len(b["text"][x + d].rstrip()) >= LONG else None
-                        for c, v in zip(out, (b["id"][x + d], run, follow, own, _stretch(w, d, i, STRETCH + SLACK))):
-                            out[c].append(v)
-            return out
+            ok = [i for i, (t, x) in enumerate(zip(b["tail"], b["follow"])) if goes_on(t, x)]
+            return {c: [b[c][i] for i in ok] for c in ("key", "tail", "follow")}
 
         return f
 
+    # Which endings go on elsewhere at all, whatever texts have them.
+    pairs = ends.select("key", "tail").distinct().join(found.select("key", "follow").distinct(), "key")
+    pairs = cut(arrow_map(pairs, on, "key bigint, tail string, follow string"))
+    left = cut(ends.join(pairs.select("key", "tail").distinct(), ["key", "tail"], "left_semi"))
+    stretches = _named(asks.select(F.col("h").alias("id"), "stretch"), left.select(F.col("h").alias("id"))).distinct()
+    own = left.join(stretches.withColumnRenamed("id", "h"), "h").join(pairs, ["key", "tail"]).select("h", "key", "follow", "stretch")
+
     def near():
         def f(b):
-            return {"id": [k for k, s, o in zip(b["id"], b["stretch"], b["around"]) if contained(s, o)]}
+            return {"h": [h for h, s, o in zip(b["h"], b["stretch"], b["around"]) if contained(s, o)]}
 
         return f
 
-    found = cut(arrow_map(texts, around, f"id {kind}, run bigint, follow string, stretch binary, around binary"))
-    on = going_on.select("run", "tail", "follow").distinct()
-    own = found.where("stretch IS NOT NULL").select("id", "run", F.col("follow").alias("tail"), "stretch").distinct()
-    # Equal stretches that go on alike are one; of two ids one is another text's.
-    others = found.groupBy("run", "follow", "around").agg(F.min("id").alias("one"), F.max("id").alias("two"))
-    both = own.join(on, ["run", "tail"]).join(others, ["run", "follow"]).where("one != id OR two != id")
-    return arrow_map(both.select("id", "stretch", "around"), near, f"id {kind}").distinct()
-
-
-_MASK = re.compile(r"\b(?=\w*\d)\w+\b")
+    return cut(arrow_map(own.join(found, ["key", "follow"]).where("one != h OR two != h").select("h", "stretch", "around"), near, "h bigint").distinct())
 
 
 def truncated_messages(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key) of short generated messages that are cut: compared with all messages of one beginning.
-
-    Each distinct message is judged once, however many rows have it.
-    """
-    kind = dict(df.dtypes)[key]
-
-    def masked():
-        def f(b):
-            form = [" ".join(_MASK.sub("#", x).split()) for x in b["m"]]
-            return {"m": b["m"], "form": form, "lead": [" ".join(x.split()[:2])[:24] for x in form]}
-
-        return f
-
+    """(key, how) of short generated messages that are cut: each distinct message is judged once, however many rows have it,
+    with numbers that are all the same and one whole word at its end."""
     df = df.select(key, F.trim(text).alias("m")).where("m <> ''")
     distinct = df.select("m").distinct()  # a status word such as "ok", which most rows may have, is one row of each task
-    forms = cut(arrow_map(distinct, masked, "m string, form string, lead string"))
-    wholes = forms.select("lead", F.col("form").alias("whole")).distinct()
-
-    def judged():
-        def f(b):
-            return {"m": [m for m, form, whole in zip(b["m"], b["form"], b["whole"]) if message_cut(m, form, whole)]}
-
-        return f
-
-    bad = cut(arrow_map(forms.join(wholes, "lead").select("m", "form", "whole"), judged, "m string").distinct())
+    bad = cut(truncated(distinct, "m", "m", k=1, long=0, numbers=False))
     rows = _named(df.select(F.col("m").alias("id"), key), bad.select(F.col("m").alias("id")))  # hot messages that are whole aren't shuffled
-    return rows.join(bad.withColumnRenamed("m", "id"), "id", "left_semi").select(F.col(key).cast(kind)).distinct()
-
-
-def message_cut(m: str, form: str, whole: str) -> bool:
-    """Whether a message is cut; ``form`` and ``whole`` have its numbers, and its fullest sibling's, masked."""
-    m = m.strip()
-    if not m:
-        return False
-    if _MARK.search(m):
-        return True
-    if m[0] in "{[":
-        return m.count("{") > m.count("}") or m.count("[") > m.count("]") or m.count('"') % 2 == 1
-    if _END.search(m):
-        return False
-    words = len(m.split())
-    own, full = form.split(), whole.split()
-    alike = sum(a == b for a, b in zip(own[:-1], full))
-    return words >= 3 and len(full) > len(own) and alike >= 0.6 * (len(own) - 1) or words >= 8
+    return rows.join(bad.withColumnRenamed("m", "id"), "id").groupBy(key).agg(F.min("how").alias("how"))

@@ -218,33 +218,11 @@ def test_language_table(spark, model):
     assert language.fitted(df.limit(0), "key", "text", "label").own == set()
 
 
-@pytest.mark.parametrize(
-    "m, form, whole, want",
-    [
-        ("ok", "ok", "ok", False), ("request timed out after 50 s", "request timed out after # s", "request timed out after # s", False), ('{"a": 1, "b', '{"a": # "b', "", True), ('{"a": 1}', "", "", False),
-        ("Skipped the worker entry d90b", "Skipped the worker entry #", "Skipped the image entry # since its size is wrong.", True), ("All of it is here.", "", "", False), ("was cut …", "", "", True),
-    ],
-)
-def test_messages(m, form, whole, want):
-    assert truncation.message_cut(m, form, whole) is want
-
-
 def test_aligned_copies():
     whole = "The quick brown fox jumps over the lazy dog while the old farmer counts his many sheep near the river, and all is well.\n\n- one item\n- the insurance file"
     assert truncation.ends_early(whole[:-8], whole) and truncation.ends_early(whole[:90], whole) and not truncation.ends_early(whole, whole)
 
 
-def test_truncated_table(spark):
-    body = "The carrier counted the damaged crates near the loading dock before noon. "
-    rows = [(f"w{i}", body * 3 + f"Best regards,\nAnna Low {i}\nClerk of the harbour\nmany old words") for i in range(30)]
-    rows += [("cut", body * 3 + "After the audit, the project boa"), ("mark", body + "and so on […]"), ("sig", "Quite another letter, which nobody else has sent so far, tells of summer days.\n\nBest regards,\nAnna Low"), ("list", body + "\n- one of the crates\n- the crates"), ("n", None), ("e", ""), (None, "x y z"), ("cut", body * 3 + "After the audit, the project boa")]
-    df = spark.createDataFrame(rows, "key string, text string").selectExpr("*", "1 AS verdict", "2 AS bands", "3 AS id")
-    got = sorted(r.key for r in truncation.truncated(df, "key", "text").collect() if not r.key.startswith("w"))
-    assert got == ["cut", "mark"]
-    assert truncation.truncated(df.limit(0), "key", "text").count() == 0
-    assert truncation.truncated_messages(df.selectExpr("key", "text AS message"), "key", "message").where("key = 'mark'").count() == 1
-
-
 def test_share_by_source(spark):
     rows = spark.createDataFrame([("a", "s"), ("b", "s"), ("b", "s"), ("c", None)], "key string, source string")
     got = {r.source: (r.n, r.n_cut) for r in truncation.share_by_source(rows, rows.where("key = 'a'").select("key"), "key", "source").collect()}
@@ -263,6 +241,7 @@ def test_long_texts_take_no_time(finder, model, text):
     mail.authored(text)
     language.Tagger(model).segments(text)
     abuse.passages(text)
-    truncation.Judge(__import__("numpy").zeros((2, truncation.BUCKETS), int), set()).judge(text)
+    shapes = truncation.Shapes(__import__("numpy").zeros((2, truncation.BUCKETS), int))
+    shapes.shape(text), shapes.possible(text)
     truncation.ends_early(text, text + text)
     assert time.time() - begin < 15
