@@ -1,7 +1,7 @@
 """Texts cut off by a limit or a broken transfer.
 
 1. Near-copies come from min-hash banding.  A cut copy has the beginning of the whole one, so the signatures are
-   those of a text's beginnings of 1, 2, 4, ... words: ``BANDS`` bands of two minima each.  A record asks with the
+   those of a text's beginnings of 16, 32, 64, ... words: ``BANDS`` bands of ``ROWS`` minima each.  A record asks with the
    bands of the longest such beginning it has, each joined with the hash of its last whole words, so that a
    bucket holds only texts that can be aligned at the record's end, however many are alike.  A pair is verified
    by the shingles of the stretch before that end, of which the copy must have at least half, and aligned by its last word; where
@@ -45,13 +45,13 @@ BUCKETS = 1 << 19
 SURE_WORD, SURE_LENGTH = 8, 21
 FEW, MANY = 1 / 20, 5
 CHUNK = 1 << 13
-#: Bands of a signature, of two minima each; words of its shortest beginning.
-BANDS, FIRST = 8, 1
+#: Bands of a signature, and minima of each; words of its shortest beginning.
+BANDS, ROWS, FIRST = 8, 3, 16
 #: Words of a shingle; words of the stretch before the end that a near-copy has at least half of, and words by which the
 #: near-copy's may be longer; characters after the last word that show how it goes on.
 SHINGLE, STRETCH, SLACK, AFTER = 3, 64, 16, 24
-#: Whole words before the last that are looked up, and characters that a text must have to be aligned.
-K, LONG = 5, 80
+#: Whole words before the last that are looked up.
+K = 5
 #: Texts of a shape that the product of its parts counts for; share of the possible cuts whose shapes tell how many texts are cut;
 #: probability from which a text counts as cut: texts aren't cut evenly at all possible places, so shapes of cut ones differ by a factor.
 PRIOR, SURE, LEAST = 1.0, 0.3, 0.15
@@ -67,7 +67,6 @@ _RULER = re.compile(r"^\s*(?:--|__|~~+|==+|\* \* \*)\s*$")
 _NOTICE = re.compile(r"\W*(?:" + "|".join(re.escape(fold(x)) for x in NOTICES) + ")")
 _ADDRESS = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}\W*$")
 _PRICE = re.compile(r"\d+[.,]\d\d$")
-_WORD = re.compile(r"[^\W\d_]+(?=\W*$)")
 _SENTENCE = re.compile(r"[.!?][\"”’)]?\s")
 _MASK = re.compile(r"\b(?=\w*\d)\w+\b")
 
@@ -158,10 +157,15 @@ class Shapes:
 
     def closing(self, last: str, less: tuple[int, int] = (0, 0)) -> str:
         """How the closing word stands to line ends: no word, a new one, one that never closes a line, some or often."""
-        m = _WORD.search(last, max(0, len(last) - 200))
-        if not m:
+        end = len(last)
+        while end and not (last[end - 1].isalnum() or last[end - 1] == "_"):
+            end -= 1
+        at = end
+        while at and last[at - 1].isalpha():
+            at -= 1
+        if at == end:
             return "none"
-        inner, closing = (max(0, a - b) for a, b in zip(self.seen(m.group()), less))
+        inner, closing = (max(0, a - b) for a, b in zip(self.seen(last[at:end]), less))
         n = inner + closing
         if not n:
             return "new"
@@ -276,110 +280,110 @@ def cut_shapes(ends: Counter, possible: Counter) -> dict[str, float]:
     return {s: min(1.0, part * p_cut[s] / p_end[s]) for s in shapes}
 
 
-def _window(w: Words, first: int, to: int) -> np.ndarray:
-    """Hashes of the shingles of the words from ``first`` up to ``to``, without repeats."""
-    h = w.hash[first:to]
-    if len(h) < SHINGLE:
-        return np.zeros(0, np.int32)
-    g = np.zeros(len(h) - SHINGLE + 1, _U)
+def _stretches(w: Words) -> Callable[[int, int, int], bytes]:
+    """Shingles of at most so many words of a text before a word."""
+    g = np.zeros(max(0, len(w.hash) - SHINGLE + 1), _U)
     for i in range(SHINGLE):
-        g = g * _U(0x9E3779B97F4A7C15) + h[i : i + len(g)]
-    return np.unique((mix(g) >> _U(32)).astype(np.uint32).view(np.int32))
+        g = g * _U(0x9E3779B97F4A7C15) + w.hash[i : i + len(g)]
+    g = (mix(g) >> _U(32)).astype(np.uint32)
+    return lambda d, to, most: g[max(int(w.first[d]), to - most) : max(0, to - SHINGLE + 1)].tobytes()
 
 
-def _stretch(w: Words, d: int, to: int, most: int) -> bytes:
-    return _window(w, max(int(w.first[d]), to - most), to).tobytes()
+def bands(w: Words, first: int = FIRST) -> np.ndarray:
+    """(levels, texts, BANDS): the bands of the beginnings of first, 2 first, 4 first, ... words of each text.
 
-
-def bands(w: Words) -> np.ndarray:
-    """(levels, texts, BANDS): the bands of the beginnings of FIRST, 2 FIRST, ... words of each text.
-
-    A minimum is that of the shingles whose hash falls in one of 2 BANDS bins; no shingle is a value, too. Shorter beginnings
-    are carried on, so that the work is that of one pass.
+    A minimum is that of the pairs of words whose hash falls in one of the bins; an empty bin has that of the next one. Shorter
+    beginnings are carried on, so that the work is that of one pass.
     """
-    n_texts, n = len(w.first) - 1, np.diff(w.first)
-    g, at = w.shingles(min(SHINGLE, 2))
+    n_texts, bins = len(w.first) - 1, BANDS * ROWS
+    n = np.diff(w.first)
+    g, at = w.shingles(2)
     d = w.doc[at]
     reach = at - w.first[d] + 2
-    least = np.full(n_texts * 2 * BANDS, np.iinfo(np.uint64).max, _U)
-    slot = d * 2 * BANDS + (g >> _U(60)).astype(np.int64) % (2 * BANDS)
-    value = mix(g)
-    out, size, done = [], FIRST, 0
+    none = _U(np.iinfo(np.uint64).max)
+    least = np.full(n_texts * bins, none)
+    slot = d * bins + ((g >> _U(40)) % _U(bins)).astype(np.int64)
+    value = mix(g) >> _U(1)
     order = np.argsort(reach, kind="stable")
-    reach = reach[order]
-    top = int(n.max()) if n_texts else 0
-    while size <= max(top, FIRST):
+    slot, value, reach = slot[order], value[order], reach[order]
+    out, size, done, top = [], first, 0, int(n.max()) if n_texts else 0
+    while size <= max(top, first):
         to = int(np.searchsorted(reach, size, side="right"))
-        np.minimum.at(least, slot[order[done:to]], value[order[done:to]])
+        np.minimum.at(least, slot[done:to], value[done:to])
         done = to
-        pair = least.reshape(n_texts, BANDS, 2)
-        out.append(mix(pair[:, :, 0] * _U(0x9E3779B97F4A7C15) + mix(pair[:, :, 1]) + _U(len(out) * 0x632BE59BD9B4E019 % 2**64) + np.arange(BANDS, dtype=_U)))
+        full = least.reshape(n_texts, bins).copy()
+        for _ in range(bins):
+            empty = full == none
+            if not empty.any() or empty.all():
+                break
+            full = np.where(empty, np.where(np.roll(full, -1, axis=1) == none, none, mix(np.roll(full, -1, axis=1)) >> _U(1)), full)
+        band = np.full((n_texts, BANDS), _U(len(out) * 0x632BE59BD9B4E019 % 2**64))
+        for i in range(ROWS):
+            band = mix(band * _U(0x9E3779B97F4A7C15) + full[:, i::ROWS])
+        out.append(band + np.arange(BANDS, dtype=_U))
         size *= 2
-    return np.stack(out) if out else np.zeros((0, n_texts, BANDS), _U)
+    return np.stack(out)
 
 
-def _level(n: np.ndarray) -> np.ndarray:
+def _level(n: np.ndarray, first: int = FIRST) -> np.ndarray:
     """Number of the longest beginning that n words have; -1 for none."""
-    return np.where(n >= FIRST, np.frexp(np.maximum(n, 1) / FIRST)[1] - 1, -1)
+    return np.where(n >= first, np.frexp(np.maximum(n, 1) / first)[1] - 1, -1)
 
 
-def _joined(band: np.ndarray, run: np.ndarray) -> np.ndarray:
-    return mix(band + run[..., None] * _U(0xC2B2AE3D27D4EB4F))
+def _joined(band: np.ndarray, run: np.ndarray, next_: np.ndarray) -> np.ndarray:
+    """Keys of buckets: a band, the run of words at the end, and the first character after it."""
+    return mix(band + (run + next_.astype(_U) * _U(0xD6E8FEB86659FD93))[..., None] * _U(0xC2B2AE3D27D4EB4F))
 
 
-def records(texts: list[str], k: int, long: int) -> list[tuple[int, bytes, str, bytes] | None]:
+def records(texts: list[str], k: int = K, first: int = FIRST) -> list[tuple[int, bytes, str, bytes] | None]:
     """(hash of the last k whole words, its bucket keys, the last word and what follows it, shingles of the stretch before) of
     each text that is long enough to be aligned. The mark of omission is left out."""
-    ends = [_MARK.sub("", x.rstrip()).rstrip() for x in texts]
-    w = words_of(ends)
+    ends = [x.rstrip() for x in texts]
+    for i, x in enumerate(ends):
+        if m := _MARK.search(x, max(0, len(x) - 40)):
+            ends[i] = x[: m.start()].rstrip()
+    low = [x.lower() for x in ends]
+    w = words_of(low)
     h, at = w.shingles(k)
     n = np.diff(w.first)
     last = w.first[1:] - 1
     run = np.searchsorted(at, last - k)
-    own = bands(w)
-    level = _level(n - 1)
-    out: list = []
-    for i, end in enumerate(ends):
-        if n[i] < max(k + 1, FIRST + 1) or len(end) < long:
-            out.append(None)
-            continue
-        r = h[run[i]]
-        keys = _joined(own[level[i], i], r.reshape(1))[0] if own.ndim == 3 else None
-        tail = (end if len(end.lower()) == len(end) else end.lower())[w.start[last[i]] :]
-        out.append((int(r.view(np.int64)), keys.view(np.int64).tobytes(), tail, _stretch(w, i, int(last[i]), STRETCH)))
+    own, level, stretch = bands(w, first), _level(n - 1, first), _stretches(w)
+    fit = np.flatnonzero((n > k) & (n > first))
+    tails = [(ends[i] if len(low[i]) == len(ends[i]) else low[i])[w.start[last[i]] :] for i in fit]
+    keys = _joined(own[level[fit], fit], h[run[fit]], np.array([ord(low[i][w.start[last[i]]]) for i in fit], np.int64)).view(np.int64) if len(fit) else []
+    out: list = [None] * len(texts)
+    for i, key, tail in zip(fit.tolist(), keys, tails):
+        out[i] = (int(h[run[i]].view(np.int64)), key.tobytes(), tail, stretch(i, int(last[i]), STRETCH))
     return out
 
 
-def followers(texts: list[str | None], k: int, wanted: Callable[[np.ndarray], np.ndarray], asked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, str, bytes, bool]]:
-    """(text, bucket key, how the text goes on from the word after the run, shingles before, whether that word is its last)
-    of every run of k words whose hash is ``wanted`` and whose key is ``asked`` for."""
-    w = words_of(texts)
+def followers(texts: list[str | None], k: int, first: int, wanted: Callable[[np.ndarray], np.ndarray], asked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, str, bytes]]:
+    """(text, bucket key, how the text goes on from the word after the run, shingles before) of every run of k words whose
+    hash is ``wanted`` and whose key is ``asked`` for, given whether the word after it is the last."""
+    low = [t.lower() if t else "" for t in texts]
+    w = words_of(low)
     h, at = w.shingles(k)
     ok = np.flatnonzero(wanted(h)) if len(h) else np.zeros(0, np.int64)
     ok = ok[at[ok] + k < w.first[w.doc[at[ok]] + 1]]
     if not len(ok):
         return
-    own = bands(w)
+    own, stretch = bands(w, first), _stretches(w)
     d, after = w.doc[at[ok]], at[ok] + k
     p = after - w.first[d]
     end = after == w.first[d + 1] - 1
+    next_ = np.array([ord(low[i][x]) for i, x in zip(d.tolist(), w.start[after].tolist())], np.int64)
     keys: set[tuple[int, int]] = set()
-    for place in (p, p - p // 8, np.minimum(p + p // 8, w.first[d + 1] - w.first[d])):  # edits may have moved the end
-        level = _level(place)
-        fit = np.flatnonzero(level >= 0)
-        each = _joined(own[level[fit], d[fit]], h[ok[fit]])
+    levels = [_level(x, first) for x in (p, p - p // 8, np.minimum(p + p // 8, w.first[d + 1] - w.first[d]))]  # edits may have moved the end
+    for i, level in enumerate(levels):
+        fit = np.flatnonzero((level >= 0) & ~np.any([level == x for x in levels[:i]], axis=0)) if i else np.flatnonzero(level >= 0)
+        each = _joined(own[level[fit], d[fit]], h[ok[fit]], next_[fit])
         a, b = np.nonzero(asked(each.ravel(), np.repeat(end[fit], BANDS)).reshape(each.shape))
         keys.update(zip(fit[a].tolist(), each[a, b].view(np.int64).tolist()))
-    plain: dict[int, str] = {}
-    around: dict[int, bytes] = {}
     for i, key in sorted(keys):
         t = int(d[i])
-        if t not in plain:
-            x = texts[t] or ""
-            plain[t] = (x if len(x.lower()) == len(x) else x.lower()).rstrip()
-        if i not in around:
-            around[i] = _stretch(w, t, int(after[i]), STRETCH + SLACK)
-        yield t, key, plain[t][w.start[after[i]] : w.end[after[i]] + AFTER], around[i], bool(end[i])
+        plain = (texts[t] if len(low[t]) == len(texts[t]) else low[t]).rstrip()
+        yield t, key, plain[w.start[after[i]] : w.end[after[i]] + AFTER], stretch(t, int(after[i]), STRETCH + SLACK)
 
 
 def goes_on(tail: str, follow: str) -> bool:
@@ -393,17 +397,17 @@ def goes_on(tail: str, follow: str) -> bool:
 def contained(window: bytes, other: bytes) -> bool:
     """At least half of the shingles are the other's, too."""
     own = np.frombuffer(window, np.int32)
-    return 2 * np.isin(own, np.frombuffer(other, np.int32), assume_unique=True).sum() >= len(own)
+    return 2 * np.isin(own, np.frombuffer(other, np.int32)).sum() >= len(own)
 
 
-def ends_early(text: str, other: str, k: int = K, long: int = LONG) -> bool:
+def ends_early(text: str, other: str, k: int = K, first: int = FIRST) -> bool:
     """The two have a band in common, and the other goes on after the text's last words."""
-    own = records([text], k, long)[0]
+    own = records([text], k, first)[0]
     if own is None:
         return False
     keys = np.frombuffer(own[1], _U)
-    found = followers([other], k, lambda h: h.view(np.int64) == own[0], lambda x, _: np.isin(x, keys))
-    return any(goes_on(own[2], follow) and contained(own[3], around) for _, _, follow, around, _ in found)
+    found = followers([other], k, first, lambda h: h.view(np.int64) == own[0], lambda x, _: np.isin(x, keys))
+    return any(goes_on(own[2], follow) and contained(own[3], around) for _, _, follow, around in found)
 
 
 def share_by_source(rows: DataFrame, cut_ids: DataFrame, key: str, source: str) -> DataFrame:
@@ -412,7 +416,7 @@ def share_by_source(rows: DataFrame, cut_ids: DataFrame, key: str, source: str)
     return flagged.groupBy(source).agg(F.count("*").alias("n"), F.count("cut").alias("n_cut"), (F.count("cut") / F.count("*")).alias("share"))
 
 
-def truncated(df: DataFrame, key: str, text: str, source: str | None = None, *, k: int = K, long: int = LONG, numbers: bool = True) -> DataFrame:
+def truncated(df: DataFrame, key: str, text: str, source: str | None = None, *, k: int = K, first: int = FIRST, numbers: bool = True) -> DataFrame:
     """(key, how) of the texts that are cut, one row per key; how is 'near-copy', 'mark', 'terminality' or 'limit'.
 
     Limits are sought in each ``source``, too. Without ``numbers`` words with digits are all the same.
@@ -434,7 +438,7 @@ def truncated(df: DataFrame, key: str, text: str, source: str | None = None, *,
             out["alike"] = [_hash(t.translate(_DIGITS)) for t in own]
             got: list = []
             for x, y in blocks(own):
-                got += records(own[x:y], k, long)
+                got += records(own[x:y], k, first)
             for i, c in enumerate(("run", "keys", "tail", "stretch")):
                 out[c] = [None if g is None else g[i] for g in got]
             return out
@@ -442,7 +446,7 @@ def truncated(df: DataFrame, key: str, text: str, source: str | None = None, *,
         return f
 
     seen = cut(arrow_map(df, shaped, f"id {kind}, source string, h bigint, shape string, possible string, chars bigint, bytes bigint, alike bigint, run bigint, keys binary, tail string, stretch binary"))
-    near = _early(df.select("text"), seen, k, plain)
+    near = _early(df.select("text"), seen, k, first, plain)
     once = seen.join(near.withColumn("near", F.lit(1)), "h", "left").withColumn("shape", F.when(F.col("near").isNull(), F.col("shape")).otherwise(""))
     once = once.groupBy("h").agg(F.first("shape").alias("shape"), F.first("possible").alias("possible"))  # equal texts count once
     counts = once.groupBy("shape", "possible").count().collect()  # a row per pair of shapes, some hundred each
@@ -480,7 +484,7 @@ def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _early(texts: DataFrame, seen: DataFrame, k: int, plain: Callable[[list[str]], list[str]]) -> DataFrame:
+def _early(texts: DataFrame, seen: DataFrame, k: int, first: int, plain: Callable[[list[str]], list[str]]) -> DataFrame:
     """(h) of the texts that a near-copy shows to be cut.
 
     Filters on the last words and on the buckets keep all else out of the join. A text that ends where a record does is
@@ -510,7 +514,7 @@ def _early(texts: DataFrame, seen: DataFrame, k: int, plain: Callable[[list[str]
             here: set = set()
             own = plain(b["text"])
             for x, y in blocks(own):
-                here.update((key, follow, around, _hash(own[x + d])) for d, key, follow, around, _ in followers(own[x:y], k, lambda h: _set(runs.value, h), lambda g, last: _set(keys.value, g) & (~last | _set(twice.value, g))))
+                here.update((key, follow, around, _hash(own[x + d])) for d, key, follow, around in followers(own[x:y], k, first, lambda h: _set(runs.value, h), lambda g, last: _set(keys.value, g) & (~last | _set(twice.value, g))))
             for i, c in enumerate(out):
                 out[c] = [v[i] for v in here]
             return out
@@ -548,6 +552,6 @@ def truncated_messages(df: DataFrame, key: str, text: str) -> DataFrame:
     with numbers that are all the same and one whole word at its end."""
     df = df.select(key, F.trim(text).alias("m")).where("m <> ''")
     distinct = df.select("m").distinct()  # a status word such as "ok", which most rows may have, is one row of each task
-    bad = cut(truncated(distinct, "m", "m", k=1, long=0, numbers=False))
+    bad = cut(truncated(distinct, "m", "m", k=1, first=1, numbers=False))
     rows = _named(df.select(F.col("m").alias("id"), key), bad.select(F.col("m").alias("id")))  # hot messages that are whole aren't shuffled
     return rows.join(bad.withColumnRenamed("m", "id"), "id").groupBy(key).agg(F.min("how").alias("how"))
