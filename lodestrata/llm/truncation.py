@@ -28,6 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -433,9 +434,10 @@ def truncated(df: DataFrame, key: str, text: str, source: str | None = None, *,
         def f(b):
             own = plain(b["text"])
             out: dict[str, list] = {"id": b["id"], "source": b["source"], "h": [], "shape": [shapes.shape(t) for t in own], "possible": [shapes.possible(t) for t in own], "chars": [len(t) for t in b["text"]]}
-            out["bytes"] = [len(t.encode("utf-8", "surrogatepass")) for t in b["text"]]
+            raw = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            out["bytes"] = [len(t) for t in raw]
             out["h"] = [_hash(t) for t in own]
-            out["alike"] = [_hash(t.translate(_DIGITS)) for t in own]
+            out["alike"] = [_hash(t.translate(_DIGITS)) for t in raw]
             got: list = []
             for x, y in blocks(own):
                 got += records(own[x:y], k, first)
@@ -466,22 +468,31 @@ def truncated(df: DataFrame, key: str, text: str, source: str | None = None, *,
     return copies.unionByName(scored).unionByName(at_limit).groupBy(F.col("id").alias(key)).agg(F.min_by("how", order[F.col("how")]).alias("how"))
 
 
-_DIGITS = str.maketrans("123456789", "0" * 9)
+_DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 
 
 def _plain(texts: list[str], numbers: bool = True) -> list[str]:
     return texts if numbers else [_MASK.sub("0", t) for t in texts]
 
 
-def _hash(text: str) -> int:
-    import xxhash
+def _hash(text: str | bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+def _slots(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """Three bits of a filter for each hash."""
+    return [(mix(h + _U(i)) & _U(size - 1)).astype(np.int64) for i in range(3)]
 
 
 def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h & _U(8 * len(bits) - 1)).astype(np.int64)
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+    """Whether all bits of a hash are set; the second ones are looked up for those only that have the first."""
+    out = np.zeros(len(h), bool)
+    left = np.arange(len(h))
+    for i in range(3):
+        at = (mix(h[left] + _U(i)) & _U(8 * len(bits) - 1)).astype(np.int64)
+        left = left[((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)]
+    out[left] = True
+    return out
 
 
 def _early(texts: DataFrame, seen: DataFrame, k: int, first: int, plain: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -502,11 +513,15 @@ def _early(texts: DataFrame, seen: DataFrame, k: int, first: int, plain: Callabl
 
     ends = cut(arrow_map(asks.select("h", "keys", "tail"), asked, "h bigint, key bigint, tail string").distinct())
     size = filter_bits(ends)
-    share = lambda df: spark.sparkContext.broadcast(filled(df, size))
-    slot = lambda c: F.col(c).bitwiseAND(F.lit(size - 1)).alias("slot")
-    runs = share(asks.select(slot("run")))
-    keys = share(ends.select(slot("key")))
-    twice = share(ends.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select(slot("key")))
+
+    def slots():
+        return lambda b: {"slot": np.concatenate(_slots(np.array(b["x"], np.int64).view(_U), size))}
+
+    def share(hashes: DataFrame):
+        return spark.sparkContext.broadcast(filled(arrow_map(hashes.select(F.col(hashes.columns[0]).alias("x")), slots, "slot bigint"), size))
+
+    runs, keys = share(asks.select("run")), share(ends.select("key"))
+    twice = share(ends.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key"))
 
     def going():
         def f(b):
