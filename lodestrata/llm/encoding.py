@@ -57,6 +57,18 @@ def _to_bytes(page: str) -> dict[int, int]:
     return table
 
 
+@cache
+def _of_bytes(page: str) -> list[str]:
+    back = {b: chr(c) for c, b in sorted(_to_bytes(page).items())}
+    return [chr(b) if b < 0x80 else back.get(b, chr(b)) for b in range(256)]
+
+
+def misread(text: str, page: str) -> str:
+    """The text as it looks when its UTF-8 bytes are read in a code page."""
+    table = _of_bytes(page)
+    return "".join([table[b] for b in text.encode("utf-8", "surrogatepass")])
+
+
 @cache
 def _marks(page: str) -> tuple[re.Pattern, re.Pattern]:
     """Lead characters of the page, and runs of characters that stand for bytes >= 0x80."""
