@@ -1,17 +1,18 @@
 """Mails reduced to what their sender newly wrote, by a recursive layout grammar over lines.
 
-    mail      := header? part* old?
-    part      := quoted | attribution quoted | notice | disclaimer | signature | authored
-    quoted    := lines led by a quote mark; without the marks a mail again, all of it old
+    mail        := header? part*
+    part        := quote | reply | forward | notice | disclaimer | signature | postscript | authored
+    quote       := lines led by quote marks, nested by their number
+    reply       := (original divider | header block | attribution) (quote | mail)
+    forward     := forward divider (quote | mail) end divider?
+    signature   := (closing | separator) line*   up to any other part
     attribution := one to four lines naming a writer and a time, up to a colon
-    old       := (divider | header block | attribution without quote marks) mail
-    signature := (closing | separator) line*   up to the next quote, divider, attribution,
-                 disclaimer or postscript
-    authored  := greeting, body, list lines, answers between quotes, postscripts
+    authored    := greeting, body, list lines, answers between quotes
 
-Only lines of authored nodes at the top level are kept; whatever stands below a quoted or old
-node is old, however deeply nested.  Accents are ignored and lost characters stand for any
-letter, so damaged mails parse as well.
+The lines are read once into a tree; the nodes that are open are a stack, so nesting may be of any depth.  A reply or
+forward whose text has quote marks ends with them; one without reaches to the end of the message it stands in, a
+forward to its end divider.  Only authored nodes and postscripts that no quote, reply or forward holds are new.  Accents are
+ignored and lost characters stand for any letter, so damaged mails parse as well.
 
 Defined results: a null or empty mail has no lines; a mail without any layout is authored
 whole; blank lines are in no node; lines are numbered from 1; repeated rows of one id count once.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass, field
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -56,9 +58,12 @@ DISCLAIMERS = [
     r"(ta|niniejsza) wiadomość\b.{0,40}\bpoufn", r"treść (tej|niniejszej) wiadomości", r"(pomyśl|pamięta\w+|proszę pomyśleć)\b.{0,40}\bśrodowisk", r"nasze oferty",
     r"treść (tego|niniejszego) (e-?maila|listu)",
 ]
-#: What stands in a divider before an earlier message.
-DIVIDERS = r"original|urspr|origin|oryginaln|forward|weitergeleitet|transf|reenviad|przekazan|podan|message|nachricht|mensaje|wiadomo"
-BEGINNINGS = r"begin forwarded message|anfang der weitergeleiteten|debut du message|inicio del mensaje|poczatek przekazanej|---"
+#: What stands in a divider before an earlier message, and in one before a forwarded message.
+DIVIDERS = "original|urspr|origin|oryginaln|forward|weitergeleitet|transf|reenviad|przekazan|podan|message|nachricht|mensaje|wiadomo"
+FORWARDS = "forward|weitergeleitet|transf|reenviad|przekazan|podan"
+#: How a line without marks begins that stands before, or after, a forwarded message.
+BEGINNINGS = "begin forwarded message|anfang der weitergeleiteten|debut du message|inicio del mensaje|poczatek przekazanej".split("|")
+ENDINGS = "end forwarded message|end of forwarded message|end of the forwarded message|ende der weitergeleiteten|fin du message|fin del mensaje|koniec przekazanej|koniec wiadomosci przekazanej".split("|")
 VERBS = "wrote|schrieb|a écrit|escribió|napisał|said|sagte|a dit|dijo|powiedział|writes|schreibt"
 
 
@@ -90,31 +95,30 @@ def _p(pattern: str, flags: int = 0) -> re.Pattern:
 _QUOTE = re.compile(r"\s*[>|]")
 _FIELD = re.compile(r"[*\s]*(?:" + "|".join(map(re.escape, sorted(FIELDS, key=len, reverse=True))) + r"|env[?�]+|wys[?�]ano|envoy[?�]+|[?�]+)[*]?\s?:(?:\s|$)")
 _FIRST_FIELD = re.compile(r"[*\s]*(?:from|von|de|od)[*]?\s?:\s")
-CLOSING = _p("(?:" + "|".join(re.sub(r"\s+", r"\\s+", x) for x in sorted(CLOSINGS.strip().replace("\n", "|").split("|"), key=len, reverse=True)) + r")\s*[,.!;]*(?:\s*[-]?\s*((?:\w[\w.'-]*\s*){1,3}))?$")
+CLOSING = _p("(?:" + "|".join(re.sub(r"\s+", r"\\s+", x) for x in sorted(CLOSINGS.strip().replace("\n", "|").split("|"), key=len, reverse=True)) + r")\s*[,.!;]*(?:\s*[-]?\s*(\w[\w.'-]*(?:\s+\w[\w.'-]*){0,2})\s*)?$")
 _SEPARATOR = re.compile(r"\s*(?:--|__|~~+|==+|\*\*+|\* \* \*|---|___)\s*$")
 _NOTICE = _p(r"\W*(?:" + "|".join(NOTICES) + ")")
 _DISCLAIMER = _p("|".join(DISCLAIMERS), re.S)
-_DIVIDER = re.compile(rf"\s*(?:-{{2,}}|_{{2,}}|={{2,}}|\*{{2,}})\s*[^\n]*(?:{DIVIDERS})[^\n]*(?:-{{2,}}|_{{2,}}|={{2,}}|\*{{2,}})\s*$|\s*(?:{BEGINNINGS[: BEGINNINGS.index('|---')]})[^\n]*:?\s*$")
+_DIVIDING = re.compile(DIVIDERS)
+_FORWARDING = re.compile(FORWARDS)
+_MARKS = "-_=* \t"
 _RULE = re.compile(r"\s*_{10,}\s*$|\s*-{10,}\s*$")
 _POSTSCRIPT = re.compile(r"\s*(?:p\.\s?s\b\.?|ps\b|p\.\s?d\b\.?|pd\s?[:.-]|pps\b|p\.\s?p\.\s?s)\s?[:.\-–]?")
 _ATTRIBUTION = _p(rf"(?:{VERBS})(?:a|\(a\)|\b)[^\n]*:\s*$|(?:{VERBS})(?:a|\(a\))?\s*:\s*$", re.S)
 _OPENING = re.compile(r"\s*(?:on|am|le|el|en|dnia|w dniu)\s+(?:\w+[.,]?\s+)?\d")
 _DATE = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}|\d{1,2}\.? \w+ \d{4}|@|\b\d{4}\b")
-_NAMEY = re.compile(r"[^\n]{0,80}<[^<>\s]*@?[^<>\s]*>\s*$")
 
 
 def _attribution(lines: list[str], i: int) -> int:
     """The line after an attribution that begins at line ``i``, or ``i``."""
     line = lines[i]
-    if len(line) > 160 or not (_OPENING.match(line) or "@" in line or ":" in line):
+    if not (_OPENING.match(line) or "@" in line or ":" in line):
         return i
     joined = ""
     for j in range(i, min(i + 4, len(lines))):
         if not lines[j].strip() or _QUOTE.match(lines[j]):
             return i
         joined += " " + lines[j].strip()
-        if len(joined) > 260:
-            return i
         if joined.endswith(":"):
             opened = _OPENING.match(joined) or "@" in joined
             if _ATTRIBUTION.search(joined) and (opened or _DATE.search(joined)) and (j == i or opened):
@@ -129,73 +133,152 @@ def _closing(line: str, raw: str) -> bool:
     return bool(m) and (not m.group(1) or all(w[:1].isupper() for w in raw.split()[-len(m.group(1).split()) :]))
 
 
-def authored(text: str | None) -> list[int]:
-    """Numbers of the newly written lines of a mail."""
-    if not text:
-        return []
+def _divider(line: str) -> str | None:
+    """'forward', 'end' or 'reply' for a line that divides messages."""
+    bare = line.strip(_MARKS)
+    if line[:1] in "-_=*" and line[:2].strip("-_=*") == "" and len(line) > 3 and line.rstrip()[-2:].strip("-_=*") == "" and bare:
+        if any(bare.startswith(x) for x in ENDINGS):
+            return "end"
+        if _DIVIDING.search(bare):
+            return "forward" if _FORWARDING.search(bare) else "reply"
+    if bare.startswith(tuple(BEGINNINGS)):
+        return "forward"
+    return "end" if bare.startswith(tuple(ENDINGS)) and len(bare) < 80 else None
+
+
+@dataclass
+class Node:
+    """A node of the tree: its kind, the numbers of its own lines, and what it holds."""
+
+    kind: str
+    lines: list[int] = field(default_factory=list)
+    nodes: list[Node] = field(default_factory=list)
+    signed: bool = False
+
+    def add(self, kind: str, *lines: int) -> Node:
+        """Lines of a kind go to the node of that kind if it is the last one, else to a new one."""
+        if not (self.nodes and self.nodes[-1].kind == kind and kind not in ("reply", "forward")):
+            self.nodes.append(Node(kind))
+        self.nodes[-1].lines += lines
+        return self.nodes[-1]
+
+
+NEW = ("authored", "postscript")
+
+
+def parse(text: str) -> Node:
+    """The tree of a mail."""
     if not text.isascii():
         hurt, fixed = encoding.restore(text)
         if hurt and fixed.count("\n") == text.count("\n"):
             text = fixed
     raw = text.split("\n")
     lines = [" ".join(x.split()) for x in fold(text).split("\n")]
-    n, i, out = len(lines), 0, []
-    while i < n and not lines[i].strip():
-        i += 1
-    if i < n and _FIELD.match(lines[i]):  # header block
-        while i < n and lines[i].strip():
-            i += 1
-    signed = False
+    n, i = len(lines), 0
+    root = Node("mail")
+    open_ = [root]  # the messages that line i stands in
+
+    def after(j: int) -> int:
+        while j < n and not lines[j]:
+            j += 1
+        return j
+
+    def header(j: int) -> int:
+        """The line after a block of header fields that begins at line j."""
+        while j < n and lines[j] and not _QUOTE.match(lines[j]):
+            j += 1
+        return j
+
+    def old(kind: str, to: int, end: int) -> int:
+        """An earlier message whose heading ends before line ``to``, and maybe is followed by header fields."""
+        node = open_[-1].add(kind, *range(i + 1, end + 1))
+        open_[-1].signed = False
+        j = after(to)
+        if j < n and _FIELD.match(lines[j]) and not _QUOTE.match(lines[j]):
+            k = header(j)
+            node.add("header", *range(j + 1, k + 1))
+            j = after(k)
+        if j >= n or not _QUOTE.match(lines[j]):  # without quote marks
+            open_.append(node)
+        return j
+
+    i = after(0)
+    if i < n and _FIELD.match(lines[i]):
+        j = header(i)
+        root.add("header", *range(i + 1, j + 1))
+        i = j
     while i < n:
-        line = lines[i]
-        if not line.strip():
+        line, here = lines[i], open_[-1]
+        if not line:
             i += 1
             continue
         if _QUOTE.match(line):
+            depth = 0
+            node = here
+            for c in line:
+                if c in ">|":
+                    depth += 1
+                elif c != " ":
+                    break
+            node = node.add("quote")
+            for _ in range(1, min(depth, 16)):  # deeper ones are one node
+                node = node.add("quote")
+            node.lines.append(i + 1)
+            here.signed = False
             i += 1
             continue
-        short = len(line) < 100
-        if short and _DIVIDER.match(line):
-            break
-        if short and (_FIRST_FIELD.match(line) or _RULE.match(line)):
-            j = i + 1 if _RULE.match(line) else i
-            while j < n and not lines[j].strip():
-                j += 1
+        divides = _divider(line)
+        if divides == "end":
+            for k in range(len(open_) - 1, 0, -1):
+                if open_[k].kind == "forward":
+                    del open_[k:]
+                    break
+            open_[-1].add("end", i + 1)
+            open_[-1].signed = False
+            i += 1
+            continue
+        if divides:
+            i = old(divides, i + 1, i + 1)
+            continue
+        rule = _RULE.match(line)
+        if rule or _FIRST_FIELD.match(line):
+            j = after(i + 1) if rule else i
             k = j
-            while k < n and lines[k].strip() and _FIELD.match(lines[k]):
+            while k < n and lines[k] and _FIELD.match(lines[k]):
                 k += 1
             if k - j >= 2 and _FIRST_FIELD.match(lines[j]):
-                break
+                i = old("reply", j, j)
+                continue
         j = _attribution(lines, i)
         if j > i:
-            k = j
-            while k < n and not lines[k].strip():
-                k += 1
-            if k < n and not _QUOTE.match(lines[k]):
-                break  # an earlier message without quote marks
-            signed, i = False, j
+            i = old("reply", j, j)
             continue
         if _POSTSCRIPT.match(line):
-            while i < n and lines[i].strip() and not _QUOTE.match(lines[i]):
-                out.append(i + 1)
+            while i < n and lines[i] and not _QUOTE.match(lines[i]):
+                here.add("postscript", i + 1)
                 i += 1
             continue
-        if short and _NOTICE.match(line):
+        if _NOTICE.match(line):
+            here.add("notice", i + 1)
             i += 1
             continue
-        if i == 0 or not lines[i - 1].strip():  # a paragraph begins
+        if i == 0 or not lines[i - 1]:  # a paragraph begins
             j = i
-            while j < n and lines[j].strip() and not _QUOTE.match(lines[j]):
+            while j < n and lines[j] and not _QUOTE.match(lines[j]):
                 j += 1
-            if j - i <= 8 and _DISCLAIMER.search(" ".join(x.strip() for x in lines[i:j])[:600]):
+            if _DISCLAIMER.search(" ".join(lines[i:j])):
+                here.add("disclaimer", *range(i + 1, j + 1))
                 i = j
                 continue
-        if short and (_SEPARATOR.match(line) or len(line) < 60 and _closing(line, raw[i])):
-            signed = True
-        if not signed:
-            out.append(i + 1)
+        here.signed = here.signed or bool(_SEPARATOR.match(line)) or _closing(line, raw[i])
+        here.add("signature" if here.signed else "authored", i + 1)
         i += 1
-    return out
+    return root
+
+
+def authored(text: str | None) -> list[int]:
+    """Numbers of the newly written lines of a mail: those of the new nodes right below its root."""
+    return sorted(x for node in parse(text).nodes if node.kind in NEW for x in node.lines) if text else []
 
 
 def mails(df: DataFrame, path: str = "filename") -> DataFrame:

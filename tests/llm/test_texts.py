@@ -154,6 +154,34 @@ def test_small_mails(text, want):
     assert mail.authored(text) == want
 
 
+LONG_NOTICE = "This message and all that is attached to it is meant for the person named above only and\n" + "".join(f"holds line {i} of what the lawyers wanted to have said, word by word,\n" for i in range(9)) + "and the content of this e-mail may be protected."
+FORWARD = "See below.\n\n---------- Forwarded message ---------\nFrom: Ann <a@x.test>\nTo: b@x.test\nSubject: x\n\nold words\n\nRegards,\nAnn\n{}\n\nAnd what do you think?\n\nThanks,\nBo"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Hi,\n\nnew words.\n\n" + LONG_NOTICE, ["Hi,", "new words."]), (FORWARD.format("---------- End of forwarded message ---------"), ["See below.", "And what do you think?"]),
+        (FORWARD.format("Ende der weitergeleiteten Nachricht"), ["See below.", "And what do you think?"]), (FORWARD.format(""), ["See below."]),
+        ("top\n\n-----Original Message-----\n> From: Ann\n> old\n\nanswer below", ["top", "answer below"]), ("Bo Low\n\nThanks,\nBo\n> quoted\nanswer after a signature", ["Bo Low", "answer after a signature"]),
+        ("a\n" + ">" * 5000 + " deep\nb", ["a", "b"]), ("a\n\n" + "-----Original Message-----\n" * 3000 + "old", ["a"]), ("x" * 200 + " wrote it.\nOn 2020-01-02 " + "Ann " * 60 + "wrote:\n> old\nnew", ["x" * 200 + " wrote it.", "new"]),
+    ],
+)
+def test_trees_of_mails(text, want):
+    lines = text.split("\n")
+    assert [lines[i - 1] for i in mail.authored(text)] == want
+
+
+def test_every_line_is_in_one_node():
+    def all_lines(node):
+        return node.lines + [x for child in node.nodes for x in all_lines(child)]
+
+    for text in (MAIL, FORWARD, FORWARD.format("End of forwarded message"), "> > a\n> b\nc"):
+        assert sorted(all_lines(mail.parse(text))) == [i for i, x in enumerate(text.split("\n"), 1) if x.strip()]
+    nested = mail.parse("> > a\n> b").nodes[0]
+    assert nested.kind == "quote" and nested.lines == [2] and nested.nodes[0].lines == [1]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab >|-:@\n.,é0"), max_size=200))
 def test_any_mail_has_numbered_lines(text):
