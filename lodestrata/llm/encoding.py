@@ -3,10 +3,10 @@
 Three kinds of damage are looked for, in this order.
 
 * Multi-byte text read as a legacy code page ("Ã©").  Characters are mapped back to the
-  bytes of each code page and an automaton over byte classes finds the maximal
-  well-formed UTF-8 spans; only those spans are decoded, and again while any are left, as
-  damage can be repeated.  A span counts only if it yields letters, marks or punctuation
-  that texts in Latin script have.
+  bytes of each code page, and an automaton over the structure of UTF-8 finds the maximal
+  well-formed spans; only those spans are decoded, and again while any are left, as
+  damage can be repeated.  In a span, letters and marks of Latin script, punctuation, symbols and emoji count alone;
+  other scripts count from two characters on, as a French quotation can look like one.
 * Single-byte text read as another code page ("rΘsumΘ", "op³aci³").  Words with a
   character that can't stand where it stands (a symbol, another script or a capital
   inside a lower-case word) are mapped back and decoded with the code page that makes all
@@ -24,7 +24,9 @@ one id count once.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import cache
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,49 +71,54 @@ def misread(text: str, page: str) -> str:
     return "".join([table[b] for b in text.encode("utf-8", "surrogatepass")])
 
 
+#: The automaton of UTF-8 over bytes (as characters below 256): sequences of two, three and four bytes, as many as follow each other.
+_WELL_FORMED = re.compile(
+    "(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    "|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
+)
+
+
 @cache
-def _marks(page: str) -> tuple[re.Pattern, re.Pattern]:
-    """Lead characters of the page, and runs of characters that stand for bytes >= 0x80."""
+def _marks(page: str) -> tuple[re.Pattern, dict[int, int]]:
+    """A lead character of the page with one that may follow it; and its characters' bytes, all else mapped to no byte."""
     table = _to_bytes(page)
-    lead = [chr(c) for c, b in table.items() if 0xC2 <= b <= 0xF4]
-    return re.compile("[" + re.escape("".join(lead)) + "]"), re.compile("[" + re.escape("".join(map(chr, table))) + "]{2,}")
+    lead = re.escape("".join(chr(c) for c, b in table.items() if 0xC2 <= b <= 0xF4))
+    rest = re.escape("".join(chr(c) for c, b in table.items() if 0x80 <= b < 0xC0))
+    return re.compile(f"[{lead}][{rest}]"), {c: 0xFFFF for c in range(0x80, 0x100)} | table
 
 
-#: The automaton's classes: bytes that may follow a lead byte, by lead byte.
-_LENGTH = {**{b: 2 for b in range(0xC2, 0xE0)}, **{b: 3 for b in range(0xE0, 0xF0)}, **{b: 4 for b in range(0xF0, 0xF5)}}
+#: Fixed values: (first, last, script) of characters that a span may yield; those without a script count alone.
+SCRIPTS = [
+    (0x80, 0x17F, ""), (0x192, 0x192, ""), (0x218, 0x21B, ""), (0x2C6, 0x2DD, ""), (0x300, 0x36F, ""), (0x370, 0x3FF, "Greek"), (0x400, 0x52F, "Cyrillic"), (0x530, 0x58F, "Armenian"), (0x590, 0x5FF, "Hebrew"), (0x600, 0x77F, "Arabic"), (0x900, 0xDFF, "Indic"),
+    (0xE00, 0xE7F, "Thai"), (0x10A0, 0x10FF, "Georgian"), (0x1E00, 0x1EFF, ""), (0x1F00, 0x1FFF, "Greek"), (0x200B, 0x27BF, ""), (0x3000, 0x30FF, "Han"), (0x3400, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"), (0xF900, 0xFAFF, "Han"),
+    (0xFE0F, 0xFE0F, ""), (0xFEFF, 0xFEFF, ""), (0xFF00, 0xFFEF, "Han"), (0x1F000, 0x1FAFF, ""), (0x20000, 0x2FFFF, "Han"),
+]
+_FIRSTS = [x[0] for x in SCRIPTS]
 
 
-def _plausible(c: str) -> bool:
+def _script(c: str) -> str | None:
+    """The script that a character counts for, "" if it counts alone, None if it doesn't count."""
     p = ord(c)
-    return 0xA0 <= p <= 0x17F or 0x300 <= p <= 0x36F or 0x2010 <= p <= 0x2044 or p in (0x20AC, 0x2116, 0x2122, 0x218, 0x219, 0x21A, 0x21B) or 0x80 <= p < 0xA0
+    first, last, script = SCRIPTS[max(0, bisect_right(_FIRSTS, p) - 1)]
+    return script if first <= p <= last else None
 
 
 def decode_spans(text: str, page: str) -> tuple[str, int]:
-    """The text with its maximal well-formed multi-byte spans decoded, and how many there were."""
-    table = _to_bytes(page)
-    found = 0
-
-    def fix(m: re.Match) -> str:
-        nonlocal found
-        run, out, i = m.group(), [], 0
-        while i < len(run):
-            b = table[ord(run[i])]
-            n = _LENGTH.get(b, 0)
-            if n and i + n <= len(run):
-                try:
-                    c = bytes(table[ord(x)] for x in run[i : i + n]).decode()
-                except UnicodeDecodeError:
-                    c = ""
-                if c and _plausible(c):
-                    out.append(c)
-                    found += 1
-                    i += n
-                    continue
-            out.append(run[i])
-            i += 1
-        return "".join(out)
-
-    return _marks(page)[1].sub(fix, text), found
+    """The text with its maximal well-formed multi-byte spans decoded, and how many characters they yield."""
+    mapped = text.translate(_marks(page)[1])
+    found, out, at = 0, [], 0
+    for m in _WELL_FORMED.finditer(mapped):
+        a = m.start()
+        chars = m.group().encode("latin-1").decode()
+        for script, same in groupby(chars, _script):
+            run = list(same)
+            size = sum(len(c.encode()) for c in run)
+            if script == "" or script and len(run) > 1:
+                out += [text[at:a], *run]
+                at = a + size
+                found += len(run)
+            a += size
+    return "".join(out) + text[at:], found
 
 
 # Characters that can't stand where they stand.  L: Latin letters, U: capitals with marks.
@@ -166,12 +173,12 @@ def restore(text: str | None, name: bool = False) -> tuple[bool, str | None]:
     hurt, whole = False, text
     if not text.isascii():
         marked = _marked(text)
-        for _ in range(4):
+        while True:  # a layer makes the text shorter
             pages = [page for page in CODE_PAGES if _marks(page)[0].search(marked) and decode_spans(marked, page)[1]]
             if not pages:
                 break
             hurt = True
-            text = max((decode_spans(text, page) for page in pages), key=lambda x: x[1])[0]
+            text = max((decode_spans(text, page) for page in pages), key=lambda x: len(text) - len(x[0]) + x[1])[0]  # the one that takes most characters
             marked = _marked(text)
         if any(not _NOT_ODD.match(marked, m.start()) for m in _ODD.finditer(marked)):
             hurt, text = True, _swap(text)

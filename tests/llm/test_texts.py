@@ -77,6 +77,30 @@ def test_multi_byte_round_trip(page):
         assert encoding.restore(bad) == (True, text), bad
 
 
+@pytest.mark.parametrize("page", ["cp1252", "latin-1", "cp437", "mac_roman"])
+def test_all_scripts_round_trip(page):
+    for text in ["привет мир", "Καλημέρα κόσμε", "你好，世界", "こんにちは", "안녕하세요", "so good 😀 and 🎉", "plain and שלום", "مرحبا"]:
+        bad = encoding.misread(text, "cp1252" if page == "latin-1" else page) if page != "latin-1" else text.encode().decode("latin-1")
+        assert encoding.restore(bad) == (True, text), (page, bad)
+        assert encoding.restore(text) == (False, text)
+
+
+def test_quotations_are_no_spans():
+    for text in ["il dit à\xa0« oui\xa0»", "l’été\xa0» et", "«élan» ’été", "à\xa0» la"]:
+        assert encoding.restore(text) == (False, text)
+
+
+def test_layers_until_none_is_left():
+    text = bad = "Prüfbericht für Müller – été"
+    for _ in range(7):
+        bad = encoding.misread(bad, "cp1252")
+    assert encoding.restore(bad) == (True, text)
+
+
+def test_maximal_spans():
+    assert encoding.decode_spans("Ã©Ã¨ Ã x Ã\xa0", "cp1252") == ("éè Ã x à", 3)
+
+
 @pytest.mark.parametrize("right, wrong", [("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "mac_roman"), ("cp1250", "cp1252")])
 def test_single_byte_round_trip(right, wrong):
     text = "przewoźnik opłacił kartę wstępu" if right == "cp1250" else "le procès-verbal a été résumé, Gérard für Stück"
