@@ -23,3 +23,9 @@ def names(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> bool:
     fs, p = _open(spark, path)
     return fs.delete(p, True)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """The path is removed when the driver's process ends."""
+    fs, p = _open(spark, path)
+    fs.deleteOnExit(p)
