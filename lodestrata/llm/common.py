@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.sources import store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,3 +82,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The table written to the shared checkpoint folder, with its lineage cut; survives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared checkpoint folder and read again, so that later steps read the columns they
+    need; survives lost executors. The table is removed when the driver ends."""
+    spark = df.sparkSession
+    where = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    store.remove_at_end(spark, where)
+    return spark.read.schema(df.schema).parquet(where)

@@ -373,14 +373,15 @@ FILTER = (1 << 23, 1 << 30)
 
 
 def filter_bits(rows: DataFrame) -> int:
-    """So many bits that a filter on these rows is set to a thirtieth, within bounds."""
-    return min(FILTER[1], max(FILTER[0], 1 << (32 * rows.count()).bit_length()))
+    """Sixteen to 32 bits for each of these rows, within bounds."""
+    return min(FILTER[1], max(FILTER[0], 1 << (16 * rows.count()).bit_length()))
 
 
 def filled(slots: DataFrame, size: int) -> np.ndarray:
     """The filter's bits, eight to a byte, with those of the column ``slot`` set."""
     slot = F.col("slot") + 1
-    parts = slots.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    # A task's part is as large as the filter, so there are few tasks: one for each 64 million bits, and no less than four.
+    parts = slots.coalesce(max(4, size >> 26)).select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = np.zeros(size // 8, np.uint8)
     for row in parts.collect():  # size / 32768 rows at most
         at = (row.part - 1) * 4096

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import encoding
-from lodestrata.llm.common import arrow_map, cut
+from lodestrata.llm.common import arrow_map, cut, stored
 from lodestrata.llm.mail import CLOSING, NOTICES, fold
 from lodestrata.llm.neardup import _named, buckets_for, filled, filter_bits
 from lodestrata.llm.words import Words, blocks, mix, words_of
@@ -286,7 +286,7 @@ def _stretches(w: Words) -> Callable[[int, int, int], bytes]:
     g = np.zeros(max(0, len(w.hash) - SHINGLE + 1), _U)
     for i in range(SHINGLE):
         g = g * _U(0x9E3779B97F4A7C15) + w.hash[i : i + len(g)]
-    g = (mix(g) >> _U(32)).astype(np.uint32)
+    g = (mix(g) >> _U(48)).astype(np.uint16)
     return lambda d, to, most: g[max(int(w.first[d]), to - most) : max(0, to - SHINGLE + 1)].tobytes()
 
 
@@ -397,8 +397,8 @@ def goes_on(tail: str, follow: str) -> bool:
 
 def contained(window: bytes, other: bytes) -> bool:
     """At least half of the shingles are the other's, too."""
-    own = np.frombuffer(window, np.int32)
-    return 2 * np.isin(own, np.frombuffer(other, np.int32)).sum() >= len(own)
+    own = np.frombuffer(window, np.uint16)
+    return 2 * np.isin(own, np.frombuffer(other, np.uint16)).sum() >= len(own)
 
 
 def ends_early(text: str, other: str, k: int = K, first: int = FIRST) -> bool:
@@ -447,7 +447,7 @@ def truncated(df: DataFrame, key: str, text: str, source: str | None = None, *,
 
         return f
 
-    seen = cut(arrow_map(df, shaped, f"id {kind}, source string, h bigint, shape string, possible string, chars bigint, bytes bigint, alike bigint, run bigint, keys binary, tail string, stretch binary"))
+    seen = stored(arrow_map(df, shaped, f"id {kind}, source string, h bigint, shape string, possible string, chars bigint, bytes bigint, alike bigint, run bigint, keys binary, tail string, stretch binary"))
     near = _early(df.select("text"), seen, k, first, plain)
     once = seen.join(near.withColumn("near", F.lit(1)), "h", "left").withColumn("shape", F.when(F.col("near").isNull(), F.col("shape")).otherwise(""))
     once = once.groupBy("h").agg(F.first("shape").alias("shape"), F.first("possible").alias("possible"))  # equal texts count once
@@ -511,7 +511,7 @@ def _early(texts: DataFrame, seen: DataFrame, k: int, first: int, plain: Callabl
 
         return f
 
-    ends = cut(arrow_map(asks.select("h", "keys", "tail"), asked, "h bigint, key bigint, tail string").distinct())
+    ends = stored(arrow_map(asks.select("h", "keys", "tail"), asked, "h bigint, key bigint, tail string"))
     size = filter_bits(ends)
 
     def slots():
@@ -537,7 +537,7 @@ def _early(texts: DataFrame, seen: DataFrame, k: int, first: int, plain: Callabl
         return f
 
     found = arrow_map(texts, going, "key bigint, follow string, around binary, h bigint").groupBy("key", "follow", "around")
-    found = cut(found.agg(F.min("h").alias("one"), F.max("h").alias("two")))  # copies are one; of two texts one is another
+    found = stored(found.agg(F.min("h").alias("one"), F.max("h").alias("two")))  # copies are one; of two texts one is another
 
     def on():
         def f(b):
@@ -549,7 +549,7 @@ def _early(texts: DataFrame, seen: DataFrame, k: int, first: int, plain: Callabl
     # Which endings go on elsewhere at all, whatever texts have them.
     pairs = ends.select("key", "tail").distinct().join(found.select("key", "follow").distinct(), "key")
     pairs = cut(arrow_map(pairs, on, "key bigint, tail string, follow string"))
-    left = cut(ends.join(pairs.select("key", "tail").distinct(), ["key", "tail"], "left_semi"))
+    left = cut(ends.join(pairs.select("key", "tail").distinct(), ["key", "tail"], "left_semi").distinct())
     stretches = _named(asks.select(F.col("h").alias("id"), "stretch"), left.select(F.col("h").alias("id"))).distinct()
     own = left.join(stretches.withColumnRenamed("id", "h"), "h").join(pairs, ["key", "tail"]).select("h", "key", "follow", "stretch")
 
