@@ -56,15 +56,21 @@ def sniff_text(text: Column, out: Column | None = None) -> Column:
     return out
 
 
-#: Media types by the way they are shown.
-SHOWN_AS_IS = ["application/pdf", "image/jpeg", "image/png", "image/gif", "text/plain"]
-CONVERTED_FROM_HTML = ["text/html"]
-CONVERTED_FROM_OFFICE = [
-    "application/msword", "application/rtf", "text/rtf", "text/csv", "application/vnd.ms-excel", "application/vnd.ms-powerpoint", "application/vnd.oasis.opendocument.text",
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+#: Media types that are sent as they are, and those that are sent so without a name.
+SENT_AS_IS = ["application/octet-stream", "image/jpeg", "image/png", "image/tiff", "message/rfc822", "text/csv", "text/plain", "text/xml"]
+WITHOUT_NAME = ["application/pdf", "image/jpeg", "image/png", "image/tiff", "message/rfc822", "text/csv", "text/plain", "text/xml"]
+#: Media types that aren't converted.
+NOT_CONVERTED = [
+    "application/x-matlab-data", "application/quickbooks", "application/encrypted", "application/x-wine-extension-ini", "inode/x-empty", "application/x-ole-storage", "application/x-fpt", "application/x-ms-shortcut",
 ]
 
 
 def route(kind: Column) -> Column:
-    """How a content of a media type is shown."""
-    return F.when(kind.isin(SHOWN_AS_IS), "as_is").when(kind.isin(CONVERTED_FROM_HTML), "html_to_pdf").when(kind.isin(CONVERTED_FROM_OFFICE), "office_to_pdf").otherwise("unsupported")
+    """How a content of a media type is shown: as it is, its page or else its document converted to PDF."""
+    as_is = kind.isin(*SENT_AS_IS, *NOT_CONVERTED, "application/pdf")
+    return F.when(as_is, "as_is").when(kind == "text/html", "html_to_pdf").otherwise("office_to_pdf")
+
+
+def named(kind: Column) -> Column:
+    """Whether a content that is shown as it is goes out under a name."""
+    return ~kind.isin(WITHOUT_NAME)

@@ -51,14 +51,71 @@ def from_mail(data: bytes) -> tuple[str, str | None]:
     return text.strip(), m.get("subject")
 
 
+#: Bytes that a part of an office file may have once it is unpacked, and all parts together.
+PART, PARTS = 64 << 20, 256 << 20
+
+
+def _parts(z: zipfile.ZipFile) -> Callable[[str], bytes]:
+    """Reads parts of an archive within bounds, whatever sizes it names."""
+    left = PARTS
+
+    def read(name: str) -> bytes:
+        nonlocal left
+        with z.open(name) as f:
+            got = f.read(min(PART, left) + 1)
+        left -= len(got)
+        if len(got) > PART or left < 0:
+            raise ValueError("too large")
+        if b"<!ENTITY" in got[:4096]:
+            raise ValueError("entities")
+        return got
+
+    return read
+
+
+def office_type(data: bytes) -> str:
+    """Media type of a zipped office file by its parts; that of an archive for any other."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = set(z.namelist())
+            if "mimetype" in names:
+                return _parts(z)("mimetype").decode("ascii", "replace").strip()
+    except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile):
+        return "application/zip"
+    for lead, kind in (("word/", "wordprocessingml.document"), ("xl/", "spreadsheetml.sheet"), ("ppt/", "presentationml.presentation")):
+        if any(n.startswith(lead) for n in names):
+            return f"application/vnd.openxmlformats-officedocument.{kind}"
+    return "application/zip"
+
+
+def from_rtf(data: bytes) -> tuple[str, str | None]:
+    """Text of a rich text file: without groups that hold no text, its control words and escapes."""
+    t = data.decode("latin-1")
+    t = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]).decode("cp1252", "replace"), t)
+    t = re.sub(r"\\u(-?\d+) ?\??", lambda m: chr(int(m[1]) % 65536), t)
+    out, skip, depth = [], 0, 0
+    for m in re.finditer(r"([{}])|\\(\*|[a-zA-Z]+)(-?\d+)? ?|\\([^a-zA-Z])|([^{}\\]+)", t):
+        if m[1] == "{":
+            depth += 1
+        elif m[1]:
+            depth -= 1
+            skip = 0 if depth < skip else skip
+        elif m[2] in ("*", "fonttbl", "colortbl", "stylesheet", "info", "pict"):
+            skip = skip or depth
+        elif not skip:
+            out.append("\n" if m[2] in ("par", "line", "row") else "\t" if m[2] in ("tab", "cell") else m[4] or (m[5] or "").replace("\r", "").replace("\n", "") if not m[2] else "")
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip(), None
+
+
 def from_office(data: bytes) -> tuple[str, str | None]:
     """Text of the XML parts of a zipped office file, its runs joined and paragraphs on lines."""
     out, title = [], None
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        read = _parts(z)
         for n in z.namelist():
             if re.search(r"(word/document|content|xl/sharedStrings|ppt/slides/slide\d+)\.xml$", n):
                 lines: list[str] = []
-                for e in ElementTree.fromstring(z.read(n)).iter():
+                for e in ElementTree.fromstring(read(n)).iter():
                     tag = e.tag.rsplit("}", 1)[-1]
                     if tag in ("p", "si", "h"):
                         lines.append("")
@@ -66,13 +123,18 @@ def from_office(data: bytes) -> tuple[str, str | None]:
                         lines[-1:] = [(lines[-1] if lines else "") + e.text]
                 out += lines
             elif n == "docProps/core.xml":
-                title = next((e.text for e in ElementTree.fromstring(z.read(n)).iter() if e.tag.endswith("}title")), None)
+                title = next((e.text for e in ElementTree.fromstring(read(n)).iter() if e.tag.endswith("}title")), None)
     return "\n".join(x for x in out if x).strip(), title
 
 
+#: Media types of zipped office files.
+OFFICE = [
+    "openxmlformats-officedocument.wordprocessingml.document", "openxmlformats-officedocument.spreadsheetml.sheet", "openxmlformats-officedocument.presentationml.presentation",
+    "oasis.opendocument.text", "oasis.opendocument.spreadsheet", "oasis.opendocument.presentation",
+]
 REGISTRY: dict[str, Extractor] = {
-    "text/plain": from_text, "text/csv": from_text, "text/xml": from_text, "application/json": from_text, "text/html": from_html, "message/rfc822": from_mail, "application/zip": from_office,
-}
+    "text/plain": from_text, "text/csv": from_text, "text/xml": from_text, "application/json": from_text, "text/html": from_html, "message/rfc822": from_mail, "text/rtf": from_rtf,
+} | {f"application/vnd.{x}": from_office for x in OFFICE}
 
 
 def extracted(files: DataFrame, registry: dict[str, Extractor] | None = None) -> DataFrame:
@@ -90,7 +152,7 @@ def extracted(files: DataFrame, registry: dict[str, Extractor] | None = None) ->
         if not data:
             return "", None, "ok"
         if kind not in known:
-            return "", None, "unsupported"
+            return "", None, "error: BadZipFile" if kind == "application/zip" and not zipfile.is_zipfile(io.BytesIO(data)) else "unsupported"
         try:
             text, title = known[kind](data)
             return text[:LONGEST], title, "ok"
@@ -99,8 +161,10 @@ def extracted(files: DataFrame, registry: dict[str, Extractor] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [one(k, d) for k, d in zip(b.column("content_type").to_pylist(), b.column("content").to_pylist())]
-            own = [b.column(c) for c in columns] + [b.column("content_type")]
+            kinds, data = b.column("content_type").to_pylist(), b.column("content").to_pylist()
+            kinds = [office_type(d) if k == "application/zip" else k for k, d in zip(kinds, data)]
+            got = [one(k, d) for k, d in zip(kinds, data)]
+            own = [b.column(c) for c in columns] + [pa.array(kinds, pa.string())]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array([g[i] for g in got], pa.string()) for i in range(3))], names=[*columns, "content_type", "text", "title", "message"])
 
     kinds = dict(files.dtypes)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import paths
@@ -15,6 +16,8 @@ from lodestrata.operators import dedupe, extract
 from lodestrata.sources import files, store
 
 MOST = 314_572_800
+#: Bytes that are copied at once.
+CHUNK = 1 << 20
 
 
 def pipeline(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -28,22 +31,42 @@ def pipeline(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame],
     return run
 
 
-def with_content(df: DataFrame, most: int = MOST) -> DataFrame:
-    """The bytes of files up to a size; larger ones are never opened."""
+#: Bytes of contents that a batch holds, besides the one that goes over it.
+BATCH_BYTES = 64 << 20
+
+
+def with_content(df: DataFrame, most: int = MOST, batch: int = BATCH_BYTES) -> DataFrame:
+    """With content, the bytes of files up to a size, and error; larger ones are never opened, and one that can't be read
+    has an error instead. A batch is cut by the bytes it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = []
+            data, errors, begin, held = [], [], 0, 0
             for p, n in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
-                if n > most:
-                    data.append(None)
-                else:
-                    with open(p, "rb") as f:
-                        data.append(f.read())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], names=[*b.schema.names, "content"])
+                got, error = (None, None) if n is not None and n > most else _read(p, most)
+                data.append(got)
+                errors.append(error)
+                held += len(got or b"")
+                if held >= batch:
+                    yield made(b, begin, data, errors)
+                    begin, data, errors, held = begin + len(data), [], [], 0
+            if data:
+                yield made(b, begin, data, errors)
+
+    def made(b: pa.RecordBatch, begin: int, data: list, errors: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.slice(begin, len(data)).columns, pa.array(data, pa.binary()), pa.array(errors, pa.string())], names=[*b.schema.names, "content", "error"])
 
     names = ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    return df.mapInArrow(run, f"{names}, content binary")
+    return df.mapInArrow(run, f"{names}, content binary, error string")
+
+
+def _read(path: str, most: int) -> tuple[bytes | None, str | None]:
+    try:
+        with open(path, "rb") as f:
+            got = f.read(most + 1)  # it may have grown
+        return (got, None) if len(got) <= most else (None, None)
+    except OSError as e:
+        return None, f"{type(e).__name__}: {e.strerror}"
 
 
 def documents(spark: SparkSession, root: str, known: DataFrame | None = None, provenance: DataFrame | None = None, most: int = MOST) -> DataFrame:
@@ -56,7 +79,7 @@ def documents(spark: SparkSession, root: str, known: DataFrame | None = None, pr
     one = dedupe.first_wins(good, "sha256", "path")
     if known is not None:
         one = dedupe.unseen(one, known, "sha256")
-    read = extract.extracted(with_content(one.select("path", "mtime", "length", "sha256"), most))
+    read = extract.extracted(with_content(one.select("path", "mtime", "length", "sha256"), most)).withColumn("message", F.coalesce(F.concat(F.lit("error: "), F.col("error")), F.col("message")))
     if provenance is not None:
         read = read.join(provenance.select("sha256", "original_filename"), "sha256", "left")
     else:
@@ -69,18 +92,20 @@ def documents(spark: SparkSession, root: str, known: DataFrame | None = None, pr
 
 
 def append(df: DataFrame, where: str) -> int:
-    """Documents of new hashes appended to a Parquet table; how many there were."""
+    """Documents of new hashes appended to a Parquet table, one for each hash; how many there were. Rows without a hash aren't kept."""
     spark = df.sparkSession
-    before = 0
+    df = dedupe.first_wins(df.where(F.col("sha256").isNotNull()), "sha256", *("filename",) if "filename" in df.columns else ("sha256",))
     if store.names(spark, where):
-        known = spark.read.parquet(where)
-        df, before = dedupe.unseen(df, known, "sha256"), known.count()
-    df.write.mode("append").parquet(where)
-    return spark.read.parquet(where).count() - before
+        df = dedupe.unseen(df, spark.read.parquet(where), "sha256")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(where)
+    return seen.get["n"]
 
 
-def upserted(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The table with rows of the same key replaced."""
+def upserted(table: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
+    """The table with rows of the same key replaced; of the new rows of a key the last in the order holds. Null is no key: such
+    new rows are left out, and the table's stay."""
+    new = dedupe.last_wins(new.where(F.col(key).isNotNull()), key, *order or (key,))
     return dedupe.unseen(table, new, key).unionByName(new, allowMissingColumns=True)
 
 
@@ -94,8 +119,9 @@ def relocate(df: DataFrame, target: str) -> DataFrame:
                 new = not os.path.exists(q)
                 if new:
                     os.makedirs(os.path.dirname(q), exist_ok=True)
-                    part = f"{q}.{os.getpid()}.part"
-                    shutil.copyfile(p, part)
+                    part = f"{q}.{uuid.uuid4().hex}.part"
+                    with open(p, "rb") as f, open(part, "wb") as g:
+                        shutil.copyfileobj(f, g, CHUNK)
                     os.replace(part, q)
                 done.append(new)
             yield pa.RecordBatch.from_arrays([b.column("sha256"), b.column("path"), pa.array(to, pa.string()), pa.array(done, pa.bool_())], names=["sha256", "path", "target", "copied"])

@@ -33,6 +33,26 @@ def after_expansion(archive: bool, remove: bool) -> str:
     return "archive" if archive else "remove" if remove else "keep"
 
 
+def clean_up(spark: SparkSession, containers: list[str], archive_to: str | None, remove: bool) -> dict[str, str]:
+    """Containers whose members are written moved to a folder, or else removed, or kept; what became of each.
+    It comes after the write of the members has succeeded."""
+    done = {}
+    for path in containers:
+        done[path] = after_expansion(archive_to is not None, remove)
+        if archive_to is not None:
+            store.move(spark, path, archive_to)
+        elif remove:
+            store.remove(spark, path)
+    return done
+
+
+def mark(spark: SparkSession, folder: str, stage: str, at: str) -> None:
+    """A row that says that a run has reached a stage, added to its status; a stage that is marked stays as it was."""
+    known = spark.read.parquet(folder) if store.names(spark, folder) else None
+    if known is None or known.where(F.col("stage") == stage).isEmpty():
+        spark.createDataFrame([(stage, at)], "stage string, at string").coalesce(1).write.mode("append").parquet(folder)
+
+
 def drop_expired(spark: SparkSession, folder: str, column: str, today: date, days: int) -> list[str]:
     """Day partitions of a table that are older than some days, removed; their names."""
     limit, gone = today - timedelta(days=days), []

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import markup, paths
-from lodestrata.operators import dedupe, outcome, summary
-from lodestrata.plans import search
-from lodestrata.sources.lines import json_field, json_text, table
+from lodestrata.operators import dedupe, expand, ingest, lookup, outcome, summary
+from lodestrata.plans import made, search
+from lodestrata.sources import files
+from lodestrata.sources.lines import json_field, json_text, links, members, parsed, table
 from lodestrata.streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,8 +71,8 @@ def anti_seen(s, d):
 
 @query(f"SELECT id, original_filename, sha256 FROM files WHERE sha256 IN (SELECT sha256 FROM leakdata_index WHERE list_contains(regexp_extract_all(lower(attachment.content), '[\\p{{L}}\\p{{N}}]+'), '{TERM}'))")
 def semi_hits(s, d):
-    index = table(s, d, "leakdata_index").select("sha256", F.col("attachment.content").alias("content"))
-    return dedupe.seen(table(s, d, "files"), search.match(index, "sha256", "content", TERM), "sha256")
+    post, _ = _index(s, d, "leakdata_index", "sha256", "attachment.content")
+    return dedupe.seen(table(s, d, "files"), search.match(post, TERM).withColumnRenamed("doc", "sha256"), "sha256")
 
 
 @query("SELECT l.sha256, min(coalesce(f.original_filename, l.filename)) AS name FROM leakdata_index l LEFT JOIN files f ON f.sha256 = l.sha256 WHERE l.sha256 IS NOT NULL GROUP BY 1")
@@ -190,11 +191,17 @@ _KIND = "coalesce(lower(trim(split_part(attachment.content_type, ';', 1))), 'app
 
 
 @query(
-    f"SELECT seq_no, sha256, CASE WHEN {_KIND} IN ({', '.join(map(repr, markup.SHOWN_AS_IS))}) THEN 'as_is' WHEN {_KIND} = 'text/html' THEN 'html_to_pdf' "
-    f"WHEN {_KIND} IN ({', '.join(map(repr, markup.CONVERTED_FROM_OFFICE))}) THEN 'office_to_pdf' ELSE 'unsupported' END AS route FROM leakdata_index"
+    f"""SELECT seq_no, sha256, CASE
+    WHEN {_KIND} IN ('application/octet-stream', 'image/jpeg', 'image/png', 'image/tiff', 'message/rfc822', 'text/csv', 'text/plain', 'text/xml') THEN 'as_is'
+    WHEN {_KIND} = 'text/html' THEN 'html_to_pdf'
+    WHEN {_KIND} IN ('application/pdf', 'application/x-matlab-data', 'application/quickbooks', 'application/encrypted', 'application/x-wine-extension-ini', 'inode/x-empty',
+        'application/x-ole-storage', 'application/x-fpt', 'application/x-ms-shortcut') THEN 'as_is'
+    ELSE 'office_to_pdf' END AS route,
+    {_KIND} NOT IN ('application/pdf', 'image/jpeg', 'image/png', 'image/tiff', 'message/rfc822', 'text/csv', 'text/plain', 'text/xml') AS named FROM leakdata_index"""
 )
 def mime_route(s, d):
-    return table(s, d, "leakdata_index").select("seq_no", "sha256", markup.route(markup.base_type(F.col("attachment.content_type"))).alias("route"))
+    kind = markup.base_type(F.col("attachment.content_type"))
+    return table(s, d, "leakdata_index").select("seq_no", "sha256", markup.route(kind).alias("route"), markup.named(kind).alias("named"))
 
 
 @query("SELECT DISTINCT path FROM hash_links WHERE path IS NOT NULL AND path NOT IN ('done', 'path.txt')")
@@ -242,7 +249,7 @@ def urls_distinct(s, d):
     return a.union(b).distinct().orderBy("path")
 
 
-@query("""SELECT replace(filename, 'extracted/files/', '') AS filename, sha256, '<a href="/file/' || sha256 || '">' || sha256 || '</a>' AS link FROM leakdata_index WHERE sha256 IS NOT NULL""")
+@query("""SELECT replace(filename, 'extracted/files/', '') AS filename, sha256, attachment.content AS content, '<a href="/file/' || sha256 || '">' || sha256 || '</a>' AS link FROM leakdata_index WHERE sha256 IS NOT NULL""")
 def result_projection(s, d):
     return search.results(table(s, d, "leakdata_index").where("sha256 IS NOT NULL"))
 
@@ -259,8 +266,8 @@ _JSON = "CASE WHEN json_valid(value) THEN json_extract_string(value, '$.{}') END
 
 @query(f"SELECT value, {_JSON.format('level')} AS level, {_JSON.format('component')} AS component, {_JSON.format('status')} AS status FROM log_lines")
 def event_json_field(s, d):
-    v = F.col("value")
-    return table(s, d, "log_lines").select("value", *(json_field(v, f"$.{c}").alias(c) for c in ("level", "component", "status")))
+    v = F.col("v")
+    return parsed(table(s, d, "log_lines")).select("value", *(json_field(v, f"$.{c}").alias(c) for c in ("level", "component", "status")))
 
 
 @query(
@@ -268,9 +275,9 @@ def event_json_field(s, d):
     FROM (SELECT *, {_JSON.format('component')} AS component, {_JSON.format('level')} AS level FROM log_lines) WHERE json_valid(value) GROUP BY 1, 2"""
 )
 def log_summary(s, d):
-    v = F.col("value")
+    v = F.col("v")
     ms = json_field(v, "$.ms").try_cast("bigint")
-    rows = table(s, d, "log_lines").where(F.try_parse_json("value").isNotNull())
+    rows = parsed(table(s, d, "log_lines")).where("v IS NOT NULL")
     return rows.groupBy(json_field(v, "$.component").alias("component"), json_field(v, "$.level").alias("level")).agg(F.count("*").alias("n"), F.count(ms).alias("n_ms"), F.sum(ms).alias("ms"))
 
 
@@ -287,8 +294,8 @@ _AT = f"coalesce(TRY_CAST({_JSON.format('ts')} AS TIMESTAMP), make_timestamp(CAS
     WHERE moment IS NOT NULL GROUP BY 1"""
 )
 def uptime_daily(s, d):
-    v = F.col("value")
-    rows = table(s, d, "log_lines").where(F.try_parse_json("value").isNotNull()).select(tail.event_time(json_field(v, "$.ts")).alias("at"), json_field(v, "$.level").alias("level"))
+    v = F.col("v")
+    rows = parsed(table(s, d, "log_lines")).where("v IS NOT NULL").select(tail.event_time(json_field(v, "$.ts")).alias("at"), json_field(v, "$.level").alias("level"))
     return rows.where("at IS NOT NULL").groupBy(F.unix_timestamp(F.date_trunc("day", "at")).alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("level") != "error").alias("n_ok"))
 
 
@@ -297,8 +304,8 @@ def uptime_daily(s, d):
     FROM (SELECT {_JSON.format('component')} AS c, {_JSON.format('status')} AS st FROM log_lines)) GROUP BY 1"""
 )
 def stage_status(s, d):
-    v = F.col("value")
-    rows = table(s, d, "log_lines").select(json_field(v, "$.component").alias("c"), json_field(v, "$.status").alias("st"))
+    v = F.col("v")
+    rows = parsed(table(s, d, "log_lines")).select(json_field(v, "$.component").alias("c"), json_field(v, "$.status").alias("st"))
     flags = {"ingest_done": (F.col("c") == "ingest") & (F.col("st") == "201"), "extracted_done": F.col("c") == "ingest", "unpack": F.col("c") == "unpack", "downloaded": F.col("c").isNotNull()}
     return rows.groupBy(outcome.stage(flags).alias("stage")).agg(F.count("*").alias("n"))
 
@@ -343,24 +350,34 @@ def postings_stats(s, d):
     return search.term_stats(search.postings(table(s, d, "documents"), "doc_id", "text"))
 
 
+def _index(s, d, name, key, text):
+    """(postings, totals) of a table's texts; the index is written once for a session."""
+    where = made.once(s, d, f"index-{name}")
+    return search.indexed(table(s, d, name).select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc", "text", where), search.totals(s, where)
+
+
+def _post(s, d):
+    return _index(s, d, "documents", "doc_id", "text")[0]
+
+
 @query(f"SELECT doc_id FROM documents WHERE list_has_any({WORDS}, ['contract', 'delivery'])")
 def search_match_any(s, d):
-    return search.match(table(s, d, "documents"), "doc_id", "text", TERMS)
+    return search.match(_post(s, d), TERMS).withColumnRenamed("doc", "doc_id")
 
 
 @query(f"SELECT doc_id FROM documents WHERE list_has_all({WORDS}, ['contract', 'delivery'])")
 def search_match_all(s, d):
-    return search.match(table(s, d, "documents"), "doc_id", "text", TERMS, every=True)
+    return search.match(_post(s, d), TERMS, every=True).withColumnRenamed("doc", "doc_id")
 
 
-@query(f"SELECT doc_id FROM documents WHERE contains(lower(text), '{PHRASE}')")
+@query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({WORDS}, ' ') || ' ', ' {PHRASE} ')")
 def search_phrase(s, d):
-    return search.phrase(table(s, d, "documents"), "doc_id", "text", PHRASE)
+    return search.phrase(_post(s, d), PHRASE).withColumnRenamed("doc", "doc_id")
 
 
 @query(rf"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}]){LEAD}')")
 def search_prefix(s, d):
-    return search.prefix(table(s, d, "documents"), "doc_id", "text", LEAD)
+    return search.prefix(_post(s, d), LEAD).withColumnRenamed("doc", "doc_id")
 
 
 _BM25 = (
@@ -369,14 +386,13 @@ _BM25 = (
     tf AS (SELECT doc, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc, ts, unnest(ts) AS term FROM sized) WHERE term IN ('contract', 'delivery') GROUP BY 1, 2, 3),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
     SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 4) AS score
-    FROM tf JOIN df USING (term) CROSS JOIN total GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100"""
+    FROM tf JOIN df USING (term) CROSS JOIN total GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10000"""
 )
 
 
 @query(_BM25)
 def search_bm25_topk(s, d):
-    docs = table(s, d, "documents").where("text IS NOT NULL")
-    return search.top(search.bm25(docs, "doc_id", "text", TERMS, once=True), 100)
+    return search.top(search.bm25(*_index(s, d, "documents", "doc_id", "text"), TERMS, once=True))
 
 
 @query(
@@ -388,7 +404,7 @@ def search_cursor(s, d):
 
 @query(f"SELECT count(*) AS n FROM documents WHERE list_has_any({WORDS}, ['contract', 'delivery'])")
 def hits_total(s, d):
-    return search.match(table(s, d, "documents"), "doc_id", "text", TERMS).agg(F.count("*").alias("n"))
+    return search.match(_post(s, d), TERMS).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, substring(text, greatest(1, pos - 40), pos - greatest(1, pos - 40) + {len(PHRASE)} + 40) AS snippet FROM (SELECT doc_id, text, instr(lower(text), '{PHRASE}') AS pos FROM documents) WHERE pos > 0")
@@ -423,3 +439,147 @@ def source_overview(s, d):
     # Two steps, so that a hot source is counted by many tasks.
     one = rows.groupBy("source", "sha256").agg(F.count("*").alias("n"), F.count_if("empty").alias("e"))
     return one.groupBy("source").agg(F.sum("n").alias("n"), F.count("sha256").alias("n_contents"), F.sum("e").alias("n_empty"))
+
+
+# Files, archives and streams: trees and lists written from the index and the log, then read by the sources
+
+_NAME = "CASE WHEN attachment.content_type IS NULL THEN '.' ELSE '' END || seq_no || '.txt'"
+
+
+@query(f"SELECT {_NAME} AS name, octet_length(encode(attachment.content)) AS length, sha256(attachment.content) AS sha256 FROM leakdata_index WHERE {INDEXED}")
+def tree_hashes(s, d):
+    found = files.hashed(files.file_tree(s, made.tree(s, d)))
+    return found.select(paths.basename(F.col("path")).alias("name"), "length", "sha256")
+
+
+@query(f"SELECT DISTINCT {_NAME} AS name FROM leakdata_index WHERE {INDEXED} ORDER BY 1")
+def tree_names(s, d):
+    return files.file_tree(s, made.tree(s, d)).select(paths.basename(F.col("path")).alias("name")).where(~F.col("name").rlike(paths.CONTROL_NAMES)).distinct().orderBy("name")
+
+
+@query(f"SELECT sha256(attachment.content) AS sha256, string_split(min((seq_no % 64) || '/' || {_NAME}), '/')[2] AS name, min(octet_length(encode(attachment.content))) AS length FROM leakdata_index WHERE {INDEXED} GROUP BY 1")
+def ingest_tree(s, d):
+    docs = ingest.documents(s, made.tree(s, d))
+    return docs.select("sha256", paths.basename(F.col("filename")).alias("name"), F.col("attachment.content_length").alias("length"))
+
+
+@query(f"SELECT DISTINCT sha256, sha256[1:1] || '/' || sha256[2:2] || '/' || sha256 || '.txt' AS address FROM (SELECT sha256(attachment.content) AS sha256 FROM leakdata_index WHERE {INDEXED})")
+def relocated(s, d):
+    one = dedupe.first_wins(files.hashed(files.file_tree(s, made.tree(s, d))).select("sha256", "path"), "sha256", "path")
+    to = made.folder(s)
+    return ingest.relocate(one, to).select("sha256", F.substring("target", len(to) + 2, 1000).alias("address"))
+
+
+@query(
+    f"""SELECT seq_no || '.zip' AS archive, 'text/' || seq_no || '.txt' AS path, octet_length(encode(attachment.content)) AS length, 'ok' AS outcome FROM leakdata_index WHERE {INDEXED}
+    UNION ALL SELECT seq_no || '.zip', 'inner.zip/kind.txt', octet_length(encode(coalesce(attachment.content_type, ''))), 'ok' FROM leakdata_index WHERE {INDEXED}"""
+)
+def archive_members(s, d):
+    zips = ingest.with_content(files.file_tree(s, made.tree(s, d, zipped=True)))
+    return expand.expanded(zips).select(paths.basename(F.col("archive")).alias("archive"), "path", "length", "outcome")
+
+
+@query(
+    f"""WITH asked AS (SELECT sha256 FROM hash_links UNION SELECT sha256(attachment.content) FROM leakdata_index WHERE {INDEXED}),
+    known AS (SELECT sha256(attachment.content) AS sha256, min(octet_length(encode(attachment.content))) AS n FROM leakdata_index WHERE {INDEXED} GROUP BY 1)
+    SELECT a.sha256, CASE WHEN NOT coalesce({VALID.replace('sha256', 'a.sha256')}, false) THEN 400 WHEN n IS NULL THEN 404 ELSE 200 END AS status, n FROM asked a LEFT JOIN known k ON k.sha256 = a.sha256"""
+)
+def bytes_by_hash(s, d):
+    found = files.hashed(files.file_tree(s, made.tree(s, d)))
+    asked = table(s, d, "hash_links").select("sha256").union(found.select("sha256")).distinct()
+    return lookup.served(asked, found).select("sha256", "status", F.octet_length("content").alias("n"))
+
+
+@query(
+    """SELECT component, level, count(*) AS n FROM (SELECT json_extract_string(value, '$.component') AS component, json_extract_string(value, '$.level') AS level FROM log_lines
+    WHERE json_valid(value) AND value[1:1] = '{') GROUP BY 1, 2"""
+)
+def stream_log(s, d):
+    lines_, out, mark = made.folder(s), made.folder(s), made.folder(s)
+    table(s, d, "log_lines").write.mode("overwrite").text(lines_)
+    tail.sink(tail.records(tail.lines(s, lines_, "log")), out, mark).awaitTermination()
+    return s.read.parquet(out).groupBy("component", "level").agg(F.count("*").alias("n"))
+
+
+_PAGE = "'<html>' || chr(10) || '<a href=\"' || path || '\">' || path || '</a>' || chr(10) || '<a href=\"/\">up</a>'"
+
+
+@query(rf"""SELECT split_part(line, '"', 2) AS link FROM (SELECT unnest(string_split({_PAGE}, chr(10))) AS line FROM hash_links WHERE path IS NOT NULL) WHERE regexp_matches(line, '\.(pdf|zip|eml)</a>')""")
+def extract_links(s, d):
+    page = F.concat(F.lit('<html>\n<a href="'), "path", F.lit('">'), "path", F.lit('</a>\n<a href="/">up</a>'))
+    return links(table(s, d, "hash_links").where("path IS NOT NULL").select(page.alias("page")), "page", r"\.(pdf|zip|eml)")
+
+
+@query("SELECT value, json_extract_string(value, '$.sha256') AS gid FROM log_lines WHERE json_valid(value) AND json_extract_string(value, '$.sha256') IS NOT NULL")
+def rpc_members(s, d):
+    answers = table(s, d, "log_lines").withColumn("answer", F.concat(F.lit('{"id": 1, "result": ['), "value", F.lit(', {"gid": null}]}')))
+    return members(answers, "answer").select("value", json_field(F.col("item"), "$.sha256").alias("gid")).where("gid IS NOT NULL")
+
+
+@query("SELECT sha256, filename FROM leakdata_index WHERE sha256 IS NOT NULL")
+def result_viewed(s, d):
+    return search.viewed(table(s, d, "leakdata_index").where("sha256 IS NOT NULL"))
+
+
+@query(
+    f"""SELECT doc, score FROM (SELECT doc, score, sum(octet_length(encode(text))) OVER (ORDER BY score DESC, doc) AS upto FROM ({_BM25}) JOIN documents ON doc_id = doc) WHERE upto <= 200000"""
+)
+def search_capped(s, d):
+    sized = search_bm25_topk(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.octet_length("text").alias("size")), "doc")
+    return search.within(sized, "size", 200_000).select("doc", "score")
+
+
+@query(
+    f"""SELECT sha256, 'DONE' AS setup, CASE WHEN up THEN 'RUNNING' ELSE 'NO DOWNLOAD CONTAINER' END AS urls, CASE WHEN fetched THEN 'DONE' WHEN up THEN 'RUNNING' ELSE 'NOT RUNNING' END AS download,
+    CASE WHEN unpacks THEN 'DONE' WHEN fetched THEN 'RUNNING' ELSE 'WAITING FOR FILES' END AS move, CASE WHEN ingests THEN 'DONE' WHEN unpacks THEN 'RUNNING' ELSE 'WAITING FOR FILES' END AS extraction,
+    CASE WHEN indexed THEN 'DONE' WHEN ingests THEN 'RUNNING' ELSE 'WAITING FOR FILES' END AS ingest
+    FROM (SELECT sha256, coalesce(bool_or(c = 'downloader'), false) AS up, coalesce(bool_or(c = 'downloader' AND level = 'info'), false) AS fetched, coalesce(bool_or(c = 'unpack'), false) AS unpacks, coalesce(bool_or(c = 'ingest'), false) AS ingests,
+        coalesce(bool_or(c = 'ingest' AND st = '201'), false) AS indexed
+        FROM (SELECT {_JSON.format('sha256')} AS sha256, {_JSON.format('component')} AS c, {_JSON.format('level')} AS level, {_JSON.format('status')} AS st FROM log_lines) WHERE sha256 IS NOT NULL GROUP BY 1)"""
+)
+def stage_states(s, d):
+    rows = parsed(table(s, d, "log_lines")).select(*(json_field(F.col("v"), f"$.{c}").alias(n) for c, n in (("sha256", "sha256"), ("component", "c"), ("level", "level"), ("status", "st")))).where("sha256 IS NOT NULL")
+    runs = rows.groupBy("sha256").agg(
+        F.bool_or(F.expr("c = 'downloader'")).alias("up"), F.bool_or(F.expr("c = 'downloader' AND level = 'info'")).alias("fetched"), F.bool_or(F.expr("c = 'unpack'")).alias("unpack"),
+        F.bool_or(F.expr("c = 'ingest'")).alias("ingest"), F.bool_or(F.expr("c = 'ingest' AND st = '201'")).alias("indexed"),
+    )
+    c = F.col
+    flags = {"setup": F.lit(True), "downloader_up": c("up"), "running": c("up"), "downloaded": c("fetched"), "extract": c("fetched"), "unpack": c("unpack"), "extracted_done": c("ingest"), "ingest_done": c("indexed")}
+    return runs.select("sha256", *(state.alias(name) for name, state in outcome.states(flags).items()))
+
+
+@query(
+    """SELECT sha256, seq_no FROM (SELECT sha256, seq_no, message, lag(message) OVER (PARTITION BY sha256 ORDER BY seq_no) AS last, row_number() OVER (PARTITION BY sha256 ORDER BY seq_no) AS i FROM leakdata_index WHERE sha256 IS NOT NULL)
+    WHERE i > 1 AND coalesce(last, '') <> 'ok' AND message = 'ok'"""
+)
+def state_edges(s, d):
+    puts = table(s, d, "leakdata_index").where("sha256 IS NOT NULL")
+    return outcome.edges(puts, "sha256", "seq_no", F.when(F.col("message") == "ok", "ok").otherwise("not yet"), "not yet", "ok")
+
+
+@query(
+    f"""SELECT sha256, list_filter(list(st ORDER BY value)[1:5], lambda x: x IN (200, 201, 400))[1] AS outcome
+    FROM (SELECT value, {_JSON.format('sha256')} AS sha256, TRY_CAST({_JSON.format('status')} AS INT) AS st FROM log_lines) WHERE sha256 IS NOT NULL GROUP BY 1"""
+)
+def retry_status(s, d):
+    rows = parsed(table(s, d, "log_lines")).select("value", json_field(F.col("v"), "$.sha256").alias("sha256"), json_field(F.col("v"), "$.status").try_cast("int").alias("st")).where("sha256 IS NOT NULL")
+    return outcome.retried(rows, "sha256", "value", "st")
+
+
+@query(
+    """SELECT 'lines' AS what, count(*) AS n FROM log_lines WHERE trim(value) <> '' UNION ALL SELECT 'links', count(*) FROM hash_links UNION ALL SELECT 'files', count(DISTINCT filename) FROM leakdata_index
+    UNION ALL SELECT 'lists', count(*) FROM (SELECT component FROM (SELECT """ + _JSON.format("component") + """ AS component FROM log_lines) GROUP BY 1 HAVING count(*) > 0)"""
+)
+def counts(s, d):
+    lines_ = table(s, d, "log_lines")
+    lists = parsed(lines_).groupBy(json_field(F.col("v"), "$.component").alias("component")).count().where("count > 0")
+    parts = [("lines", lines_.where(F.trim("value") != "")), ("links", table(s, d, "hash_links")), ("files", table(s, d, "leakdata_index").where("filename IS NOT NULL").select("filename").distinct()), ("lists", lists)]
+    one = [df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in parts]
+    return one[0].union(one[1]).union(one[2]).union(one[3])
+
+
+@query("SELECT seq_no, strftime(put_at, '%a %b ') || lpad(CAST(day(put_at) AS VARCHAR), 2, ' ') || strftime(put_at, ' %H:%M:%S %Y') AS printed FROM leakdata_index WHERE put_at IS NOT NULL")
+def date_text(s, d):
+    at = F.col("put_at")
+    printed = F.concat(F.date_format(at, "EEE MMM "), F.lpad(F.date_format(at, "d"), 2, " "), F.date_format(at, " HH:mm:ss yyyy"))
+    return table(s, d, "leakdata_index").where("put_at IS NOT NULL").select("seq_no", printed.alias("printed"))

@@ -1,18 +1,20 @@
 """Search over documents: terms, phrases, prefixes, ranking and snippets.
 
-Postings are (term, doc, tf) rows.  Only the query's terms are taken from a text, so a query
-shuffles rows for its terms and one total, never the whole vocabulary; stored postings are
-bucketed by term, which then prunes the scan.
+An index is a table of postings (term, doc, tf, dl, first, positions) in order of term: its files hold ranges of terms, so
+the least and greatest term of each row group prune the scan of a search to the rows of its terms, or of its
+prefix.  A term of very many documents is spread over several files.  Beside it stands a row of totals.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.sources import store
+
 TOKEN = r"([\p{L}\p{N}]+)"
 K1, B = 1.2, 0.75
 
@@ -33,9 +35,28 @@ def postings(docs: DataFrame, doc: str, text: str, only: list[str] | None = None
     return docs.select(F.col(doc).alias("doc"), F.explode(ts).alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
 
 
-def store(post: DataFrame, table: str, buckets: int = 64) -> None:
-    """Postings as a table bucketed and sorted by term: a search reads the buckets of its terms only."""
-    post.write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
+def indexed(docs: DataFrame, doc: str, text: str, where: str) -> DataFrame:
+    """An index of the documents written to a folder, and read from it.
+
+    ``first`` says whether a document has the least id of those with an equal text; positions count words from 0, dl is
+    the number of words. Documents without a text have no postings. A folder that holds a finished index is read only.
+    """
+    spark = docs.sparkSession
+    if not store.exists(spark, f"{where}/totals/_SUCCESS"):
+        sized = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.xxhash64(text).alias("h1"), F.crc32(text).alias("h2"), F.length(text).alias("n"), tokens(F.col(text)).alias("ts"))
+        least = sized.groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc")).select("doc", F.lit(True).alias("first"))
+        flagged = sized.select("doc", F.size("ts").alias("dl"), F.posexplode("ts").alias("at", "term"))
+        post = flagged.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+        post = post.join(least, "doc", "left").select("term", "doc", "tf", "dl", F.coalesce("first", F.lit(False)).alias("first"), "positions")
+        post.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{where}/postings")
+        every = sized.join(least, "doc", "left").select(F.size("ts").alias("dl"), F.col("first").isNotNull().alias("first"))
+        every.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), F.count_if("first").alias("n_first"), F.avg(F.when(F.col("first"), F.col("dl"))).alias("mean_first")).coalesce(1).write.mode("overwrite").parquet(f"{where}/totals")
+    return spark.read.parquet(f"{where}/postings")
+
+
+def totals(spark: SparkSession, where: str) -> DataFrame:
+    """(n, mean, n_first, mean_first): documents with a text and their mean length, of all and of the first of equal texts."""
+    return spark.read.parquet(f"{where}/totals")
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -43,49 +64,61 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def match(docs: DataFrame, doc: str, text: str, query: str, every: bool = False) -> DataFrame:
-    """Documents with any, or all, of the query's terms; no shuffle."""
-    ts, own = terms_of(query), tokens(F.col(text))
-    want = F.array(*map(F.lit, ts))
-    hit = F.size(F.array_except(want, own)) == 0 if every else F.arrays_overlap(own, want)
-    return docs.where(hit).select(doc)
-
+def match(post: DataFrame, query: str, every: bool = False) -> DataFrame:
+    """(doc) of the documents with any, or all, of the query's terms."""
+    ts = terms_of(query)
+    hits = post.where(F.col("term").isin(ts)).select("term", "doc")
+    if every:
+        return hits.groupBy("doc").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(ts)).select("doc")
+    return hits.select("doc").distinct()
 
-def phrase(docs: DataFrame, doc: str, text: str, words: str) -> DataFrame:
-    return docs.where(F.contains(F.lower(F.col(text)), F.lit(words.lower()))).select(doc)
 
+def phrase(post: DataFrame, words: str) -> DataFrame:
+    """(doc) of the documents that have the words one after the other; a word matches whole."""
+    ts = re.findall(r"[^\W_]+", words.lower())
+    hits = post.where(F.col("term").isin(list(dict.fromkeys(ts)))).select("term", "doc", "positions")
+    lead = lambda i: F.transform("positions", lambda p: p - i)
+    per = F.array(*[F.when(F.col("term") == t, lead(i)) for i, t in enumerate(ts)])  # where the phrase would begin
+    starts = hits.select("doc", F.posexplode(per).alias("i", "at")).where("at IS NOT NULL").select("doc", "i", F.explode("at").alias("at"))
+    return starts.groupBy("doc", "at").agg(F.count("*").alias("n")).where(F.col("n") == len(ts)).select("doc").distinct()
 
-def prefix(docs: DataFrame, doc: str, text: str, lead: str) -> DataFrame:
-    return docs.where(F.lower(F.col(text)).rlike(rf"(^|[^\p{{L}}\p{{N}}]){re.escape(lead.lower())}")).select(doc)
 
+def prefix(post: DataFrame, lead: str) -> DataFrame:
+    """(doc) of the documents with a word that begins so."""
+    return post.where(F.col("term").startswith(lead.lower())).select("doc").distinct()
 
-def bm25(docs: DataFrame, doc: str, text: str, query: str, once: bool = False) -> DataFrame:
-    """(doc, score) of the documents with a term of the query; ``once`` ranks equal texts once, under the least doc.
 
-    What is shuffled of a text is its length and its hits, not the text.
-    """
-    ts = terms_of(query)
-    sized = docs.select(F.col(doc).alias("doc"), F.sha2(text, 256).alias("h"), tokens(F.col(text)).alias("ts"))
-    sized = sized.select("doc", "h", F.size("ts").alias("dl"), F.filter("ts", lambda t: t.isin(ts)).alias("ts"))
+def bm25(post: DataFrame, total: DataFrame, query: str, once: bool = False) -> DataFrame:
+    """(doc, score) of the documents with a term of the query; ``once`` ranks equal texts once, under the least doc."""
+    tf = post.where(F.col("term").isin(terms_of(query))).select("term", "doc", "tf", "dl", "first")
     if once:
-        sized = sized.groupBy("h").agg(F.min("doc").alias("doc"), F.first("dl").alias("dl"), F.first("ts").alias("ts"))
-    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    tf = sized.select("doc", "dl", F.explode("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+        tf = tf.where("first")
+    n, mean = ("n_first", "mean_first") if once else ("n", "mean")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    idf = F.log(1 + (F.col(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col(mean)))
     stats = F.broadcast(df.crossJoin(F.broadcast(total)))  # a row per term of the query; total is one row
     return tf.join(stats, "term").groupBy("doc").agg(F.round(F.sum(part), 4).alias("score"))
 
 
-def top(scored: DataFrame, k: int) -> DataFrame:
+#: Hits that are fetched, at most.
+MOST = 10_000
+
+
+def top(scored: DataFrame, k: int = MOST) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.asc("doc")).limit(k)
 
 
-def cursor(scored: DataFrame) -> DataFrame:
-    """(position, doc, previous, next) of ranked hits, which a limit has bounded."""
-    ranked = Window.orderBy(F.desc("score"), F.asc("doc"))
-    return scored.select(F.row_number().over(ranked).alias("position"), "doc", F.lag("doc").over(ranked).alias("previous"), F.lead("doc").over(ranked).alias("next"))
+def within(ranked: DataFrame, size: str, most: int) -> DataFrame:
+    """The best hits that together stay within a number of bytes; the hits are what top() has bounded."""
+    upto = Window.orderBy(F.desc("score"), F.asc("doc")).rowsBetween(Window.unboundedPreceding, 0)
+    return ranked.withColumn("_sum", F.sum(size).over(upto)).where(F.col("_sum") <= most).drop("_sum")
+
+
+def cursor(scored: DataFrame, k: int = MOST) -> DataFrame:
+    """(position, doc, previous, next) of the k best hits."""
+    ranked = Window.orderBy(F.desc("score"), F.asc("doc"))  # one task, over k rows at most
+    return top(scored, k).select(F.row_number().over(ranked).alias("position"), "doc", F.lag("doc").over(ranked).alias("previous"), F.lead("doc").over(ranked).alias("next"))
 
 
 def snippet(text: Column, words: str, around: int = 40) -> Column:
@@ -96,8 +129,13 @@ def snippet(text: Column, words: str, around: int = 40) -> Column:
 
 
 def results(df: DataFrame) -> DataFrame:
-    """(filename, sha256, link) of hits: the name without the root of the tree, and where the content is served."""
+    """(filename, sha256, content, link) of hits: the name without the root of the tree, and where the content is served."""
     return df.select(
-        F.replace(F.col("filename"), F.lit("extracted/files/"), F.lit("")).alias("filename"), "sha256",
+        F.replace(F.col("filename"), F.lit("extracted/files/"), F.lit("")).alias("filename"), "sha256", F.col("attachment.content").alias("content"),
         F.format_string('<a href="/file/%s">%s</a>', F.col("sha256"), F.col("sha256")).alias("link"),
     )
+
+
+def viewed(df: DataFrame) -> DataFrame:
+    """(sha256, filename) of hits for a viewer, the name as it is."""
+    return df.select("sha256", "filename")

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints; one of our own only where none is set and all runs in one process (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = os.path.join(tempfile.gettempdir(), "lodestrata-checkpoints")
+    return where
+
+
+def mounted(path: str) -> str:
+    """A path of a file system that is mounted on all executors, without its scheme."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path} isn't mounted")
+    return re.sub("^file:(//)?", "", path)
+
+
 def _open(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -25,6 +46,14 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def move(spark: SparkSession, path: str, folder: str) -> bool:
+    """A path moved into a folder, which is made if it is missing."""
+    fs, p = _open(spark, path)
+    _, to = _open(spark, folder)
+    fs.mkdirs(to)
+    return fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(to, p.getName()))
+
+
 def remove_at_end(spark: SparkSession, path: str) -> None:
     """The path is removed when the driver's process ends."""
     fs, p = _open(spark, path)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestrata.sources.lines import json_lines
 
@@ -35,7 +39,32 @@ def tumbling(df: DataFrame, at: str, size: str, *keys: str, late: str | None = N
     return df.groupBy(F.window(at, size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def sink(stream: DataFrame, folder: str, checkpoint: str, by: str | None = None, mode: str = "append") -> StreamingQuery:
-    """All there is at the start written as Parquet; a second run on the checkpoint takes only what is new."""
-    w = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+def socket_lines(spark: SparkSession, host: str, port: int, *tags: str) -> DataFrame:
+    """Lines of a network log; a socket can't be read twice, so it is for tests and hand-offs."""
+    reader = spark.readStream.format("socket").option("host", host).option("port", port)
+    return reader.load().withColumn("tags", F.array(*map(F.lit, tags)).cast("array<string>"))
+
+
+def edges(stream: DataFrame, key: str, order: str, state: str, before: str, after: str) -> DataFrame:
+    """(key, order) whenever a key's state turns from one into another; only its last state is kept."""
+    kinds = dict(stream.dtypes)
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], last: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        old = [last.get[0] if last.exists else None, *rows[state].tolist()]
+        hits = [a == before and b == after for a, b in zip(old, old[1:])]
+        last.update((old[-1],))
+        yield pd.DataFrame({key: k[0], order: rows[order][hits]})
+
+    return (
+        stream.select(key, order, state).groupBy(key)
+        .applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}", "state string", "append", GroupStateTimeout.NoTimeout)
+    )
+
+
+def sink(stream: DataFrame, folder: str, checkpoint: str, by: str | None = None, mode: str = "append", every: str | None = None) -> StreamingQuery:
+    """What the stream brings written as Parquet: all there is at the start, or again ``every`` "1 minute". A second run on
+    the checkpoint takes only what is new."""
+    when = {"processingTime": every} if every else {"availableNow": True}
+    w = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode(mode).trigger(**when)
     return (w.partitionBy(by) if by else w).start()

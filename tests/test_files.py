@@ -150,3 +150,57 @@ def test_url_lists(spark, tmp_path):
     (tmp_path / "a.txt").write_text("http://b\nhttp://a\n\n")
     (tmp_path / "b.txt").write_text("http://a\n")
     assert [r.url for r in lines.url_list(spark, str(tmp_path)).collect()] == ["http://a", "http://b"]
+
+
+def test_contents_by_bytes(spark, tree, tmp_path):
+    many = [(f"{tree}/a.txt", 9)] * 50 + [("/nowhere", 5), (f"{tree}/big.bin", 101), (f"{tree}/edge.bin", None)]
+    got = ingest.with_content(spark.createDataFrame(many, "path string, length long").coalesce(1), most=100, batch=20).collect()
+    assert sum(r.content == b"same text" for r in got) == 50 and got[50].content is None and got[50].error.startswith("FileNotFoundError")
+    assert got[51].content is None and got[51].error is None and len(got[52].content) == 100
+
+
+def test_one_unreadable_file_is_a_row(spark, tree):
+    import os as os_
+
+    gone = f"{tree}/gone.txt"
+    with open(gone, "w") as f:
+        f.write("soon gone")
+    df = files.hashed(files.file_tree(spark, tree)).cache()
+    df.count()
+    os_.remove(gone)
+    read = {os_.path.basename(r.path): r.error for r in ingest.with_content(df.drop("error")).collect()}
+    assert read["gone.txt"] and not read["a.txt"]
+
+
+def test_office_types_and_bounds(monkeypatch):
+    word = zipped(word__document__="x", **{"word/document.xml": "<w><p><t>One</t></p></w>"})
+    assert extract.office_type(word).endswith("wordprocessingml.document") and extract.office_type(zipped(mimetype="application/vnd.oasis.opendocument.text")) == "application/vnd.oasis.opendocument.text"
+    assert extract.office_type(zipped(a="b")) == extract.office_type(b"PK\x03\x04 broken") == "application/zip" and "application/zip" not in extract.REGISTRY
+    monkeypatch.setattr(extract, "PART", 1000)
+    with pytest.raises(ValueError):
+        extract.from_office(zipped(**{"word/document.xml": "<w>" + " " * 5000 + "</w>"}))
+    assert extract.from_rtf(rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}\pard Caf\'e9 {\b bold}\par next \u8364?5}")[0] == "Café bold\nnext €5"
+
+
+def test_served(spark, tree):
+    from lodestrata.operators import lookup
+
+    found = files.hashed(files.file_tree(spark, tree))
+    same = hashlib.sha256(b"same text").hexdigest()
+    asked = spark.createDataFrame([(same,), ("f" * 64,), ("../x",), (None,), (same,)], "sha256 string")
+    assert {r.sha256: (r.status, r.content) for r in lookup.served(asked, found).collect()} == {same: (200, b"same text"), "f" * 64: (404, None), "../x": (400, None), None: (400, None)}
+
+
+def test_provenance_database(spark, tmp_path):
+    import sqlite3
+
+    from lodestrata.sources import provenance
+
+    path = str(tmp_path / "files.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE files (id INTEGER PRIMARY KEY, original_filename TEXT NOT NULL, sha256 TEXT NOT NULL)")
+        db.executemany("INSERT INTO files (original_filename, sha256) VALUES (?, ?)", [(f"f{i}", f"{i:064x}") for i in range(1000)])
+    got = provenance.from_database(spark, path, parts=7)
+    assert got.count() == 1000 and got.agg({"id": "max"}).first()[0] == 1000
+    assert provenance.create_if_missing(spark, "prov_test") and not provenance.create_if_missing(spark, "prov_test")
+    spark.sql("DROP TABLE prov_test")

@@ -27,3 +27,15 @@ def test_lists_and_retention(spark, tmp_path):
 
 def test_after_expansion():
     assert [sinks.after_expansion(a, r) for a, r in ((True, True), (False, True), (False, False))] == ["archive", "remove", "keep"]
+
+
+def test_clean_up_and_marks(spark, tmp_path):
+    for n in "abc":
+        (tmp_path / n).write_text(n)
+    at = lambda n: str(tmp_path / n)
+    assert sinks.clean_up(spark, [at("a")], at("archive"), True) == {at("a"): "archive"} and (tmp_path / "archive" / "a").exists() and not (tmp_path / "a").exists()
+    assert sinks.clean_up(spark, [at("b")], None, True) == {at("b"): "remove"} and not (tmp_path / "b").exists()
+    assert sinks.clean_up(spark, [at("c")], None, False) == {at("c"): "keep"} and (tmp_path / "c").exists()
+    for _ in range(2):
+        sinks.mark(spark, at("status"), "ingest_done", "2024-03-01")
+    assert spark.read.parquet(at("status")).count() == 1
