@@ -41,6 +41,16 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def total_size(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of files; many of one folder are asked for at once, so it counts what else the folder holds."""
+    folders = {p.rsplit("/", 1)[0] for p in paths}
+    total = 0
+    for path in paths if len(paths) <= 64 else folders:
+        fs, p = _open(spark, path)
+        total += fs.getContentSummary(p).getLength()
+    return total
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     fs, p = _open(spark, path)
     return fs.delete(p, True)
