@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import arrow_map, cut
 from lodestrata.llm.words import blocks, mix, words_of
+from lodestrata.sources import store
 
 #: Buckets of the count sketch, by the size of the input: 1 MB of counts at least and 64 MB at most.
 BUCKETS = (1 << 18, 1 << 24)
@@ -56,14 +57,17 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def buckets_for(df: DataFrame) -> int:
-    """So many buckets that all the shingles of a bucket together stay far below HOT, within bounds.
+    """So many buckets that the shingles of a bucket together stay far below HOT, within bounds, by the size of the files
+    that hold the rows; that costs no scan. Rows that come from no files get a number in between."""
+    size = store.total_size(df.sparkSession, df.inputFiles())
+    return min(BUCKETS[1], max(BUCKETS[0], 1 << (size // 4000).bit_length())) if size else 1 << 20
 
-    The size is the planner's estimate from the files, which costs no scan; without one it is the middle.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:
-        return 1 << 20
-    return min(BUCKETS[1], max(BUCKETS[0], 1 << (size // 4000).bit_length()))
+
+def own_count(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many texts have a shingle, about: its bucket's count less what others add to any bucket. Where buckets are many
+    times fuller than a shingle is frequent, that is 0 but for the shingles that stand out."""
+    noise = 2 * float(counts.mean())
+    return np.maximum(0, counts[bucket(h, counts)] - noise).astype(np.int64)
 
 
 def bucket(h: np.ndarray, counts: np.ndarray) -> np.ndarray:

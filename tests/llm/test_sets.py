@@ -107,6 +107,25 @@ def test_leaks_equal_brute_force(spark, limit):
     assert leak.leaks(D, "doc_id", "text", items_df.limit(0), "item_id", "text", broadcast_words=limit).count() == 0
 
 
+def test_items_cost_their_length():
+    import pickle
+
+    w = words_of([" ".join(f"w{i % 977} v{i}" for i in range(50_000))])
+    h, _ = w.shingles(5)
+    offsets = leak.necessary(w.hash, h, np.zeros(1 << 18, np.int32), 13, 5)
+    assert len(offsets) <= len(w.hash) and len(pickle.dumps((w.hash, h[offsets], offsets))) < 10_000_000
+
+
+def test_hot_items_are_split(spark, monkeypatch):
+    monkeypatch.setattr(leak, "HOT", 3)
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"x{i} {passage} y{i}") for i in range(40)] + [(99, "other words " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
+    for limit in (2_000_000, 0):
+        got = {tuple(r) for r in leak.leaks(docs, "doc_id", "text", items, "item_id", "text", broadcast_words=limit).collect()}
+        assert got == {(i, 1) for i in range(40)}
+
+
 def test_agreement_bits():
     d, h, _ = neardup.shingle_sets(["a b c d e f g h i j k l m n o p"] * 2 + ["q r s t u v w x y z"], 3)
     s = neardup._agreement(d, h, 3, 8)
