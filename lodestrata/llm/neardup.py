@@ -9,10 +9,14 @@ Similarity of two texts is the Jaccard coefficient of their sets of ``k`` consec
    copies are joined once.  Group pairs come from an equi-join on prefix shingles with
    bounds on size and position.  A 128-bit agreement sketch (one-bit minima of 128 bins)
    stops pairs that agree in fewer bits than a pair at ``t`` does less 4 standard deviations;
-   one of 256 bits follows for the members.  A shingle of very many texts is split into blocks.
+   one of 256 bits follows for the members.  With ``exact`` no pair is stopped by a sketch.  A shingle of very many texts is
+   split into blocks.
 4. Group pairs expand to members; members of one group are pairs, too.  Every pair is
    verified by the sizes of the intersection and union of its sets.
 
+Texts of equal sets are one class, which its least id stands for; only these are joined and verified, and pairs of ids
+follow from the classes' pairs.
+
 Defined results: null and too short texts have no pairs; equal texts under different ids are
 pairs of similarity 1; repeated rows of one id count once; an empty table gives no pairs.
 """
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import arrow_map, cut
+from lodestrata.llm.common import arrow_map, cut, stored
 from lodestrata.llm.words import blocks, mix, words_of
 from lodestrata.sources import store
 
@@ -38,9 +42,9 @@ BUCKETS = (1 << 18, 1 << 24)
 CHUNK = 1 << 12
 #: Texts that a block of a shingle's texts holds at most, about.
 HOT = 20_000
-#: Sizes and positions fit 24 bits: a text has 16 million shingles at most.
-WIDTH = 24
-MOST = (1 << WIDTH) - 1
+#: Bits of a size, which an array of Arrow bounds; the rest of a group's g is a hash.
+WIDTH = 32
+SIZE = (1 << WIDTH) - 1
 _U = np.uint64
 
 
@@ -122,7 +126,7 @@ def _agreement(d: np.ndarray, h: np.ndarray, n_texts: int, functions: int) -> np
 def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_words: int) -> DataFrame:
     """One row per text: id, prefix (its rarest shingles), hot (their counts), h1 and h2 (of all shingles), s1, s2, s3 and g.
 
-    s1, s2 and g (15 bits of the prefix's hash, 24 of the size) are the identity of the text's group; s3 is a
+    s1, s2 and g (31 bits of the prefix's hash, 32 of the size) are the identity of the text's group; s3 is a
     larger agreement sketch.
     """
     counts = df.sparkSession.sparkContext.broadcast(shingle_counts(df, text, k))
@@ -140,7 +144,7 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
                 first = np.concatenate(([0], np.cumsum(n)))
                 s = _agreement(d, h, y - x, 8)
                 short = (h >> _U(32)).astype(np.uint32).view(np.int32)
-                count = rank[bucket(h, rank)]
+                count = own_count(h, rank)
                 for i in range(y - x):
                     if b[key][x + i] is None or words[i] < min_words or not n[i]:
                         continue
@@ -151,11 +155,12 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
                     out["prefix"].append(short[own][:p])
                     out["h1"].append(int(h1))
                     out["h2"].append(int(h2))
-                    out["hot"].append((count[own][:p] // HOT).astype(np.int32).tolist() if count[own][p - 1] >= HOT else None)
+                    many = count[own][:p] // HOT
+                    out["hot"].append(many.astype(np.int32).tolist() if many.any() else None)
                     out["s1"].append(int(s[i, 0]))
                     out["s2"].append(int(s[i, 1]))
                     out["s3"].append(s[i, 2:].tobytes())
-                    out["g"].append((zlib.crc32(short[own][:p].tobytes()) & 0x7FFF) << WIDTH | min(int(n[i]), MOST))
+                    out["g"].append((zlib.crc32(short[own][:p].tobytes()) & 0x7FFFFFFF) << WIDTH | int(n[i]))
             return out
 
         return f
@@ -169,7 +174,7 @@ def prefix_size(n: int, t: float) -> int:
 
 
 def _postings(rows: DataFrame) -> DataFrame:
-    """(token, salt, s1, s2, gp): the prefix of each group; a task names a group once.  gp is g and the position.
+    """(token, salt, s1, s2, g, p): the prefix of each group, p its positions; a task names a group once.
 
     A token in more than HOT texts is dealt to blocks of about HOT rows, and the rows of each pair of blocks meet.
     """
@@ -178,7 +183,7 @@ def _postings(rows: DataFrame) -> DataFrame:
         seen: set = set()
 
         def f(b):
-            token, salt, s1, s2, gp = [], [], [], [], []
+            token, salt, s1, s2, gs, pos = [], [], [], [], [], []
             for prefix, hot, x, y, g in zip(b["prefix"], b["hot"], b["s1"], b["s2"], b["g"]):
                 if (x, y, g) in seen:
                     continue
@@ -197,14 +202,15 @@ def _postings(rows: DataFrame) -> DataFrame:
                 salt.append(at)
                 s1.append(np.full(len(p), x))
                 s2.append(np.full(len(p), y))
-                gp.append(g << WIDTH | np.minimum(p, MOST))
+                gs.append(np.full(len(p), g))
+                pos.append(p.astype(np.int32))
             if token:
-                return {"token": pa.array(np.concatenate(token)), "salt": pa.array(np.concatenate(salt)), "s1": pa.array(np.concatenate(s1)), "s2": pa.array(np.concatenate(s2)), "gp": pa.array(np.concatenate(gp))}
+                return {"token": pa.array(np.concatenate(token)), "salt": pa.array(np.concatenate(salt)), "s1": pa.array(np.concatenate(s1)), "s2": pa.array(np.concatenate(s2)), "g": pa.array(np.concatenate(gs)), "p": pa.array(np.concatenate(pos))}
             return None
 
         return f
 
-    return arrow_map(rows.select("prefix", "hot", "s1", "s2", "g"), make, "token int, salt int, s1 long, s2 long, gp long")
+    return arrow_map(rows.select("prefix", "hot", "s1", "s2", "g"), make, "token int, salt int, s1 long, s2 long, g long, p int")
 
 
 def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,9 +218,9 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(_U))
 
 
-def _group_pairs(post: DataFrame, t: float) -> DataFrame:
-    """Pairs of groups that pass the bounds on size and position and the agreement sketch."""
-    least = floor_of(128, t)
+def _group_pairs(post: DataFrame, t: float, exact: bool = False) -> DataFrame:
+    """Pairs of groups that pass the bounds on size and position and, unless ``exact``, the agreement sketch."""
+    least = 0 if exact else floor_of(128, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,14 +240,14 @@ def _group_pairs(post: DataFrame, t: float) -> DataFrame:
             yield from pairs(pa.Table.from_batches(held))
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, salt, s1, s2, gp = (table.column(c).to_numpy() for c in ("token", "salt", "s1", "s2", "gp"))
+        token, salt, s1, s2, g, pos = (table.column(c).to_numpy() for c in ("token", "salt", "s1", "s2", "g", "p"))
         key = token.astype(np.int64) << 32 | salt
-        n, pos = (gp >> WIDTH) & MOST, gp & MOST
-        order = np.lexsort((s2, s1, gp, n, key))
-        key, s1, s2, gp, n, pos = key[order], s1[order], s2[order], gp[order], n[order], pos[order]
+        n, pos = g & SIZE, pos.astype(np.int64)
+        order = np.lexsort((pos, s2, s1, g, n, key))
+        key, s1, s2, g, n, pos = key[order], s1[order], s2[order], g[order], n[order], pos[order]
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (gp[1:] != gp[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
-        key, s1, s2, gp, n, pos = (x[new] for x in (key, s1, s2, gp, n, pos))
+        new[1:] = (key[1:] != key[:-1]) | (g[1:] != g[:-1]) | (pos[1:] != pos[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+        key, s1, s2, g, n, pos = (x[new] for x in (key, s1, s2, g, n, pos))
         last = np.searchsorted(key, key, side="right")
         # Within a key sizes ascend: partners of row i are those after it whose size is at most n / t.
         far = np.minimum(last, np.searchsorted(_compound(key, n), _compound(key, np.floor(n / t + 1e-9).astype(np.int64)), side="right"))
@@ -261,7 +267,7 @@ def _group_pairs(post: DataFrame, t: float) -> DataFrame:
             a, b = a[ok], b[ok]
             ok = _bits(s1[a], s1[b]) + _bits(s2[a], s2[b]) <= 128 - least
             a, b = a[ok], b[ok]
-            yield pa.RecordBatch.from_pydict({"a_s1": s1[a], "a_s2": s2[a], "a_g": gp[a] >> WIDTH, "b_s1": s1[b], "b_s2": s2[b], "b_g": gp[b] >> WIDTH})
+            yield pa.RecordBatch.from_pydict({"a_s1": s1[a], "a_s2": s2[a], "a_g": g[a], "b_s1": s1[b], "b_s2": s2[b], "b_g": g[b]})
             at = to
 
     return (
@@ -272,7 +278,7 @@ def _group_pairs(post: DataFrame, t: float) -> DataFrame:
 
 def _compound(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Ascending codes of (key, n), keys sorted."""
-    return np.cumsum(np.concatenate(([0], np.diff(key) != 0))).astype(np.int64) << 26 | n
+    return np.cumsum(np.concatenate(([0], np.diff(key) != 0))).astype(np.int64) << WIDTH | n
 
 
 def floor_of(bits: int, t: float) -> int:
@@ -281,31 +287,40 @@ def floor_of(bits: int, t: float) -> int:
     return math.floor(bits * p - 4 * math.sqrt(bits * p * (1 - p)))
 
 
-def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0) -> DataFrame:
+def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0, exact: bool = False) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of ids whose texts are at least ``t`` similar; copies are pairs as well."""
-    return _pairs(cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words)), df.select(key, text), k, t)
+    rows = stored(prefix_table(df, key, text, k=k, t=t, min_words=min_words))
+    members, chiefs = _classes(rows)
+    pairs = _pairs(chiefs, df.select(key, text), k, t, exact)
+    side = lambda c: members.select(F.col("chief").alias(c), F.col("id").alias(f"{c}_id"))
+    every = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_id", "a").alias("x"), F.coalesce("b_id", "b").alias("y"), "similarity")
+    copies = side("chief").join(members, "chief").select(F.col("chief_id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity")).where("x < y")
+    return every.unionByName(copies).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, chief) of the ids in classes of several, the least id being the chief; and the rows without the other members."""
+    many = rows.groupBy("h1", "h2").agg(F.min("id").alias("chief"), F.max("id").alias("last")).where("chief != last").drop("last")
+    members = cut(rows.select("id", "h1", "h2").join(many, ["h1", "h2"]).select("id", "chief").distinct())
+    return members, rows.join(members.where("id != chief").select("id"), "id", "left_anti")
 
 
-def near_groups(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0) -> DataFrame:
+def near_groups(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0, exact: bool = False) -> DataFrame:
     """(id, group_id, n_links, n_copies) of every id with a copy or a similar text.
 
-    Texts of equal sets are one class, whose least id stands for it; only these are joined, so that
-    a class of a third of all rows costs its size. n_links counts classes that are similar to the id's own,
-    n_copies the other members of its class; group_id is the least id that links lead to.
+    Only the chiefs of classes are joined, so that a class of a third of all rows costs its size. n_links counts classes that are
+    similar to the id's own, n_copies the other members of its class; group_id is the least id that links lead to.
     """
-    rows = cut(prefix_table(df, key, text, k=k, t=t, min_words=min_words))
-    members = rows.select("id", "h1", "h2").distinct()
-    classes = members.groupBy("h1", "h2").agg(F.min("id").alias("chief"), F.count("*").alias("size"))
-    chiefs = rows.join(classes.select(F.col("chief").alias("id")), "id", "left_semi")
-    pairs = cut(_pairs(chiefs, df.select(key, text), k, t).select("a", "b"))
+    rows = stored(prefix_table(df, key, text, k=k, t=t, min_words=min_words))
+    members, chiefs = _classes(rows)
+    pairs = cut(_pairs(chiefs, df.select(key, text), k, t, exact).select("a", "b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.groupBy(F.col("a").alias("chief")).agg(F.count("*").alias("n_links"))
-    found = components(pairs).withColumnRenamed("id", "chief")
-    return (
-        members.join(classes, ["h1", "h2"]).join(found, "chief", "left").join(links, "chief", "left")
-        .where((F.col("size") > 1) | F.col("n_links").isNotNull())
-        .select("id", F.coalesce("group_id", "chief").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("size") - 1).alias("n_copies"))
-    )
+    found = links.join(components(pairs).withColumnRenamed("id", "chief"), "chief")
+    sizes = members.groupBy("chief").agg((F.count("*") - 1).alias("n_copies"))
+    chief = found.join(sizes, "chief", "full")
+    every = chief.join(members, "chief", "left").select(F.coalesce("id", "chief").alias("id"), F.coalesce("group_id", "chief").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
+    return every
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -331,16 +346,16 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group_id"))).distinct()
 
 
-def _pairs(rows: DataFrame, texts: DataFrame, k: int, t: float) -> DataFrame:
+def _pairs(rows: DataFrame, texts: DataFrame, k: int, t: float, exact: bool = False) -> DataFrame:
     group = ["s1", "s2", "g"]
-    found = _group_pairs(_postings(rows), t)
+    found = _group_pairs(_postings(rows), t, exact)
     ids = rows.select("id", *group, "s3")
     copies = rows.groupBy(*group).count().where("count > 1")  # members of one group are pairs, too
     found = found.unionByName(copies.select(*(F.col(c).alias(f"a_{c}") for c in group), *(F.col(c).alias(f"b_{c}") for c in group)))
     # Both sides are the same rows by the same keys, so that they are exchanged once.
     on = lambda side, name: [F.col(f"{side}_{c}") == F.col(f"{name}.{c}") for c in group]
     differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2"))) + _differ("x.s3", "y.s3")
-    across = found.join(ids.alias("x"), on("a", "x")).join(ids.alias("y"), on("b", "y")).where((differ <= 256 - floor_of(256, t)) & (F.col("x.id") != F.col("y.id")))
+    across = found.join(ids.alias("x"), on("a", "x")).join(ids.alias("y"), on("b", "y")).where(F.lit(exact) | (differ <= 256 - floor_of(256, t))).where("x.id != y.id")
     pairs = cut(across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     sets = _sets(_named(texts.toDF("id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("id"))), k)
     both = F.size(F.array_intersect("a_items", "b_items"))

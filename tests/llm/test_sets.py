@@ -75,6 +75,32 @@ def test_hot_shingles_in_blocks(spark, monkeypatch):
     assert got == similar(rows, 3, 0.6, 0)
 
 
+def test_sketches_lose_no_pair_of_a_table(spark):
+    from lodestrata.llm import catalog
+
+    texts = catalog.contents(spark, "/root/testdata/sf0.01")
+    by = [{(x.a, x.b) for x in neardup.near_pairs(texts, "sha256", "content", k=3, t=0.6, min_words=20, exact=e).select("a", "b").collect()} for e in (False, True)]
+    assert by[0] == by[1] and by[0]
+
+
+def test_pairs_of_pairs_of_classes(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    one, two = " ".join(base), " ".join(edited(r, base))
+    rows = [(f"a{i}", one) for i in range(5)] + [(f"b{i}", two + (" x" if i == 9 else "")) for i in range(4)] + [("c", " ".join(f"v{i}" for i in range(30)))]
+    got = [(x.a, x.b) for x in neardup.near_pairs(spark.createDataFrame(rows, "key string, text string"), "key", "text", k=3, t=0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == similar(rows, 3, 0.6, 0) and len(got) > 10
+
+
+def test_full_buckets_make_no_shingle_hot():
+    r = np.random.default_rng(1)
+    counts = r.poisson(50_000, 1 << 18).astype(np.int32)
+    h = r.integers(0, 2**63, 1000).astype(np.uint64)
+    assert not (neardup.own_count(h, counts) >= neardup.HOT).any()
+    counts[neardup.bucket(h[:1], counts)] += 500_000
+    assert neardup.own_count(h[:1], counts)[0] // neardup.HOT > 15
+
+
 def test_no_rows_no_pairs(spark):
     assert neardup.near_pairs(spark.createDataFrame([], "key string, text string"), "key", "text").count() == 0
 
