@@ -9,10 +9,13 @@ label are left out of the second.
 
 Words are scored once and kept.  Units, the stretches between line ends and sentence ends, are
 labelled by the best path with a cost for each change of language.  Stretches in one
-language of fewer than 40 characters are dropped and equal neighbours then merged.
+language of fewer than 40 characters are dropped and equal neighbours then merged.  Capitalised words that aren't known from one
+language may be names; they count where a unit has no others and together they are of one language.  A stretch whose words are far less
+probable in its language than those of any labelled text of it is in another language, ``OTHER``.  Confidences are those
+of a logistic curve over the lead of the best language, fitted on the units of labelled texts.
 
 Defined results: null, empty and wordless texts have no segments; words with digits, and bare
-header labels, belong to no language; texts of any length are handled whole; repeated rows of one
+header labels, belong to no language; words and texts of any length are handled whole; repeated rows of one
 id count once.
 """
 
@@ -38,6 +41,10 @@ TYPES = 6000
 #: Cost of a change of language, in nats.
 CHANGE = 7.0
 LEAST = 40
+#: What one word counts for at most, in nats: one that may be a name, any other. What a stretch of such words only must come to.
+NAME, WORD, NAMES = 1.0, 12.0, 3.0
+#: A language of none of the labels.
+OTHER = "und"
 VOCABULARY = os.environ.get("LODESTRATA_PIECES", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 #: Usual spellings of languages, without region.
@@ -68,7 +75,11 @@ class Model:
     """Log probabilities of pieces by language, and the forward algorithm over words."""
 
     def __init__(self, pieces: Iterable[bytes], languages: list[str]):
-        self.pieces = {p: i for i, p in enumerate(pieces) if len(p) <= 16 and (p == p.lower() or len(p) == 1)}
+        self.pieces = {p: i for i, p in enumerate(pieces) if len(p) == 1 or p == p.lower() and not any(c in b" \t\r\n" for c in p[1:])}
+        self.longest = max(map(len, self.pieces))
+        #: Least mean score of a byte that texts of each language have, and how the lead of a language turns into confidence.
+        self.floor = np.full(len(languages), -np.inf)
+        self.curve = (0.0, 1.0)
         self.languages = languages
         #: Words that stand in texts of nearly one language only; other capitalised words may be names.
         self.own: set[str] = set()
@@ -76,38 +87,53 @@ class Model:
 
     def arcs(self, word: str) -> tuple[int, list[tuple[int, int, int]]]:
         """Length in bytes, and (from, to, piece) of each piece in the word, by end."""
-        w = (" " + word.lower()).encode("utf-8", "replace")[:64]
-        n = len(w)
-        return n, [(i, j, self.pieces[w[i:j]]) for j in range(1, n + 1) for i in range(max(0, j - 16), j) if w[i:j] in self.pieces]
+        w = (" " + word.lower()).encode("utf-8", "replace")
+        n, get, longest = len(w), self.pieces.get, self.longest
+        return n, [(i, j, k) for j in range(1, n + 1) for i in range(max(0, j - longest), j) if (k := get(w[i:j])) is not None]
 
     def score(self, word: str) -> np.ndarray:
         """Log probability of the word in each language, all segmentations summed."""
         n, arcs = self.arcs(word)
         a = np.zeros((n + 1, len(self.languages)))
         a[0] = 1
-        p = self.p
+        log, at, p = np.zeros(len(self.languages)), 0, self.p
         for i, j, k in arcs:
+            if j > at and j % 32 == 0:  # long words: values are kept away from the least a number can be
+                at = j
+                top = np.maximum(a[max(0, j - self.longest) : j].max(axis=0), 1e-300)
+                a[max(0, j - self.longest) : j] /= top
+                log += np.log(top)
             a[j] += a[i] * p[k]
-        return np.log(np.maximum(a[n], 1e-300))
+        return np.log(np.maximum(a[n], 1e-300)) + log
 
     def fit(self, counts: list[Counter], rounds: int = 3) -> Model:
-        kept = [[(self.arcs(w), c) for w, c in x.most_common(TYPES)] for x in counts]
+        """Expectation maximisation; forward and backward sums run over the arcs of all words at once, by their ends."""
+        kept = []
+        for x in counts:
+            types = x.most_common(TYPES)
+            every = [self.arcs(w) for w, _ in types]
+            arcs = np.array([(w, i, j, k) for w, (_, own) in enumerate(every) for i, j, k in own], np.int64).reshape(-1, 4)
+            kept.append((np.array([n for n, _ in every], np.int64), np.array([c for _, c in types], float), arcs[np.argsort(arcs[:, 2], kind="stable")], arcs[np.argsort(arcs[:, 1], kind="stable")]))
         for _ in range(rounds):
             new = np.full(self.p.shape, 0.05)
-            for lang, words in enumerate(kept):
-                p, e = self.p[:, lang].tolist(), [0.0] * len(self.p)
-                for (n, arcs), c in words:
-                    a, b = [0.0] * (n + 1), [0.0] * (n + 1)
-                    a[0] = b[n] = 1.0
-                    for i, j, k in arcs:
-                        a[j] += a[i] * p[k]
-                    if a[n] <= 0:
-                        continue
-                    for i, j, k in reversed(arcs):
-                        x = p[k] * b[j]
-                        b[i] += x
-                        e[k] += a[i] * x * c / a[n]
-                new[:, lang] += e
+            for lang, (n, c, by_end, by_begin) in enumerate(kept):
+                if not len(n):
+                    continue
+                p, width = self.p[:, lang], int(n.max()) + 1
+                a, b = np.zeros((len(n), width)), np.zeros((len(n), width))
+                a[:, 0], b[np.arange(len(n)), n] = 1, 1
+                bounds = np.searchsorted(by_end[:, 2], np.arange(width + 1))
+                for j in range(1, width):
+                    w, i, _, k = by_end[bounds[j] : bounds[j + 1]].T
+                    a[:, j] = np.bincount(w, a[w, i] * p[k], len(n))
+                bounds = np.searchsorted(by_begin[:, 1], np.arange(width + 1))
+                for i in range(width - 1, -1, -1):
+                    w, _, j, k = by_begin[bounds[i] : bounds[i + 1]].T
+                    b[:, i] += np.bincount(w, p[k] * b[w, j], len(n))
+                whole = a[np.arange(len(n)), n]
+                share = np.divide(c, whole, out=np.zeros(len(n)), where=whole > 0)
+                w, i, j, k = by_end.T
+                new[:, lang] += np.bincount(k, a[w, i] * p[k] * b[w, j] * share[w], len(p))
             self.p = new / new.sum(axis=0)
         return self
 
@@ -140,9 +166,52 @@ def fit(sample: Iterable[tuple[str, str]], path: str = VOCABULARY) -> Model:
         n = [c[w] for c in counts]
         if max(n) >= 2 and max(n) >= 0.9 * sum(n):
             model.own.add(w)
+    _calibrate(model, sure)
     return model
 
 
+def _calibrate(model: Model, sure: list[tuple[str, list[str]]]) -> None:
+    """The floors of languages and the curve of confidence, from texts whose label holds."""
+    known: dict[str, tuple[np.ndarray, int]] = {}
+    means: list[list[float]] = [[] for _ in LANGUAGES]
+    leads, right = [], []
+    for lang, ws in sure:
+        k, rows = LANGUAGES.index(lang), []
+        for w in ws:
+            if w not in known:
+                known[w] = model.score(w), 1 + len(w.lower().encode("utf-8", "replace"))
+            if w[0].islower() or w.lower() in model.own:
+                rows.append(known[w])
+        if sum(n for _, n in rows) >= LEAST:
+            means[k].append(sum(s[k] for s, _ in rows) / sum(n for _, n in rows))
+        for at in range(0, len(rows), 4):  # about a unit each
+            total = sum(s - s.max() for s, _ in rows[at : at + 4])
+            leads.append(np.log1p(_lead(total)))
+            right.append(int(total.argmax()) == k)
+    for k, x in enumerate(means):
+        if x:
+            low, mid = np.quantile(x, [0.01, 0.5])  # the least ones may be damaged
+            model.floor[k] = mid - 2.2 * (mid - low) - 0.2
+    if leads:
+        x, y = np.array(leads), np.array(right, float)
+        a, b = 0.0, 1.0
+        for _ in range(30):  # Newton steps, held back a little so that a perfect split has a curve as well
+            p = 1 / (1 + np.exp(-(a + b * x)))
+            g = np.array([(y - p).sum() - 0.01 * a, ((y - p) * x).sum() - 0.01 * (b - 1)])
+            w = p * (1 - p) + 1e-6
+            h = np.array([[w.sum() + 0.01, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.01]])
+            a, b = np.array([a, b]) + np.clip(np.linalg.solve(h, g), -2, 2)
+        model.curve = (float(a), float(b))
+
+
+def _lead(score: np.ndarray) -> float:
+    """How far the best language is before the next, in nats."""
+    if len(score) < 2:
+        return 0.0
+    two = np.partition(score, -2)[-2:]
+    return float(two[1] - two[0])
+
+
 _BOUNDS = {c: -1 for c in "\n.!?;:"}
 
 
@@ -152,7 +221,9 @@ class Tagger:
     def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
         self.ids: dict[str, int] = dict(_BOUNDS)
-        self.table = np.zeros((1024, len(model.languages)))
+        #: Of each word the lead of each language, then its score in each, and its bytes; a row's words that may be names are ``weak``.
+        self.table = np.zeros((1024, 2 * len(model.languages) + 1))
+        self.weak = np.zeros(1024, bool)
 
     def _new(self, token: str) -> int:
         """The row of a token that isn't kept yet: -1 for a bound, 0 for one of no language."""
@@ -161,14 +232,15 @@ class Tagger:
         if len(self.ids) >= self.most:
             self.ids.clear()
             self.ids.update(_BOUNDS)
-        if token[0].isupper() and token.lower() not in self.model.own:
-            i = 0
-        else:
-            i = len(self.ids) + 1
-            if i >= len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            s = self.model.score(token)
-            self.table[i] = np.maximum(s - s.max(), -12.0)  # one word decides nothing
+        weak = token[0].isupper() and token.lower() not in self.model.own
+        i = len(self.ids) + 1
+        if i >= len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            self.weak = np.concatenate((self.weak, np.zeros_like(self.weak)))
+        s, k = self.model.score(token), len(self.model.languages)
+        self.table[i, :k] = np.maximum(s - s.max(), -(NAME if weak else WORD))  # one word decides nothing
+        self.table[i, k : 2 * k], self.table[i, 2 * k] = (0, 0) if weak else (s, 1 + len(token.lower().encode("utf-8", "replace")))
+        self.weak[i] = weak
         self.ids[token] = i
         return i
 
@@ -185,9 +257,24 @@ class Tagger:
         at = np.flatnonzero(a > 0)
         if not len(at):
             return [], none
-        unit = np.cumsum(a == -1)[at]
+        k, unit = len(self.model.languages), np.cumsum(a == -1)
+        weak = self.weak[a[at]]
+        if weak.any():  # what may be names counts only where it stands alone and is of one language, as nouns are
+            begin = np.flatnonzero(np.concatenate(([True], unit[at][1:] != unit[at][:-1])))
+            size = np.diff(np.append(begin, len(at)))
+            alone = np.flatnonzero(np.add.reduceat(~weak, begin, dtype=np.int64) == 0)
+            if len(alone):
+                sums = np.add.reduceat(self.table[a[at], :k], begin)[alone]
+                alone = alone[[_lead(x) >= NAMES for x in sums]]
+            kept = np.zeros(len(begin), bool)
+            kept[alone] = True
+            at = at[~weak | np.repeat(kept, size)]
+            if not len(at):
+                return [], none
+        unit = unit[at]
         begin = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-        scores = np.add.reduceat(self.table[a[at]], begin)
+        every = np.add.reduceat(self.table[a[at]], begin)
+        scores = every[:, :k]
         total = scores.sum(axis=0)
         best = int(total.argmax())
         path = np.full(len(scores), best)
@@ -195,16 +282,16 @@ class Tagger:
             path = _path(scores)
         out: list[list] = []
         if (path == best).all():
-            out = [[re.search(r"[^\W\d_]", text).start(), len(text.rstrip()), best, total]]
+            out = [[re.search(r"[^\W\d_]", text).start(), len(text.rstrip()), best, every.sum(axis=0)]]
         else:
             spans = [m.span() for m in _TOKENS.finditer(text)]
             ends = np.concatenate((begin[1:], [len(at)])) - 1
             for u, lang in enumerate(path):
                 s, e = spans[at[begin[u]]][0], spans[at[ends[u]]][1]
                 if out and out[-1][2] == lang:
-                    out[-1][1], out[-1][3] = e, out[-1][3] + scores[u]
+                    out[-1][1], out[-1][3] = e, out[-1][3] + every[u]
                 else:
-                    out.append([s, e, lang, scores[u]])
+                    out.append([s, e, lang, every[u]])
         kept: list[list] = []
         for s, e, lang, score in out:
             if e - s < LEAST:
@@ -213,11 +300,19 @@ class Tagger:
                 kept[-1][1], kept[-1][3] = e, kept[-1][3] + score
             else:
                 kept.append([s, e, lang, score])
-        return [(s, e, self.model.languages[lang], confidence(score, lang)) for s, e, lang, score in kept], total
+        return [(s, e, *self.named(lang, score)) for s, e, lang, score in kept], total
 
+    def named(self, lang: int, score: np.ndarray) -> tuple[str, float]:
+        """Code and confidence of a stretch; that of another language where its words are too improbable."""
+        k = len(self.model.languages)
+        own, n = score[k + lang], score[2 * k]
+        if n >= LEAST and own / n < self.model.floor[lang]:
+            return OTHER, 0.5
+        return self.model.languages[lang], self.confidence(score[:k])
 
-def confidence(score: np.ndarray, lang: int) -> float:
-    return float(1 / np.exp(np.clip(score - score[lang], -700, 50)).sum())
+    def confidence(self, score: np.ndarray) -> float:
+        a, b = self.model.curve
+        return float(1 / (1 + np.exp(-np.clip(a + b * np.log1p(_lead(score)), -50, 50))))
 
 
 def _path(scores: np.ndarray) -> np.ndarray:
@@ -264,8 +359,10 @@ def languages(df: DataFrame, key: str, text: str, label: str, model: Model) -> D
                 best = int(total.argmax())
                 said = label_language(lab)
                 out[key].append(k)
-                out["lang"].append(tagger.model.languages[best] if total.any() else None)
-                out["confidence"].append(confidence(total, best) if total.any() else None)
+                most = max(segments, key=lambda x: x[1] - x[0], default=None)
+                lang = most[2] if most and most[2] == OTHER else tagger.model.languages[best] if total.any() else None
+                out["lang"].append(lang)
+                out["confidence"].append((most[3] if lang == OTHER else tagger.confidence(total)) if total.any() else None)
                 out["segments"].append([{"seg_no": i, "start_at": s + 1, "end_at": e, "lang": lang, "confidence": c} for i, (s, e, lang, c) in enumerate(segments, 1)])
                 out["label_right"].append(bool(said and len(segments) <= 1 and (not segments or segments[0][2] == said)))
             return out
