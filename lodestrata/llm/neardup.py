@@ -290,19 +290,18 @@ def floor_of(bits: int, t: float) -> int:
 def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0, exact: bool = False) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of ids whose texts are at least ``t`` similar; copies are pairs as well."""
     rows = stored(prefix_table(df, key, text, k=k, t=t, min_words=min_words))
-    members, chiefs = _classes(rows)
-    pairs = _pairs(chiefs, df.select(key, text), k, t, exact)
+    members = _classes(rows)
+    pairs = _pairs(rows, members, df.select(key, text), k, t, exact)
     side = lambda c: members.select(F.col("chief").alias(c), F.col("id").alias(f"{c}_id"))
     every = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_id", "a").alias("x"), F.coalesce("b_id", "b").alias("y"), "similarity")
     copies = side("chief").join(members, "chief").select(F.col("chief_id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity")).where("x < y")
     return every.unionByName(copies).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
-def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, chief) of the ids in classes of several, the least id being the chief; and the rows without the other members."""
+def _classes(rows: DataFrame) -> DataFrame:
+    """(id, chief) of the ids in classes of several, the least id being the chief."""
     many = rows.groupBy("h1", "h2").agg(F.min("id").alias("chief"), F.max("id").alias("last")).where("chief != last").drop("last")
-    members = cut(rows.select("id", "h1", "h2").join(many, ["h1", "h2"]).select("id", "chief").distinct())
-    return members, rows.join(members.where("id != chief").select("id"), "id", "left_anti")
+    return cut(rows.select("id", "h1", "h2").join(many, ["h1", "h2"]).select("id", "chief").distinct())
 
 
 def near_groups(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.8, min_words: int = 0, exact: bool = False) -> DataFrame:
@@ -312,8 +311,8 @@ def near_groups(df: DataFrame, key: str, text: str, *, k: int = 5, t: float = 0.
     similar to the id's own, n_copies the other members of its class; group_id is the least id that links lead to.
     """
     rows = stored(prefix_table(df, key, text, k=k, t=t, min_words=min_words))
-    members, chiefs = _classes(rows)
-    pairs = cut(_pairs(chiefs, df.select(key, text), k, t, exact).select("a", "b"))
+    members = _classes(rows)
+    pairs = cut(_pairs(rows, members, df.select(key, text), k, t, exact).select("a", "b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.groupBy(F.col("a").alias("chief")).agg(F.count("*").alias("n_links"))
     found = links.join(components(pairs).withColumnRenamed("id", "chief"), "chief")
@@ -346,11 +345,12 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group_id"))).distinct()
 
 
-def _pairs(rows: DataFrame, texts: DataFrame, k: int, t: float, exact: bool = False) -> DataFrame:
+def _pairs(rows: DataFrame, members: DataFrame, texts: DataFrame, k: int, t: float, exact: bool = False) -> DataFrame:
+    """Pairs of chiefs, and of ids without copies; all members of a class are of one group, which is joined once."""
     group = ["s1", "s2", "g"]
     found = _group_pairs(_postings(rows), t, exact)
-    ids = rows.select("id", *group, "s3")
-    copies = rows.groupBy(*group).count().where("count > 1")  # members of one group are pairs, too
+    ids = rows.select("id", *group, "s3").join(members.where("id != chief").select("id"), "id", "left_anti")
+    copies = ids.groupBy(*group).count().where("count > 1")  # members of one group are pairs, too
     found = found.unionByName(copies.select(*(F.col(c).alias(f"a_{c}") for c in group), *(F.col(c).alias(f"b_{c}") for c in group)))
     # Both sides are the same rows by the same keys, so that they are exchanged once.
     on = lambda side, name: [F.col(f"{side}_{c}") == F.col(f"{name}.{c}") for c in group]
