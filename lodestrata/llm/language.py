@@ -77,7 +77,7 @@ class Model:
     def __init__(self, pieces: Iterable[bytes], languages: list[str]):
         self.pieces = {p: i for i, p in enumerate(pieces) if len(p) == 1 or p == p.lower() and not any(c in b" \t\r\n" for c in p[1:])}
         self.longest = max(map(len, self.pieces))
-        #: Least mean score of a byte that texts of each language have, and how the lead of a language turns into confidence.
+        #: Least mean score of a character that texts of each language have, and how the lead of a language turns into confidence.
         self.floor = np.full(len(languages), -np.inf)
         self.curve = (0.0, 1.0)
         self.languages = languages
@@ -179,7 +179,7 @@ def _calibrate(model: Model, sure: list[tuple[str, list[str]]]) -> None:
         k, rows = LANGUAGES.index(lang), []
         for w in ws:
             if w not in known:
-                known[w] = model.score(w), 1 + len(w.lower().encode("utf-8", "replace"))
+                known[w] = model.score(w), 1 + len(w)
             if w[0].islower() or w.lower() in model.own:
                 rows.append(known[w])
         if sum(n for _, n in rows) >= LEAST:
@@ -221,7 +221,7 @@ class Tagger:
     def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
         self.ids: dict[str, int] = dict(_BOUNDS)
-        #: Of each word the lead of each language, then its score in each, and its bytes; a row's words that may be names are ``weak``.
+        #: Of each word the lead of each language, then its score in each, and its length; a row's words that may be names are ``weak``.
         self.table = np.zeros((1024, 2 * len(model.languages) + 1))
         self.weak = np.zeros(1024, bool)
 
@@ -239,7 +239,7 @@ class Tagger:
             self.weak = np.concatenate((self.weak, np.zeros_like(self.weak)))
         s, k = self.model.score(token), len(self.model.languages)
         self.table[i, :k] = np.maximum(s - s.max(), -(NAME if weak else WORD))  # one word decides nothing
-        self.table[i, k : 2 * k], self.table[i, 2 * k] = (0, 0) if weak else (s, 1 + len(token.lower().encode("utf-8", "replace")))
+        self.table[i, k : 2 * k], self.table[i, 2 * k] = (0, 0) if weak else (s, 1 + len(token))
         self.weak[i] = weak
         self.ids[token] = i
         return i
