@@ -45,8 +45,8 @@ ODD = 1.2
 WINDOW, STEP = 60, 50
 #: Passages of fewer words are scored with their neighbour.
 SHORT = 4
-#: Passages scored at once; their filter maps should fit a cache.
-BATCH = 300
+#: Words scored at once; their filter maps should fit a cache.
+BATCH = 2000
 
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:[>|][ \t]*)+")
 _BREAK = re.compile(r"(?<=[.!?…])[\"”»’')\]]*\s+|\n[ \t]*\n|\n(?=\s*(?:[-*•]|\[\d\d:|\d+[.,;]))|;\s")
@@ -110,16 +110,12 @@ class Slots:
         return i
 
 
-def pack(chunks: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The chunks one after the other, each followed by zeros enough for the widest filter; and their begins."""
-    pad = [0] * (max(WIDTHS) - 1)
-    flat: list[int] = []
-    begin = []
-    for c in chunks:
-        begin.append(len(flat))
-        flat += c
-        flat += pad
-    return np.array(flat, np.int64), np.array(begin, np.int64)
+def pack(chunks: Sequence[Sequence[int]]) -> np.ndarray:
+    """The chunks as rows, each followed by zeros enough for the widest filter."""
+    size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    out = np.zeros((len(chunks), int(size.max(initial=0)) + max(WIDTHS) - 1), np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.concatenate([np.asarray(c, np.int64) for c in chunks]) if len(chunks) else []
+    return out
 
 
 @dataclass
@@ -131,6 +127,7 @@ class Net:
     out_bias: float = 0.0
     thresholds: dict = field(default_factory=dict)
     blank: bool = False
+    _table: np.ndarray | None = None
 
     @staticmethod
     def new(seed: int = 7) -> Net:
@@ -140,28 +137,47 @@ class Net:
         filters = [r.normal(0, (2 / (w * DIM)) ** 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         return Net(emb, filters, np.zeros((len(WIDTHS), FILTERS), np.float32), r.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), -1.0)
 
-    def pooled(self, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        x = self.emb[ids]
-        every = x @ np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in self.filters], axis=1)
-        maps, at = [], 0
+    def table(self) -> np.ndarray:
+        """What each slot adds to each filter at each of its places; computed once for a net that is trained."""
+        if self._table is None:
+            self._table = self.emb @ np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in self.filters], axis=1)
+        return self._table
+
+    def maps(self, every: np.ndarray) -> list[np.ndarray]:
+        """Values of the filters of each width at each word; (rows, words, FILTERS)."""
+        out, at, n = [], 0, every.shape[1] - max(WIDTHS) + 1
         for w in WIDTHS:
-            y = every[:, at : at + FILTERS].copy()
+            y = every[:, :n, at : at + FILTERS]
             for j in range(1, w):
-                y[:-j] += every[j:, at + j * FILTERS : at + (j + 1) * FILTERS]
-            maps.append(y)
+                y = y + every[:, j : n + j, at + j * FILTERS : at + (j + 1) * FILTERS]
+            out.append(y)
             at += w * FILTERS
-        top = np.concatenate([np.maximum.reduceat(y, begin, axis=0) for y in maps], axis=1) + self.bias.ravel()
-        return np.maximum(top, 0), maps, x
+        return out
 
     def score(self, chunks: Sequence[Sequence[int]]) -> np.ndarray:
-        if not chunks or self.blank:
-            return np.zeros(len(chunks))
-        ids, begin = pack(chunks)
-        return 1 / (1 + np.exp(-(self.pooled(ids, begin)[0] @ self.out + self.out_bias)))
+        """Of each chunk; those of like length are scored together, so many that their maps fit a cache."""
+        out = np.zeros(len(chunks))
+        if not len(chunks) or self.blank:
+            return out
+        table = self.table()
+        order = sorted(range(len(chunks)), key=lambda i: len(chunks[i]))
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and (to - at + 1) * (len(chunks[order[to]]) + 3) <= BATCH:
+                to += 1
+            own = order[at:to]
+            top = np.concatenate([y.max(axis=1) for y in self.maps(table[pack([chunks[i] for i in own])])], axis=1)
+            out[own] = 1 / (1 + np.exp(-(np.maximum(np.maximum(top, 0) + self.bias.ravel(), 0) @ self.out + self.out_bias)))
+            at = to
+        return out
 
     def train(self, chunks: list[list[int]], y: np.ndarray, weight: np.ndarray, epochs: int, rate: float = 0.004, seed: int = 3) -> Net:
         """Adam over mini-batches; gradients flow through the greatest value of each filter."""
         r = np.random.default_rng(seed)
+        self._table = None
+        rows = pack(chunks)
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
         params = [self.emb, *self.filters, self.bias, self.out]
         first = [np.zeros_like(p) for p in params[1:]]
         second = [np.zeros_like(p) for p in params[1:]]
@@ -170,35 +186,33 @@ class Net:
         size = 256
         for epoch in range(epochs):
             order = r.permutation(len(chunks))
-            for at in range(0, len(order), size):
-                pick = order[at : at + size]
-                drop = [[i if r.random() > 0.08 else 0 for i in chunks[p]] for p in pick] if epoch else [chunks[p] for p in pick]
-                ids, begin = pack(drop)
-                hidden, maps, x = self.pooled(ids, begin)
+            parts = [order[i : i + 8 * size] for i in range(0, len(order), 8 * size)]  # a batch has chunks of like length
+            batches = [q[i : i + size] for part in parts for q in (part[np.argsort(length[part], kind="stable")],) for i in range(0, len(q), size)]
+            for pick in (batches[i] for i in r.permutation(len(batches))):
+                ids = rows[pick, : int(length[pick].max()) + max(WIDTHS) - 1]
+                if epoch:
+                    ids = ids * (r.random(ids.shape) > 0.08)
+                flat = self.emb[ids].reshape(-1, DIM)
+                w_all = np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in self.filters], axis=1)
+                maps = self.maps((flat @ w_all).reshape(*ids.shape, -1))
+                pos = [y_.argmax(axis=1) for y_ in maps]
+                top = np.concatenate([np.take_along_axis(y_, p[:, None], axis=1)[:, 0] for y_, p in zip(maps, pos)], axis=1)
+                hidden = np.maximum(np.maximum(top, 0) + self.bias.ravel(), 0)  # beyond its words a chunk has zeros
                 keep = (r.random(hidden.shape[1]) > 0.25).astype(np.float32) / 0.75
                 z = (hidden * keep) @ self.out + self.out_bias
                 err = ((1 / (1 + np.exp(-z)) - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
                 g_out = (hidden * keep).T @ err
                 g_hidden = np.outer(err, self.out * keep) * (hidden > 0)
                 g_filters = [np.zeros_like(f) for f in self.filters]
-                g_x = np.zeros_like(x)
-                ends = np.concatenate((begin[1:], [len(ids)]))
-                owner = np.repeat(np.arange(len(begin)), ends - begin)
+                b = np.arange(len(pick))[:, None]
+                hit, back = [], []
                 for k, w in enumerate(WIDTHS):
-                    g = g_hidden[:, k * FILTERS : (k + 1) * FILTERS]
-                    c, f = np.nonzero(g)
-                    if not len(c):
-                        continue
-                    top = np.maximum.reduceat(maps[k], begin, axis=0)
-                    hit = maps[k] == top[owner]
-                    pos = np.full((len(begin), FILTERS), -1)
-                    rows, cols = np.nonzero(hit)
-                    pos[owner[rows], cols] = rows
-                    t, v = pos[c, f], g[c, f]
+                    g = g_hidden[:, k * FILTERS : (k + 1) * FILTERS] * (top[:, k * FILTERS : (k + 1) * FILTERS] > 0)
                     for j in range(w):
-                        ok = t + j < len(ids)
-                        np.add.at(g_filters[k][j].T, f[ok], x[t[ok] + j] * v[ok, None])
-                        np.add.at(g_x, t[ok] + j, self.filters[k][j].T[f[ok]] * v[ok, None])
+                        slot = ids[b, pos[k] + j]  # one place for each chunk and filter
+                        g_filters[k][j] = np.einsum("bf,bfd->df", g, self.emb[slot])
+                        hit.append(slot.ravel())
+                        back.append((g[:, :, None] * self.filters[k][j].T[None]).reshape(-1, DIM))
                 g_bias = g_hidden.sum(axis=0).reshape(self.bias.shape)
                 step += 1
                 for p, g, m, s in zip(params[1:], [*g_filters, g_bias, g_out], first, second):
@@ -206,13 +220,14 @@ class Net:
                     m += 0.1 * (g - m)
                     s += 0.001 * (g * g - s)
                     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-7)
-                slots, inv = np.unique(ids, return_inverse=True)
-                rows = np.zeros((len(slots), DIM), np.float32)
-                np.add.at(rows, inv, g_x)
-                g_emb[slots] += rows * rows
-                self.emb[slots] -= 0.05 * rows / (np.sqrt(g_emb[slots]) + 1e-6)
+                slots, inv = np.unique(np.concatenate(hit), return_inverse=True)
+                g_x = np.concatenate(back)
+                g_rows = np.stack([np.bincount(inv, g_x[:, i], len(slots)) for i in range(DIM)], axis=1).astype(np.float32)
+                g_emb[slots] += g_rows * g_rows
+                self.emb[slots] -= 0.05 * g_rows / (np.sqrt(g_emb[slots]) + 1e-6)
                 self.emb[0] = 0
                 self.out_bias -= rate * float(err.sum()) * 5
+        self._table = None
         return self
 
 
@@ -334,8 +349,7 @@ def scores(docs: DataFrame, doc_id: str, text: str, lang: str, net: Net) -> Data
                     chunks.append(slots(p))
                     owner.append(d)
             best = np.zeros(len(b[text]))
-            for at in range(0, len(chunks), BATCH):
-                np.maximum.at(best, owner[at : at + BATCH], model.score(chunks[at : at + BATCH]))
+            np.maximum.at(best, owner, model.score(chunks))
             cuts = [model.thresholds.get(label_language(g), model.thresholds.get(None, 1.0)) for g in b[lang]]
             return {doc_id: b[doc_id], "score": best, "flagged": (best >= np.array(cuts)) & (best > 0)}
 
