@@ -8,18 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import abuse, encoding, language, leak, mail, neardup, packing, pii, truncation
-from lodestrata.llm.common import contents, spread, table
+from lodestrata.llm.common import contents, cut, spread, table
 
 
-def _mentions(spark: SparkSession, d: str, masked: bool) -> DataFrame:
-    names = [r[0] for r in table(spark, d, "given_names").select("given_name").limit(GIVEN_NAMES + 1).collect()]
-    if len(names) > GIVEN_NAMES:
-        raise ValueError(f"more than {GIVEN_NAMES} given names can't be sent to the tasks")
-    return pii.mentions(contents(spark, d), "sha256", "content", names, masked)
+def _names(spark: SparkSession, d: str) -> list[str | None]:
+    """The list of given names, which is the automaton's dictionary: distinct, and bounded by the names that people have."""
+    return [r[0] for r in table(spark, d, "given_names").select("given_name").distinct().collect()]
 
 
-#: Given names that may be sent to the tasks; the table has fewer than a hundred.
-GIVEN_NAMES = 100_000
+def _mentions(spark: SparkSession, d: str, masked: bool) -> DataFrame:
+    return pii.mentions(contents(spark, d), "sha256", "content", _names(spark, d), masked)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +29,13 @@ def p1_masked(spark: SparkSession, d: str) -> DataFrame:
     return _mentions(spark, d, True).select("sha256", "masked").dropDuplicates(["sha256"])
 
 
+def p1_remainder(spark: SparkSession, d: str) -> DataFrame:
+    """Whether masking left all but the mentions as it was: placeholders and mentions taken out, both texts are equal."""
+    texts = contents(spark, d).dropDuplicates(["sha256"])
+    both = pii.mentions(texts, "sha256", "content", _names(spark, d)).join(texts, "sha256")
+    return pii.remainders(both, "sha256", "content").select("sha256", "same")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(contents(spark, d), "sha256", "content", k=3, t=0.6, min_words=20).select(F.col("a").alias("sha256_a"), F.col("b").alias("sha256_b"))
 
@@ -47,6 +52,19 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_packed(spark, d))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, whole, fits): whether the pieces of each document with a text make it up, and no container is too full."""
+    packs = cut(packing.packed(_documents(spark, d).where("text <> ''"), "doc_id", "text"))
+    over = packs.where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > packing.CAPACITY)
+    pieces = packs.groupBy("doc_id").agg(
+        F.count("*").alias("n_pieces"), F.min("start_at").alias("a"), F.max("end_at").alias("b"), F.sum(F.col("end_at") - F.col("start_at") + 1).alias("chars"), F.count("container").alias("placed"),
+    )
+    full = packs.join(over, "container", "left_semi").select("doc_id").distinct().withColumn("full", F.lit(True))
+    every = pieces.join(table(spark, d, "documents").select("doc_id", F.length("text").alias("n_chars")), "doc_id").join(full, "doc_id", "left")
+    whole = (F.col("a") == 1) & (F.col("b") == F.col("n_chars")) & (F.col("chars") == F.col("n_chars")) & (F.col("placed") == F.col("n_pieces"))
+    return every.select("doc_id", whole.alias("whole"), F.col("full").isNull().alias("fits"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(_documents(spark, d), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -125,7 +143,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(table(spark, d, "documents"), "doc_id", "source", _scores(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_masked": p1_masked, "p1_remainder": p1_remainder, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_new_text": p6_new_text, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_checks": p7_checks, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 #: SQL where it can express the operator; the others are tested against brute force, round trips and held-out cases.
 SQL: dict[str, str] = {
@@ -135,6 +153,19 @@ SQL: dict[str, str] = {
     n AS (SELECT sha256, count(*) AS n FROM s GROUP BY 1),
     both_ AS (SELECT a.sha256 AS sha256_a, b.sha256 AS sha256_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.sha256 < b.sha256 GROUP BY 1, 2)
     SELECT sha256_a, sha256_b FROM both_ JOIN n x ON x.sha256 = sha256_a JOIN n y ON y.sha256 = sha256_b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9""",
+    "p1_remainder": "SELECT DISTINCT sha256, true AS same FROM leakdata_index WHERE sha256 IS NOT NULL AND attachment.content <> ''",
+    "p2_groups": f"""WITH RECURSIVE one AS (SELECT sha256, min(attachment.content) AS t FROM leakdata_index WHERE attachment.content <> '' AND sha256 IS NOT NULL GROUP BY 1),
+    w AS (SELECT sha256, {_WORDS.format('t')} AS ws FROM one), long AS (SELECT * FROM w WHERE len(ws) >= 20),
+    every AS (SELECT DISTINCT sha256, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM long),
+    sets AS (SELECT sha256, list(g ORDER BY g) AS st FROM every GROUP BY 1), classes AS (SELECT st, min(sha256) AS chief, count(*) AS size FROM sets GROUP BY 1),
+    members AS (SELECT sha256 AS id, chief, size FROM sets JOIN classes USING (st)),
+    s AS (SELECT chief, g FROM every JOIN classes ON chief = sha256), n AS (SELECT chief, count(*) AS n FROM s GROUP BY 1),
+    both_ AS (SELECT a.chief AS a, b.chief AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.chief <> b.chief GROUP BY 1, 2),
+    edges AS (SELECT a, b FROM both_ JOIN n x ON x.chief = a JOIN n y ON y.chief = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9),
+    reach AS (SELECT chief AS id, chief AS r FROM classes UNION SELECT reach.id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+    least AS (SELECT id AS chief, min(r) AS group_id FROM reach GROUP BY 1), links AS (SELECT a AS chief, count(*) AS n_links FROM edges GROUP BY 1)
+    SELECT id, group_id, coalesce(n_links, 0) AS n_links, size - 1 AS n_copies FROM members JOIN least USING (chief) LEFT JOIN links USING (chief) WHERE size > 1 OR n_links IS NOT NULL""",
+    "p7_checks": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE text <> ''",
     "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents), e AS (SELECT item_id, {_WORDS.format('text')} AS ws FROM eval_items),
     dw AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g FROM d WHERE len(ws) >= 13),
     ew AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g FROM e WHERE len(ws) >= 13)

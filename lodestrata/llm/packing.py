@@ -34,8 +34,8 @@ CAPACITY = 2048
 VOCABULARY = os.environ.get("LODESTRATA_TOKENS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the public tokenizer's pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Buckets in which ranks within one size are counted.
-BUCKETS = 128
+#: Buckets in which ranks within one size are counted, at least; and items of one size that a bucket has at most, about.
+BUCKETS, FULL = 128, 1 << 18
 
 
 def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -187,7 +187,9 @@ def sized(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, path: st
 
 def packed(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
     """(key, piece, start_at, end_at, n_tokens, container) of every text."""
-    items = cut(sized(df, key, text, capacity, path).withColumn("bucket", F.pmod(F.xxhash64(key, "piece"), F.lit(BUCKETS))))
+    items = cut(sized(df, key, text, capacity, path))
+    buckets = max(BUCKETS, items.count() // FULL)
+    items = items.withColumn("bucket", F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)))
     sizes = items.where("n_tokens > 0").groupBy("n_tokens", "bucket").count()
     counts = np.zeros(capacity + 1, np.int64)
     for r in sizes.groupBy("n_tokens").agg(F.sum("count").alias("n")).collect():  # a row per size, at most capacity
@@ -200,7 +202,7 @@ def packed(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, path: s
             own.append(((own[-1][0] if own else 0) + n * made.times[p], first, n))
     shared = df.sparkSession.sparkContext.broadcast({s: tuple(np.array(x, np.int64) for x in zip(*own)) for s, own in ends.items()})
 
-    before = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
+    before = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     offsets = sizes.select("n_tokens", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     own = Window.partitionBy("n_tokens", "bucket").orderBy(key, "piece")
     ranked = items.where("n_tokens > 0").withColumn("rank", F.row_number().over(own) - 1).join(offsets, ["n_tokens", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset"))

@@ -673,3 +673,25 @@ def mentions(df: DataFrame, key: str, text: str, names: Iterable[str | None], ma
 
     schema = f"{key} {dict(df.dtypes)[key]}, found array<struct<start_at bigint, end_at bigint, kind string>>, masked string"
     return arrow_map(df.select(key, text), make, schema)
+
+
+def remainders(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, same): whether a text without its ``found`` mentions is its ``masked`` form without the placeholders."""
+
+    def make():
+        def f(b):
+            out: dict[str, list] = {key: b[key], "same": []}
+            for t, found, hidden in zip(b[text], b["found"], b["masked"]):
+                at = j = 0
+                same = True
+                for m in found:
+                    lead, mark = t[at : m["start_at"] - 1], f"[{m['kind'].upper()}]"
+                    same = same and hidden.startswith(lead + mark, j)
+                    j += len(lead) + len(mark)
+                    at = m["end_at"]
+                out["same"].append(same and hidden[j:] == t[at:])
+            return out
+
+        return f
+
+    return arrow_map(df.select(key, text, "found", "masked"), make, f"{key} {dict(df.dtypes)[key]}, same boolean")
