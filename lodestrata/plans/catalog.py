@@ -345,11 +345,6 @@ def tokenize_count(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(search.tokens(F.col("text"))).alias("n"))
 
 
-@query(f"SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
-def postings_stats(s, d):
-    return search.term_stats(search.postings(table(s, d, "documents"), "doc_id", "text"))
-
-
 def _index(s, d, name, key, text):
     """(postings, totals) of a table's texts; the index is written once for a session."""
     where = made.once(s, d, f"index-{name}")
@@ -360,6 +355,11 @@ def _post(s, d):
     return _index(s, d, "documents", "doc_id", "text")[0]
 
 
+@query(f"SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def postings_stats(s, d):
+    return search.term_stats(_post(s, d))
+
+
 @query(f"SELECT doc_id FROM documents WHERE list_has_any({WORDS}, ['contract', 'delivery'])")
 def search_match_any(s, d):
     return search.match(_post(s, d), TERMS).withColumnRenamed("doc", "doc_id")

@@ -8,12 +8,16 @@ prefix.  A term of very many documents is spread over several files.  Beside it
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.sources import store
+from lodestrata.sources.lines import spread
 
 TOKEN = r"([\p{L}\p{N}]+)"
 K1, B = 1.2, 0.75
@@ -27,14 +31,6 @@ def terms_of(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
-def postings(docs: DataFrame, doc: str, text: str, only: list[str] | None = None) -> DataFrame:
-    """(term, doc, tf); ``only`` keeps some terms, before the rows are spread."""
-    ts = tokens(F.col(text))
-    if only is not None:
-        ts = F.filter(ts, lambda t: t.isin(only))
-    return docs.select(F.col(doc).alias("doc"), F.explode(ts).alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
-
-
 def indexed(docs: DataFrame, doc: str, text: str, where: str) -> DataFrame:
     """An index of the documents written to a folder, and read from it.
 
@@ -43,17 +39,55 @@ def indexed(docs: DataFrame, doc: str, text: str, where: str) -> DataFrame:
     """
     spark = docs.sparkSession
     if not store.exists(spark, f"{where}/totals/_SUCCESS"):
-        sized = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.xxhash64(text).alias("h1"), F.crc32(text).alias("h2"), F.length(text).alias("n"), tokens(F.col(text)).alias("ts"))
-        least = sized.groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc")).select("doc", F.lit(True).alias("first"))
-        flagged = sized.select("doc", F.size("ts").alias("dl"), F.posexplode("ts").alias("at", "term"))
-        post = flagged.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+        texts = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text")))
+        least = texts.groupBy(F.xxhash64("text"), F.crc32("text"), F.length("text")).agg(F.min("doc").alias("doc")).select("doc", F.lit(True).alias("first"))
+        post = _postings_of(texts)
         post = post.join(least, "doc", "left").select("term", "doc", "tf", "dl", F.coalesce("first", F.lit(False)).alias("first"), "positions")
         post.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{where}/postings")
-        every = sized.join(least, "doc", "left").select(F.size("ts").alias("dl"), F.col("first").isNotNull().alias("first"))
-        every.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), F.count_if("first").alias("n_first"), F.avg(F.when(F.col("first"), F.col("dl"))).alias("mean_first")).coalesce(1).write.mode("overwrite").parquet(f"{where}/totals")
+        # Texts are split into words once: lengths are sums over the postings.
+        words = spark.read.parquet(f"{where}/postings").agg(F.sum("tf").alias("w"), F.sum(F.when(F.col("first"), F.col("tf"))).alias("w_first"))
+        n = texts.agg(F.count("*").alias("n")).crossJoin(least.agg(F.count("*").alias("n_first"))).crossJoin(words)  # rows of statistics
+        mean = lambda w, n: (F.coalesce(w, F.lit(0)) / F.nullif(n, F.lit(0)))
+        n.select("n", mean(F.col("w"), F.col("n")).alias("mean"), "n_first", mean(F.col("w_first"), F.col("n_first")).alias("mean_first")).coalesce(1).write.mode("overwrite").parquet(f"{where}/totals")
     return spark.read.parquet(f"{where}/postings")
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _postings_of(texts: DataFrame) -> DataFrame:
+    """(doc, term, dl, tf, positions) of (doc, text) rows. A text's postings are made where it is read: grouping its
+    words by an aggregate would shuffle all of them once more."""
+    kind = dict(texts.dtypes)["doc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs, held = [], 0
+            terms, dl, size, where = [], [], [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                own: dict[str, list[int]] = {}
+                words = _WORD.findall(t.lower())
+                for p, w in enumerate(words):
+                    if w in own:
+                        own[w].append(p)
+                    else:
+                        own[w] = [p]
+                terms += own
+                docs += [i] * len(own)
+                dl += [len(words)] * len(own)
+                for x in own.values():
+                    size.append(len(x))
+                    where += x
+                held += len(words)
+                if held >= 1 << 19 or i + 1 == b.num_rows:
+                    ends = pa.array([0, *accumulate(size)], pa.int32())
+                    positions = pa.ListArray.from_arrays(ends, pa.array(where, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(docs, pa.int64())), pa.array(terms, pa.string()), pa.array(dl, pa.int32()), pa.array(size, pa.int64()), positions], names=["doc", "term", "dl", "tf", "positions"])
+                    docs, terms, dl, size, where, held = [], [], [], [], [], 0
+
+    return texts.mapInArrow(run, f"doc {kind}, term string, dl int, tf bigint, positions array<int>")
+
+
 def totals(spark: SparkSession, where: str) -> DataFrame:
     """(n, mean, n_first, mean_first): documents with a text and their mean length, of all and of the first of equal texts."""
     return spark.read.parquet(f"{where}/totals")
