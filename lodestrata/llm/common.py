@@ -11,20 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.sources import store
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt out to all cores where a file or two hold them in fewer parts than that, such as one row group; a
-    table of many files or row groups stays as it is, so what is exchanged is small."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    parts = df.select(F.spark_partition_id().alias("part")).distinct().limit(cores).count()
-    return df if 2 * parts > cores else df.repartition(cores)
+from lodestrata.sources.lines import spread, table
 
 
 def contents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
