@@ -29,7 +29,7 @@ class Bounds:
     password: str | None = None
 
 
-def _members(name: str, data: bytes, bounds: Bounds) -> Iterator[tuple[str, bytes | None, str]]:
+def _members(name: str, data: bytes, bounds: Bounds, password: str | None = None) -> Iterator[tuple[str, bytes | None, str]]:
     low = name.lower()
     try:
         if data[:4] in (b"PK\x03\x04", b"PK\x05\x06"):
@@ -40,7 +40,7 @@ def _members(name: str, data: bytes, bounds: Bounds) -> Iterator[tuple[str, byte
                     if i.file_size > bounds.member:
                         yield i.filename, None, "too large"
                         continue
-                    with z.open(i, pwd=bounds.password.encode() if bounds.password else None) as f:
+                    with z.open(i, pwd=password.encode() if password else None) as f:
                         got = f.read(bounds.member + 1)
                     yield (i.filename, got, "ok") if len(got) <= bounds.member else (i.filename, None, "too large")
             return
@@ -81,12 +81,12 @@ def is_archive(data: bytes) -> bool:
 
 
 def expand(name: str, data: bytes, bounds: Bounds = Bounds()) -> Iterator[tuple[str, int, bytes | None, str]]:
-    """(path, depth, content, outcome) of all members, archives within archives expanded as well."""
+    """(path, depth, content, outcome) of all members, archives within archives expanded as well; the password is for the outermost."""
     spent = 0
     todo = [(name, data, "", 1)]
     while todo:
         n, d, lead, depth = todo.pop()
-        for path, content, outcome in _members(n, d, bounds):
+        for path, content, outcome in _members(n, d, bounds, bounds.password if depth == 1 else None):
             at = f"{lead}{path}"
             if not contained(path, "/x") or path.startswith("/"):
                 yield at, depth, None, "outside"
@@ -107,15 +107,32 @@ def expand(name: str, data: bytes, bounds: Bounds = Bounds()) -> Iterator[tuple[
             yield at, depth, content, outcome
 
 
+#: Members and bytes of a batch.
+ROWS, BYTES = 1000, 64 << 20
+
+
 def expanded(archives: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
-    """Members of the archives in (path, content) rows; an archive that can't be read gives one row with its error."""
+    """Members of the archives in (path, content) rows; an archive that can't be read gives one row with its error.
+    A batch holds many small members, or few large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("depth", pa.int32()), ("length", pa.int64()), ("content", pa.binary()), ("outcome", pa.string())])
+        rows: list[tuple] = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
         for b in batches:
-            for archive, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                for path, depth, content, outcome in expand(archive.rsplit("/", 1)[-1], data or b"", bounds):
-                    row = [[archive], [path], [depth], [None if content is None else len(content)], [content], [outcome]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema)], schema=schema)
+            for archive, data in zip(b.column("path"), b.column("content")):
+                archive = archive.as_py()
+                for path, depth, content, outcome in expand(archive.rsplit("/", 1)[-1], data.as_py() or b"", bounds):
+                    rows.append((archive, path, depth, None if content is None else len(content), content, outcome))
+                    held += len(content or b"")
+                    if len(rows) >= ROWS or held >= BYTES:
+                        yield made()
+                        rows, held = [], 0
+        if rows:
+            yield made()
 
     return archives.select("path", "content").mapInArrow(run, MEMBER)

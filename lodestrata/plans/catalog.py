@@ -7,12 +7,13 @@ both sides print alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import markup, paths
-from lodestrata.operators import dedupe, expand, ingest, lookup, outcome, summary
+from lodestrata.operators import dedupe, expand, ingest, lookup, outcome, sinks, summary
 from lodestrata.plans import made, search
 from lodestrata.sources import files
 from lodestrata.sources.lines import json_field, json_text, links, members, parsed, table
@@ -583,3 +584,23 @@ def date_text(s, d):
     at = F.col("put_at")
     printed = F.concat(F.date_format(at, "EEE MMM "), F.lpad(F.date_format(at, "d"), 2, " "), F.date_format(at, " HH:mm:ss yyyy"))
     return table(s, d, "leakdata_index").where("put_at IS NOT NULL").select("seq_no", printed.alias("printed"))
+
+
+@query(
+    f"""SELECT CAST(CAST(put_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM (SELECT put_at AT TIME ZONE 'UTC' AS put_at FROM leakdata_index WHERE put_at IS NOT NULL)
+    WHERE CAST(put_at AS DATE) >= DATE '2024-03-03' GROUP BY 1"""
+)
+def partitions_kept(s, d):
+    where = made.folder(s)
+    days = table(s, d, "leakdata_index").where("put_at IS NOT NULL").select("seq_no", F.date_format("put_at", "yyyy-MM-dd").alias("day"))
+    days.repartition("day").write.partitionBy("day").parquet(where)
+    sinks.drop_expired(s, where, "day", date(2024, 3, 5), 2)
+    return s.read.option("basePath", where).schema("seq_no long, day string").parquet(where).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("SELECT regexp_extract(filename, 'extracted/files/([^/]+)/', 1) AS list, filename AS value FROM leakdata_index WHERE filename IS NOT NULL AND regexp_extract(filename, 'extracted/files/([^/]+)/', 1) <> ''")
+def lists_written(s, d):
+    where = made.folder(s)
+    rows = table(s, d, "leakdata_index").where("filename IS NOT NULL").select(F.regexp_extract("filename", "extracted/files/([^/]+)/", 1).alias("list"), "filename").where("list <> ''")
+    sinks.lists(rows, "list", "filename", where)
+    return s.read.option("basePath", where).schema("value string, list string").text(where).select("list", "value")

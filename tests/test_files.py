@@ -204,3 +204,11 @@ def test_provenance_database(spark, tmp_path):
     assert got.count() == 1000 and got.agg({"id": "max"}).first()[0] == 1000
     assert provenance.create_if_missing(spark, "prov_test") and not provenance.create_if_missing(spark, "prov_test")
     spark.sql("DROP TABLE prov_test")
+
+
+def test_batches_of_members(spark, monkeypatch):
+    many = zipped(**{f"m{i}": b"x" * i for i in range(2500)})
+    rows = spark.createDataFrame([("many.zip", bytearray(many)), ("bad.zip", bytearray(many[:60]))], "path string, content binary")
+    got = expand.expanded(rows).collect()
+    assert sum(r.outcome == "ok" for r in got) == 2500 and sum(r.outcome.startswith("error") for r in got) == 1
+    assert {r.path: r.length for r in got if r.outcome == "ok"} == {f"m{i}": i for i in range(2500)}
