@@ -346,18 +346,18 @@ class _Reading:
             a -= 1
         if a and text[a - 1] in "\n>|":
             a = self._back(a)
-        first = a
+        end_of_word = first = a
         while True:
-            w = a
+            w = end_of_word
             while w and (text[w - 1].isalnum() or text[w - 1] in "_+%-"):
                 w -= 1
-            if w == a:
+            if w == end_of_word:
                 break
-            first, a = w, self._dot_before(w)
-            if a == w:
+            first, end_of_word = w, self._dot_before(w)
+            if end_of_word == w:
                 break
         b = _SPELT_DOMAIN.match(text, end)
-        if first == start or not b or first >= a + 0 and not (text[first].isalnum() or text[first] in "_+%-"):
+        if first == a or not b:
             return
         if plain and "." in b.group() and not re.search(r"dot|punkt|punto|point|kropka", b.group()):
             return
@@ -634,7 +634,7 @@ def _settle(got: Sequence[tuple[int, int, str, str]]) -> list[tuple[int, int, st
     """Without overlaps: the earlier kind holds, then the longer mention. What is taken is kept in order and searched."""
     begins: list[int] = []
     taken: list[tuple[int, int, str, str]] = []
-    for x in sorted(set(got), key=lambda x: (KINDS.index(x[2]), x[0] - x[1], x[0])):
+    for x in sorted(set(got), key=lambda x: (KINDS.index(x[2]), x[0] - x[1], x[0], x[3] != "given", x[3])):
         i = bisect_left(begins, x[0])
         if (not i or taken[i - 1][1] <= x[0]) and (i == len(taken) or x[1] <= taken[i][0]):
             begins.insert(i, x[0])
