@@ -42,6 +42,8 @@ BUCKETS = (1 << 18, 1 << 24)
 CHUNK = 1 << 12
 #: Texts that a block of a shingle's texts holds at most, about.
 HOT = 20_000
+#: Bytes of postings that a task sorts, about.
+PART = 256 << 20
 #: Bits of a size, which an array of Arrow bounds; the rest of a group's g is a hash.
 WIDTH = 32
 SIZE = (1 << WIDTH) - 1
@@ -218,7 +220,14 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(_U))
 
 
-def _group_pairs(post: DataFrame, t: float, exact: bool = False) -> DataFrame:
+def _parts(rows: DataFrame) -> int | None:
+    """Parts of the postings of stored rows, PART bytes each, where that is more than the session's number; else that one is left
+    to the adaptive plan."""
+    need = 4 * store.total_size(rows.sparkSession, rows.inputFiles()) // PART
+    return need if need > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _group_pairs(post: DataFrame, t: float, exact: bool = False, parts: int | None = None) -> DataFrame:
     """Pairs of groups that pass the bounds on size and position and, unless ``exact``, the agreement sketch."""
     least = 0 if exact else floor_of(128, t)
 
@@ -271,7 +280,7 @@ def _group_pairs(post: DataFrame, t: float, exact: bool = False) -> DataFrame:
             at = to
 
     return (
-        post.repartition("token", "salt").sortWithinPartitions("token", "salt")
+        post.repartition(*([parts] if parts else []), "token", "salt").sortWithinPartitions("token", "salt")
         .mapInArrow(run, "a_s1 long, a_s2 long, a_g long, b_s1 long, b_s2 long, b_g long").distinct()
     )
 
@@ -348,7 +357,7 @@ def components(pairs: DataFrame) -> DataFrame:
 def _pairs(rows: DataFrame, members: DataFrame, texts: DataFrame, k: int, t: float, exact: bool = False) -> DataFrame:
     """Pairs of chiefs, and of ids without copies; all members of a class are of one group, which is joined once."""
     group = ["s1", "s2", "g"]
-    found = _group_pairs(_postings(rows), t, exact)
+    found = _group_pairs(_postings(rows), t, exact, _parts(rows))
     ids = rows.select("id", *group, "s3").join(members.where("id != chief").select("id"), "id", "left_anti")
     copies = ids.groupBy(*group).count().where("count > 1")  # members of one group are pairs, too
     found = found.unionByName(copies.select(*(F.col(c).alias(f"a_{c}") for c in group), *(F.col(c).alias(f"b_{c}") for c in group)))
