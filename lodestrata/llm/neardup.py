@@ -51,17 +51,31 @@ _U = np.uint64
 
 
 def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle hash) without repeats, sorted; and the number of words of each text."""
+    """(text, shingle hash) without repeats, in order of text; and the number of words of each text."""
     w = words_of(texts)
     h, at = w.shingles(k)
     d = w.doc[at]
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    key = mix(h + d.astype(_U) * _U(0x9E3779B97F4A7C15))  # of one 64-bit word, which sorts fastest
+    order = np.argsort(key)
+    key = key[order]
+    keep = np.sort(order[np.concatenate(([True], key[1:] != key[:-1]))]) if len(key) else order
     return d[keep], h[keep], np.diff(w.first)
 
 
+def _ranked(d: np.ndarray, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Order by text, rank and hash.
+
+    One word holds the text, the rank up to a million, and most of the hash; where two are equal in it, all columns are compared.
+    """
+    rank = np.minimum(rank, (1 << 20) - 1)
+    if not len(d) or int(d[-1]) >= 1 << 10:
+        return np.lexsort((h, rank, d))
+    key = d.astype(_U) << _U(54) | rank.astype(_U) << _U(34) | h >> _U(30)
+    order = np.argsort(key)
+    key = key[order]
+    return order if (key[1:] != key[:-1]).all() else np.lexsort((h, rank, d))
+
+
 def buckets_for(df: DataFrame) -> int:
     """So many buckets that the shingles of a bucket together stay far below HOT, within bounds, by the size of the files
     that hold the rows; that costs no scan. Rows that come from no files get a number in between."""
@@ -114,14 +128,15 @@ def shingle_counts(df: DataFrame, text: str, k: int) -> np.ndarray:
     return out
 
 
-def _agreement(d: np.ndarray, h: np.ndarray, n_texts: int, functions: int) -> np.ndarray:
-    """One bit of the least hash in each of 32 bins, for some hash functions: (texts, functions / 2) words of 64 bits."""
-    bits = np.zeros((n_texts, 32 * functions), np.uint8)
+def _agreement(d: np.ndarray, h: np.ndarray, n_texts: int, functions: int = 4, bins: int = 64) -> np.ndarray:
+    """One bit of the least hash in each bin, for some hash functions: (texts, functions) words of 64 bits. In a bin without
+    any shingle of either text two sketches agree, so short texts are stopped less."""
+    bits = np.zeros((n_texts, bins * functions), np.uint8)
     for i in range(functions):
         g = mix(h + _U(0x632BE59BD9B4E019 * (i + 1) % 2**64))
-        least = np.full(n_texts * 32, np.iinfo(np.uint64).max, _U)
-        np.minimum.at(least, d * 32 + (g >> _U(59)).astype(np.int64), g << _U(5))
-        bits[:, 32 * i : 32 * i + 32] = ((least >> _U(7)) & _U(1)).astype(np.uint8).reshape(n_texts, 32)
+        least = np.full(n_texts * bins, np.iinfo(np.uint64).max, _U)
+        np.minimum.at(least, d * bins + (g >> _U(58)).astype(np.int64), g << _U(6))
+        bits[:, bins * i : bins * (i + 1)] = ((least >> _U(8)) & _U(1)).astype(np.uint8).reshape(n_texts, bins)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
@@ -140,11 +155,11 @@ def prefix_table(df: DataFrame, key: str, text: str, *, k: int, t: float, min_wo
             out: dict[str, list] = {c: [] for c in ("id", "prefix", "hot", "h1", "h2", "s1", "s2", "s3", "g")}
             for x, y in blocks(b[text]):
                 d, h, words = shingle_sets(b[text][x:y], k)
-                order = np.lexsort((h, rank[bucket(h, rank)], d))
+                order = _ranked(d, h, rank[bucket(h, rank)])
                 d, h = d[order], h[order]
                 n = np.bincount(d, minlength=y - x)
                 first = np.concatenate(([0], np.cumsum(n)))
-                s = _agreement(d, h, y - x, 8)
+                s = _agreement(d, h, y - x)
                 short = (h >> _U(32)).astype(np.uint32).view(np.int32)
                 count = own_count(h, rank)
                 for i in range(y - x):

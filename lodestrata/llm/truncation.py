@@ -352,7 +352,7 @@ def records(texts: list[str], k: int = K, first: int = FIRST) -> list[tuple[int,
     own, level, stretch = bands(w, first), _level(n - 1, first), _stretches(w)
     fit = np.flatnonzero((n > k) & (n > first))
     tails = [(ends[i] if len(low[i]) == len(ends[i]) else low[i])[w.start[last[i]] :] for i in fit]
-    keys = _joined(own[level[fit], fit], h[run[fit]], np.array([ord(low[i][w.start[last[i]]]) for i in fit], np.int64)).view(np.int64) if len(fit) else []
+    keys = _joined(own[level[fit], fit], h[run[fit]], w.lead[last[fit]]).view(np.int64) if len(fit) else []
     out: list = [None] * len(texts)
     for i, key, tail in zip(fit.tolist(), keys, tails):
         out[i] = (int(h[run[i]].view(np.int64)), key.tobytes(), tail, stretch(i, int(last[i]), STRETCH))
@@ -373,7 +373,7 @@ def followers(texts: list[str | None], k: int, first: int, wanted: Callable[[np.
     d, after = w.doc[at[ok]], at[ok] + k
     p = after - w.first[d]
     end = after == w.first[d + 1] - 1
-    next_ = np.array([ord(low[i][x]) for i, x in zip(d.tolist(), w.start[after].tolist())], np.int64)
+    next_ = w.lead[after]
     keys: set[tuple[int, int]] = set()
     levels = [_level(x, first) for x in (p, p - p // 8, np.minimum(p + p // 8, w.first[d + 1] - w.first[d]))]  # edits may have moved the end
     for i, level in enumerate(levels):

@@ -32,9 +32,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+#: Base of the polynomial hash of a word, and its inverse modulo 2 ** 64.
+BASE = 0x100000001B3
+_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _up_to(n: int) -> list[np.ndarray]:
+    """Powers of the base, and of its inverse, n of each at least; kept for the process."""
+    if len(_powers[0]) < n:
+        for i, b in enumerate((BASE, pow(BASE, -1, 2**64))):
+            p = np.full(max(n, 1 << 20), b, _U)
+            p[0] = 1
+            _powers[i] = np.cumprod(p, dtype=_U)
+    return _powers
+
+
 @dataclass
 class Words:
-    """Word ``i`` of the batch: ``hash[i]``, code points ``start[i]:end[i]`` of its lower-cased text.
+    """Word ``i`` of the batch: ``hash[i]``, code points ``start[i]:end[i]`` of its lower-cased text, of which ``lead[i]`` is the first.
 
     The words of text ``d`` are ``first[d]:first[d + 1]``; ``doc`` has each word's text, ``closes`` whether a line ends after it.
     """
@@ -45,6 +60,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     closes: np.ndarray
+    lead: np.ndarray
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of ``k`` words within one text, and the run's first word."""
@@ -69,18 +85,14 @@ def words_of(texts: list[str | None]) -> Words:
     doc = np.searchsorted(ends, start, side="right")
     first = np.searchsorted(start, np.concatenate((ends - [len(t) + 1 for t in lower], ends[-1:]))) if lower else np.zeros(1, np.int64)
     if not len(start):
-        return Words(np.zeros(0, _U), doc, start, end, first, np.zeros(0, bool))
-    length = end - start
-    chars = np.flatnonzero(is_word)
-    base = np.concatenate(([0], np.cumsum(length)[:-1]))
-    within = np.arange(len(chars)) - np.repeat(base, length)
-    power = np.full(int(length.max()), 0x100000001B3, dtype=_U)
-    power[0] = 1
-    power = np.cumprod(power, dtype=_U)
-    terms = (points[chars].astype(_U) + _U(0x9E3779B9)) * _U(0x2545F4914F6CDD1D) * power[within]
-    hashed = mix(np.add.reduceat(terms, base) + length.astype(_U))
+        return Words(np.zeros(0, _U), doc, start, end, first, np.zeros(0, bool), np.zeros(0, np.uint32))
+    # A word's hash is a polynomial in its letters: a difference of sums over the batch, moved to the word's begin.
+    power, inverse = _up_to(len(points))
+    sums = np.zeros(len(points) + 1, _U)
+    np.cumsum((points.astype(_U) + _U(0x9E3779B9)) * power[: len(points)], out=sums[1:])
+    hashed = mix((sums[end] - sums[start]) * inverse[start] * _U(0x2545F4914F6CDD1D) + (end - start).astype(_U))
     begin = (ends - [len(t) + 1 for t in lower])[doc]
-    return Words(hashed, doc, start - begin, end - begin, first, points[end] == 10)
+    return Words(hashed, doc, start - begin, end - begin, first, points[end] == 10, points[start])
 
 
 def blocks(texts: list, most: int = 1_000_000):

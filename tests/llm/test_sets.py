@@ -152,10 +152,19 @@ def test_hot_items_are_split(spark, monkeypatch):
         assert got == {(i, 1) for i in range(40)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32))
+def test_order_by_text_rank_and_hash(seed):
+    r = np.random.default_rng(seed)
+    d, h, rank = np.sort(r.integers(0, 5, 300)), r.integers(0, 2**64, 300, dtype=np.uint64), r.integers(0, 3, 300)
+    h[::7] = h[0] + np.arange(len(h[::7]), dtype=np.uint64)  # equal in their first bits
+    assert neardup._ranked(d, h, rank).tolist() == np.lexsort((h, rank, d)).tolist()
+
+
 def test_agreement_bits():
     d, h, _ = neardup.shingle_sets(["a b c d e f g h i j k l m n o p"] * 2 + ["q r s t u v w x y z"], 3)
-    s = neardup._agreement(d, h, 3, 8)
-    assert (s[0] == s[1]).all() and np.bitwise_count((s[0] ^ s[2]).view(np.uint64)).sum() > 20
+    s = neardup._agreement(d, h, 3)
+    assert (s[0] == s[1]).all() and np.bitwise_count((s[0] ^ s[2]).view(np.uint64)).sum() > 10
 
 
 def test_groups(spark):
