@@ -92,7 +92,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 
     prefix = stored(prefix)
     bits = filter_bits(prefix)
-    wanted = spark.sparkContext.broadcast(filled(prefix.select(F.col("token").bitwiseAND(F.lit(bits - 1)).alias("slot")), bits))
+    wanted = spark.sparkContext.broadcast(filled(prefix.select("token"), bits))
 
     def texts():
         def f(b):

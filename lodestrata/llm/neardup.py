@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -420,15 +420,30 @@ def filter_bits(rows: DataFrame) -> int:
     return min(FILTER[1], max(FILTER[0], 1 << (16 * rows.count()).bit_length()))
 
 
-def filled(slots: DataFrame, size: int) -> np.ndarray:
-    """The filter's bits, eight to a byte, with those of the column ``slot`` set."""
-    slot = F.col("slot") + 1
+def filled(hashes: DataFrame, size: int, slots: Callable[[np.ndarray, int], list[np.ndarray]] | None = None) -> np.ndarray:
+    """The filter's bits, eight to a byte, with those set that ``slots`` names for each hash of the one column; else its last bits."""
+
+    def make():
+        bits = np.zeros(size // 8, np.uint8)
+
+        def f(b):
+            h = np.array(b["h"], np.int64).view(_U)
+            for at in slots(h, size) if slots else [(h & _U(size - 1)).astype(np.int64)]:
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+        def end():
+            parts = bits.reshape(-1, 4096)
+            some = np.flatnonzero(parts.any(axis=1))
+            return {"part": some.tolist(), "bits": [parts[i].tobytes() for i in some]}
+
+        f.end = end
+        return f
+
     # A task's part is as large as the filter, so there are few tasks: one for each 64 million bits, and no less than four.
-    parts = slots.coalesce(max(4, size >> 26)).select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    parts = arrow_map(hashes.toDF("h").coalesce(max(4, size >> 26)), make, "part int, bits binary")
     out = np.zeros(size // 8, np.uint8)
-    for row in parts.collect():  # size / 32768 rows at most
-        at = (row.part - 1) * 4096
-        out[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    for row in parts.groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).collect():  # size / 32768 rows at most
+        out[row.part * 4096 : row.part * 4096 + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
@@ -436,7 +451,7 @@ def _named(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id is likely among ``ids``, by a filter of bounded size, before they are shuffled."""
     size = filter_bits(ids)
     slot = F.xxhash64("id").bitwiseAND(F.lit(size - 1))
-    shared = df.sparkSession.sparkContext.broadcast(filled(ids.select(slot.alias("slot")), size))
+    shared = df.sparkSession.sparkContext.broadcast(filled(ids.select(F.xxhash64("id")), size))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

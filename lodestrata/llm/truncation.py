@@ -514,11 +514,8 @@ def _early(texts: DataFrame, seen: DataFrame, k: int, first: int, plain: Callabl
     ends = stored(arrow_map(asks.select("h", "keys", "tail"), asked, "h bigint, key bigint, tail string"))
     size = filter_bits(ends)
 
-    def slots():
-        return lambda b: {"slot": np.concatenate(_slots(np.array(b["x"], np.int64).view(_U), size))}
-
     def share(hashes: DataFrame):
-        return spark.sparkContext.broadcast(filled(arrow_map(hashes.select(F.col(hashes.columns[0]).alias("x")), slots, "slot bigint"), size))
+        return spark.sparkContext.broadcast(filled(hashes, size, _slots))
 
     runs, keys = share(asks.select("run")), share(ends.select("key"))
     twice = share(ends.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key"))
