@@ -36,14 +36,14 @@ BATCH_BYTES = 64 << 20
 
 
 def with_content(df: DataFrame, most: int = MOST, batch: int = BATCH_BYTES) -> DataFrame:
-    """With content, the bytes of files up to a size, and error; larger ones are never opened, and one that can't be read
-    has an error instead. A batch is cut by the bytes it holds."""
+    """With content, the bytes of files up to a size, and error; larger ones are never opened, one that can't be read
+    has an error instead, and a row without a path has neither. A batch is cut by the bytes it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, errors, begin, held = [], [], 0, 0
             for p, n in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
-                got, error = (None, None) if n is not None and n > most else _read(p, most)
+                got, error = (None, None) if p is None or n is not None and n > most else _read(p, most)
                 data.append(got)
                 errors.append(error)
                 held += len(got or b"")

@@ -191,6 +191,24 @@ def test_served(spark, tree):
     assert {r.sha256: (r.status, r.content) for r in lookup.served(asked, found).collect()} == {same: (200, b"same text"), "f" * 64: (404, None), "../x": (400, None), None: (400, None)}
 
 
+def test_served_reads_contents_after_the_join(spark, tree):
+    from lodestrata.operators import lookup
+
+    found = files.hashed(files.file_tree(spark, tree))
+    kept = found.select("sha256", "path", "length").collect()
+    want = {r.sha256: (200, open(r.path, "rb").read() if r.length <= 100 else None) for r in kept} | {"f" * 64: (404, None), None: (400, None)}
+    asked = spark.createDataFrame([(h,) for h in want], "sha256 string")
+    df = lookup.served(asked, found, most=100)
+    assert {r.sha256: (r.status, r.content) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "content#" in plan
+    assert not any("Exchange" in line and "content#" in line for line in plan.splitlines()) and plan.index("content#") < plan.index("Exchange")
+    known = spark.createDataFrame(kept)
+    os.remove(f"{tree}/edge.bin")
+    want[hashlib.sha256(b"y" * 100).hexdigest()] = (500, None)
+    assert {r.sha256: (r.status, r.content) for r in lookup.served(asked, known, most=100).collect()} == want
+
+
 def test_provenance_database(spark, tmp_path):
     import sqlite3
 
